@@ -147,7 +147,7 @@ def _(spark, d):
     return R.field_profile(rows, FIELDS, F.coalesce("_e", F.lit(False)))
 
 
-@query("eligible_equities", sql("""SELECT row_id, symbol, reason, CASE WHEN reason IS NULL AND regexp_matches(name, '(?i)\\b(ETF|FUND|BEES|LIQUID|GILT|GOLD|NIFTY|SENSEX)\\b') THEN 'name_looks_like_fund_or_etf' END AS flag FROM (SELECT row_id, symbol, name, CASE WHEN r IS NOT NULL THEN r
+@query("eligible_equities", sql("""SELECT row_id, symbol, reason, CASE WHEN reason IS NULL AND regexp_matches(name, '(?i)\\b(ETF|BEES|FUND|MUTUAL|LIQUID)\\b') THEN 'name_looks_like_fund_or_etf' END AS flag FROM (SELECT row_id, symbol, name, CASE WHEN r IS NOT NULL THEN r
   WHEN count(*) OVER (PARTITION BY r IS NULL, symbol) > 1 THEN 'duplicate_symbol' WHEN count(*) OVER (PARTITION BY r IS NULL, key) > 1 THEN 'duplicate_instrument_key' END AS reason FROM (SELECT *, CASE WHEN key = '' THEN 'no_instrument_key' WHEN instrument_type <> 'EQ' THEN 'instrument_type:' || instrument_type
   WHEN NOT regexp_full_match(symbol, '[A-Z0-9&_.-]{1,30}') THEN 'symbol_not_accepted' WHEN sec NOT IN ('', 'NORMAL') THEN 'security_type:' || sec WHEN isin IS NULL THEN 'no_valid_isin' END AS r FROM base))""", CLASSIFIED))
 def _(spark, d):

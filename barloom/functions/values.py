@@ -16,9 +16,10 @@ def rnd(x: Column | str, digits: int = 0) -> Column:
 NO_NUMBER = ("", "-", "--", "NA", "N/A", "nan", "null", "none")
 ISIN = r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
 SYMBOL = r"^(?=.*[A-Z0-9])[A-Z0-9&\-_.]{1,30}$"
-FINANCIAL_WORDS = ("bank", "financ", "insurance", "nbfc", "capital market")
+FINANCIAL_WORDS = ("financ", "bank", "insur", "nbfc", "invest", "brok", "asset manag", "wealth", "capital market")
 CAPEX_EXCLUDES = ("sale", "disposal", "proceeds", "investment")
-CAPEX_TOTALS = ("purchase of fixed assets", "capital expenditure", "purchase of property plant and equipment", "capex")
+CAPEX_TOTALS = ("capital expenditure", "capital expenditures", "capex", "purchase of fixed assets", "purchase of property plant and equipment and intangible assets",
+                "purchase of property plant and equipment and intangibles")
 CAPEX_ASSETS = ("property plant", "ppe", "intangible", "capital work", "cwip", "fixed assets", "capital expenditure", "capex")
 CAPEX_VERBS = ("purchase", "acquisition", "payment", "addition")
 

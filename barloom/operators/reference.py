@@ -13,7 +13,7 @@ from barloom.plans.order import SMALL, running_position
 # Statuses in order of precedence; the first two are the candidates for the directory.
 CANDIDATES = ("eligible_eq", "eligible_be")
 LEAF_LINES = 65_536
-FUND_NAME = r"(?i)\b(ETF|FUND|BEES|LIQUID|GILT|GOLD|NIFTY|SENSEX)\b"
+FUND_NAME = r"(?i)\b(ETF|BEES|FUND|MUTUAL|INDEX\s+FUND|LIQUID)\b"
 
 
 def reference_lists(lists: DataFrame) -> DataFrame:
