@@ -74,7 +74,7 @@ def ratios(spark: SparkSession, d: str) -> DataFrame:
 
 def ticks(spark: SparkSession, d: str) -> DataFrame:
     """Decoded ticks in receive order. The exchange time lags the receive time and is missing, late or in the future for some; a
-    price jump, a bad price, a missing previous close and a reconnect every eight days are part of the data."""
+    price jump, a bad price, a missing previous close and a reconnect every eight hours are part of the data."""
     return ticks_from(table(spark, d, "events"))
 
 
@@ -87,7 +87,7 @@ def ticks_from(e: DataFrame) -> DataFrame:
         F.when(i % 41 == 0, F.lit(-1.0)).otherwise(price).alias("ltp"),
         F.when(i % 23 == 0, F.lit(None)).when(i % 29 == 0, recv + 120000).when(i % 37 == 0, recv - 86400000).otherwise(recv - 500).alias("ltt"),
         F.when(i % 3 != 0, 100 + (F.col("user_id") % 20).cast("double")).alias("cp"),
-        (F.day("ts") / 8).cast("int").alias("connection_id"),
+        F.floor(recv / 28_800_000).alias("connection_id"),
         F.to_date(F.col("ts") + F.expr("interval 330 minutes")).alias("session_date"))
 
 
