@@ -38,11 +38,11 @@ ratios AS (SELECT c_custkey AS symbol, c_name AS company_name, CASE WHEN c_custk
   CASE WHEN c_custkey % 3 = 0 THEN c_acctbal / 500 END AS roa, CASE WHEN c_custkey % 19 = 0 THEN 0.0::DOUBLE ELSE u / 2 END AS ev_ebitda, fetched FROM unit)"""
 
 TICKS = """
-ticks AS (SELECT user_id AS key, event_id AS seq, epoch_ms(ts) AS recv_ms,
+ticks AS (SELECT user_id AS key, event_id AS seq, (epoch_us(ts) // 1000) AS recv_ms,
   CASE WHEN event_id % 41 = 0 THEN -1.0 ELSE (100 + value) * (CASE WHEN event_id % 31 = 0 THEN 1.5 ELSE 1.0 END)::DOUBLE END AS ltp,
-  CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN epoch_ms(ts) + 120000 WHEN event_id % 37 = 0 THEN epoch_ms(ts) - 86400000
-    ELSE epoch_ms(ts) - 500 END AS ltt,
-  CASE WHEN event_id % 3 <> 0 THEN CAST(100 + user_id % 20 AS DOUBLE) END AS cp, epoch_ms(ts) // 28800000 AS connection_id,
+  CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN (epoch_us(ts) // 1000) + 120000 WHEN event_id % 37 = 0 THEN (epoch_us(ts) // 1000) - 86400000
+    ELSE (epoch_us(ts) // 1000) - 500 END AS ltt,
+  CASE WHEN event_id % 3 <> 0 THEN CAST(100 + user_id % 20 AS DOUBLE) END AS cp, (epoch_us(ts) // 1000) // 28800000 AS connection_id,
   CAST(ts + INTERVAL 330 MINUTE AS DATE) AS session_date FROM events)"""
 
 YEARS = """
