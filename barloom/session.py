@@ -37,9 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    path = os.path.join(tempfile.gettempdir(), "barloom-shared")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return os.path.join(tempfile.gettempdir(), "barloom-shared")
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
