@@ -162,7 +162,10 @@ def _(spark, d):
            F.format_string('<NumberOfFullyPaidUpEquityShares contextRef="%s">%s</NumberOfFullyPaidUpEquityShares>', c, F.col("shares").cast("decimal(18,2)").cast("string")),
            F.when(s % 5 != 0, F.format_string('<ShareholdingAsAPercentageOfTotalNumberOfShares contextRef="%s">%s</ShareholdingAsAPercentageOfTotalNumberOfShares>', c, rnd(F.col("shares") / 1000, 2).cast("string")))]
     path = fresh_dir(spark, "xbrl")
-    h.repartition("symbol").select(F.explode(F.array_compact(F.array(*xml)))).write.text(path)
+    part = F.concat_ws("-", F.year("period_end"), s % 16)
+    body = h.select(part.alias("part"), F.explode(F.array_compact(F.array(*xml))).alias("value"), F.lit(1).alias("ord"))
+    root = h.select(part.alias("part")).distinct().select("part", F.inline(F.array(F.struct(F.lit("<xbrl>").alias("value"), F.lit(0).alias("ord")), F.struct(F.lit("</xbrl>").alias("value"), F.lit(2).alias("ord")))))
+    body.unionByName(root).repartition("part").sortWithinPartitions("part", "ord").select("part", "value").write.partitionBy("part").text(path)
     f = S.read_xbrl_facts(spark, path)
     return f.select(F.regexp_extract("member", r"^s(\d+)x", 1).cast("bigint").alias("symbol"), "period", F.regexp_replace("member", r"^s\d+x", "").alias("member"), "shares", "pct", F.coalesce("conflict", F.lit(False)).alias("conflict"))
 
