@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from barloom.catalog.model_sql import BARS, CHANGES, HOLDINGS, INSTRUMENTS, TICKS, sql
+from barloom.catalog.model_sql import BARS, CHANGES, HOLDINGS, INSTRUMENTS, TICKS, YEARS, sql
 from barloom.catalog.registry import query
 from barloom.catalog.statements import ANNUAL, annual_docs
 from barloom.functions import values as V
@@ -12,11 +12,10 @@ from barloom.functions.values import rnd
 from barloom.operators import market as M
 from barloom.operators import statements as T
 from barloom.operators import windows as W
-from barloom.rules import Rules
 from barloom.session import fresh_dir
 from barloom.sources import files as S
 from barloom.sources import sinks as K
-from barloom.sources.market import bars, holdings, instruments, table, ticks
+from barloom.sources.market import bars, holdings, instruments, table, ticks, year_values
 from barloom.streaming.ticks import run_to_table
 
 COLUMNS = ["SYMBOL", "SERIES", "DATE1", "PREV_CLOSE", "OPEN_PRICE", "HIGH_PRICE", "LOW_PRICE", "CLOSE_PRICE", "TTL_TRD_QNTY", "TURNOVER_LACS", "DELIV_PER"]
@@ -204,10 +203,29 @@ def _(spark, d):
                                                           F.lit("Co").alias("source_name"), F.lit("https://x.com/a").alias("source_url"), F.lit("q").alias("evidence_quote"))).alias("events"))
     path = fresh_dir(spark, "growth")
     e.write.json(path)
-    # many small documents here: one per line, so the line reader serves
-    r = spark.read.schema(S.EVENT_SCHEMA).json(path).select(F.inline("events"))
-    from barloom.operators.quality import growth_event_valid
-    return r.select(F.col("title").cast("bigint").alias("event_id"), growth_event_valid().alias("valid"))
+    return S.read_growth_events(spark, path, multi_line=False).select(F.col("title").cast("bigint").alias("event_id"), "valid")
+
+
+@query("src_official_records", sql("SELECT CAST(symbol AS VARCHAR) AS symbol, fy, value AS revenue, CASE WHEN symbol % 4 = 0 THEN 'profit' ELSE '' END AS unsourced, symbol % 4 <> 0 AS sound FROM years", YEARS))
+def _(spark, d):
+    s = F.col("symbol")
+    note = F.create_map(F.lit("page"), F.lit("7"))
+    rec = year_values(spark, d).select(F.array(F.struct(s.cast("string").alias("symbol"), F.lit("Co").alias("company"), F.col("fy"), F.concat(F.lit("Dec "), "fy").alias("period"), F.lit("standalone").alias("basis"),
+        F.create_map(F.lit("revenue"), F.col("value"), F.lit("profit"), F.col("lines").cast("double")).alias("values"),
+        F.when(s % 4 == 0, F.create_map(F.lit("revenue"), note)).otherwise(F.create_map(F.lit("revenue"), note, F.lit("profit"), note)).alias("fields"))).alias("records"))
+    path = fresh_dir(spark, "official")
+    rec.write.json(path)
+    r = S.read_official_records(spark, path, multi_line=False)
+    return r.select("symbol", "fy", F.col("values")["revenue"].alias("revenue"), F.array_join("unsourced", ",").alias("unsourced"), "sound")
+
+
+@query("src_company_profiles", "SELECT c_custkey AS symbol, CASE WHEN c_custkey % 3 = 0 THEN 'About ' || c_name END AS description FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer")
+    path = fresh_dir(spark, "profiles")
+    c.where("c_custkey % 3 = 0").select(F.array(F.struct(F.col("c_custkey").cast("string").alias("symbol"), F.concat(F.lit("About "), "c_name").alias("description"), F.lit("Co").alias("source_name"))).alias("companies")).write.json(path)
+    p = S.read_company_profiles(spark, path, multi_line=False).select(F.col("symbol").cast("bigint").alias("symbol"), "description")
+    return c.select(F.col("c_custkey").alias("symbol")).join(p, "symbol", "left")
 
 
 # ---------------------------------------------------------------- sinks

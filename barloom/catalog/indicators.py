@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.catalog.joins import J, _asof_sql  # noqa: F401
 from barloom.catalog.model_sql import BARS, half_even, sql
 from barloom.catalog.registry import query
 from barloom.functions.values import rnd
 from barloom.operators import indicators as I
+from barloom.operators import joins as J
+from barloom.operators.windows import roll_mean
 from barloom.sources.market import bars
 
 FOLD = "WITH RECURSIVE " + BARS.strip() + """,
@@ -60,6 +61,11 @@ def _(spark, d):
     return _pick(spark, d, "supertrend", "direction")
 
 
+@query("sma", sql("""SELECT symbol, CAST(date AS VARCHAR) AS date, CASE WHEN count(*) OVER w = 5 THEN round(CAST(sum(CAST(round(close * 1000000) AS BIGINT)) OVER w AS DOUBLE) / 5000000, 6) END AS sma5 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", BARS))
+def _(spark, d):
+    return roll_mean(bars(spark, d), 5, "sma5").select("symbol", "date", rnd("sma5", 6).alias("sma5"))
+
+
 RANGE = """
 spans AS (SELECT *, max(date) OVER (PARTITION BY symbol) AS last, min(date) OVER (PARTITION BY symbol) AS first FROM bars),
 ranges AS (SELECT symbol, arg_max(close, date) AS close, CASE WHEN min(first) <= max(last) - 365 THEN max(high) FILTER (date >= last - 365) END AS high_52w, CASE WHEN min(first) <= max(last) - 365 THEN min(low) FILTER (date >= last - 365) END AS low_52w FROM spans GROUP BY 1)"""

@@ -67,7 +67,6 @@ def _(spark, d):
 
 
 def _asof_sql():
-    parts = ", ".join(f"round((c / arg_max(close, date) FILTER (date <= last - to_months({m})) - 1) * 100, 6) AS ret_{k.lower()}" for k, m in J.RETURN_MONTHS.items())
     parts = ", ".join(f"arg_max(close, date) FILTER (date <= last - to_months({m})) AS b{k}" for k, m in J.RETURN_MONTHS.items())
     outs = ", ".join(f"round((close / b{k} - 1) * 100, 6) AS ret_{k.lower()}" for k in J.RETURN_MONTHS)
     return sql(f"""SELECT symbol, CAST(as_of AS VARCHAR) AS as_of, close, {outs} FROM (SELECT symbol, max(last) AS as_of, arg_max(close, date) AS close, {parts}

@@ -245,18 +245,19 @@ def tick_recording(spark: SparkSession, path: str, files_per_trigger: int = 100)
 EVENT_SCHEMA = "events array<struct<symbol:string,date:string,event_type:string,title:string,description:string,value:double,currency:string,unit:string,measure:string,segment:string,status:string,source_name:string,source_url:string,source_date:string,retrieved_on:string,evidence_quote:string>>"
 
 
-def read_growth_events(spark: SparkSession, path: str) -> DataFrame:
+def read_growth_events(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Curated events with their validity."""
     from barloom.operators.quality import growth_event_valid
-    return spark.read.schema(EVENT_SCHEMA).option("multiLine", True).json(path).select(F.inline("events")).withColumn("valid", growth_event_valid())
+    return spark.read.schema(EVENT_SCHEMA).option("multiLine", multi_line).json(path).select(F.inline("events")).withColumn("valid", growth_event_valid())
 
 
 OFFICIAL_SCHEMA = "records array<struct<symbol:string,company:string,fy:int,period:string,basis:string,values:map<string,double>,fields:map<string,map<string,string>>>>"
 
 
-def read_official_records(spark: SparkSession, path: str) -> DataFrame:
-    """Hand-verified annual records; `unsourced` lists values without a provenance entry (such a record is not sound)."""
-    r = spark.read.schema(OFFICIAL_SCHEMA).option("multiLine", True).json(path).select(F.inline("records"))
+def read_official_records(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Hand-verified annual records; `unsourced` lists values without a provenance entry (such a record is not sound). One document per file,
+    or one per line when `multi_line` is off."""
+    r = spark.read.schema(OFFICIAL_SCHEMA).option("multiLine", multi_line).json(path).select(F.inline("records"))
     have = F.map_keys(F.map_filter("values", lambda k, v: v.isNotNull()))
     return r.withColumns({"unsourced": F.array_except(have, F.map_keys("fields")), "sound": F.size(F.array_except(have, F.map_keys("fields"))) == 0})
 
@@ -264,8 +265,8 @@ def read_official_records(spark: SparkSession, path: str) -> DataFrame:
 PROFILE_SCHEMA = "companies array<struct<symbol:string,description:string,source_name:string,source_url:string,evidence_quote:string>>"
 
 
-def read_company_profiles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PROFILE_SCHEMA).option("multiLine", True).json(path).select(F.inline("companies"))
+def read_company_profiles(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    return spark.read.schema(PROFILE_SCHEMA).option("multiLine", multi_line).json(path).select(F.inline("companies"))
 
 
 def read_call_log(spark: SparkSession, path: str) -> DataFrame:
