@@ -17,7 +17,7 @@ from barloom.sources.market import bars, table
 def raw_rows(spark, d):
     """Raw daily text rows derived from lineitem: repeats, other series, and impossible values by key."""
     k, e = F.col("l_orderkey"), F.col("l_extendedprice").cast("decimal(18,2)")
-    text = lambda c: F.format_number(c, 2)
+    text = lambda c: c.cast("decimal(18,2)").cast("string")
     li = table(spark, d, "lineitem").withColumn("copy", F.explode(F.when(k % 50 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
     ln = F.col("l_linenumber")
     return li.select(

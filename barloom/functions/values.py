@@ -12,8 +12,7 @@ def rnd(x: Column | str, digits: int = 0) -> Column:
     return F.rint(x) if digits == 0 else F.rint(x * F.lit(float(10 ** digits))) / F.lit(float(10 ** digits))
 
 
-# How the sources write "no number", and identifier patterns.
-NO_NUMBER = ("", "-", "--", "NA", "N/A", "nan", "null", "none")
+# Identifier patterns and words.
 ISIN = r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$"
 SYMBOL = r"^(?=.*[A-Z0-9])[A-Z0-9&\-_.]{1,30}$"
 FINANCIAL_WORDS = ("financ", "bank", "insur", "nbfc", "invest", "brok", "asset manag", "wealth", "capital market")
@@ -29,27 +28,22 @@ def finite(x: Column) -> Column:
 
 
 def num_parse(text: Column | str, digits: int | None = None) -> Column:
-    """Text to a finite double; thousands marks, percent signs and blanks are stripped, no-number marks become NULL."""
+    """Text to a finite double. Thousands marks and percent signs are stripped; letters that only occur in words ("NaN", "Infinity", "NA") and type
+    suffixes make it unreadable, so every no-number mark becomes NULL."""
     text = F.col(text) if isinstance(text, str) else text
-    plain = F.trim(F.regexp_replace(text, "[,%]", ""))
-    x = finite(F.when(~F.lower(plain).isin(*[n.lower() for n in NO_NUMBER]), plain.try_cast("double")))
+    x = F.trim(F.translate(text, "NnIidDfF,%", "????????")).try_cast("double")
+    x = F.when(F.abs(x) < F.lit(float("inf")), x)
     return x if digits is None else rnd(x, digits)
 
 
-def _month_case(text: Column | str) -> Column:
-    t = F.trim(F.col(text) if isinstance(text, str) else text)
-    return F.concat(F.substring(t, 1, 3), F.initcap(F.substring(t, 4, 40)))
-
-
 def date_parse(text: Column | str) -> Column:
     """dd-Mon-yyyy in any letter case to a date, else NULL."""
-    text = _month_case(text)
-    return F.when(text.rlike(r"^\d{2}-[A-Z][a-z]{2}-\d{4}$"), F.try_to_date(text, "dd-MMM-yyyy"))
+    return F.try_to_date(F.trim(F.col(text) if isinstance(text, str) else text), "dd-MMM-yyyy")
 
 
 def stamp_parse(text: Column | str) -> Column:
     """dd-MON-yyyy HH:MM:SS to a timestamp; a bare date counts as midnight."""
-    t = _month_case(text)
+    t = F.trim(F.col(text) if isinstance(text, str) else text)
     return F.coalesce(F.try_to_timestamp(t, F.lit("dd-MMM-yyyy HH:mm:ss")), date_parse(t).cast("timestamp"))
 
 

@@ -17,23 +17,21 @@ OPTIONAL = ("OPEN_PRICE", "LOW_PRICE", "DELIV_PER")
 
 
 def symbol_days(raw: DataFrame) -> DataFrame:
-    """EQ rows per (symbol, day): how many, whether they all agree, and one of them. Comparing the smallest with the largest row
-    needs one combined aggregate, however many copies a group holds."""
-    eq = raw.where(F.trim("SERIES") == "EQ").withColumn("symbol", F.trim("SYMBOL"))
-    row = F.struct(*[F.trim(c).alias(c) for c in REQUIRED + OPTIONAL])
-    g = eq.groupBy("symbol", date_parse("DATE1").alias("date")).agg(F.count(F.lit(1)).alias("copies"), F.min(row).alias("r"), F.max(row).alias("_last"))
-    return g.withColumn("conflict", ~F.col("r").eqNullSafe(F.col("_last"))).drop("_last")
-
-
-def _fields(groups: DataFrame) -> DataFrame:
-    num = {c: num_parse(F.col(f"r.{src}")) for c, src in (("close", "CLOSE_PRICE"), ("prev_close", "PREV_CLOSE"), ("volume", "TTL_TRD_QNTY"), ("turnover", "TURNOVER_LACS"),
-                                                          ("high", "HIGH_PRICE"), ("low", "LOW_PRICE"), ("open", "OPEN_PRICE"), ("deliv", "DELIV_PER"))}
-    return groups.withColumns(num)
+    """EQ rows per (symbol, day): how many, whether they all agree, and their parsed fields. Two 64-bit hashes of the raw text stand for a row, so
+    the whole group is a handful of numbers combined before the exchange, however many copies it holds; where all rows agree the
+    largest value of a field is the field."""
+    eq = raw.where(F.trim("SERIES") == "EQ")
+    text = [F.trim(c) for c in REQUIRED + OPTIONAL]
+    num = {c: num_parse(src) for c, src in (("close", "CLOSE_PRICE"), ("prev_close", "PREV_CLOSE"), ("volume", "TTL_TRD_QNTY"), ("turnover", "TURNOVER_LACS"),
+                                            ("high", "HIGH_PRICE"), ("low", "LOW_PRICE"), ("open", "OPEN_PRICE"), ("deliv", "DELIV_PER"))}
+    rows = eq.select(F.trim("SYMBOL").alias("symbol"), date_parse("DATE1").alias("date"), F.xxhash64(*text).alias("_h"), F.xxhash64(F.lit(17), *text).alias("_k"), *[v.alias(c) for c, v in num.items()])
+    g = rows.groupBy("symbol", "date").agg(F.count(F.lit(1)).alias("copies"), F.min("_h").alias("_h1"), F.max("_h").alias("_h2"), F.min("_k").alias("_k1"), F.max("_k").alias("_k2"), *[F.max(c).alias(c) for c in num])
+    return g.withColumn("conflict", (F.col("_h1") != F.col("_h2")) | (F.col("_k1") != F.col("_k2"))).drop("_h1", "_h2", "_k1", "_k2")
 
 
 def _verdicts(groups: DataFrame) -> DataFrame:
     """Parsed fields with one flag per cleaning rule."""
-    f = _fields(groups)
+    f = groups
     neg = lambda c: F.coalesce(F.col(c) < 0, F.lit(False))
     low = lambda c: F.coalesce(F.col(c) <= 0, F.lit(False))
     f = f.withColumns({"bad_close": F.col("close").isNull() | (F.col("close") <= 0), "bad_prev": F.col("prev_close").isNull() | (F.col("prev_close") <= 0),

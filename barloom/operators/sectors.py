@@ -9,11 +9,12 @@ from barloom.functions.values import rnd
 from barloom.operators.market import liquid
 from barloom.plans.order import group_medians
 from barloom.rules import Rules
+from barloom.session import cut_lineage
 
 
 def sector_performance(bucketed: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Equal-weight figures per sector. Median and mean only where enough rows have a valid change."""
-    m = bucketed.where("bucket = 'in_sector'").select("sector_key", "sector_source_label", "change", "change_pct", "volume")
+    m = cut_lineage(bucketed.where("bucket = 'in_sector'").select("sector_key", "sector_source_label", "change", "change_pct", "volume"), "sector-members")     # read twice below
     g = m.groupBy("sector_key").agg(
         F.min("sector_source_label").alias("label"), F.count(F.lit(1)).alias("stock_count"), F.count("change").alias("counted"),
         F.count_if(F.col("change") > 0).alias("advances"), F.count_if(F.col("change") < 0).alias("declines"), F.count_if(F.col("change") == 0).alias("unchanged"),

@@ -161,16 +161,36 @@ def return_rows(bars: DataFrame, n: int, into: str) -> DataFrame:
     return bars.withColumn(into, F.when(base != 0, (F.col("close") / base - 1) * 100))
 
 
-def crosses(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
-    """State of the fast against the slow average; a cross also needs the averages of the day before."""
-    df = roll_mean(roll_mean(bars, fast, "dma_fast"), slow, "dma_slow")
-    df = df.withColumns({"_pf": back("dma_fast", 1), "_ps": back("dma_slow", 1)})
+def _cross_state() -> Column:
     f, s, c = F.col("dma_fast"), F.col("dma_slow"), F.col("close")
-    state = (F.when(s.isNull(), "Not enough history")
+    return (F.when(s.isNull(), "Not enough history")
              .when((F.col("_pf") <= F.col("_ps")) & (f > s), "Golden cross today")
              .when((F.col("_pf") >= F.col("_ps")) & (f < s), "Death cross today")
              .when((c > f) & (c > s), "Above both").when((c < f) & (c < s), "Below both").otherwise("Between the two"))
-    return df.withColumn("dma_state", state).drop("_pf", "_ps")
+
+
+def crosses(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
+    """State of the fast against the slow average; a cross also needs the averages of the day before."""
+    df = roll_mean(roll_mean(bars, fast, "dma_fast"), slow, "dma_slow")
+    df = df.withColumns({"_pf": back("dma_fast", 1), "_ps": back("dma_slow", 1)})
+    return df.withColumn("dma_state", _cross_state()).drop("_pf", "_ps")
+
+
+def scan_columns(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
+    """All technical-scan columns at once: prefix totals in one window step, look-backs in the next, so the number of passes over a symbol's
+    rows does not grow with the number of columns. Same values as the single functions above."""
+    total = lambda c: F.coalesce(F.sum(micro(F.col(c))).over(so_far()), F.lit(0))
+    df = bars.withColumns({"_rn": F.row_number().over(by_symbol()), "_c": total("close"), "_v": total("volume"), "_vn": F.count("volume").over(so_far()), "_d": total("deliv"),
+                           "_dn": F.count("deliv").over(so_far()), "_hn": F.count("high").over(so_far())})
+    upto = lambda c, n: F.col(c) - F.coalesce(back(c, n), F.lit(0))
+    before = lambda c, n: back(c, 1) - F.coalesce(back(c, n + 1), F.lit(0))
+    mean = lambda c, cnt, n, least: F.when(before(cnt, n) >= least, before(c, n) / (before(cnt, n) * MICRO))
+    base = back("close", 63)
+    df = df.withColumns({"dma_fast": F.when(F.col("_rn") >= fast, upto("_c", fast) / (fast * MICRO)), "dma_slow": F.when(F.col("_rn") >= slow, upto("_c", slow) / (slow * MICRO)),
+                         "vol20": mean("_v", "_vn", 20, 20), "deliv20": mean("_d", "_dn", 20, 10), "ret63": F.when(base != 0, (F.col("close") / base - 1) * 100), "_seen": before("_hn", 252)})
+    df = trailing_max(df, {"_top": F.col("high")}, 252)
+    df = df.withColumns({"_pf": back("dma_fast", 1), "_ps": back("dma_slow", 1), "high252": F.when(F.col("_seen") >= 150, F.col("_top"))})
+    return df.withColumn("dma_state", _cross_state()).drop("_rn", "_c", "_v", "_vn", "_d", "_dn", "_hn", "_seen", "_top", "_pf", "_ps")
 
 
 def longest_gap_days(bars: DataFrame) -> DataFrame:

@@ -24,13 +24,9 @@ def newest_measured(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 def scanned(bars: DataFrame) -> DataFrame:
     """Technical-scan columns on every bar."""
-    df = W.crosses(bars)
-    df = W.roll_prev_mean(df, "volume", 20, 20, "vol20")
-    df = W.roll_prev_mean(df, "deliv", 20, 10, "deliv20")
-    df = W.roll_prev_max(df, "high", 252, 150, "high252")
-    return W.return_rows(df, 63, "ret63")
+    return W.scan_columns(bars)
 
 
 def scan_day(bars: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The scan rows of the newest day per symbol, stored once: every list and rating then starts from this small table."""
-    return M.scan_frame(cut_lineage(M.latest_rows(scanned(bars)).where(M.liquid(rules)), "scan"), rules)
+    return cut_lineage(M.scan_frame(cut_lineage(M.latest_rows(scanned(bars)).where(M.liquid(rules)), "scan"), rules), "rated")

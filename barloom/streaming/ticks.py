@@ -21,7 +21,7 @@ from barloom.session import fresh_dir
 
 TICK = "key bigint, session_date date, seq bigint, recv_ms bigint, ltp double, ltt bigint, cp double, connection_id bigint"
 STEP = "key bigint, session_date date, seq bigint, recv_ms bigint, connection_id bigint, outcome string, ltp double, ltt bigint, cp double, n bigint"
-STATE = "ltp double, ltt bigint, cp double, n bigint, pending double, connection bigint"
+STATE = "ltp double, ltt bigint, cp double, n bigint, pending double, connection bigint, session_date date"
 EMPTY = (None, None, None, 0, None, None)
 
 
@@ -49,14 +49,17 @@ def step(state: tuple, ltp: float, ltt, cp, connection: int, jump: float, confir
 
 
 def _rows(pdf: pd.DataFrame):
-    cols = [pdf[c] for c in ("key", "session_date", "seq", "recv_ms", "ltp", "ltt", "cp", "connection_id")]
-    none = [c.isna().tolist() for c in cols]
-    return zip(*[[None if m else v for v, m in zip(c.tolist(), n)] for c, n in zip(cols, none)])
+    values = []
+    for c in ("key", "session_date", "seq", "recv_ms", "ltp", "ltt", "cp", "connection_id"):
+        got = pdf[c].tolist()
+        values.append([None if v is None or v != v else v for v in got] if c in ("ltt", "cp") else got)
+    return zip(*values)
 
 
 def _frame(rows: list) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["key", "session_date", "seq", "recv_ms", "connection_id", "outcome", "ltp", "ltt", "cp", "n"])
-    return out.astype({"ltt": "Int64", "ltp": "float64", "cp": "float64", "key": "int64", "seq": "int64", "recv_ms": "int64", "connection_id": "int64", "n": "int64"})
+    names = ("key", "session_date", "seq", "recv_ms", "connection_id", "outcome", "ltp", "ltt", "cp", "n")
+    columns = list(zip(*rows)) if rows else [()] * len(names)
+    return pd.DataFrame({n: pd.Series(c, dtype="object" if n in ("session_date", "outcome", "ltt") else "float64" if n in ("ltp", "cp") else "int64") for n, c in zip(names, columns)})
 
 
 def _line(key, session, seq, recv, connection, state, outcome):
@@ -84,21 +87,24 @@ def replay(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def fold_stream(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same rules on a stream, with the state of each (key, session) kept between micro-batches. What one call sorts is one key's part of
-    one micro-batch, which the trigger bounds."""
+    """The same rules on a stream. The state is kept per key and carries its session, so it starts empty on a new trading day and never piles up
+    old sessions. What one call sorts is one key's part of one micro-batch, which the trigger bounds."""
     jump, confirm = rules.jump_ratio, rules.jump_confirm
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else EMPTY
+        *state, day = held.get if held.exists else (*EMPTY, None)
+        chunks = list(pdfs)
         out = []
-        for k, session, seq, recv, ltp, ltt, cp, conn in _rows(pd.concat(list(pdfs)).sort_values("seq")):
-            state, outcome = step(state, ltp, ltt, cp, conn, jump, confirm)
+        for k, session, seq, recv, ltp, ltt, cp, conn in _rows((chunks[0] if len(chunks) == 1 else pd.concat(chunks)).sort_values("seq")):
+            if session != day:
+                day, state = session, EMPTY
+            state, outcome = step(tuple(state), ltp, ltt, cp, conn, jump, confirm)
             out.append(_line(k, session, seq, recv, conn, state, outcome))
-        held.update(state)
+        held.update((*state, day))
         yield _frame(out)
 
     cols = [c.split()[0] for c in TICK.split(", ")]
-    return valid.select(*cols).groupBy("key", "session_date").applyInPandasWithState(fold, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
+    return valid.select(*cols).groupBy("key").applyInPandasWithState(fold, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, label: str, spark: SparkSession) -> DataFrame:
