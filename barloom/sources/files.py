@@ -29,11 +29,18 @@ def text_lines(spark: SparkSession, path: str, file: Column | None = None) -> Da
     return spark.read.text(path).select(name.alias("file"), at.alias("at"), F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
 
 
+def _fields(line: Column) -> Column:
+    """Comma-separated fields; a quoted field may hold commas (only lines with a quote pay for that)."""
+    outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+    quoted = F.transform(F.split(line, outside), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",")), lambda c: F.trim(c))
+
+
 def _headed(lines: DataFrame) -> DataFrame:
     """Data lines split into fields, with their file's header (one row per file)."""
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("_h"), F.min("at").alias("_at")).select("file", F.transform(F.split("_h", ","), lambda c: F.trim(c)).alias("header"), "_at")
+    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("_h"), F.min("at").alias("_at")).select("file", _fields(F.col("_h")).alias("header"), "_at")
     j = lines.join(heads, "file").where(F.col("at") != F.col("_at"))
-    return heads.select("file", "header").join(j.select("file", "at", F.transform(F.split("value", ","), lambda c: F.trim(c)).alias("fields")), "file", "left")
+    return heads.select("file", "header").join(j.select("file", "at", _fields(F.col("value")).alias("fields")), "file", "left")
 
 
 def name_date(file: Column) -> Column:
@@ -69,8 +76,11 @@ def bhav_rows(lines: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 
 def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files without a byte: they have no line to report them (listing only, content is never read)."""
-    return spark.read.format("binaryFile").load(path).where("length = 0").select(F.regexp_extract("path", r"([^/]+?)(\.[A-Za-z]+)*$", 1).alias("file"), F.lit("empty").alias("status"))
+    """Files without a byte. Scans skip them, so they come from the folder listing (names and lengths only)."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    names = [(f.getPath().getName().split(".")[0], "empty") for f in found if f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith((".", "_"))]
+    return spark.createDataFrame(names, "file string, status string")
 
 
 def _normalised_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -52,7 +52,11 @@ def _rows(pdf: pd.DataFrame):
     values = []
     for c in ("key", "session_date", "seq", "recv_ms", "ltp", "ltt", "cp", "connection_id"):
         got = pdf[c].tolist()
-        values.append([None if v is None or v != v else v for v in got] if c in ("ltt", "cp") else got)
+        if c == "ltt":                                   # whole milliseconds: a column with gaps arrives as floating point
+            got = [None if v is None or v != v else int(v) for v in got]
+        elif c == "cp":
+            got = [None if v is None or v != v else v for v in got]
+        values.append(got)
     return zip(*values)
 
 
@@ -63,7 +67,7 @@ def _frame(rows: list) -> pd.DataFrame:
 
 
 def _line(key, session, seq, recv, connection, state, outcome):
-    return (key, session, seq, recv, connection, outcome, state[0], None if state[1] is None else int(state[1]), state[2], state[3])
+    return (key, session, seq, recv, connection, outcome, state[0], state[1], state[2], state[3])
 
 
 def replay(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -92,7 +96,7 @@ def fold_stream(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
     jump, confirm = rules.jump_ratio, rules.jump_confirm
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        *state, day = held.get if held.exists else (*EMPTY, None)
+        *state, day = [None if v != v else v for v in held.get] if held.exists else (*EMPTY, None)      # an unset number may come back as NaN
         chunks = list(pdfs)
         out = []
         for k, session, seq, recv, ltp, ltt, cp, conn in _rows((chunks[0] if len(chunks) == 1 else pd.concat(chunks)).sort_values("seq")):
