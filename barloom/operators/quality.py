@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.values import ISIN, SYMBOL, slug
 from barloom.operators.ownership import CATEGORIES
+from barloom.plans.order import ordered_lag
 from barloom.rules import Rules
 
 
@@ -48,10 +49,10 @@ def market_outputs(lists: DataFrame, latest: DataFrame, rank_by: dict[str, Colum
 
 
 def candles(rows: DataFrame, today: str, max_age: int = 7) -> DataFrame:
-    """Row problems (order, repeats, prices, future dates) and one staleness row per symbol. Input carries `seq`, the order as stored."""
-    w = Window.partitionBy("symbol").orderBy("seq")
+    """Row problems (order, repeats, prices, future dates) and one staleness row per symbol. Input carries `seq`, the order as stored; stored
+    rows may repeat, so a symbol's rows are not assumed few."""
     now = F.lit(today).cast("date")
-    j = rows.withColumn("_prev", F.lag("date").over(w))
+    j = ordered_lag(rows, "symbol", "seq", "date", "_prev")
     bad = violations(j, ["symbol", "date"], {"not strictly ascending": F.col("date") <= F.col("_prev"), "dated in the future": F.col("date") > now,
                                              "impossible prices": (F.least("open", "high", "low", "close") <= 0) | (F.col("high") < F.col("low")), "non-positive volume": F.col("volume") <= 0})
     old = rows.groupBy("symbol").agg(F.max("date").alias("date")).where(F.datediff(now, "date") > max_age)
@@ -119,8 +120,7 @@ def directory(entries: DataFrame, stated: DataFrame) -> DataFrame:
 
 
 def quarterly(rows: DataFrame, identity: DataFrame, fields: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy("symbol").orderBy("seq")
-    j = rows.join(identity.select("symbol", F.col("isin").alias("_isin")), "symbol", "left").withColumn("_prev", F.lag("quarter_end").over(w))
+    j = ordered_lag(rows, "symbol", "seq", "quarter_end", "_prev").join(identity.select("symbol", F.col("isin").alias("_isin")), "symbol", "left")
     bad = violations(j, ["symbol", "quarter_end"], {"identity differs": ~F.col("isin").eqNullSafe(F.col("_isin")), "empty quarter": F.coalesce(*[F.col(f) for f in fields]).isNull(), "not newest first": F.col("quarter_end") >= F.col("_prev"),
                                                     "not a month end": F.col("quarter_end") != F.last_day("quarter_end")})
     return bad.unionByName(repeated(rows, ["symbol", "quarter_end"], "duplicate quarter"))

@@ -17,11 +17,12 @@ FUND_NAME = r"(?i)\b(ETF|BEES|FUND|MUTUAL|INDEX\s+FUND|LIQUID)\b"
 
 
 def reference_lists(lists: DataFrame) -> DataFrame:
-    """Long reference rows (list, isin, symbol, series) to one row per identifier with its symbols and series per list."""
-    only = lambda name, c: F.array_sort(F.array_distinct(F.collect_set(F.when(F.col("list") == name, F.col(c)))))
+    """Long reference rows (list, isin, symbol, series) to one row per identifier: the lists it is on, its series codes (a few), and whether
+    a list gives it any symbol. Which symbols those are stays in rows, see `instrument_status`."""
+    series = F.array_sort(F.collect_set(F.when(F.col("list") == "EQL", F.col("series"))))
     return lists.where(F.col("isin").isNotNull()).groupBy("isin").agg(
-        *[F.max(F.when(F.col("list") == n, True)).alias(f"in_{n}") for n in ("SME", "ETF", "EQL")], only("EQL", "series").alias("series"),
-        *[only(n, "symbol").alias(f"sym_{n}") for n in ("SME", "ETF", "EQL")])
+        *[F.max(F.when(F.col("list") == n, True)).alias(f"in_{n}") for n in ("SME", "ETF", "EQL")], series.alias("series"),
+        *[F.max(F.when((F.col("list") == n) & (F.col("symbol") != ""), True)).alias(f"named_{n}") for n in ("SME", "ETF", "EQL")])
 
 
 def instrument_status(rows: DataFrame, lists: DataFrame) -> DataFrame:
@@ -31,14 +32,15 @@ def instrument_status(rows: DataFrame, lists: DataFrame) -> DataFrame:
     r = r.withColumn("isin", F.when(F.col("isin_raw").rlike(ISIN), F.col("isin_raw")))
     ref = reference_lists(lists)
     by_symbol = lists.where(F.col("symbol") != "").groupBy("symbol").agg(*[F.max(F.when(F.col("list") == n, True)).alias(f"s_{n}") for n in ("SME", "ETF", "EQL")])
-    j = r.join(ref, "isin", "left").join(by_symbol, "symbol", "left")
+    pairs = lists.groupBy("isin", "symbol").agg(*[F.max(F.when(F.col("list") == n, True)).alias(f"pair_{n}") for n in ("SME", "ETF", "EQL")])
+    j = r.join(ref, "isin", "left").join(by_symbol, "symbol", "left").join(pairs, ["isin", "symbol"], "left")
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
     eql_tag = F.when(F.size("series") > 0, F.concat(F.lit("EQL:"), F.array_join("series", "/"))).otherwise("EQL")
     member = F.array_sort(F.array_compact(F.array(F.when(yes("in_SME"), "SME"), F.when(yes("in_ETF"), "ETF"), F.when(yes("in_EQL"), eql_tag), F.when(F.col("sec") == "PCA", "PCA"))))
     multi = yes("in_SME").cast("int") + yes("in_ETF").cast("int") + yes("in_EQL").cast("int") > 1
     flags = [F.when(F.col("isin_raw") == "", "no_isin"), F.when((F.col("isin_raw") != "") & F.col("isin").isNull(), "malformed_isin"), F.when(F.col("symbol") == "", "no_symbol"), F.when(multi, "multi_reference")]
     for n in ("SME", "ETF", "EQL"):
-        differs = yes(f"in_{n}") & (F.col("symbol") != "") & (F.size(f"sym_{n}") > 0) & ~F.array_contains(f"sym_{n}", F.col("symbol"))
+        differs = yes(f"in_{n}") & (F.col("symbol") != "") & yes(f"named_{n}") & ~yes(f"pair_{n}")
         flags += [F.when(differs, f"symbol_differs_from_{n}_record"), F.when(yes(f"s_{n}") & ~yes(f"in_{n}"), f"symbol_only_match_{n}")]
     one = lambda s: F.coalesce((F.size("series") == 1) & (F.element_at("series", 1) == s), F.lit(False))
     status = (F.when(F.col("key") == "", "review_structural").when(yes("in_SME"), "excluded_sme").when(yes("in_ETF"), "excluded_etf").when(F.coalesce(F.size("series") > 1, F.lit(False)), "review_conflict")
@@ -81,16 +83,21 @@ def eligible_equities(rows: DataFrame) -> DataFrame:
 
 
 def group_hash(df: DataFrame, group: str, line: str, leaf: int = LEAF_LINES, small: int = SMALL) -> DataFrame:
-    """SHA-256 of each group's sorted lines, each ending in LF. Up to `leaf` lines that is the plain digest; a larger group is the
-    digest of its leaf digests, so equal groups still have equal hashes and no task ever holds more than one leaf."""
+    """SHA-256 of each group's sorted lines, each ending in LF. Up to `leaf` lines that is the plain digest; a larger group is a tree of digests
+    (leaves, nodes of leaves, root), so equal groups still have equal hashes, and no task ever holds more than `leaf` lines, not even
+    of one line repeated without end."""
     lines = df.groupBy(group, line).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = running_position(lines, [F.col(group), F.col(line)], position="_pos", small=small)
-    start = placed.groupBy(group).agg(F.min("_pos").alias("_start"), F.sum("_copies").alias("rows"))
-    text = lambda parts: F.concat(F.array_join(F.transform(F.array_sort(parts), lambda x: x["t"]), "\n"), F.lit("\n"))
-    leaves = placed.join(start.select(group, "_start"), group).groupBy(group, F.floor((F.col("_pos") - F.col("_start")) / leaf).alias("_leaf")).agg(
-        F.sha2(text(F.collect_list(F.struct(F.col("_pos").alias("p"), F.array_join(F.array_repeat(F.col(line), F.col("_copies").cast("int")), "\n").alias("t")))), 256).alias("_h"))
-    roots = leaves.groupBy(group).agg(F.count(F.lit(1)).alias("_k"), F.min("_h").alias("_one"), text(F.collect_list(F.struct(F.col("_leaf").alias("p"), F.col("_h").alias("t")))).alias("_all"))
-    return roots.join(start, group).select(group, "rows", F.when(F.col("_k") == 1, F.col("_one")).otherwise(F.sha2("_all", 256)).alias("hash"))
+    placed = running_position(lines, [F.col(group), F.col(line)], position=None, totals={"_upto": F.col("_copies")}, small=small)
+    start = placed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_copies")).alias("_start"), F.sum("_copies").alias("rows"))
+    p = placed.join(start.select(group, "_start"), group).select(group, line, (F.col("_upto") - F.col("_copies") - F.col("_start")).alias("_a"), (F.col("_upto") - F.col("_start")).alias("_b"))
+    p = p.withColumn("_leaf", F.explode(F.sequence(F.floor(F.col("_a") / leaf), F.floor((F.col("_b") - 1) / leaf))))
+    here = (F.least(F.col("_b"), (F.col("_leaf") + 1) * leaf) - F.greatest(F.col("_a"), F.col("_leaf") * leaf)).cast("int")
+    text = lambda at, t: F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("p"), t.alias("t")))), lambda x: x["t"]), "\n"), F.lit("\n"))
+    digest = lambda at, t: F.sha2(text(at, t), 256)
+    leaves = p.groupBy(group, "_leaf").agg(digest(F.col("_a"), F.array_join(F.array_repeat(F.col(line), here), "\n")).alias("_h"))
+    nodes = leaves.groupBy(group, F.floor(F.col("_leaf") / leaf).alias("_node")).agg(digest(F.col("_leaf"), F.col("_h")).alias("_n"), F.count(F.lit(1)).alias("_k"), F.min("_h").alias("_one"))
+    roots = nodes.groupBy(group).agg(F.sum("_k").alias("_k"), F.min("_one").alias("_one"), digest(F.col("_node"), F.col("_n")).alias("_root"))
+    return roots.join(start, group).select(group, "rows", F.when(F.col("_k") == 1, F.col("_one")).otherwise(F.col("_root")).alias("hash"))
 
 
 def baseline_compare(current: DataFrame, baseline: DataFrame, merged: DataFrame | None = None) -> DataFrame:

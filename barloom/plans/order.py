@@ -53,6 +53,23 @@ def running_position(df: DataFrame, keys: Sequence[Column], position: str | None
     return out.select(*df.columns, *added)
 
 
+def ordered_lag(df: DataFrame, part: str, order: str, value: str, into: str, buckets: int | None = None, small: int = SMALL) -> DataFrame:
+    """The value of the previous row of the same `part` in `order`. A part with a third of all rows spreads over many buckets; only the last
+    row of each bucket is handed to the next one."""
+    if df.limit(small + 1).count() <= small:                             # size checked
+        return df.withColumn(into, F.lag(value).over(Window.partitionBy(part).orderBy(order)))
+    keys = [F.col(part), F.col(order)]
+    cuts = _cut_points(df, keys, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    placed = df.select("*", (F.size(F.filter(F.array(*cuts), lambda c: c <= key)) if cuts else F.lit(0)).alias("_bucket"))
+    tails = placed.groupBy("_bucket").agg(F.max_by(F.struct(F.col(part).alias("p"), F.col(value).alias("v")), key).alias("_tail"))
+    tails = tails.select("_bucket", F.lag("_tail").over(Window.orderBy("_bucket")).alias("_tail"))               # at most `buckets` rows
+    w = Window.partitionBy("_bucket").orderBy(*keys)
+    before = F.coalesce(F.lag(F.struct(F.col(part).alias("p"), F.col(value).alias("v"))).over(w), F.col("_tail"))
+    out = placed.join(F.broadcast(tails), "_bucket").withColumn("_before", before)                              # bounded: one row per bucket
+    return out.select(*df.columns, F.when(F.col("_before.p") == F.col(part), F.col("_before.v")).alias(into))
+
+
 def mid_rank_share(df: DataFrame, value: str, into: str) -> DataFrame:
     """Share rank in (0, 1] with average ranks for ties, over all rows of `df`."""
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_ties")), "ties")

@@ -73,3 +73,23 @@ def test_batches_hash_their_own_order(spark):
     df = spark.createDataFrame([(f"S{i:03d}",) for i in range(7)], "symbol string")
     rows = batch_partition(df, [F.col("symbol")], size=3).orderBy("batch").collect()
     assert [r.symbols for r in rows] == [3, 3, 1] and rows[0].hash == hashlib.sha256(b"S000\nS001\nS002").hexdigest()
+
+
+def test_ordered_lag_over_a_hot_part(spark, skewed):
+    df = spark.createDataFrame(skewed, "id int, v int, g string")
+    a = {r.id: r.p for r in O.ordered_lag(df, "g", "id", "v", "p", buckets=5, small=0).collect()}
+    b = {r.id: r.p for r in O.ordered_lag(df, "g", "id", "v", "p").collect()}
+    last, want = {}, {}
+    for i, v, g in skewed:
+        want[i] = last.get(g)
+        last[g] = v
+    assert a == b == want
+
+
+def test_group_hash_splits_a_line_repeated_without_end(spark):
+    df = spark.createDataFrame([("g", "same")] * 950 + [("g", "z")] * 3, "g string, line string")
+    plain = hashlib.sha256(("same\n" * 950 + "z\n" * 3).encode()).hexdigest()
+    assert group_hash(df, "g", "line").first().hash == plain
+    leaves = [("same\n" * 400), ("same\n" * 400), ("same\n" * 150 + "z\n" * 3)]
+    node = hashlib.sha256("".join(hashlib.sha256(x.encode()).hexdigest() + "\n" for x in leaves).encode()).hexdigest()
+    assert group_hash(df, "g", "line", leaf=400, small=0).first().hash == hashlib.sha256((node + "\n").encode()).hexdigest()
