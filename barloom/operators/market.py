@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.values import rnd
@@ -91,39 +91,50 @@ def ranked(df: DataFrame, label: str, order: Sequence[Column], rows: int) -> Dat
     return top_rows(df, order, rows).withColumn("list", F.lit(label))
 
 
+def ranked_lists(df: DataFrame, lists: Sequence[tuple[str, Column, Column, int]], columns: Sequence[str], value: str | None = None) -> DataFrame:
+    """Several ranked lists in one pass over `df`: (name, which rows, key with the best largest, length), ties by symbol. A row is exploded into the
+    lists it belongs to; each task keeps only its own best rows of each list before the exchange."""
+    entry = lambda name, cond, key, n: F.when(cond, F.struct(F.lit(name).alias("list"), key.cast("double").alias("_key"), F.lit(n).alias("_n")))
+    rows = df.select(*columns, F.inline(F.array_compact(F.array(*[entry(*x) for x in lists]))))
+    w = Window.partitionBy("list").orderBy(F.desc_nulls_last("_key"), F.asc("symbol"))
+    best = rows.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= max(x[3] for x in lists)) & (F.col("rank") <= F.col("_n")))
+    if value:
+        flip = F.col("list").isin(*[x[0] for x in lists if x[0] in ASCENDING])
+        best = best.withColumn(value, F.when(flip, -F.col("_key")).otherwise(F.col("_key")))
+    return best.drop("_key", "_n")
+
+
+ASCENDING = ("losers", "new_low", "near_low")        # lists whose best row has the smallest value
+
+
 def top_movers(latest: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    pool = latest.where(liquid(rules)).select(*LINE)
-    up = ranked(pool.where("change_pct > 0"), "gainers", [F.desc("change_pct"), F.asc("symbol")], rules.rows_movers)
-    return up.unionByName(ranked(pool.where("change_pct < 0"), "losers", [F.asc("change_pct"), F.asc("symbol")], rules.rows_movers))
+    pct = F.col("change_pct")
+    return ranked_lists(latest.where(liquid(rules)), [("gainers", pct > 0, pct, rules.rows_movers), ("losers", pct < 0, -pct, rules.rows_movers)], LINE)
 
 
 def most_active(latest: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    pool = latest.select(*LINE)
-    value = ranked(pool.where("turnover > 0"), "by_value", [F.desc("turnover"), F.asc("symbol")], rules.rows_active)
-    return value.unionByName(ranked(pool.where("volume > 0"), "by_volume", [F.desc("volume"), F.asc("symbol")], rules.rows_active))
+    t, v = F.col("turnover"), F.col("volume")
+    return ranked_lists(latest, [("by_value", t > 0, t, rules.rows_active), ("by_volume", v > 0, v, rules.rows_active)], LINE)
 
 
 def volume_shockers(latest: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Liquid rows with a safe baseline whose volume is a multiple of it; also those that moved with it."""
-    hot = latest.where(liquid(rules) & (F.col("volume_status") == SAFE) & (F.col("volume") > 0) & (F.col("volume_multiple") >= rules.vol_multiple)).select(
-        "symbol", "close", "change_pct", "volume", "avg_volume", "volume_multiple", "turnover", "deliv")
-    order = [F.desc("volume_multiple"), F.asc("symbol")]
-    lists = [("shockers", hot), ("high_volume_gain", hot.where(F.col("change_pct") >= rules.gain_pct)),
-             ("high_volume_loss", hot.where(F.col("change_pct") <= rules.loss_pct))]
-    return union_all([ranked(df, name, order, rules.rows_volume) for name, df in lists])
+    hot = latest.where(liquid(rules) & (F.col("volume_status") == SAFE) & (F.col("volume") > 0) & (F.col("volume_multiple") >= rules.vol_multiple))
+    m, pct, n = F.col("volume_multiple"), F.col("change_pct"), rules.rows_volume
+    return ranked_lists(hot, [("shockers", F.lit(True), m, n), ("high_volume_gain", pct >= rules.gain_pct, m, n), ("high_volume_loss", pct <= rules.loss_pct, m, n)],
+                        ("symbol", "close", "change_pct", "volume", "avg_volume", "volume_multiple", "turnover", "deliv"))
 
 
 def high_low_lists(latest: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """New and near highs and lows by distance, each with its full count."""
+    """New and near highs and lows by distance, each with its full count. `latest` is read twice (lists and counts)."""
     safe = latest.where(F.col("extreme_status") == SAFE)
-    out = []
-    for name, kind, farthest_first in (("new_high", "high", True), ("near_high", "high", True), ("new_low", "low", False), ("near_low", "low", False)):
-        rows = safe.where(F.col(f"{kind}_state") == name).select("symbol", "close", F.col(f"prior_{kind}").alias("prior_extreme"),
-                                                                 F.col(f"prior_{kind}_date").alias("prior_date"), F.col(f"{kind}_distance_pct").alias("distance_pct"))
-        order = [F.desc("distance_pct") if farthest_first else F.asc("distance_pct"), F.asc("symbol")]
-        total = rows.agg(F.count(F.lit(1)).alias("full_count"))
-        out.append(ranked(rows, name, order, rules.rows_extremes).crossJoin(F.broadcast(total)))      # one row
-    return union_all(out)
+    high = F.col("list").isin("new_high", "near_high")
+    lists = [(n, F.col(f"{k}_state") == n, F.col(f"{k}_distance_pct") * (1 if k == "high" else -1), rules.rows_extremes) for n, k in (("new_high", "high"), ("near_high", "high"), ("new_low", "low"), ("near_low", "low"))]
+    top = ranked_lists(safe, lists, ("symbol", "close", "prior_high", "prior_high_date", "high_distance_pct", "prior_low", "prior_low_date", "low_distance_pct"))
+    states = F.array_compact(F.array(*[F.when(cond, F.lit(n)) for n, cond, _, _ in lists]))
+    totals = safe.select(F.explode(states).alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("full_count"))
+    pick = lambda c: F.when(high, F.col(c.format("high"))).otherwise(F.col(c.format("low")))
+    return top.join(F.broadcast(totals), "list").select("list", "symbol", "close", pick("prior_{}").alias("prior_extreme"), pick("prior_{}_date").alias("prior_date"), pick("{}_distance_pct").alias("distance_pct"), "rank", "full_count")      # four rows
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:
@@ -149,16 +160,11 @@ def rs_rating(scan: DataFrame) -> DataFrame:
 
 def scan_lists(scan: DataFrame) -> DataFrame:
     """The seven scans as one long table (list, rank, symbol, value)."""
-    s = F.asc("symbol")
-    lists = [("gainers", scan.where("chg IS NOT NULL"), "chg", True, 25), ("losers", scan.where("chg IS NOT NULL"), "chg", False, 25),
-             ("volume_gainers", scan.where("chg > 0 AND volx >= 2"), "volx", True, 25), ("high_52w", scan.where("close > high252"), "chg", True, 25),
-             ("delivery", scan.where("deliv > deliv20 * 1.3 AND chg > 0"), "deliv", True, 25),
-             ("dma", scan.where("dma_state <> 'Not enough history'"), "rs", True, 500), ("relative_strength", scan.where("rs IS NOT NULL"), "rs", True, 100)]
-    out = []
-    for name, df, by, down, n in lists:
-        order = [(F.desc_nulls_last if down else F.asc_nulls_last)(by), s]
-        out.append(ranked(df.select("symbol", "close", F.col(by).alias("value")), name, [F.desc_nulls_last("value") if down else F.asc_nulls_last("value"), s], n))
-    return union_all(out)
+    c = F.col
+    lists = [("gainers", c("chg").isNotNull(), c("chg"), 25), ("losers", c("chg").isNotNull(), -c("chg"), 25), ("volume_gainers", (c("chg") > 0) & (c("volx") >= 2), c("volx"), 25),
+             ("high_52w", c("close") > c("high252"), c("chg"), 25), ("delivery", (c("deliv") > c("deliv20") * 1.3) & (c("chg") > 0), c("deliv"), 25),
+             ("dma", c("dma_state") != "Not enough history", c("rs"), 500), ("relative_strength", c("rs").isNotNull(), c("rs"), 100)]
+    return ranked_lists(scan, lists, ("symbol", "close"), value="value")
 
 
 def scan_events(scan: DataFrame) -> DataFrame:
