@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -18,6 +17,9 @@ DEFAULTS = {
 }
 
 
+_OWNED: set[str] = set()          # run folders that already have an owner
+
+
 def local_session(cpus: int | str = 8, app: str = "barloom", **extra: str) -> SparkSession:
     """A single-machine session for tests and the bench; a cluster brings its own."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -31,18 +33,37 @@ def local_session(cpus: int | str = 8, app: str = "barloom", **extra: str) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach. The cluster names it; only a local test run may fall back to its own."""
+    """The folder every executor can reach, as the session names it. Where one process runs everything and none is named, the warehouse serves."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return os.path.join(tempfile.gettempdir(), "barloom-shared")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; the driver's JVM removes it when it ends."""
+    path = f"{shared_dir(spark)}/barloom-{spark.sparkContext.applicationId}"
+    if path not in _OWNED:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+        _OWNED.add(path)
+    return path
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder for one run of one job."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a stored frame of this run that nothing reads any more."""
+    if not path.startswith(f"{run_dir(spark)}/"):
+        raise ValueError("only a stored frame of this run may be removed")
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut_lineage(df, label: str):
