@@ -91,19 +91,19 @@ def set_name(s: np.ndarray) -> bytes:
 def _sets_of(batches, k: int):
     """Each batch's ids and, block by block, the word sets."""
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), [(t or b"") for t in batch.column(1).to_pylist()]
+        texts = [(t or b"") for t in batch.column(1).to_pylist()]
         for a, b in blocks(texts):
-            yield ids[a:b], word_sets(texts[a:b], k)
+            yield batch.slice(a, b - a), word_sets(texts[a:b], k)
 
 
 def _sign(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for ids, sets in _sets_of(batches, k):
+        for rows, sets in _sets_of(batches, k):
             bands = signatures(sets).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
+                rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
                 pa.array([b if len(s) else None for b, s in zip(bands, sets, strict=True)], pa.list_(pa.int64()))], schema=schema)
     return run
 
@@ -137,14 +137,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable over links, its own included), kept (doc_id = component_id).
+    """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable over links, its own included), kept (doc_id = component_id), text_key (a hash of the text).
 
     Null and empty texts and texts without words have no shingles and link with nothing. Rows that repeat an id are one node each by their set; a row without an
     id links like others but lends no id: its component_id is the least id of the others, or null. Other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
-    signed, _ = _store(plain.mapInArrow(_sign(k), "doc_id bigint, n_shingles bigint, sid binary, bands array<bigint>"), "signed")
+    plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
+    signed, _ = _store(plain.mapInArrow(_sign(k), "doc_id bigint, text_key bigint, n_shingles bigint, sid binary, bands array<bigint>"), "signed")
 
     classes = signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     banded, banded_at = _store(classes.select("sid", "doc_id", "n", F.explode("bands").alias("bucket")), "banded")
@@ -187,5 +187,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = joined.join(joined.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
     named = ids.join(least, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id"))
     component = F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return signed.select("doc_id", "n_shingles", "sid").join(named, "sid", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return signed.select("doc_id", "text_key", "n_shingles", "sid").join(named, "sid", "left").select(
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_key")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that stay: one of each group, that of least id (of rows that repeat this id the one of least text hash), and all texts without words."""
+    rows, _ = _store(near_duplicates(docs), "groups")
+    worded = rows.filter("n_shingles > 0")
+    stay = worded.filter("kept").groupBy("component_id").agg(F.min("text_key").alias("least"))
+    gone = worded.join(stay, worded["component_id"].eqNullSafe(stay["component_id"]), "left")
+    gone = gone.filter(~F.col("kept") | (F.col("text_key") != F.col("least"))).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
+    again = worded.filter("kept").groupBy(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone", "_key")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_key"))
+    left = docs.join(gone, same, "left_anti")
+    if again.isEmpty():
+        return left
+    key = F.xxhash64("text").alias("_text")
+    once = left.join(again, same, "left_semi").select("*", key).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return left.join(again, same, "left_anti").unionByName(once)
