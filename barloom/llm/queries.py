@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, mixing, near_dup, token_files, toxicity
+from barloom.llm import decontaminate, langid, mixing, near_dup, quality, token_files, toxicity
 from barloom.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,15 @@ def op9_mixing(spark, sf_dir):
 
 
 SQL["op9_mixing"] = mixing.SQL.strip()
+
+
+@_query
+def op3_quality(spark, sf_dir):
+    """Quality of every text."""
+    return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query
+def op10_language(spark, sf_dir):
+    """Language of every text."""
+    return langid.languages(_table(spark, sf_dir, "documents"))
