@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barloom.llm import decontaminate, langid, mixing, near_dup, quality, token_files, toxicity
+from barloom.llm import chat, decontaminate, knn, langid, licenses, mixing, near_dup, quality, token_files, toxicity
 from barloom.session import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +68,29 @@ def op3_quality(spark, sf_dir):
 def op10_language(spark, sf_dir):
     """Language of every text."""
     return langid.languages(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op4_knn(spark, sf_dir):
+    """The 20 nearest by inner product of every twentieth vector."""
+    return knn.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+SQL["op4_knn"] = knn.SQL.strip()
+
+
+@_query
+def op5_chat(spark, sf_dir):
+    """Conversations formatted as tokens, read back."""
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    path, tokenizer = fresh_dir(spark, "chat"), token_files.tokenizer_path()
+    chat.format_turns(conversations.unionByName(chat.planted(spark)), path, tokenizer)
+    return chat.digests(spark, path, tokenizer)
+
+
+@_query
+def op7_licenses(spark, sf_dir):
+    """The licence of every document, its own or its directory's; a document's directory is its source and language."""
+    docs = _table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")
