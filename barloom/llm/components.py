@@ -1,4 +1,4 @@
-"""Connected components of a link table by alternating large and small stars; nothing but two counts reaches the driver."""
+"""Connected components of a link table by alternating large and small stars; nothing but a yes or no reaches the driver."""
 
 from __future__ import annotations
 
@@ -14,34 +14,32 @@ def _store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
-def _toward_least(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang each node's larger (or not larger) neighbours on its least neighbour. The least is taken before the exchange, so a hub costs no more than others."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")) if large else both.groupBy("u").agg(F.min("v").alias("m"))
-    hung = both.join(least, "u")
-    if large:
-        return hung.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter(F.col("u") > F.col("v"))
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Hang each node's larger neighbours on its least neighbour. The least is taken before the exchange, so a hub costs no more than others."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first())
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Hang each node and its smaller neighbours on the least of them."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u > v").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one root and no root hangs on another."""
+    roles = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    return roles.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).filter("hangs > 1 or hangs = 1 and holds = 1").isEmpty()
 
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the least node of each linked node's component, for nodes with a link to another node. Null ends and loops are left out.
 
     Each round stores its edges in the shared folder; the number of rounds grows with the logarithm of the longest path."""
-    u, v = F.greatest(a, b), F.least(a, b)
-    edges, path = _store(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(u.alias("u"), v.alias("v")).distinct(), "links")
-    before = _mark(edges)
-    while before[0]:
-        large = _toward_least(edges, True).distinct()
-        after, new = _store(_toward_least(large, False).distinct(), "links")
+    edges, path = _store(links.filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
+    while not _settled(edges):
+        after, new = _store(_small_star(_large_star(edges)), "links")
         discard(edges.sparkSession, path)
         edges, path = after, new
-        now = _mark(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

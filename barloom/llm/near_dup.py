@@ -1,12 +1,13 @@
 """Near-duplicates by MinHash: one-permutation hashing with optimal densification, banded buckets, star-shaped candidate pairs, exact confirmation.
 
-1. One pass over the texts gives each document the set of its distinct word shingles as 64-bit hashes, the set's 128-bit name, and a signature: every hash
+1. One pass over the texts gives each document the set of its distinct word shingles as 64-bit hashes, the set's 64-bit name, and a signature: every hash
    falls into one of `BINS` bins by its leading bits and the bin keeps its least rest. An empty bin copies the bin that its own fixed random walk meets first
    (the same walk for every document). `ROWS` bins make a band; equal bands share a bucket.
 2. Documents with one set form one class; only classes go on, so copies never meet in pairs.
-3. A bucket's candidates form a star around one of its members, never all pairs. The hub is the bucket's least class first, so that a family has the same hub
-   in all its buckets. Star pairs are confirmed on the full sets. Later rounds draw other hubs for members whose component is still not the hub's, until a round
-   finds no new link. A true pair shares about ten of the 32 buckets and needs only one good hub.
+3. A bucket's candidates form a star around one of its members, never all pairs. The first hub is the bucket's least class, so that a family has the same hub
+   in all its buckets. Star pairs are confirmed on the full sets. `TURNS - 1` more turns draw other hubs (the class nearest to one of four constants, in small
+   buckets to one of each bucket's own) for members whose component is still not the hub's; they end early when a turn finds no new link. No pair is tried
+   twice. A true pair shares about ten of the 32 buckets and needs one good hub in one of them.
 4. Components of the confirmed links; a class takes the least document id of its component.
 """
 
@@ -25,7 +26,8 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 REST = U64((1 << 57) - 1)              # bin: the 7 leading bits; rest: the others
 SHINGLE, PERCENT = 5, 75
-EXTRA_ROUNDS = 2                       # rounds with other hubs that always run; more follow while links are found
+TURNS, SMALL_BUCKET = 6, 8             # stars drawn for each bucket; buckets of more members share four hubs a turn
+_TOWARD = [0, *(int(x) for x in mix(np.arange(1, TURNS, dtype=U64) + U64(31)).view(np.int64))]
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
@@ -83,9 +85,9 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return bands ^ mix(np.arange(BANDS, dtype=U64) + U64(977))
 
 
-def set_name(s: np.ndarray) -> bytes:
-    """128 bits that stand for the whole set."""
-    return int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)).to_bytes(8, "big") + int(mix(s + U64(0x14057B7EF767814F)).sum(dtype=U64)).to_bytes(8, "big")
+def set_name(s: np.ndarray) -> int | None:
+    """64 bits that stand for the whole set (of ten billion sets, about three pairs share a name by chance); None for the empty set."""
+    return int(mix(s ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64).astype(np.int64)) if len(s) else None
 
 
 def _sets_of(batches, k: int):
@@ -97,23 +99,23 @@ def _sets_of(batches, k: int):
 
 
 def _sign(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for rows, sets in _sets_of(batches, k):
             bands = signatures(sets).view(np.int64)
             yield pa.RecordBatch.from_arrays([
-                rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()),
+                rows.column(0), rows.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_name(s) for s in sets], pa.int64()),
                 pa.array([b if len(s) else None for b, s in zip(bands, sets, strict=True)], pa.list_(pa.int64()))], schema=schema)
     return run
 
 
 def _list(k: int):
-    schema = pa.schema([("sid", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("sid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for _, sets in _sets_of(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) if len(s) else None for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
     return run
 
 
@@ -123,9 +125,33 @@ def _store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.parquet(path), path
 
 
-def _alike(n: str, m: str, percent: int):
-    """Sizes that still allow the similarity."""
-    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+def _hub(turn: int):
+    """A bucket's hub in a turn. By exclusive or with a constant, the least number names the class nearest to that constant."""
+    if turn == 0:
+        return F.min("sid")
+    some = F.shiftleft(F.col("bucket").bitwiseAND(F.lit(3)), 61).bitwiseXOR(F.lit(_TOWARD[turn]))
+    own = F.col("bucket").bitwiseXOR(F.lit(_TOWARD[turn]))
+    return F.when(F.count(F.lit(1)) > SMALL_BUCKET, F.min(F.col("sid").bitwiseXOR(some)).bitwiseXOR(some)).otherwise(F.min(F.col("sid").bitwiseXOR(own)).bitwiseXOR(own))
+
+
+def _star(members: DataFrame, turn: int, roots: DataFrame | None, tried: DataFrame | None) -> DataFrame:
+    """New pairs (a, b) of a bucket's hub and members whose component is not known to be the hub's. A bucket of two has nothing to try after the first turn."""
+    star = members.filter("size > 2") if turn else members
+    hub = F.col(f"hub{turn}")
+    star = star.filter(F.col("sid") != hub).select(F.least("sid", hub).alias("a"), F.greatest("sid", hub).alias("b")).distinct()
+    if tried is not None:
+        star = star.join(tried, ["a", "b"], "left_anti")
+    if roots is not None:
+        star = star.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
+    return star.select("a", "b")
+
+
+def _rerooted(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """Roots after more links: the components of the roots that the links join."""
+    ends = new.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
+    moved = components(ends, "ra", "rb").toDF("root", "to")
+    nodes = roots.unionByName(ends.select(F.col("a").alias("node"), F.col("ra").alias("root"))).unionByName(ends.select(F.col("b").alias("node"), F.col("rb").alias("root"))).distinct()
+    return nodes.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -133,7 +159,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").filter(F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    n, m = F.size("x"), F.size("y")
+    alike = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+    return pairs.join(left, "a").join(right, "b").filter(alike).filter(F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -144,41 +172,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     plain = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text"), F.xxhash64(F.col(text_col)).alias("text_key"))
-    signed, _ = _store(plain.mapInArrow(_sign(k), "doc_id bigint, text_key bigint, n_shingles bigint, sid binary, bands array<bigint>"), "signed")
+    signed, _ = _store(plain.mapInArrow(_sign(k), "doc_id bigint, text_key bigint, n_shingles bigint, sid bigint, bands array<bigint>"), "signed")
 
-    classes = signed.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded, banded_at = _store(classes.select("sid", "doc_id", "n", F.explode("bands").alias("bucket")), "banded")
-    full = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1").select("bucket")
-    members, members_at = _store(banded.join(full, "bucket"), "members")
+    classes = signed.filter("sid is not null").groupBy("sid").agg(F.min(F.struct("doc_id", "bands")).alias("c"))
+    banded, banded_at = _store(classes.select("sid", "c.doc_id", F.explode("c.bands").alias("bucket")), "banded")
+    hubs = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), *[_hub(turn).alias(f"hub{turn}") for turn in range(TURNS)]).filter("size > 1")
+    members, members_at = _store(banded.join(hubs, "bucket"), "members")
     discard(spark, banded_at)
 
     needed = members.select(F.col("doc_id").alias("needed")).distinct()
-    sets, sets_at = _store(plain.join(needed, F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi")
-                           .mapInArrow(_list(k), "sid binary, shingles array<bigint>").dropDuplicates(["sid"]), "sets")
-
-    tried = links = roots = None
-    found, quiet, turn = 0, 0, 0
-    while True:
-        hub = F.min(F.struct((F.col("sid") if turn == 0 else F.xxhash64("sid", F.lit(turn))).alias("order"), "sid", "n")).alias("hub")
-        star = members.join(members.groupBy("bucket").agg(hub), "bucket").filter("sid != hub.sid").filter(_alike("n", "hub.n", percent))
-        star = star.select(F.least("sid", "hub.sid").alias("a"), F.greatest("sid", "hub.sid").alias("b")).distinct()
-        if roots is not None:
-            ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-            star = star.join(ra, "a", "left").join(rb, "b", "left").filter("ra is null or rb is null or ra != rb").select("a", "b")
-        if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
-        pairs, _ = _store(star, "pairs")
+    texts = plain.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi")
+    sets, sets_at = _store(texts.mapInArrow(_list(k), "sid bigint, shingles array<bigint>"), "sets")
+    rows, names = sets.agg(F.count(F.lit(1)), F.count_distinct("sid")).first()
+    if rows != names:                                          # rows that repeat an id
+        sets, more_at = _store(sets.dropDuplicates(["sid"]), "sets")
+        discard(spark, sets_at)
+        sets_at = more_at
+
+    roots = tried = None
+    for turn in range(TURNS):
+        pairs, _ = _store(_star(members, turn, roots, tried), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         new, _ = _store(_confirmed(pairs, sets, percent), "confirmed")
-        added = new.count()
-        links = new if links is None else links.unionByName(new)
-        found += added
-        if added or roots is None:
-            roots, _ = _store(components(links, "a", "b"), "roots")
-        quiet = 0 if added else quiet + 1
-        if not found and turn >= EXTRA_ROUNDS or turn >= EXTRA_ROUNDS and quiet or pairs.isEmpty():
-            break
-        turn += 1
+        if new.isEmpty():
+            if roots is None:
+                roots = new.toDF("node", "root")
+            if turn:
+                break
+        elif roots is None or turn == 0:
+            roots = components(new, "a", "b")
+        else:
+            roots, _ = _store(_rerooted(roots, new), "roots")
     discard(spark, sets_at)
     discard(spark, members_at)
 
