@@ -13,7 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import fresh_dir
+
 SEED = "mix-1"
+SENT_NUMBERS = 1 << 20                 # the table of sources is sent to every task up to so many 8-byte numbers, and joined by shuffle beyond
 TEMPERATURE = 0.5                      # a source of n documents weighs n ** TEMPERATURE where no weights are given
 
 
@@ -56,6 +59,11 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, size: float | None
     more id; texts are never looked at. Clashing columns named copy, copies or mix_order are replaced. An empty table gives no rows."""
     kept = [c for c in docs.columns if c not in ("copy", "copies", "mix_order")]
     table = rates(docs, weights, size).mapInArrow(_cdfs, "src string, rate double, cdf array<double>").select("src", "cdf")
+    path = fresh_dir(docs.sparkSession, "rates")
+    table.write.parquet(path)
+    table = docs.sparkSession.read.parquet(path)
+    numbers = table.agg(F.coalesce(F.sum(F.size("cdf") + 8), F.lit(0))).first()[0]
+    table = F.broadcast(table) if numbers <= SENT_NUMBERS else table
     uniform = _hash(seed, 13, F.col("doc_id")) / F.lit(float(1 << 52))
     drawn = docs.select(*kept).join(table, F.col("source").eqNullSafe(F.col("src"))).withColumn("_u", uniform)
     drawn = drawn.withColumn("copies", F.size(F.expr("filter(cdf, c -> c <= _u)")).cast("bigint")).filter("copies > 0")
