@@ -40,7 +40,8 @@ def _hash(seed: str, digits: int, *parts):
 
 
 def rates(docs: DataFrame, weights: DataFrame | None = None, size: float | None = None) -> DataFrame:
-    """(src, rate): mean copies of a document of each source, null being a source. `weights` has (source, weight); sources without a weight get none."""
+    """(src, rate): mean copies of a document of each source, null being a source. `weights` has (source, weight), shared out among the sources that occur; sources
+    without a weight get no copies."""
     counts = docs.groupBy(F.col("source").alias("src")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weighed = counts.withColumn("w", F.pow("n", F.lit(TEMPERATURE)))
