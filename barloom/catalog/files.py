@@ -248,14 +248,14 @@ def _(spark, d):
     return idx.join(back, "symbol").select("kind", "symbol", (F.col("bytes") > 0).alias("stored"), "rows")
 
 
-@query("sink_history_append_dedup", "SELECT seq, symbol, price FROM (SELECT min(l_orderkey) AS seq, l_suppkey AS symbol, l_quantity AS price FROM lineitem WHERE l_orderkey % 4 <> 3 GROUP BY 2, 3) ORDER BY seq DESC, symbol, price LIMIT 2000")
+@query("sink_history_append_dedup", "SELECT seq, symbol, price FROM (SELECT min(l_orderkey) AS seq, l_suppkey AS symbol, l_quantity AS price FROM lineitem GROUP BY 2, 3)")
 def _(spark, d):
     li = table(spark, d, "lineitem").select(F.struct("l_orderkey", (-F.col("l_suppkey")).alias("s"), (-F.col("l_quantity")).alias("q")).alias("at"), F.col("l_suppkey").alias("symbol"), F.col("l_quantity").alias("price"))
     k = F.col("at.l_orderkey")
-    return K.append_dedup(li.where(k % 4 < 2), li.where(k % 4 == 2), "at").select(F.col("at.l_orderkey").alias("seq"), "symbol", "price")
+    return K.append_dedup(li.where(k % 4 < 2), li.where(k % 4 >= 2), "at").select(F.col("at.l_orderkey").alias("seq"), "symbol", "price")
 
 
-@query("sink_keyed_append", "SELECT day, side, seq FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus AS side, max(o_orderkey) FILTER (o_orderkey % 2 = 0) AS a, max(o_orderkey) FILTER (o_orderkey % 2 = 1) AS b, coalesce(max(o_orderkey) FILTER (o_orderkey % 2 = 0), max(o_orderkey)) AS seq FROM orders GROUP BY 1, 2) ORDER BY seq DESC LIMIT 400")
+@query("sink_keyed_append", "SELECT day, side, seq FROM (SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus AS side, max(o_orderkey) FILTER (o_orderkey % 2 = 0) AS a, max(o_orderkey) FILTER (o_orderkey % 2 = 1) AS b, coalesce(max(o_orderkey) FILTER (o_orderkey % 2 = 0), max(o_orderkey)) AS seq FROM orders GROUP BY 1, 2)")
 def _(spark, d):
     o = table(spark, d, "orders")
     side = lambda r: o.where(F.col("o_orderkey") % 2 == r).groupBy(F.to_date("o_orderdate").alias("day"), F.col("o_orderstatus").alias("side")).agg(F.max("o_orderkey").alias("seq"))

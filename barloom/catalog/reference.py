@@ -115,7 +115,10 @@ def _lines(spark, d):
     return classified(spark, d).select("status", F.concat_ws("|", "isin", "symbol", "key", "status").alias("line"))
 
 
-HASHES = "hashes AS (SELECT status, count(*) AS rows, sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS hash FROM (SELECT status, coalesce(isin, '') || '|' || symbol || '|' || key || '|' || status AS line FROM classified) GROUP BY 1)"
+HASHES = """numbered AS (SELECT status, line, row_number() OVER (PARTITION BY status ORDER BY line) - 1 AS p FROM (SELECT status, coalesce(isin, '') || '|' || symbol || '|' || key || '|' || status AS line FROM classified)),
+leaves AS (SELECT status, p // 1000 AS leaf, count(*) AS n, sha256(string_agg(line, chr(10) ORDER BY line) || chr(10)) AS h FROM numbered GROUP BY ALL),
+nodes AS (SELECT status, leaf // 1000 AS node, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY leaf) || chr(10)) AS h FROM leaves GROUP BY ALL),
+hashes AS (SELECT status, CAST(sum(n) AS BIGINT) AS rows, sha256(string_agg(h, chr(10) ORDER BY node) || chr(10)) AS hash FROM nodes GROUP BY 1)"""
 
 
 @query("group_hash", sql("SELECT status, rows, hash FROM hashes", CLASSIFIED, HASHES))

@@ -21,7 +21,7 @@ def symbol_days(raw: DataFrame) -> DataFrame:
     the whole group is a handful of numbers combined before the exchange, however many copies it holds; where all rows agree the
     largest value of a field is the field."""
     eq = raw.where(F.trim("SERIES") == "EQ")
-    text = [F.trim(c) for c in REQUIRED + OPTIONAL]
+    text = [F.coalesce(F.trim(c), F.lit("\0")) for c in REQUIRED + OPTIONAL]        # a hash skips nulls, so that a value could move unseen
     num = {c: num_parse(src) for c, src in (("close", "CLOSE_PRICE"), ("prev_close", "PREV_CLOSE"), ("volume", "TTL_TRD_QNTY"), ("turnover", "TURNOVER_LACS"),
                                             ("high", "HIGH_PRICE"), ("low", "LOW_PRICE"), ("open", "OPEN_PRICE"), ("deliv", "DELIV_PER"))}
     rows = eq.select(F.trim("SYMBOL").alias("symbol"), date_parse("DATE1").alias("date"), F.xxhash64(*text).alias("_h"), F.xxhash64(F.lit(17), *text).alias("_k"), *[v.alias(c) for c, v in num.items()])

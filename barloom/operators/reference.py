@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.values import ISIN, SYMBOL
-from barloom.plans.order import SMALL, running_position
+from barloom.plans.order import running_position
 
 # Statuses in order of precedence; the first two are the candidates for the directory.
 CANDIDATES = ("eligible_eq", "eligible_be")
-LEAF_LINES = 65_536
+LEAF_LINES = 1_000
 FUND_NAME = r"(?i)\b(ETF|BEES|FUND|MUTUAL|INDEX\s+FUND|LIQUID)\b"
 
 
@@ -82,12 +82,11 @@ def eligible_equities(rows: DataFrame) -> DataFrame:
     return j.select("row_id", "symbol", late.alias("reason"), F.when(late.isNull() & fund, "name_looks_like_fund_or_etf").alias("flag"))
 
 
-def group_hash(df: DataFrame, group: str, line: str, leaf: int = LEAF_LINES, small: int = SMALL) -> DataFrame:
-    """SHA-256 of each group's sorted lines, each ending in LF. Up to `leaf` lines that is the plain digest; a larger group is a tree of digests
-    (leaves, nodes of leaves, root), so equal groups still have equal hashes, and no task ever holds more than `leaf` lines, not even
-    of one line repeated without end."""
+def group_hash(df: DataFrame, group: str, line: str, leaf: int = LEAF_LINES) -> DataFrame:
+    """A tree digest of each group's sorted lines, of one construction at every size: SHA-256 over each `leaf` lines, over each `leaf` such digests, and
+    over all of those, every line and digest ending in LF. No task ever holds more than `leaf` lines, not even of one line repeated without end."""
     lines = df.groupBy(group, line).agg(F.count(F.lit(1)).alias("_copies"))
-    placed = running_position(lines, [F.col(group), F.col(line)], position=None, totals={"_upto": F.col("_copies")}, small=small)
+    placed = running_position(lines, [F.col(group), F.col(line)], position=None, totals={"_upto": F.col("_copies")})
     start = placed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_copies")).alias("_start"), F.sum("_copies").alias("rows"))
     p = placed.join(start.select(group, "_start"), group).select(group, line, (F.col("_upto") - F.col("_copies") - F.col("_start")).alias("_a"), (F.col("_upto") - F.col("_start")).alias("_b"))
     p = p.withColumn("_leaf", F.explode(F.sequence(F.floor(F.col("_a") / leaf), F.floor((F.col("_b") - 1) / leaf))))
@@ -95,9 +94,9 @@ def group_hash(df: DataFrame, group: str, line: str, leaf: int = LEAF_LINES, sma
     text = lambda at, t: F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("p"), t.alias("t")))), lambda x: x["t"]), "\n"), F.lit("\n"))
     digest = lambda at, t: F.sha2(text(at, t), 256)
     leaves = p.groupBy(group, "_leaf").agg(digest(F.col("_a"), F.array_join(F.array_repeat(F.col(line), here), "\n")).alias("_h"))
-    nodes = leaves.groupBy(group, F.floor(F.col("_leaf") / leaf).alias("_node")).agg(digest(F.col("_leaf"), F.col("_h")).alias("_n"), F.count(F.lit(1)).alias("_k"), F.min("_h").alias("_one"))
-    roots = nodes.groupBy(group).agg(F.sum("_k").alias("_k"), F.min("_one").alias("_one"), digest(F.col("_node"), F.col("_n")).alias("_root"))
-    return roots.join(start, group).select(group, "rows", F.when(F.col("_k") == 1, F.col("_one")).otherwise(F.col("_root")).alias("hash"))
+    nodes = leaves.groupBy(group, F.floor(F.col("_leaf") / leaf).alias("_node")).agg(digest(F.col("_leaf"), F.col("_h")).alias("_n"))
+    roots = nodes.groupBy(group).agg(digest(F.col("_node"), F.col("_n")).alias("hash"))
+    return roots.join(start, group).select(group, "rows", "hash")
 
 
 def baseline_compare(current: DataFrame, baseline: DataFrame, merged: DataFrame | None = None) -> DataFrame:

@@ -142,11 +142,11 @@ def roll_mean(bars: DataFrame, n: int, into: str) -> DataFrame:
 
 def roll_prev_mean(bars: DataFrame, value: str, n: int, min_rows: int, into: str) -> DataFrame:
     """Mean of the previous n rows (current excluded) once `min_rows` of them hold a value."""
-    v = F.col(value)
-    df = bars.withColumns({"_cum": F.coalesce(F.sum(micro(v)).over(so_far()), F.lit(0)), "_cnt": F.count(v).over(so_far())})
+    v, whole = F.col(value), dict(bars.dtypes)[value] in ("int", "bigint")              # whole numbers are summed as they are
+    df = bars.withColumns({"_cum": F.coalesce(F.sum(v if whole else micro(v)).over(so_far()), F.lit(0)), "_cnt": F.count(v).over(so_far())})
     total = back("_cum", 1) - F.coalesce(back("_cum", n + 1), F.lit(0))
     seen = back("_cnt", 1) - F.coalesce(back("_cnt", n + 1), F.lit(0))
-    return df.withColumn(into, F.when(seen >= min_rows, total / (seen * MICRO))).drop("_cum", "_cnt")
+    return df.withColumn(into, F.when(seen >= min_rows, total / (seen * (1 if whole else MICRO)))).drop("_cum", "_cnt")
 
 
 def roll_prev_max(bars: DataFrame, value: str, n: int, min_rows: int, into: str) -> DataFrame:
@@ -180,14 +180,15 @@ def scan_columns(bars: DataFrame, fast: int = 50, slow: int = 200) -> DataFrame:
     """All technical-scan columns at once: prefix totals in one window step, look-backs in the next, so the number of passes over a symbol's
     rows does not grow with the number of columns. Same values as the single functions above."""
     total = lambda c: F.coalesce(F.sum(micro(F.col(c))).over(so_far()), F.lit(0))
-    df = bars.withColumns({"_rn": F.row_number().over(by_symbol()), "_c": total("close"), "_v": total("volume"), "_vn": F.count("volume").over(so_far()), "_d": total("deliv"),
+    volume = F.coalesce(F.sum("volume").over(so_far()), F.lit(0))                        # whole: no scaling that could overflow
+    df = bars.withColumns({"_rn": F.row_number().over(by_symbol()), "_c": total("close"), "_v": volume, "_vn": F.count("volume").over(so_far()), "_d": total("deliv"),
                            "_dn": F.count("deliv").over(so_far()), "_hn": F.count("high").over(so_far())})
     upto = lambda c, n: F.col(c) - F.coalesce(back(c, n), F.lit(0))
     before = lambda c, n: back(c, 1) - F.coalesce(back(c, n + 1), F.lit(0))
-    mean = lambda c, cnt, n, least: F.when(before(cnt, n) >= least, before(c, n) / (before(cnt, n) * MICRO))
+    mean = lambda c, cnt, n, least, scale=MICRO: F.when(before(cnt, n) >= least, before(c, n) / (before(cnt, n) * scale))
     base = back("close", 63)
     df = df.withColumns({"dma_fast": F.when(F.col("_rn") >= fast, upto("_c", fast) / (fast * MICRO)), "dma_slow": F.when(F.col("_rn") >= slow, upto("_c", slow) / (slow * MICRO)),
-                         "vol20": mean("_v", "_vn", 20, 20), "deliv20": mean("_d", "_dn", 20, 10), "ret63": F.when(base != 0, (F.col("close") / base - 1) * 100), "_seen": before("_hn", 252)})
+                         "vol20": mean("_v", "_vn", 20, 20, 1), "deliv20": mean("_d", "_dn", 20, 10), "ret63": F.when(base != 0, (F.col("close") / base - 1) * 100), "_seen": before("_hn", 252)})
     df = trailing_max(df, {"_top": F.col("high")}, 252)
     df = df.withColumns({"_pf": back("dma_fast", 1), "_ps": back("dma_slow", 1), "high252": F.when(F.col("_seen") >= 150, F.col("_top"))})
     return df.withColumn("dma_state", _cross_state()).drop("_rn", "_c", "_v", "_vn", "_d", "_dn", "_hn", "_seen", "_top", "_pf", "_ps")

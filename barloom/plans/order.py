@@ -1,7 +1,7 @@
 """Global positions and running totals without a single-task window.
 
-Spark's own range partitioner proposes the cut points; they are then fixed as literals, so every later stage (and every
-recomputation after a lost executor) buckets a row the same way. Only one row per bucket ever reaches the driver.
+A frame is written once, range partitioned, with its partition number as a column. What follows reads that table, so every stage and every
+recomputation after a lost executor sees the same parts; nothing but the parts' totals (one row each) is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -14,33 +14,18 @@ from pyspark.sql import functions as F
 from barloom.session import cut_lineage
 
 
-SMALL = 100_000      # up to this many rows one task orders faster than three jobs can plan
-
-
-def _cut_points(df: DataFrame, keys: Sequence[Column], buckets: int) -> list:
-    cut = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("cut")
-    ranged = df.select(cut).repartitionByRange(buckets, "cut")
-    found = ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("cut").alias("cut")).select("cut")
-    rows = sorted((r.cut for r in found.collect()), key=tuple)
-    types = found.schema["cut"].dataType
-    return [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, types.fields)]) for row in rows[1:]]
+def _ranged(df: DataFrame, keys: Sequence[Column], buckets: int | None) -> DataFrame:
+    """`df` in the order of `keys` over `_bucket`, stored."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(df.repartitionByRange(n, *keys).withColumn("_bucket", F.spark_partition_id()), "ranged")
 
 
 def running_position(df: DataFrame, keys: Sequence[Column], position: str | None = "position",
-                     totals: dict[str, Column] | None = None, buckets: int | None = None, small: int = SMALL) -> DataFrame:
+                     totals: dict[str, Column] | None = None, buckets: int | None = None) -> DataFrame:
     """Add the 1-based global position and inclusive running totals in the order of `keys` (all ascending, non-null and
-    unique together; pre-aggregate ties first so that no bucket can grow with a hot value). `df` is read three times: hand in
-    a stored table (see `cut_lineage`) when deriving it is expensive."""
+    unique together; pre-aggregate ties first so that no bucket can grow with a hot value)."""
     totals = totals or {}
-    if df.limit(small + 1).count() <= small:                             # size checked: one task orders it
-        run = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-        added = [F.row_number().over(Window.orderBy(*keys)).cast("bigint").alias(position)] if position else []
-        return df.select("*", *added, *[F.sum(c).over(run).alias(n) for n, c in totals.items()])
-    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cuts = _cut_points(df, keys, buckets)
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    bucket = F.size(F.filter(F.array(*cuts), lambda c: c <= key)) if cuts else F.lit(0)
-    placed = df.select("*", bucket.alias("_bucket"))
+    placed = _ranged(df, keys, buckets)
     sums = [F.count(F.lit(1)).alias("_n")] + [F.sum(c).alias(f"_sum_{n}") for n, c in totals.items()]
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)      # at most `buckets` rows
     offsets = placed.groupBy("_bucket").agg(*sums).select(
@@ -53,15 +38,12 @@ def running_position(df: DataFrame, keys: Sequence[Column], position: str | None
     return out.select(*df.columns, *added)
 
 
-def ordered_lag(df: DataFrame, part: str, order: str, value: str, into: str, buckets: int | None = None, small: int = SMALL) -> DataFrame:
+def ordered_lag(df: DataFrame, part: str, order: str, value: str, into: str, buckets: int | None = None) -> DataFrame:
     """The value of the previous row of the same `part` in `order`. A part with a third of all rows spreads over many buckets; only the last
     row of each bucket is handed to the next one."""
-    if df.limit(small + 1).count() <= small:                             # size checked
-        return df.withColumn(into, F.lag(value).over(Window.partitionBy(part).orderBy(order)))
     keys = [F.col(part), F.col(order)]
-    cuts = _cut_points(df, keys, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = _ranged(df, keys, buckets)
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    placed = df.select("*", (F.size(F.filter(F.array(*cuts), lambda c: c <= key)) if cuts else F.lit(0)).alias("_bucket"))
     tails = placed.groupBy("_bucket").agg(F.max_by(F.struct(F.col(part).alias("p"), F.col(value).alias("v")), key).alias("_tail"))
     tails = tails.select("_bucket", F.lag("_tail").over(Window.orderBy("_bucket")).alias("_tail"))               # at most `buckets` rows
     w = Window.partitionBy("_bucket").orderBy(*keys)
@@ -76,16 +58,15 @@ def mid_rank_share(df: DataFrame, value: str, into: str) -> DataFrame:
     ranked = running_position(counts, [F.col(value)], position=None, totals={"_upto": F.col("_ties")})
     n = counts.agg(F.sum("_ties").alias("_all"))
     share = ((F.col("_upto") - (F.col("_ties") - 1) / 2) / F.col("_all")).alias(into)
-    return df.join(ranked, value, "left").crossJoin(F.broadcast(n)).select(*df.columns, share)   # n: one row
+    held = df.where(F.col(value).isNotNull()).join(ranked, value).crossJoin(F.broadcast(n)).select(*df.columns, share)   # n: one row
+    return held.unionByName(df.where(F.col(value).isNull()).withColumn(into, F.lit(None).cast("double")))                # nulls need no join
 
 
-def group_medians(df: DataFrame, group: str, value: str, into: str = "median", small: int = SMALL) -> DataFrame:
-    """Exact median of `value` per `group`. Values are counted first, so repeats cost nothing; past `small` distinct values the
-    middle is found by position in a distributed order instead of in one group's memory."""
+def group_medians(df: DataFrame, group: str, value: str, into: str = "median") -> DataFrame:
+    """Exact median of `value` per `group`. Values are counted first, so repeats cost nothing; the middle is found by
+    position in a distributed order, not in one group's memory."""
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n")), "medians")
-    if counts.limit(small + 1).count() <= small:
-        return counts.groupBy(group).agg(F.expr(f"percentile(`{value}`, 0.5, _n)").alias(into))
-    placed = running_position(counts, [F.col(group), F.col(value)], position=None, totals={"_upto": F.col("_n")}, small=0)
+    placed = running_position(counts, [F.col(group), F.col(value)], position=None, totals={"_upto": F.col("_n")})
     span = placed.groupBy(group).agg(F.min(F.col("_upto") - F.col("_n")).alias("_start"), F.sum("_n").alias("_all"))
     j = placed.join(span, group).withColumns({"_lo": F.col("_upto") - F.col("_n") - F.col("_start") + 1, "_hi": F.col("_upto") - F.col("_start")})
     mid = lambda p: (F.col("_lo") <= p) & (p <= F.col("_hi"))

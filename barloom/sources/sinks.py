@@ -41,24 +41,26 @@ def symbol_index(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(F.regexp_extract("path", r"/kind=([^/]+)/", 1).alias("kind"), F.regexp_extract("path", r"/symbol=([^/]+)/", 1).alias("symbol")).agg(F.sum("length").alias("bytes"))
 
 
-def append_dedup(history: DataFrame, fresh: DataFrame, seq: str, keep: int = 2000) -> DataFrame:
-    """History and new rows, exact repeats once (the earliest), the newest `keep` of them in order of arrival."""
+def append_dedup(history: DataFrame, fresh: DataFrame, seq: str, keep: int | None = None) -> DataFrame:
+    """History and new rows, exact repeats once (the earliest), all of them or the newest `keep` in order of arrival."""
     values = [c for c in history.columns if c != seq]
     once = history.unionByName(fresh).groupBy(*values).agg(F.min(seq).alias(seq))
-    return once.orderBy(F.desc(seq)).limit(keep)
+    return once if keep is None else once.orderBy(F.desc(seq)).limit(keep)
 
 
-def keyed_append(history: DataFrame, fresh: DataFrame, keys: Sequence[str], seq: str, keep: int = 400) -> DataFrame:
-    """Only rows whose key is unseen are added; the newest `keep` stay."""
+def keyed_append(history: DataFrame, fresh: DataFrame, keys: Sequence[str], seq: str, keep: int | None = None) -> DataFrame:
+    """Only rows whose key is unseen are added; all rows or the newest `keep` stay."""
     new = fresh.join(history.select(*keys), list(keys), "left_anti")
-    return history.unionByName(new.select(*history.columns)).orderBy(F.desc(seq)).limit(keep)
+    both = history.unionByName(new.select(*history.columns))
+    return both if keep is None else both.orderBy(F.desc(seq)).limit(keep)
 
 
 def digest(df: DataFrame, key: str) -> DataFrame:
     """Order-free fingerprint of the rows of each key (combined before the exchange)."""
     rest = [c for c in df.columns if c != key]
-    h = F.xxhash64(*rest)
-    return df.groupBy(key).agg(F.bit_xor(h).alias("h1"), F.bit_xor(F.xxhash64(h, F.lit(17))).alias("h2"), F.count(F.lit(1)).alias("rows"))
+    known = [x for c in rest for x in (F.isnull(c), F.col(c))]                       # a hash skips nulls, so that a value could move unseen
+    total = lambda salt: F.sum(F.xxhash64(F.lit(salt), *known).cast("decimal(38,0)"))    # equal rows must not cancel out
+    return df.groupBy(key).agg(total(3).alias("h1"), total(17).alias("h2"), F.count(F.lit(1)).alias("rows"))
 
 
 def changed_keys(saved: DataFrame, now: DataFrame, key: str) -> DataFrame:

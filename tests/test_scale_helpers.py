@@ -1,4 +1,4 @@
-"""The distributed order, ranks, medians and digests against brute force, with every shortcut for small data off."""
+"""The distributed order, ranks, medians and digests against brute force; few and many parts give the same."""
 
 import hashlib
 import random
@@ -20,7 +20,7 @@ def skewed():
 
 def test_running_position_and_totals(spark, skewed):
     df = spark.createDataFrame(skewed, "id int, v int, g string").repartition(6)
-    got = {r.id: (r.position, r.total) for r in O.running_position(df, [F.col("v"), F.col("id")], totals={"total": F.col("v")}, buckets=5, small=0).collect()}
+    got = {r.id: (r.position, r.total) for r in O.running_position(df, [F.col("v"), F.col("id")], totals={"total": F.col("v")}, buckets=5).collect()}
     run, want = 0, {}
     for p, (i, v, _) in enumerate(sorted(skewed, key=lambda r: (r[1], r[0])), 1):
         run += v
@@ -28,11 +28,12 @@ def test_running_position_and_totals(spark, skewed):
     assert got == want
 
 
-def test_small_and_distributed_agree(spark, skewed):
+def test_few_and_many_parts_agree(spark, skewed):
     df = spark.createDataFrame(skewed, "id int, v int, g string")
     key = [-F.col("v"), F.col("id")]
-    a = {r.id: r.position for r in O.running_position(df, key, small=0, buckets=4).collect()}
-    assert a == {r.id: r.position for r in O.running_position(df, key).collect()}
+    a = {r.id: r.position for r in O.running_position(df, key, buckets=4).collect()}
+    for parts in (2, 200):
+        assert a == {r.id: r.position for r in O.running_position(df, key, buckets=parts).collect()}
 
 
 def test_mid_rank_share_averages_ties(spark):
@@ -40,28 +41,29 @@ def test_mid_rank_share_averages_ties(spark):
     assert {r.id: r.s for r in O.mid_rank_share(df, "v", "s").collect()} == {1: 0.25, 2: 0.625, 3: 0.625, 4: 1.0, 5: None}
 
 
-@pytest.mark.parametrize("small", [0, 10_000])
-def test_group_medians(spark, skewed, small):
+def test_group_medians(spark, skewed):
     df = spark.createDataFrame([(g, float(v)) for _, v, g in skewed] + [("one", 4.0), ("two", 1.0), ("two", 2.0)], "g string, v double")
     groups = {}
     for g, v in [(g, float(v)) for _, v, g in skewed] + [("one", 4.0), ("two", 1.0), ("two", 2.0)]:
         groups.setdefault(g, []).append(v)
-    got = {r.g: r.median for r in O.group_medians(df, "g", "v", small=small).collect()}
+    got = {r.g: r.median for r in O.group_medians(df, "g", "v").collect()}
     assert got == {g: statistics.median(v) for g, v in groups.items()}
 
 
-def test_group_hash_is_the_plain_digest_and_leaves_agree(spark, skewed):
+def tree(lines, leaf):
+    level = [x + "\n" for x in sorted(lines)]
+    for _ in range(2):
+        level = [hashlib.sha256("".join(level[i:i + leaf]).encode()).hexdigest() + "\n" for i in range(0, len(level), leaf)]
+    return hashlib.sha256("".join(level).encode()).hexdigest()
+
+
+def test_group_hash_is_one_tree_at_every_size(spark, skewed):
     df = spark.createDataFrame([(g, f"line {v} {i}") for i, v, g in skewed] + [("dup", "x"), ("dup", "x")], "g string, line string")
     lines = {}
     for r in df.collect():
         lines.setdefault(r.g, []).append(r.line)
-    plain = {g: hashlib.sha256("".join(x + "\n" for x in sorted(v)).encode()).hexdigest() for g, v in lines.items()}
-    assert {r.g: r.hash for r in group_hash(df, "g", "line").collect()} == plain
-    a = {r.g: r.hash for r in group_hash(df, "g", "line", leaf=100, small=0).collect()}
-    b = {r.g: r.hash for r in group_hash(df.repartition(7), "g", "line", leaf=100).collect()}
-    assert a == b and a["hot"] != plain["hot"] and a["dup"] == plain["dup"]
-    changed = df.withColumn("line", F.when(F.col("line").startswith("line 7 10"), "z").otherwise(F.col("line")))
-    assert {r.g: r.hash for r in group_hash(changed, "g", "line", leaf=100).collect()}["hot"] != a["hot"]
+    for leaf in (10, 100, 1000):
+        assert {r.g: r.hash for r in group_hash(df.repartition(7), "g", "line", leaf=leaf).collect()} == {g: tree(v, leaf) for g, v in lines.items()}
 
 
 def test_budget_stops_at_the_first_item_that_does_not_fit(spark):
@@ -77,7 +79,7 @@ def test_batches_hash_their_own_order(spark):
 
 def test_ordered_lag_over_a_hot_part(spark, skewed):
     df = spark.createDataFrame(skewed, "id int, v int, g string")
-    a = {r.id: r.p for r in O.ordered_lag(df, "g", "id", "v", "p", buckets=5, small=0).collect()}
+    a = {r.id: r.p for r in O.ordered_lag(df, "g", "id", "v", "p", buckets=5).collect()}
     b = {r.id: r.p for r in O.ordered_lag(df, "g", "id", "v", "p").collect()}
     last, want = {}, {}
     for i, v, g in skewed:
@@ -88,8 +90,26 @@ def test_ordered_lag_over_a_hot_part(spark, skewed):
 
 def test_group_hash_splits_a_line_repeated_without_end(spark):
     df = spark.createDataFrame([("g", "same")] * 950 + [("g", "z")] * 3, "g string, line string")
-    plain = hashlib.sha256(("same\n" * 950 + "z\n" * 3).encode()).hexdigest()
-    assert group_hash(df, "g", "line").first().hash == plain
-    leaves = [("same\n" * 400), ("same\n" * 400), ("same\n" * 150 + "z\n" * 3)]
-    node = hashlib.sha256("".join(hashlib.sha256(x.encode()).hexdigest() + "\n" for x in leaves).encode()).hexdigest()
-    assert group_hash(df, "g", "line", leaf=400, small=0).first().hash == hashlib.sha256((node + "\n").encode()).hexdigest()
+    assert group_hash(df, "g", "line", leaf=400).first().hash == tree(["same"] * 950 + ["z"] * 3, 400)
+
+
+def test_whole_volumes_do_not_overflow(spark):
+    from barloom.operators.windows import roll_prev_mean
+    bars = spark.range(1200).selectExpr("'I' as symbol", "date_add(date '2000-01-01', cast(id as int)) as date", "20000000000L as volume")
+    assert roll_prev_mean(bars, "volume", 20, 20, "m").agg(F.max("m")).first()[0] == 2e10
+
+
+def test_digest_sees_equal_rows_and_moved_values(spark):
+    from barloom.sources.sinks import changed_keys
+    frame = lambda *rows: spark.createDataFrame([("k", *r) for r in rows], "k string, a int, b int")
+    for old, new in (([(1, 1), (1, 1)], [(2, 2), (2, 2)]), ([(1, None)], [(None, 1)])):
+        assert changed_keys(frame(*old), frame(*new), "k").count() == 1
+    assert changed_keys(frame((1, None), (2, 3)), frame((2, 3), (1, None)), "k").count() == 0
+
+
+def test_null_fields_do_not_hide_a_conflict(spark):
+    from barloom.operators.cleaning import OPTIONAL, REQUIRED, symbol_days
+    fields = list(dict.fromkeys([*REQUIRED, *OPTIONAL, "SERIES", "SYMBOL", "DATE1"]))
+    row = lambda **k: [{"SERIES": "EQ", "SYMBOL": "S", "DATE1": "01-Jan-2024", **k}.get(f) for f in fields]
+    df = spark.createDataFrame([row(OPEN_PRICE="10"), row(LOW_PRICE="10")], ", ".join(f"{f} string" for f in fields))
+    assert symbol_days(df).first().conflict
