@@ -102,25 +102,27 @@ def _presence(batches):
             for c in (0, 1):
                 seen[c] += np.bincount((pair & ((1 << BITS) - 1))[y[pair >> BITS] == c], minlength=1 << BITS)
                 docs[c] += int((y == c).sum())
-    yield pa.RecordBatch.from_pydict({"seen": pa.array([seen.tobytes()], pa.binary()), "docs": pa.array([docs.tobytes()], pa.binary())})
+    yield pa.RecordBatch.from_pydict({"seen": pa.array([seen.astype(np.int32).tobytes()], pa.binary()), "docs": pa.array([docs.tobytes()], pa.binary())})
 
 
-def _chosen(keep):
-    """The same bags with the features that have a weight."""
+def _chosen(place):
+    """The same bags with the features that have a weight, each under its place among them."""
     def run(batches):
         for batch in batches:
             for y, features, lengths, doc in map(_unpacked, batch.to_pylist()):
-                good = keep.value[features]
+                at = place.value[features]
+                good = at >= 0
                 owner = np.repeat(np.arange(len(lengths)), lengths)[good]
                 yield pa.RecordBatch.from_pydict({k: pa.array([v.tobytes()], pa.binary()) for k, v in (
-                    ("y", y), ("features", features[good]), ("lengths", np.bincount(owner, minlength=len(lengths)).astype(np.int32)), ("doc", doc))})
+                    ("y", y), ("features", at[good]), ("lengths", np.bincount(owner, minlength=len(lengths)).astype(np.int32)), ("doc", doc))})
     return run
 
 
 def _gradient(model):
     """Partition sums: the gradient of the log-likelihood over weights and bias, and the number of documents."""
     def run(batches):
-        total, bias, docs = np.zeros(1 << BITS), 0.0, 0
+        size = len(model.value.weights)
+        total, bias, docs = np.zeros(size), 0.0, 0
         for batch in batches:
             for y, features, lengths, doc in map(_unpacked, batch.to_pylist()):
                 owner = np.repeat(np.arange(len(lengths)), lengths)
@@ -128,7 +130,7 @@ def _gradient(model):
                 clean = np.bincount(doc, _softplus(z), len(y))
                 pull = np.where(y == 1, np.exp(-clean) / np.maximum(-np.expm1(-clean), 1e-9), -1.0)
                 push = pull[doc] / (1 + np.exp(-z))
-                total += np.bincount(features, push[owner], 1 << BITS)
+                total += np.bincount(features, push[owner], size)
                 bias += push.sum()
                 docs += len(y)
         yield pa.RecordBatch.from_pydict({"total": pa.array([total.astype(np.float32).tobytes()], pa.binary()), "bias": pa.array([bias]), "docs": pa.array([docs], pa.int64())})
@@ -150,16 +152,21 @@ def fit(examples: DataFrame, steps: int = STEPS) -> Model:
     examples.repartition(PARTS).mapInArrow(_bags, packed).write.parquet(whole_at)
     whole = spark.read.parquet(whole_at).coalesce(PARTS)
     counts = whole.mapInArrow(_presence, "seen binary, docs binary").collect()                           # one sum a partition, PARTS at most
-    seen = sum((np.frombuffer(c.seen, np.int64).reshape(2, -1) for c in counts), np.zeros((2, 1 << BITS), dtype=np.int64))
+    seen = sum((np.frombuffer(c.seen, np.int32).reshape(2, -1) for c in counts), np.zeros((2, 1 << BITS), dtype=np.int64))
     docs = sum((np.frombuffer(c.docs, np.int64) for c in counts), np.zeros(2, dtype=np.int64))
-    model = Model(np.zeros(1 << BITS), BIAS)
     if not docs.all():
-        return model
+        return Model(np.zeros(1 << BITS), BIAS)
     rate, both = docs[1] / docs.sum(), seen.sum(axis=0)
     keep = seen[1] - both * rate >= EVIDENCE * np.sqrt(both * rate * (1 - rate) + 1)
-    spark.read.parquet(whole_at).mapInArrow(_chosen(spark.sparkContext.broadcast(keep)), packed).write.parquet(bags_at)
+    chosen = np.flatnonzero(keep)
+    place = np.full(1 << BITS, -1, dtype=np.int32)
+    place[chosen] = np.arange(len(chosen))
+    sent = spark.sparkContext.broadcast(place)
+    spark.read.parquet(whole_at).mapInArrow(_chosen(sent), packed).write.parquet(bags_at)
+    sent.destroy()
     bags = spark.read.parquet(bags_at).coalesce(PARTS)
-    mean, square = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+    model = Model(np.zeros(len(chosen)), BIAS)                  # only features with a weight travel between the driver and the steps
+    mean, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         sent = spark.sparkContext.broadcast(model)
         parts = bags.mapInArrow(_gradient(sent), "total binary, bias double, docs bigint").collect()      # likewise
@@ -170,7 +177,9 @@ def fit(examples: DataFrame, steps: int = STEPS) -> Model:
         sent.destroy()
     discard(spark, whole_at)
     discard(spark, bags_at)
-    return model
+    weights = np.zeros(1 << BITS)
+    weights[chosen] = model.weights
+    return Model(weights, model.bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
