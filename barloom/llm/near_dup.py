@@ -6,16 +6,17 @@
 2. Documents with one set form one class; only classes go on, so copies never meet in pairs.
 3. A bucket's candidates form a star around one of its members, never all pairs. The first hub is the bucket's least class, so that a family has the same hub
    in all its buckets. Star pairs are confirmed on the full sets. `TURNS - 1` more turns draw other hubs (the class nearest to one of four constants, in small
-   buckets to one of each bucket's own) for members whose component is still not the hub's; they end early when a turn finds no new link. No pair is tried
-   twice. A true pair shares about ten of the 32 buckets and needs one good hub in one of them.
-4. Components of the confirmed links; a class takes the least document id of its component.
+   buckets to one of each bucket's own) for members whose component is still not the hub's. No pair is tried twice.
+4. The rest is exact: while a bucket holds several components, members outside its largest one become hubs in turn, in waves of 1, 4, 16, ... hubs a bucket, are
+   tried with all members of other components, and leave the bucket. So every pair that shares a bucket is tried unless its ends are already connected.
+5. Components of the confirmed links; a class takes the least document id of its component.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
@@ -26,7 +27,7 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 REST = U64((1 << 57) - 1)              # bin: the 7 leading bits; rest: the others
 SHINGLE, PERCENT = 5, 75
-TURNS, SMALL_BUCKET = 6, 8             # stars drawn for each bucket; buckets of more members share four hubs a turn
+TURNS, SMALL_BUCKET = 3, 8             # stars drawn for each bucket before the rest; buckets of more members share four hubs a turn
 _TOWARD = [0, *(int(x) for x in mix(np.arange(1, TURNS, dtype=U64) + U64(31)).view(np.int64))]
 
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -146,6 +147,23 @@ def _star(members: DataFrame, turn: int, roots: DataFrame | None, tried: DataFra
     return star.select("a", "b")
 
 
+def _open(members: DataFrame, roots: DataFrame, left: DataFrame | None) -> DataFrame:
+    """(bucket, sid, root, main) of the buckets that still hold more than one component, without the members that left; main is the largest one's root."""
+    placed = members.filter("size > 2").select("bucket", "sid")
+    if left is not None:
+        placed = placed.join(left, ["bucket", "sid"], "left_anti")
+    placed = placed.join(roots.toDF("sid", "root"), "sid", "left").select("bucket", "sid", F.coalesce("root", "sid").alias("root"))
+    parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("parts > 1").drop("parts")
+    return placed.join(several, "bucket")
+
+
+def _wave(rest: DataFrame, hubs: DataFrame, tried: DataFrame) -> DataFrame:
+    """New pairs (a, b) of hubs and the members of other components in their buckets."""
+    ends = hubs.select("bucket", F.col("sid").alias("hub"), F.col("root").alias("its")).join(rest.select("bucket", "sid", "root"), "bucket").filter("root != its")
+    return ends.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+
 def _rerooted(roots: DataFrame, new: DataFrame) -> DataFrame:
     """Roots after more links: the components of the roots that the links join."""
     ends = new.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb"))
@@ -164,6 +182,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(alike).filter(F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None) -> DataFrame:
+    """Roots after the pairs are tried."""
+    new, _ = _store(_confirmed(pairs, sets, percent), "confirmed")
+    if roots is None:
+        return components(new, "a", "b")
+    return roots if new.isEmpty() else _store(_rerooted(roots, new), "roots")[0]
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id (least id reachable over links, its own included), kept (doc_id = component_id), text_key (a hash of the text).
 
@@ -189,20 +215,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(spark, sets_at)
         sets_at = more_at
 
-    roots = tried = None
+    roots = tried = left = None
     for turn in range(TURNS):
         pairs, _ = _store(_star(members, turn, roots, tried), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new, _ = _store(_confirmed(pairs, sets, percent), "confirmed")
-        if new.isEmpty():
-            if roots is None:
-                roots = new.toDF("node", "root")
-            if turn:
-                break
-        elif roots is None or turn == 0:
-            roots = components(new, "a", "b")
-        else:
-            roots, _ = _store(_rerooted(roots, new), "roots")
+        roots = _linked(pairs, sets, percent, roots)
+    wave = 0
+    while True:
+        rest, rest_at = _store(_open(members, roots, left), "rest")
+        if rest.isEmpty():
+            break
+        order = Window.partitionBy("bucket").orderBy(F.xxhash64("sid"), "sid")
+        hubs, _ = _store(rest.filter("root != main").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 1 << min(2 * wave, 30)).select("bucket", "sid", "root"), "hubs")
+        pairs, _ = _store(_wave(rest, hubs, tried), "pairs")
+        tried = tried.unionByName(pairs)
+        left = hubs.select("bucket", "sid") if left is None else left.unionByName(hubs.select("bucket", "sid"))
+        roots = _linked(pairs, sets, percent, roots)
+        discard(spark, rest_at)
+        wave += 1
     discard(spark, sets_at)
     discard(spark, members_at)
 
