@@ -77,6 +77,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups_of(docs)
 
 
+def test_near_duplicates_follow_chains_whose_hubs_link_with_few(spark):
+    words = [f"w{i}" for i in range(1200)]
+    docs = [(i, " ".join(["common opening of all chains here"] * 2 + words[i * 6:i * 6 + 80])) for i in range(60)]
+    docs += [(100 + i, " ".join(["common opening of all chains here"] * 2 + words[600 + i * 9:600 + i * 9 + 80])) for i in range(40)]
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups_of(docs)
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(odd).collect()))
     assert got[:8] == [(0, 1, 4, False), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (5, got[6][1], 5, True), (6, got[7][1], 5, False)]
