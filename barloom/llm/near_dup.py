@@ -7,8 +7,9 @@
 3. A bucket's candidates form a star around one of its members, never all pairs. The first hub is the bucket's least class, so that a family has the same hub
    in all its buckets. Star pairs are confirmed on the full sets. `TURNS - 1` more turns draw other hubs (the class nearest to one of four constants, in small
    buckets to one of each bucket's own) for members whose component is still not the hub's. No pair is tried twice.
-4. The rest is exact: while a bucket holds several components, members outside its largest one become hubs in turn, in waves of 1, 4, 16, ... hubs a bucket, are
-   tried with all members of other components, and leave the bucket. So every pair that shares a bucket is tried unless its ends are already connected.
+4. The rest is exact: where a bucket still holds several components, its members outside the largest one meet all members of other components, in blocks of
+   bounded size, by sketches of 1,024 bits. Two sketches differ in no more bits than their sets differ in shingles, so a pair that they rule out cannot be alike.
+   Of the pairs left each class first tries its nearest one, then all that are still unconnected are tried.
 5. Components of the confirmed links; a class takes the least document id of its component.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
@@ -28,6 +29,8 @@ BINS = BANDS * ROWS
 REST = U64((1 << 57) - 1)              # bin: the 7 leading bits; rest: the others
 SHINGLE, PERCENT = 5, 75
 TURNS, SMALL_BUCKET = 3, 8             # stars drawn for each bucket before the rest; buckets of more members share four hubs a turn
+SKETCH = 1024                          # bits
+OUTSIDE, INSIDE = 512, 4096            # members that meet in one block of the rest: about so many outside the largest component, and of all
 _TOWARD = [0, *(int(x) for x in mix(np.arange(1, TURNS, dtype=U64) + U64(31)).view(np.int64))]
 
 _SEPARATOR = np.zeros(256, dtype=bool)
@@ -111,12 +114,22 @@ def _sign(k: int):
     return run
 
 
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of `SKETCH` bits for each set: the parity of the number of hashes that fall on the bit."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.concatenate(sets) if sets else np.zeros(0, dtype=U64)
+    odd = np.bincount(row * SKETCH + (every % U64(SKETCH)).astype(np.int64), minlength=len(sets) * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), SKETCH // 64)
+
+
 def _list(k: int):
-    schema = pa.schema([("sid", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    schema = pa.schema([("sid", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches):
         for _, sets in _sets_of(batches, k):
-            yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([
+                pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(list(sketches(sets)), pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], schema=schema)
     return run
 
 
@@ -142,26 +155,62 @@ def _star(members: DataFrame, turn: int, roots: DataFrame | None, tried: DataFra
     star = star.filter(F.col("sid") != hub).select(F.least("sid", hub).alias("a"), F.greatest("sid", hub).alias("b")).distinct()
     if tried is not None:
         star = star.join(tried, ["a", "b"], "left_anti")
-    if roots is not None:
-        star = star.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b"))
-    return star.select("a", "b")
+    return star if roots is None else _apart_still(star, roots)
 
 
-def _open(members: DataFrame, roots: DataFrame, left: DataFrame | None) -> DataFrame:
-    """(bucket, sid, root, main) of the buckets that still hold more than one component, without the members that left; main is the largest one's root."""
-    placed = members.filter("size > 2").select("bucket", "sid")
-    if left is not None:
-        placed = placed.join(left, ["bucket", "sid"], "left_anti")
-    placed = placed.join(roots.toDF("sid", "root"), "sid", "left").select("bucket", "sid", F.coalesce("root", "sid").alias("root"))
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(bucket, sid, root, main, inside, outside) of the buckets that still hold more than one component: main is the largest one's root, inside the bucket's
+    members, outside those of other components than main."""
+    placed = members.filter("size > 2").select("bucket", "sid").join(roots.toDF("sid", "root"), "sid", "left").select("bucket", "sid", F.coalesce("root", "sid").alias("root"))
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = parts.groupBy("bucket").agg(F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main")).filter("parts > 1").drop("parts")
-    return placed.join(several, "bucket")
+    several = parts.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("parts"), F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("inside"), (F.sum("n") - F.max("n")).alias("outside"))
+    return placed.join(several.filter("parts > 1").drop("parts"), "bucket")
+
+
+def _apart():
+    """Bits in which the sketches x and y differ."""
+    return sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, SKETCH // 64)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+
+
+def _may_link(percent: int):
+    """Whether sets of n and m shingles with sketches x and y can be alike: d shingles in one of them only mean a similarity of (n + m - d) / (n + m + d), and d is
+    at least the difference of the sketches and of the sizes."""
+    d = F.greatest(_apart().cast("bigint"), F.abs(F.col("n") - F.col("m")))
+    return F.lit(100 + percent) * d <= F.lit(100 - percent) * (F.col("n") + F.col("m"))
 
 
-def _wave(rest: DataFrame, hubs: DataFrame, tried: DataFrame) -> DataFrame:
-    """New pairs (a, b) of hubs and the members of other components in their buckets."""
-    ends = hubs.select("bucket", F.col("sid").alias("hub"), F.col("root").alias("its")).join(rest.select("bucket", "sid", "root"), "bucket").filter("root != its")
-    return ends.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+def _rest(opened: DataFrame, sets: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """New pairs (a, b, ra, rb, apart) of the open buckets that lie in two components and may link: members outside the main component with all others."""
+    drawn = opened.join(sets.select("sid", "n", "sketch"), "sid")
+    rows, columns = F.ceil(F.col("outside") / OUTSIDE), F.ceil(F.col("inside") / INSIDE)
+
+    def dealt(over):
+        return F.pmod(F.xxhash64("sid"), over)
+
+    def each(over):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), over - 1))
+    hubs = drawn.filter("root != main").select("bucket", dealt(rows).alias("row"), each(columns).alias("column"), F.col("sid").alias("hub"), F.col("root").alias("its"), F.col("n").alias("m"), F.col("sketch").alias("y"))
+    ends = drawn.select("bucket", each(rows).alias("row"), dealt(columns).alias("column"), "sid", "root", "main", "n", F.col("sketch").alias("x"))
+    once = (F.col("root") == F.col("main")) | (F.col("hub") < F.col("sid"))
+    pairs = ends.join(hubs, ["bucket", "row", "column"]).filter(F.col("root") != F.col("its")).filter(once).filter(_may_link(percent))
+    first = F.col("hub") < F.col("sid")
+    pairs = pairs.select(
+        F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b"), F.when(first, F.col("its")).otherwise(F.col("root")).alias("ra"),
+        F.when(first, F.col("root")).otherwise(F.col("its")).alias("rb"), (_apart() / (F.col("n") + F.col("m"))).alias("apart"))
+    return pairs.distinct().join(tried, ["a", "b"], "left_anti")
+
+
+def _nearest(rest: DataFrame) -> DataFrame:
+    """Each class's nearest partner."""
+    both = rest.select("a", "b", F.col("a").alias("of"), "apart").unionByName(rest.select("a", "b", F.col("b").alias("of"), "apart"))
+    return both.groupBy("of").agg(F.min(F.struct("apart", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+
+
+def _apart_still(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in two components."""
+    placed = pairs.select("a", "b").join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "rb"), "b", "left")
+    return placed.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def _rerooted(roots: DataFrame, new: DataFrame) -> DataFrame:
@@ -173,13 +222,13 @@ def _rerooted(roots: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
+    """Pairs (a, b) whose full sets are similar enough; sets meet only where the sketches do not rule the pair out."""
+    small = sets.select("sid", "n", "sketch")
+    pairs = pairs.join(small.toDF("a", "n", "x"), "a").join(small.toDF("b", "m", "y"), "b").filter(_may_link(percent)).select("a", "b")
     left = sets.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    n, m = F.size("x"), F.size("y")
-    alike = F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
-    return pairs.join(left, "a").join(right, "b").filter(alike).filter(F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(F.lit(100) * both >= F.lit(percent) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int, roots: DataFrame | None) -> DataFrame:
@@ -208,31 +257,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     needed = members.select(F.col("doc_id").alias("needed")).distinct()
     texts = plain.select("doc_id", "text").join(needed, F.col("doc_id").eqNullSafe(F.col("needed")), "left_semi")
-    sets, sets_at = _store(texts.mapInArrow(_list(k), "sid bigint, shingles array<bigint>"), "sets")
+    sets, sets_at = _store(texts.mapInArrow(_list(k), "sid bigint, n bigint, sketch array<bigint>, shingles array<bigint>"), "sets")
     rows, names = sets.agg(F.count(F.lit(1)), F.count_distinct("sid")).first()
     if rows != names:                                          # rows that repeat an id
         sets, more_at = _store(sets.dropDuplicates(["sid"]), "sets")
         discard(spark, sets_at)
         sets_at = more_at
 
-    roots = tried = left = None
+    roots = tried = None
     for turn in range(TURNS):
         pairs, _ = _store(_star(members, turn, roots, tried), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = _linked(pairs, sets, percent, roots)
-    wave = 0
-    while True:
-        rest, rest_at = _store(_open(members, roots, left), "rest")
-        if rest.isEmpty():
-            break
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("sid"), "sid")
-        hubs, _ = _store(rest.filter("root != main").withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= 1 << min(2 * wave, 30)).select("bucket", "sid", "root"), "hubs")
-        pairs, _ = _store(_wave(rest, hubs, tried), "pairs")
-        tried = tried.unionByName(pairs)
-        left = hubs.select("bucket", "sid") if left is None else left.unionByName(hubs.select("bucket", "sid"))
-        roots = _linked(pairs, sets, percent, roots)
-        discard(spark, rest_at)
-        wave += 1
+    opened, opened_at = _store(_open(members, roots), "open")
+    rest, rest_at = _store(_rest(opened, sets, tried, percent), "rest")
+    if not rest.isEmpty():
+        near, near_at = _store(_nearest(rest), "pairs")
+        roots = _linked(near, sets, percent, roots)
+        roots = _linked(_apart_still(rest.join(near, ["a", "b"], "left_anti"), roots), sets, percent, roots)
+        discard(spark, near_at)
+    discard(spark, rest_at)
+    discard(spark, opened_at)
     discard(spark, sets_at)
     discard(spark, members_at)
 

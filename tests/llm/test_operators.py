@@ -85,6 +85,35 @@ def test_near_duplicates_follow_chains_whose_hubs_link_with_few(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups_of(docs)
 
 
+@pytest.mark.parametrize("blocks", [(3, 7), (512, 4096)])
+def test_near_duplicates_whose_stars_find_little(spark, monkeypatch, blocks):
+    monkeypatch.setattr(near_dup, "OUTSIDE", blocks[0])
+    monkeypatch.setattr(near_dup, "INSIDE", blocks[1])
+    rng, shared = random.Random(8), prose(random.Random(9), 60).split()
+    docs = [(i, " ".join(shared[:40 + i % 20] + prose(rng, 12 + i % 9).split())) for i in range(90)]
+    docs += [(200 + i, docs[i][1] + " again") for i in range(0, 90, 4)]
+    found, rest = [], near_dup._rest
+
+    def counted(*given):
+        pairs = rest(*given)
+        found.append(pairs.count())
+        return pairs
+    monkeypatch.setattr(near_dup, "_rest", counted)
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == groups_of(docs)
+    assert found[0] > 0
+
+
+def test_sketches_rule_no_alike_pair_out():
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 40, 300, 5000):
+        for share in (0.0, 0.05, 0.14, 0.3):
+            a = np.unique(near_dup.mix(rng.integers(0, 1 << 60, n).astype(np.uint64)))
+            b = np.unique(np.concatenate([a[int(n * share):], near_dup.mix(rng.integers(0, 1 << 60, int(n * share)).astype(np.uint64))]))
+            x, y = near_dup.sketches([a, b]).view(np.uint64)
+            assert int(np.bitwise_count(x ^ y).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_on_odd_rows(odd, none):
     got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(odd).collect()))
     assert got[:8] == [(0, 1, 4, False), (1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (4, 1, 4, True), (5, got[6][1], 5, True), (6, got[7][1], 5, False)]
