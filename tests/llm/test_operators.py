@@ -92,6 +92,7 @@ def test_near_duplicates_whose_stars_find_little(spark, monkeypatch, blocks):
     rng, shared = random.Random(8), prose(random.Random(9), 60).split()
     docs = [(i, " ".join(shared[:40 + i % 20] + prose(rng, 12 + i % 9).split())) for i in range(90)]
     docs += [(200 + i, docs[i][1] + " again") for i in range(0, 90, 4)]
+    monkeypatch.setattr(near_dup, "TURNS", 1)
     found, rest = [], near_dup._rest
 
     def counted(*given):
