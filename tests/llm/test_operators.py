@@ -89,9 +89,9 @@ def test_near_duplicates_follow_chains_whose_hubs_link_with_few(spark):
 def test_near_duplicates_whose_stars_find_little(spark, monkeypatch, blocks):
     monkeypatch.setattr(near_dup, "OUTSIDE", blocks[0])
     monkeypatch.setattr(near_dup, "INSIDE", blocks[1])
-    rng, shared = random.Random(8), prose(random.Random(9), 60).split()
-    docs = [(i, " ".join(shared[:40 + i % 20] + prose(rng, 12 + i % 9).split())) for i in range(90)]
-    docs += [(200 + i, docs[i][1] + " again") for i in range(0, 90, 4)]
+    words = [f"w{i}" for i in range(900)]
+    docs = [(i, " ".join(["common opening of all chains here"] * 2 + words[i * 6:i * 6 + 80])) for i in range(60)]
+    docs += [(200 + i, f"{docs[i][1]} again") for i in range(0, 60, 4)]
     monkeypatch.setattr(near_dup, "TURNS", 1)
     found, rest = [], near_dup._rest
 
