@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 U64 = np.uint64
 _STEP = 0x9E3779B97F4A7C15
 _UNSTEP = pow(_STEP, -1, 1 << 64)

@@ -20,7 +20,7 @@ from barloom.llm.text import U64, blocks, span_hashes
 
 END_ID = 0
 KNOWN = 0x3000                         # characters whose class is learned from the tokenizer
-MAX_PIECES = 1_000_000                 # pieces a worker remembers; then it starts anew
+MAX_PIECES = 1 << 18                   # pieces a worker remembers; then it starts anew
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.enable.dictionary": "true",
           "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = range(5)
