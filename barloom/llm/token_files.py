@@ -20,7 +20,7 @@ from barloom.llm.text import U64, blocks, span_hashes
 
 END_ID = 0
 KNOWN = 0x3000                         # characters whose class is learned from the tokenizer
-MAX_PIECES = 1 << 18                   # pieces a worker remembers; then it starts anew
+MAX_PIECES = 1_000_000                 # pieces a worker remembers; then it starts anew
 LAYOUT = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(256 << 10), "parquet.page.row.count.limit": "2000", "parquet.enable.dictionary": "true",
           "parquet.dictionary.page.size": str(1 << 20), "parquet.writer.version": "PARQUET_2_0", "compression": "zstd"}
 _LETTER, _NUMBER, _OTHER, _SPACE, _UNKNOWN = range(5)
@@ -47,7 +47,7 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known, self.number = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64)      # sorted hashes and their pieces' numbers: 16 bytes a piece
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.first, self.length = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
 
@@ -79,7 +79,7 @@ class Encoder:
             begin = begin[:n]
         return np.flatnonzero(begin)
 
-    def _learn(self, texts: list[str], hashes: list[int]) -> None:
+    def _learn(self, texts: list[str], hashes: np.ndarray) -> None:
         encoded = self.whole(texts)
         flat = np.fromiter((i for ids in encoded for i in ids), dtype=np.int32)
         lengths = np.array([len(ids) for ids in encoded])
@@ -91,7 +91,8 @@ class Encoder:
         self.flat[self.used:self.used + len(flat)] = flat
         self.first[at:at + more], self.length[at:at + more] = self.used + np.cumsum(lengths) - lengths, lengths
         self.used += len(flat)
-        self.known.update(zip(hashes, range(at, at + more), strict=True))
+        where = np.searchsorted(self.known, hashes)
+        self.known, self.number = np.insert(self.known, where, hashes), np.insert(self.number, where, np.arange(at, at + more))
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block of texts, and the number of ids of each."""
@@ -115,11 +116,12 @@ class Encoder:
         firsts = order[new]
         if len(self.known) + len(firsts) > MAX_PIECES:
             self.forget()
-        unique = hashes[firsts].tolist()
-        missing = [i for i, h in enumerate(unique) if h not in self.known]
-        if missing:
-            self._learn([joined[a:b] for a, b in zip(starts[firsts[missing]].tolist(), ends[firsts[missing]].tolist(), strict=True)], [unique[i] for i in missing])
-        place = np.fromiter(map(self.known.__getitem__, unique), dtype=np.int64, count=len(unique))
+        unique = hashes[firsts]
+        at = np.minimum(np.searchsorted(self.known, unique), max(len(self.known) - 1, 0))
+        missing = self.known[at] != unique if len(self.known) else np.ones(len(unique), dtype=bool)
+        if missing.any():
+            self._learn([joined[a:b] for a, b in zip(starts[firsts[missing]].tolist(), ends[firsts[missing]].tolist(), strict=True)], unique[missing])
+        place = self.number[np.searchsorted(self.known, unique)]
         piece = np.empty(len(hashes), dtype=np.int64)
         piece[order] = place[np.cumsum(new) - 1]
         lengths = self.length[piece]
