@@ -153,7 +153,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
                 hit = np.concatenate(([0], np.cumsum(sent.value.maybe[(seeds >> U64(42)).astype(np.int64)])))
                 for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
                     stop = max(i, j - least + 1)
-                    found.append(sent.value.matches(words[i:j], coverage, seeds[i:stop]) if hit[stop if j - i >= least else i] > hit[i] else [])
+                    found.append(sent.value.matches(words[i:j], coverage, seeds[i:stop]) if j - i >= least and hit[stop] > hit[i] else [])     # a shorter text has no place in `hit`
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _MATCH)], names=[*batch.schema.names, name])
 
     return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, `{name}` {MATCH}"), name

@@ -156,6 +156,17 @@ def test_contamination_finds_copies_and_reordered_passages(spark, odd, none, sen
     assert decontaminate.clean(docs, items(spark).limit(0), sent_words=sent).count() == 6
 
 
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_contamination_of_short_texts_at_the_end_of_a_block(spark, sent):
+    """Texts of fewer words than a seed have none, wherever they stand in their block."""
+    tail = ["", None, "one two three", "one two three four", "!!!", "one"]
+    rows = [(1, f"{ITEM} {prose(random.Random(9), 50)}"), *enumerate(tail, 2)]
+    for end in range(2, len(rows) + 1):
+        docs = spark.createDataFrame(rows[:end], "doc_id bigint, text string").coalesce(1)
+        assert [(r.doc_id, r.item_id) for r in decontaminate.contamination(docs, items(spark), sent_words=sent).collect()] == [(1, 1)]
+        assert decontaminate.clean(docs, items(spark), sent_words=sent).count() == end - 1
+
+
 def greedy(item, text, least):
     """Longest free common run first, by looking at every pair of places."""
     used_i, used_t, total = set(), set(), 0
