@@ -258,6 +258,38 @@ def test_language(spark, odd, none):
     assert langid.languages(odd).count() == odd.count() and langid.languages(none).count() == 0
 
 
+def sounded(n, share=2):
+    """`n` documents of two languages; one in `share` is of the second."""
+    rng, sounds = random.Random(4), {"xx": ["ka", "to", "mi", "re"], "yy": ["sch", "ung", "ver", "ein"]}
+    return [(i, " ".join("".join(rng.choice(sounds[g]) for _ in range(3)) for _ in range(12)), g) for i in range(n) for g in ["yy" if i % share == 0 else "xx"]]
+
+
+def test_language_is_the_same_where_counts_stay_in_tables(spark, odd, none, monkeypatch):
+    rows = [*sounded(200), (900, None, "xx"), (901, "12 !", "xx"), (902, "", None), (903, "a", None), (904, "qqq kato 中文 verein", None), (905, "zzzz", None), (904, "kato mire", "xx"), (906, "中文字中文", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    some = langid.fit(docs)
+    want = sorted((tuple(r) for r in langid.languages(docs).collect()), key=str)
+    monkeypatch.setattr(langid, "MAX_GRAMS", 10)
+    assert isinstance(langid.fit(docs), langid.Tables) and some.order == langid.ORDER
+    got = sorted((tuple(r) for r in langid.languages(docs).collect()), key=str)
+    assert len(got) == len(want) == len(rows)
+    for a, b in zip(got, want, strict=True):
+        assert (a[:3], a[5:]) == (b[:3], b[5:]) and math.isclose(a[3], b[3], rel_tol=1e-9) and (a[4] == b[4] or math.isclose(a[4], b[4], rel_tol=1e-9))
+    assert langid.languages(odd).count() == odd.count() and langid.languages(none).count() == 0
+
+
+def test_rejection_is_calibrated_for_each_language(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CALIBRATION", 5)
+    docs = spark.createDataFrame(sounded(400, 40), "doc_id bigint, text string, lang string")
+    assert np.isfinite(langid.fit(docs).limits).all()
+
+
+def test_grams_do_not_depend_on_the_texts_beside():
+    for text in ["kato", "a", "", "ver ein!", "12"]:
+        alone, (keys, doc, letters) = langid.grams([text]), langid.grams(["mire", text, "x"])
+        assert (alone[0] == keys[doc == 1]).all() and len(alone[0]) == (doc == 1).sum() and alone[2][0] == letters[1]
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     text = "".join(rng.choice(list("abc d"), 400))
