@@ -90,7 +90,12 @@ def op5_chat(spark, sf_dir):
 
 @_query
 def op7_licenses(spark, sf_dir):
-    """The licence of every document, its own or its directory's; a document's directory is its source and language."""
+    """The licence of every document, its own or its directory's. A hundred ids of a source and language share a directory, with three folders below it; a document
+    that ends in a notice is a licence file of the directory."""
     docs = _table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    number = F.col("doc_id").cast("bigint")
+    above = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.coalesce(F.floor(number / 100).cast("string"), F.lit("none")))
+    ends = F.substring_index(F.rtrim("text"), "\n", -1).rlike(r"(?i)licen[cs]|all rights reserved")
+    name = F.coalesce(number.cast("string"), F.lit("none"))
+    path = F.when(ends, F.concat_ws("/", above, F.concat(F.lit("LICENSE-"), name))).otherwise(F.concat_ws("/", above, F.pmod(number, F.lit(3)).cast("string"), F.concat(name, F.lit(".txt"))))
     return licenses.scan(docs.select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")).withColumnRenamed("file_id", "doc_id")

@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barloom.llm import chat, components, decontaminate, knn, langid, licenses, mixing, near_dup, quality, token_files, toxicity
+from barloom.llm import chat, components, decontaminate, knn, langid, licenses, mixing, near_dup, quality, queries, token_files, toxicity
 from barloom.session import fresh_dir
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, matches string"
@@ -400,3 +400,22 @@ def test_licences_are_inherited_from_the_nearest_directory(spark, none):
     got = {r.file_id: (r.license, r.found) for r in licenses.scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
     assert got == {1: ("GPL", "own"), 2: ("MIT", "inherited"), 3: ("MIT", "own"), 4: ("MIT", "own"), 5: (None, "none"), 6: (None, "none"), 7: ("GPL", "inherited"), 8: ("MIT", "inherited"), 9: (None, "none")}
     assert licenses.scan(none.selectExpr("doc_id as file_id", "source as path", "text")).count() == 0
+
+
+def test_notices_of_other_families(spark):
+    bsd2 = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause")
+    bsd3 = next(t for n, t in licenses.TEMPLATES if n == "BSD-3-Clause" and "Neither" in t)
+    want = {"All rights reserved.": "All-Rights-Reserved", "prose\nAll rights reserved.\nReleased under the MIT License.": "MIT", "# SPDX-License-Identifier: MIT": "MIT", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint x;": "GPL",
+            "SPDX-License-Identifier: (MIT OR Apache-2.0)": "MIT OR Apache-2.0", "SPDX-License-Identifier: Zlib": "Zlib", "Licensed under the GNU Affero General Public License, version 3": "AGPL", "This software is proprietary and confidential.": "Proprietary",
+            "This is free and unencumbered software released into the public domain.": "Unlicense", f"Copyright (c) 2020, A. Author\nAll rights reserved.\n\n{bsd2}": "BSD-2-Clause", f"Copyright (c) 2020, A. Author\nAll rights reserved.\n\n{bsd3}": "BSD-3-Clause",
+            "the rights of all readers": None, "an identifier: none": None}
+    rows = [(i, f"d{i}/x.txt", t) for i, t in enumerate([*want, *["plain words of prose here"] * 30])]
+    got = {r.file_id: r.license for r in licenses.scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
+    assert {t: got[i] for i, t in enumerate(want)} == want
+
+
+def test_documents_below_a_licence_file_inherit(spark, tmp_path):
+    rows = [(1, "prose\nReleased under the MIT License.", "en", "a"), (2, "prose", "en", "a"), (3, "prose", "fr", "a"), (104, "prose", "en", "a"), (5, None, "en", "a"), (None, "prose", None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.license, r.found) for r in queries.op7_licenses(spark, str(tmp_path)).collect()}
+    assert got == {1: ("MIT", "own"), 2: ("MIT", "inherited"), 3: (None, "none"), 104: (None, "none"), 5: ("MIT", "inherited"), None: (None, "none")}
