@@ -38,7 +38,7 @@ def unescape(text: str) -> str:
 @lru_cache(maxsize=2)
 def byte_table(path: str) -> list[bytes]:
     """The bytes of each id of a byte-level vocabulary."""
-    tokenizer = encoder(path).tokenizer
+    tokenizer = encoder(path, True).tokenizer
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in visible)}
     return [bytes(byte.get(c, 0) for c in tokenizer.id_to_token(i) or "") for i in range(tokenizer.get_vocab_size(with_added_tokens=False))]
@@ -57,7 +57,7 @@ def mask_of(ids: np.ndarray, role_id_counts: list[int], assistant: list[int]) ->
 def _turns(path: str):
     """Each turn as ids: BEGIN, role, TEXT, escaped text, END."""
     def run(batches):
-        tool = encoder(path)
+        tool = encoder(path, True)
         for batch in batches:
             roles, texts = ([t or "" for t in batch.column(i).to_pylist()] for i in (2, 3))
             escaped = [escape(t) for t in texts]
@@ -106,7 +106,7 @@ def read_turn(ids: np.ndarray, table: list[bytes]) -> tuple[str, str]:
 def _read(tokenizer: str):
     """Digests of each conversation, from rows in order of conversation and turn; one conversation's state is held at a time."""
     def run(batches):
-        table, assistant = byte_table(tokenizer), encoder(tokenizer).block(["assistant"])[0].tolist()
+        table, assistant = byte_table(tokenizer), encoder(tokenizer, True).block(["assistant"])[0].tolist()
         state = None
 
         def row():

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.text import U64, blocks, char_table, code_points, shingles, span_hashes, spans
+from barloom.llm.text import blocks, char_table, code_points, free_name, shingles, span_hashes, spans, U64
 
 MIN_MATCH, COVERAGE = 5, 0.5
 SENT_WORDS = 1_000_000                 # a benchmark of no more words (about 20 bytes each) is sent to every task
@@ -110,12 +110,6 @@ class Bench:
         return sorted(out, key=lambda m: (-m["coverage"], m["item_id"]))
 
 
-def _name(df: DataFrame, base: str) -> str:
-    while base in df.columns:
-        base += "_"
-    return base
-
-
 def _items(benchmark: DataFrame) -> DataFrame:
     """One row per item with a text; of rows that repeat an id each counts."""
     return benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null").distinct()
@@ -134,7 +128,7 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH,
 
     Null and empty texts contain nothing. An item of fewer than `least` words, or null, is contained in nothing. Rows that repeat an id are judged by their own
     text; all other columns pass. Empty tables are allowed on either side."""
-    spark, name, items = docs.sparkSession, _name(docs, "matches"), _items(benchmark)
+    spark, name, items = docs.sparkSession, free_name(docs.columns, "matches"), _items(benchmark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     size = items.select("text").mapInArrow(_word_counts, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     if size > sent_words:
@@ -183,8 +177,10 @@ def _joined(docs: DataFrame, items: DataFrame, name: str, least: int, coverage:
     pairs = left.join(right, "seed").select("k", "item_id").distinct()
     both = pairs.join(texts.withColumnRenamed("text", "doc"), "k").join(items, "item_id").select("k", "item_id", "doc", "text")
     found = both.mapInArrow(tile, f"k binary, m {MATCH[6:-1]}").groupBy("k").agg(F.array_sort(F.collect_list(F.struct((-F.col("m.coverage")).alias("o"), F.col("m.item_id").alias("i"), "m"))).alias("ms"))
-    found = found.select("k", F.transform("ms", lambda x: x["m"]).alias("_found"))
-    return docs.withColumn("_key", key).join(found.withColumnRenamed("k", "_key"), "_key", "left").select(*docs.columns, F.coalesce("_found", F.expr(f"cast(array() as {MATCH})")).alias(name))
+    found = found
+    key_at, found_at = free_name(docs.columns, "_key"), free_name(docs.columns, "_found")
+    found = found.select(F.col("k").alias(key_at), F.transform("ms", lambda x: x["m"]).alias(found_at))
+    return docs.withColumn(key_at, key).join(found, key_at, "left").select(*docs.columns, F.coalesce(found_at, F.expr(f"cast(array() as {MATCH})")).alias(name))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:

@@ -68,15 +68,16 @@ def _cells(pivots, query: bool, most: dict[int, float]):
     return run
 
 
-def visits(pivots: dict[int, np.ndarray], ours: list, theirs: list, k: int) -> list[tuple[int, int, int]]:
-    """(dim, query cell, candidate cell) that must meet. `ours`: rows of query cells (dim, cell, radius); `theirs`: of candidate cells (dim, cell, nearest, radius, gaps)."""
+def visits(pivots: dict[int, np.ndarray], ours: list, theirs: list, k: int, own: int = 1) -> list[tuple[int, int, int]]:
+    """(dim, query cell, candidate cell) that must meet. `ours`: rows of query cells (dim, cell, radius); `theirs`: of candidate cells (dim, cell, nearest, radius, gaps),
+    a gap for each id at most. `own`: in how many cells one query's id may stand."""
     out = []
     for dim, p in pivots.items():
         apart = np.sqrt(np.maximum((p ** 2).sum(axis=1)[:, None] - 2 * p @ p.T + (p ** 2).sum(axis=1), 0))
         cells = [t for t in theirs if t.dim == dim]
         for q in (o for o in ours if o.dim == dim):
             reach = sorted(q.radius + apart[q.cell, t.cell] + g for t in cells for g in t.gaps)
-            bound = reach[k] if len(reach) > k else np.inf                    # one candidate may be the query itself
+            bound = reach[k + own - 1] if len(reach) >= k + own else np.inf   # so many gaps may be of the query's own id
             out += [(dim, q.cell, t.cell) for t in cells if max(apart[q.cell, t.cell] - q.radius - t.radius, t.nearest - apart[q.cell, t.cell] - q.radius) <= bound * (1 + 1e-9) + 1e-6]
     return out
 
@@ -132,12 +133,14 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = TOP) -> DataFrame:
 
     ours = queries.groupBy("dim", "cell").agg(F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n")).collect()                 # PIVOTS rows
     sizes = candidates.groupBy("dim", "cell").agg(F.min("gap").alias("nearest"), F.max("gap").alias("radius"), F.count(F.lit(1)).alias("n"))
-    salted = candidates.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     from pyspark.sql import Window
-    near = salted.withColumn("r", F.row_number().over(Window.partitionBy("dim", "cell", "salt").orderBy("gap"))).filter(F.col("r") <= k + 1)
-    gaps = near.groupBy("dim", "cell").agg(F.slice(F.array_sort(F.collect_list("gap")), 1, k + 1).alias("gaps"))                    # 64 (k + 1) numbers a cell
+    apart = candidates.filter(F.col("vec_id") % every == 0).select("vec_id", "dim", "cell").distinct().groupBy("vec_id", "dim").count()
+    own = apart.agg(F.coalesce(F.max("count"), F.lit(1))).first()[0]                                                                 # 1 where ids are unique, PIVOTS at most
+    salted = candidates.groupBy("dim", "cell", "vec_id").agg(F.min("gap").alias("gap")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    near = salted.withColumn("r", F.row_number().over(Window.partitionBy("dim", "cell", "salt").orderBy("gap"))).filter(F.col("r") <= k + own)
+    gaps = near.groupBy("dim", "cell").agg(F.slice(F.array_sort(F.collect_list("gap")), 1, k + own).alias("gaps"))                  # 64 (k + own) numbers a cell
     theirs = sizes.join(gaps, ["dim", "cell"]).collect()                                                                            # PIVOTS rows
-    meet = visits(pivots, ours, theirs, k)
+    meet = visits(pivots, ours, theirs, k, own)
     if not meet:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
 

@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.text import free_name
 from barloom.session import fresh_dir
 
 SEED = "mix-1"
 SENT_NUMBERS = 1 << 20                 # the table of sources is sent to every task up to so many 8-byte numbers, and joined by shuffle beyond
+OWN = ("copy", "copies", "mix_order")   # columns added to the documents'
 TEMPERATURE = 0.5                      # a source of n documents weighs n ** TEMPERATURE where no weights are given
 
 
@@ -58,16 +60,17 @@ def mixed(docs: DataFrame, weights: DataFrame | None = None, size: float | None
 
     `size` is the expected number of rows (default: as many as there are). Rows that repeat an id draw alike. A null source is one more source, a null id one
     more id; texts are never looked at. Clashing columns named copy, copies or mix_order are replaced. An empty table gives no rows."""
-    kept = [c for c in docs.columns if c not in ("copy", "copies", "mix_order")]
-    table = rates(docs, weights, size).mapInArrow(_cdfs, "src string, rate double, cdf array<double>").select("src", "cdf")
+    kept = [c for c in docs.columns if c.lower() not in OWN]
+    src, cdf, drawn_at = (free_name(docs.columns, c) for c in ("src", "cdf", "_u"))
+    table = rates(docs, weights, size).mapInArrow(_cdfs, "src string, rate double, cdf array<double>").select(F.col("src").alias(src), F.col("cdf").alias(cdf))
     path = fresh_dir(docs.sparkSession, "rates")
     table.write.parquet(path)
     table = docs.sparkSession.read.parquet(path)
-    numbers = table.agg(F.coalesce(F.sum(F.size("cdf") + 8), F.lit(0))).first()[0]
+    numbers = table.agg(F.coalesce(F.sum(F.size(cdf) + 8), F.lit(0))).first()[0]
     table = F.broadcast(table) if numbers <= SENT_NUMBERS else table
     uniform = _hash(seed, 13, F.col("doc_id")) / F.lit(float(1 << 52))
-    drawn = docs.select(*kept).join(table, F.col("source").eqNullSafe(F.col("src"))).withColumn("_u", uniform)
-    drawn = drawn.withColumn("copies", F.size(F.expr("filter(cdf, c -> c <= _u)")).cast("bigint")).filter("copies > 0")
+    drawn = docs.select(*kept).join(table, F.col("source").eqNullSafe(F.col(src))).withColumn(drawn_at, uniform)
+    drawn = drawn.withColumn("copies", F.size(F.filter(cdf, lambda c: c <= F.col(drawn_at))).cast("bigint")).filter("copies > 0")
     dealt = drawn.select(*kept, F.explode(F.sequence(F.lit(1).cast("bigint"), "copies")).alias("copy"), "copies")
     dealt = dealt.withColumn("mix_order", _hash(seed, 15, F.col("doc_id"), F.col("copy")))
     return dealt.repartition("mix_order").sortWithinPartitions("mix_order", "doc_id", "copy")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.components import components
-from barloom.llm.text import U64, blocks, mix, shingles, span_hashes, spans, utf8
+from barloom.llm.text import blocks, free_name, mix, shingles, span_hashes, spans, U64, utf8
 from barloom.session import discard, fresh_dir
 
 BANDS, ROWS = 32, 4
@@ -293,15 +293,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay: one of each group, that of least id (of rows that repeat this id the one of least text hash), and all texts without words."""
     rows, _ = _store(near_duplicates(docs), "groups")
+    gone_at, key_at, text_at = (free_name(docs.columns, c) for c in ("_gone", "_key", "_text"))
     worded = rows.filter("n_shingles > 0")
     stay = worded.filter("kept").groupBy("component_id").agg(F.min("text_key").alias("least"))
     gone = worded.join(stay, worded["component_id"].eqNullSafe(stay["component_id"]), "left")
-    gone = gone.filter(~F.col("kept") | (F.col("text_key") != F.col("least"))).select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).distinct()
-    again = worded.filter("kept").groupBy(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_gone", "_key")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_gone")) & (F.xxhash64("text") == F.col("_key"))
+    gone = gone.filter(~F.col("kept") | (F.col("text_key") != F.col("least"))).select(F.col("doc_id").alias(gone_at), F.col("text_key").alias(key_at)).distinct()
+    again = worded.filter("kept").groupBy(F.col("doc_id").alias(gone_at), F.col("text_key").alias(key_at)).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(gone_at, key_at)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(gone_at)) & (F.xxhash64("text") == F.col(key_at))
     left = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return left
-    key = F.xxhash64("text").alias("_text")
-    once = left.join(again, same, "left_semi").select("*", key).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    key = F.xxhash64("text").alias(text_at)
+    once = left.join(again, same, "left_semi").select("*", key).dropDuplicates(["doc_id", text_at]).drop(text_at)
     return left.join(again, same, "left_anti").unionByName(once)

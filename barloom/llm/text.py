@@ -82,6 +82,14 @@ def char_table(test: Callable[[str], bool]) -> np.ndarray:
     return np.fromiter((test(chr(i)) for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that none of these is."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def string_lists(batches, *columns: str) -> Iterator[tuple]:
     """Of each Arrow batch: the batch, and the named columns as lists, null texts empty."""
     for batch in batches:

@@ -32,13 +32,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class Encoder:
-    """Encodes blocks of texts with a byte-level BPE of the tokenizers library."""
+    """Encodes blocks of texts with a byte-level BPE of the tokenizers library. An added token's string in a text is its id, as the library has it, or with `ordinary`
+    text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True          # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = ordinary
+        self.added = [] if ordinary else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         whole = lambda s: len(self.tokenizer.pre_tokenizer.pre_tokenize_str(s)) == 1
         self.classes = np.full(KNOWN + 1, _UNKNOWN, dtype=np.uint8)
         for i in range(KNOWN):
@@ -102,8 +104,10 @@ class Encoder:
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
         offsets = np.cumsum([0, *map(len, texts)])
         kind = self.classes[np.minimum(codes, KNOWN)]
-        if (kind == _UNKNOWN).any():
-            alone = [self.whole([t])[0] if t and (ord(max(t)) >= KNOWN) else None for t in texts]
+        alone = [None] * len(texts)
+        if (kind == _UNKNOWN).any() or any(a in joined for a in self.added):
+            alone = [self.whole([t])[0] if t and (ord(max(t)) >= KNOWN or any(a in t for a in self.added)) else None for t in texts]
+        if any(w is not None for w in alone):
             ids, counts = self.block(["" if w is not None else t for t, w in zip(texts, alone, strict=True)])
             cut = np.split(ids, np.cumsum(counts)[:-1])
             parts = [np.array(w, dtype=np.int32) if w is not None else c for c, w in zip(cut, alone, strict=True)]
@@ -133,9 +137,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, ordinary: bool = False) -> Encoder:
     """One encoder a worker, kept between tasks."""
-    return Encoder(path)
+    return Encoder(path, ordinary)
 
 
 def _encode(path: str, end_id: int):

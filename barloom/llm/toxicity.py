@@ -1,6 +1,7 @@
 """Toxicity by multiple-instance learning: a document is toxic if one of its sentences is.
 
-A sentence's logit is a bias plus the weights of its features (hashed words and word beginnings); a document's probability is the noisy-or of its sentences'
+A sentence's logit is a bias plus the weights of its features (hashed words and word beginnings); one without a weighted feature has no part, so that length alone
+condemns no text. A document's probability is the noisy-or of its sentences'
 probabilities. The weights are learned from document labels alone by gradient steps whose gradients are summed per partition; only features that stand in clearly
 more toxic documents than chance allows have a weight, so that rare words of toxic documents explain nothing. Afterwards the sentence probabilities say where the
 offence stands."""
@@ -63,9 +64,13 @@ def instances(texts: list[str]) -> tuple[np.ndarray, ...]:
 class Model:
     weights: np.ndarray
     bias: float
+    chosen: np.ndarray                     # features that have a weight
 
     def logits(self, features: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(owner, self.weights[features], n) + self.bias
+        """Log-odds of each instance; of one without a weighted feature minus infinity, a probability of 0."""
+        z = np.bincount(owner, self.weights[features], n) + self.bias
+        z[np.bincount(owner, self.chosen[features], n) == 0] = -np.inf
+        return z
 
 
 def _softplus(z: np.ndarray) -> np.ndarray:
@@ -129,7 +134,7 @@ def _gradient(model):
                 z = model.value.logits(features, owner, len(lengths))
                 clean = np.bincount(doc, _softplus(z), len(y))
                 pull = np.where(y == 1, np.exp(-clean) / np.maximum(-np.expm1(-clean), 1e-9), -1.0)
-                push = pull[doc] / (1 + np.exp(-z))
+                push = pull[doc] * np.exp(-_softplus(-z))
                 total += np.bincount(features, push[owner], size)
                 bias += push.sum()
                 docs += len(y)
@@ -145,7 +150,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn, max_fit: int
 
 
 def fit(examples: DataFrame, steps: int = STEPS) -> Model:
-    """A model from (y, text) rows; without examples of both classes it scores all sentences alike, by the bias."""
+    """A model from (y, text) rows; without examples of both classes every sentence and text scores 0."""
     spark = examples.sparkSession
     packed = "y binary, features binary, lengths binary, doc binary"
     whole_at, bags_at = fresh_dir(spark, "bags"), fresh_dir(spark, "bags")
@@ -155,7 +160,7 @@ def fit(examples: DataFrame, steps: int = STEPS) -> Model:
     seen = sum((np.frombuffer(c.seen, np.int32).reshape(2, -1) for c in counts), np.zeros((2, 1 << BITS), dtype=np.int64))
     docs = sum((np.frombuffer(c.docs, np.int64) for c in counts), np.zeros(2, dtype=np.int64))
     if not docs.all():
-        return Model(np.zeros(1 << BITS), BIAS)
+        return Model(np.zeros(1 << BITS), BIAS, np.zeros(1 << BITS, dtype=bool))
     rate, both = docs[1] / docs.sum(), seen.sum(axis=0)
     keep = seen[1] - both * rate >= EVIDENCE * np.sqrt(both * rate * (1 - rate) + 1)
     chosen = np.flatnonzero(keep)
@@ -165,7 +170,8 @@ def fit(examples: DataFrame, steps: int = STEPS) -> Model:
     spark.read.parquet(whole_at).mapInArrow(_chosen(sent), packed).write.parquet(bags_at)
     sent.destroy()
     bags = spark.read.parquet(bags_at).coalesce(PARTS)
-    model = Model(np.zeros(len(chosen)), BIAS)                  # only features with a weight travel between the driver and the steps
+    every = np.ones(len(chosen), dtype=bool)
+    model = Model(np.zeros(len(chosen)), BIAS, every)                  # only features with a weight travel between the driver and the steps
     mean, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for step in range(1, steps + 1):
         sent = spark.sparkContext.broadcast(model)
@@ -173,20 +179,20 @@ def fit(examples: DataFrame, steps: int = STEPS) -> Model:
         gradient = np.append(sum(np.frombuffer(p.total, np.float32).astype(np.float64) for p in parts) - PRIOR * model.weights, sum(p.bias for p in parts)) / docs.sum()
         mean, square = 0.9 * mean + 0.1 * gradient, 0.99 * square + 0.01 * gradient ** 2
         move = RATE * (mean / (1 - 0.9 ** step)) / (np.sqrt(square / (1 - 0.99 ** step)) + 1e-6)
-        model = Model(model.weights + move[:-1], model.bias + move[-1])
+        model = Model(model.weights + move[:-1], model.bias + move[-1], every)
         sent.destroy()
     discard(spark, whole_at)
     discard(spark, bags_at)
     weights = np.zeros(1 << BITS)
     weights[chosen] = model.weights
-    return Model(weights, model.bias)
+    return Model(weights, model.bias, keep)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """`docs`' doc_id with score, n_sentences, and the worst instance's probability and place (characters of the lower-cased text); texts without words score 0."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    sent = spark.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))
+    sent = spark.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.chosen))
 
     def run(batches):
         for batch, texts in string_lists(batches, "text"):
@@ -198,7 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 worst = order[np.concatenate(([True], doc[order][1:] != doc[order][:-1]))] if len(doc) else order
                 place = [None] * (b - a)
                 for i in worst.tolist():
-                    place[doc[i]] = {"probability": float(1 / (1 + np.exp(-z[i]))), "start": int(start[i]), "end": int(end[i])}
+                    place[doc[i]] = {"probability": float(np.exp(-_softplus(-z[i]))), "start": int(start[i]), "end": int(end[i])}
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(a, b - a), pa.array(noisy_or(z, doc, b - a)), pa.array(np.bincount(doc, minlength=b - a).astype(np.int64)),
                     pa.array(place, pa.struct([("probability", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))], names=["doc_id", "score", "n_sentences", "worst"])
@@ -214,17 +220,20 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Data
     """One row per row of `docs`: doc_id, held_out, score (0 to 1), predicted, n_sentences, worst (where the most toxic sentence stands).
 
     Null, empty and wordless texts score 0. Rows that repeat an id are scored by their own text. Labels of unknown ids, null labels and ids labelled both ways
-    are passed over; without usable labels every text scores by the fixed bias. Other columns are ignored; an empty table gives no rows."""
+    are passed over; without usable labels every text scores 0. Other columns are ignored; an empty table gives no rows."""
     model = fit(labelled(docs, labels, "toxic", learnable()))
     return score(docs, model).select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "n_sentences", "worst")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of `docs` that score below the threshold, unchanged; one more pass over the texts, no join."""
+    """The rows of `docs` that score below the threshold, unchanged; one more pass over the texts, no join.
+
+    Null, empty and wordless texts stay, and so do all rows without labels of both classes. Rows that repeat an id are judged by their own text; a text of any length
+    goes only for pieces with weighted features. All columns pass, whatever their names; an empty table gives no rows."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = fit(labelled(docs, labels, "toxic", learnable()))
-    sent = spark.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias))
+    sent = spark.sparkContext.broadcast(Model(model.weights.astype(np.float32), model.bias, model.chosen))
     text_at = docs.columns.index("text")
 
     def run(batches):
