@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import decontaminate, mixing, near_dup, token_files, toxicity
+from barloom.llm.text import free_name
 from barloom.session import fresh_dir
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose own text scores below the threshold. The model learns from labels of these documents; with no rows it keeps none."""
+    """Rows whose own text scores below the threshold. The model learns from labels of these documents. Null and empty texts, and all rows where labels lack a class,
+    stay; repeated rows and very long texts are judged like others; all columns pass, whatever their names; no rows give none."""
     return toxicity.clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -20,17 +22,22 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that contain no benchmark item."""
+    """Rows that contain no benchmark item. Null and empty texts stay, repeated rows are judged each, long texts whole; all columns pass; no rows or no items are allowed."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies of the documents by the tempered weight of their source, shuffled; the columns of `documents`."""
-    return mixing.mixed(docs).select(*docs.columns)
+    """Copies of the documents by the tempered weight of their source, shuffled; the columns of `documents`, also those named like the operator's own. A null source is
+    one more source; rows that repeat an id draw alike; texts are not looked at; no rows give none."""
+    inner = {}
+    for c in docs.columns:
+        inner[c] = free_name([*docs.columns, *inner.values(), *mixing.OWN], c) if c.lower() in mixing.OWN else c
+    return mixing.mixed(docs.withColumnsRenamed(inner)).select(*[F.col(a).alias(c) for c, a in inner.items()])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The corpus as token files; a row for each document copy as read back from them."""
+    """The corpus as token files; a row for each document copy as read back from them. A null or empty text has its end id alone, repeated rows are written each, long
+    texts whole; no rows give none."""
     path = fresh_dir(spark, "tokens")
     token_files.write_tokens(docs, path, token_files.tokenizer_path())
     return token_files.digests(spark, path)
