@@ -1,4 +1,4 @@
-"""Live ticks: validation, the sequential rules per key, latest state, windows and snapshots.
+"""Live ticks: validation, the sequential rules per key, latest state, windows and coverage.
 
 The sequential rules (late, held jump, stored previous close) are one small step function. Two drivers use it: a stateful stream,
 and a replay of whole tables that sorts by (key, session, order) and walks each task's rows once with the state of one key at a time,
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -140,80 +140,5 @@ def tick_coverage(accepted: DataFrame, subscribed: DataFrame) -> DataFrame:
     return g.join(F.broadcast(total), "kind").withColumn("coverage", rnd(F.col("covered") / F.col("subscribed"), 4))      # one row per kind
 
 
-def interval_state(accepted: DataFrame, width_ms: int) -> DataFrame:
-    """What is known of every key at the end of each interval of its session: the last accepted tick of the same connection, from its own interval
-    until the key's next one (at most the intervals of one session and connection)."""
-    i = accepted.withColumn("interval", F.floor(F.col("recv_ms") / width_ms))
-    last = latest_by(i.select("key", "session_date", "connection_id", "interval", "seq", "recv_ms", "ltp", "ltt", "cp"), ["key", "session_date", "connection_id", "interval"], F.col("seq"))
-    ends = i.groupBy("session_date", "connection_id").agg(F.max("interval").alias("_end"))
-    nxt = F.lead("interval").over(Window.partitionBy("key", "session_date", "connection_id").orderBy("interval"))
-    j = last.withColumn("_next", nxt).join(ends, ["session_date", "connection_id"])
-    until = F.coalesce(F.col("_next") - 1, F.col("_end"))
-    return j.withColumn("interval", F.explode(F.sequence("interval", until))).drop("_next", "_end")
-
-
-def _pct() -> Column:
-    return (F.col("ltp") / F.col("cp") - 1) * 100
-
-
-def live_breadth(state: DataFrame, liquid: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Per interval: ticked equities, advances, declines and unchanged (both prices rounded first), and excluded extreme movers."""
-    s = state.where("kind = 'equity'").join(liquid.select("key", F.lit(True).alias("_liq")), "key", "left")
-    a, b = rnd("ltp", 2), rnd("cp", 2)
-    has = F.col("cp").isNotNull()
-    return s.groupBy("session_date", "interval").agg(F.count(F.lit(1)).alias("ticked"), F.count_if(has & (a > b)).alias("advances"), F.count_if(has & (a < b)).alias("declines"), F.count_if(has & (a == b)).alias("unchanged"),
-                                                     F.count_if(has).alias("counted"), F.count_if(F.col("_liq") & has & (F.abs(_pct()) > rules.live_extreme_pct)).alias("suspect"))
-
-
-def live_movers(state: DataFrame, liquid: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Top gainers and losers among liquid keys per interval; the sign counts after rounding. The rank limit runs before the exchange."""
-    m = state.where("kind = 'equity' AND cp IS NOT NULL").join(liquid.select("key"), "key", "left_semi").where(F.abs(_pct()) <= rules.live_extreme_pct)
-    m = m.select("session_date", "interval", "key", "ltp", "cp", rnd(_pct(), 3).alias("change_pct"))
-    out = None
-    for name, cond, order in (("gainers", "change_pct > 0", F.desc("change_pct")), ("losers", "change_pct < 0", F.asc("change_pct"))):
-        w = Window.partitionBy("session_date", "interval").orderBy(order, "key")
-        one = m.where(cond).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rules.live_rows).withColumn("list", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def live_indices(state: DataFrame) -> DataFrame:
-    i = state.where("kind = 'index'")
-    return i.select("session_date", "interval", "key", rnd("ltp", 4).alias("ltp"), rnd("cp", 4).alias("cp"), rnd(F.col("ltp") - F.col("cp"), 4).alias("change"), rnd(_pct(), 3).alias("change_pct"))
-
-
-def live_quality(snap: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Reasons a snapshot is not healthy. Columns: streaming, now_ms, last_frame_ms, last_index_ms, market_open, coverage, indices."""
-    gap = lambda c, ms: F.col(c).isNull() | (F.col("now_ms") - F.col(c) > ms)
-    r = F.array_compact(F.array(F.when(~F.col("streaming"), "not_streaming"), F.when(gap("last_frame_ms", rules.frame_gap_ms), "feed_silent"), F.when(F.col("market_open") & gap("last_index_ms", rules.index_stale_ms), "index_ticks_stale"),
-                                F.when(F.col("market_open") & (F.col("coverage") < rules.live_coverage), "low_coverage"), F.when(F.col("indices") == 0, "no_indices")))
-    return snap.withColumns({"reasons": F.array_join(r, ","), "ok": F.size(r) == 0})
-
-
-def live_accept(snap: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Which blocks may be shown: healthy, open, fresh (small clock skew allowed), then block by block."""
-    age = F.col("client_ms") - F.col("server_ms")
-    why = (F.when(~F.col("ok"), "relay reports a problem").when(~F.col("market_open"), "market is not open").when(age > rules.max_age_ms, "too old").when(age < -rules.skew_ms, "from the future"))
-    fine, covered = why.isNull(), (F.col("coverage") >= rules.live_coverage) & (F.col("counted") > 0)
-    return snap.select("*", why.alias("refused"), (fine & (F.col("indices_expected") > 0) & (F.col("indices") == F.col("indices_expected"))).alias("show_indices"), (fine & covered).alias("show_breadth"),
-                       (fine & covered & F.col("has_movers")).alias("show_movers"), (fine & (F.col("prices") > 0)).alias("show_prices"))
-
-
-def live_snapshot_check(movers: DataFrame) -> DataFrame:
-    """Problems of published mover rows: sign, change against prices, rank order."""
-    from barloom.operators.quality import violations
-    sign = F.when(F.col("list") == "gainers", 1).otherwise(-1)
-    w = Window.partitionBy("session_date", "interval", "list").orderBy("rank")                # at most the published rows
-    j = movers.withColumn("_k", -F.col("change_pct") * sign).withColumn("_prev", F.lag("_k").over(w))
-    return violations(j, ["session_date", "interval", "list", "rank"], {"wrong sign": F.col("change_pct") * sign <= 0, "change does not match prices": F.abs(F.col("change_pct") - _pct()) > 0.01, "not in rank order": F.col("_k") < F.col("_prev")})
-
-
 def segment_status(messages: DataFrame) -> DataFrame:
     return messages.groupBy("segment").agg(F.max_by("status", "seq").alias("status"), F.max("seq").alias("seq"))
-
-
-def public_view(snapshots: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Published subset: breadth zeroed, movers NULL, prices cut to the configured symbols. Input: interval, advances, declines, movers, prices MAP."""
-    keep = symbols.agg(F.collect_set("symbol").alias("_keep"))                                 # the configured list, a handful
-    j = snapshots.crossJoin(F.broadcast(keep))
-    return j.select("interval", F.lit(0).alias("advances"), F.lit(0).alias("declines"), F.lit(None).cast("string").alias("movers"), F.map_filter("prices", lambda k, v: F.array_contains("_keep", k)).alias("prices"))

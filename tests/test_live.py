@@ -1,9 +1,13 @@
 """Tick rules by hand, and the stream against the replay of the same ticks over many micro-batches."""
 
+import datetime as dt
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.sources.market import ticks
+from barloom.streaming import snapshots as S
 from barloom.streaming import ticks as L
 
 SF = "/root/testdata/sf0.001"
@@ -60,10 +64,97 @@ def test_stream_over_many_batches_equals_replay(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+QUOTE = "array<struct<key:bigint,ltp:double,cp:double,change:double,change_pct:double,ltt:bigint>>"
+MOVER = "array<struct<rank:int,key:bigint,ltp:double,cp:double,change_pct:double,ltt:bigint>>"
+DOCUMENT = f"""session_date date, interval bigint, until bigint, now_ms bigint, market struct<status:string,session_date:date,last_tick_ms:bigint>,
+    scope struct<universe:string,subscribed:bigint,ticked:bigint,coverage:double,indices_expected:bigint>, indices {QUOTE}, breadth struct<advances:bigint,declines:bigint,unchanged:bigint,counted:bigint>,
+    gainers {MOVER}, losers {MOVER}, prices {QUOTE}, quality struct<ok:boolean,reasons:array<string>,warnings:array<string>>"""
+DAY = dt.date(2024, 1, 3)
+NINE = int(dt.datetime(2024, 1, 3, tzinfo=dt.UTC).timestamp() * 1000) + 9 * 3_600_000 - 19_800_000            # nine o'clock of the session's day, Indian time
+
+
+def documents(spark, rows, liquid, asked=(), **more):
+    """Snapshots of (key, recv_ms, ltp, cp, connection) rows, all accepted; keys below 3 are indices."""
+    ticks = spark.createDataFrame([(k, i, r, p, r - 5, c, conn, DAY) for i, (k, r, p, c, conn) in enumerate(rows)], "key bigint, seq bigint, recv_ms bigint, ltp double, ltt bigint, cp double, connection_id bigint, session_date date")
+    accepted = ticks.withColumn("kind", F.when(F.col("key") < 3, "index").otherwise("equity"))
+    ins = accepted.select("key", "kind").distinct()
+    keys = lambda ks: spark.createDataFrame([(k,) for k in ks], "key bigint")
+    return S.snapshots(ticks, accepted, keys(liquid), ins, keys(asked), **more).orderBy("interval").collect()
+
+
+def by_hand(rows, at, liquid, asked, kinds):
+    """A snapshot at the end of interval `at`, straight from the rules."""
+    now = (at + 1) * 5000
+    past = [r for r in rows if r[1] < now]
+    connection = past[-1][4]
+    known = {}
+    for k, r, p, c, conn in past:
+        if conn == connection:
+            known[k] = (p, c)
+    equity = {k: v for k, v in known.items() if kinds[k] == "equity"}
+    pct = {k: (p / c - 1) * 100 for k, (p, c) in equity.items() if c}
+    sides = [(round(p, 2) > round(c, 2)) - (round(p, 2) < round(c, 2)) for p, c in equity.values() if c]
+    m = sorted((-abs(round(v, 3)), k, round(v, 3)) for k, v in pct.items() if k in liquid and abs(v) <= 40 and round(v, 3))
+    last_frame, last_index = past[-1][1], max((r for k, r, *_ in past if kinds[k] == "index"), default=None)
+    minute = (now + 19_800_000) // 60_000 % 1440
+    is_open, share = 555 <= minute < 930, len(equity) / sum(v == "equity" for v in kinds.values())
+    reasons = [w for w, yes in (("feed_silent", now - last_frame > 10_000), ("index_ticks_stale", is_open and (last_index is None or now - last_index > 20_000)), ("low_coverage", is_open and share < 0.9),
+                                ("no_indices", not any(kinds[k] == "index" for k in known))) if yes]
+    return (len(equity), sides.count(1), sides.count(-1), sides.count(0), [(k, c) for _, k, c in m if c > 0][:10], [(k, c) for _, k, c in m if c < 0][:10], sorted(k for k in known if kinds[k] == "index"),
+            sorted((k, known[k][0]) for k in known if k in asked), reasons, "open" if is_open else "pre_open" if minute >= 540 else "closed")
+
+
+def test_every_five_seconds_equals_the_rules_by_hand(spark):
+    rng = random.Random(7)
+    rows, now, close = [], NINE + 13 * 60_000, {k: 100.0 + k for k in range(40)}
+    for _ in range(260):
+        now += rng.choice([0, 200, 900, 2500, 4000, 30_000])
+        k = rng.randrange(40)
+        rows.append((k, now, round(close[k] * (1 + rng.choice([0, 1e-6, rng.gauss(0, 0.05), rng.gauss(0, 0.05), 0.6])), 2), None if k % 9 == 8 else close[k], 1 + (len(rows) > 150)))
+    liquid, asked = {k for k in range(3, 40) if k % 4}, {2, 5, 8, 17}
+    docs = documents(spark, rows, liquid, asked)
+    kinds = {k: "index" if k < 3 else "equity" for k in {r[0] for r in rows}}
+    first, last = rows[0][1] // 5000, rows[-1][1] // 5000
+    covered = [i for d in docs for i in range(d.interval, d.until + 1)]
+    assert covered == list(range(first, last + 1))                                   # every interval once
+    for d in docs:
+        for i in range(d.interval, d.until + 1):
+            b = d.breadth
+            assert by_hand(rows, i, liquid, asked, kinds) == (
+                d.scope.ticked, b.advances, b.declines, b.unchanged, [(r.key, r.change_pct) for r in d.gainers], [(r.key, r.change_pct) for r in d.losers], [r.key for r in d.indices],
+                [(r.key, r.ltp) for r in d.prices], d.quality.reasons, d.market.status)
+
+
+def test_without_a_liquid_list_there_are_no_movers(spark):
+    docs = documents(spark, [(1, NINE, 10.0, 9.0, 1), (5, NINE + 100, 11.0, 10.0, 1)], [])
+    assert [(d.gainers, d.losers, d.quality.warnings) for d in docs] == [(None, None, ["liquid_list_unavailable"])]
+
+
 def test_movers_sign_after_rounding_and_extremes(spark):
-    rows = [(1, "d", 0, "equity", 100.0004, 100.0), (2, "d", 0, "equity", 103.0, 100.0), (3, "d", 0, "equity", 150.0, 100.0), (4, "d", 0, "equity", 97.0, 100.0), (5, "d", 0, "equity", 120.0, None), (6, "d", 0, "equity", 110.0, 100.0)]
-    st = spark.createDataFrame(rows, "key bigint, session_date string, interval bigint, kind string, ltp double, cp double")
-    liquid = spark.createDataFrame([(k,) for k in (1, 2, 3, 4, 5)], "key bigint")
-    assert [(r.list, r.key, r["rank"]) for r in L.live_movers(st, liquid).orderBy("list", "rank").collect()] == [("gainers", 2, 1), ("losers", 4, 1)]
-    b = L.live_breadth(st, liquid).first()
-    assert (b.ticked, b.advances, b.declines, b.unchanged, b.suspect) == (6, 3, 1, 1, 1)
+    prices = {11: (100.0004, 100.0), 12: (103.0, 100.0), 13: (150.0, 100.0), 14: (97.0, 100.0), 15: (120.0, None), 16: (110.0, 100.0)}
+    d = documents(spark, [(k, NINE, p, c, 1) for k, (p, c) in prices.items()], (11, 12, 13, 14, 15))[-1]
+    assert [r.key for r in d.gainers] == [12] and [r.key for r in d.losers] == [14]
+    assert (d.scope.ticked, d.breadth.advances, d.breadth.declines, d.breadth.unchanged, d.quality.warnings) == (6, 3, 1, 1, ["suspect_extreme_moves:1"])
+
+
+def test_blocks_cover_each_interval_of_a_run_once(spark):
+    spans = [(0, 0), (1, 1), (0, 7), (3, 17), (5, 5 + 70_000), (12_345, 29_999)]
+    rows = S.blocks(spark.createDataFrame(spans, "start bigint, stop bigint")).collect()
+    for a, b in spans:
+        mine = sorted((r.node << r.level, ((r.node + 1) << r.level) - 1) for r in rows if (r.start, r.stop) == (a, b))
+        assert mine[0][0] == a and mine[-1][1] == b and all(x[1] + 1 == y[0] for x, y in zip(mine, mine[1:])) and len(mine) <= 2 * S.LEVELS + 3
+
+
+def test_check_and_accept(spark):
+    docs = documents(spark, [(1, NINE + 20 * 60_000, 10.0, 9.0, 1), (5, NINE + 20 * 60_000 + 6000, 11.0, 10.0, 1)], [5], [5])
+    good = spark.createDataFrame(docs, DOCUMENT)
+    assert S.check(good).count() == 0
+    shown = {r.interval: r for r in S.accept(good, F.col("now_ms") + 3000).collect()}
+    assert [shown[d.interval].refused for d in docs] == ["unhealthy" if not d.quality.ok else None for d in docs]
+    last = shown[docs[-1].interval]
+    assert (last.refused, last.show_indices, last.show_breadth, last.show_movers, last.show_prices) == (None, True, True, True, True)
+    assert {r.refused for r in S.accept(good.where("quality.ok"), F.col("now_ms") + 30_000).collect()} == {"old"} and {r.refused for r in S.accept(good.where("quality.ok"), F.col("now_ms") - 6000).collect()} == {"ahead"}
+    bad = good.withColumn("gainers", F.lit(None).cast(good.schema["gainers"].dataType)).withColumn("scope", F.col("scope").withField("ticked", F.lit(-1).cast("bigint")))
+    assert {r.problem for r in S.check(bad).collect()} == {"scope", "breadth", "lists_differ"}
+    only = S.public(good, spark.createDataFrame([(99,)], "key bigint")).collect()
+    assert all(r.prices == [] and r.gainers is None and r.breadth.counted == 0 for r in only) and len(only) == len(docs)
