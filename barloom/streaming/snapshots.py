@@ -20,6 +20,8 @@ from barloom.session import cut_lineage
 WIDTH_MS, LEVELS = 5_000, 15           # blocks of up to 2**LEVELS intervals: a day of five seconds is fewer
 IST_MS = 19_800_000
 EDGES_MIN = (540, 555, 930)            # minutes of the day at which the market's state may change
+QUOTES = "array<struct<key:bigint,ltp:double,cp:double,change:double,change_pct:double,ltt:bigint>>"
+MOVERS = "array<struct<rank:int,key:bigint,ltp:double,cp:double,change_pct:double,ltt:bigint>>"
 TICKED = ("ticked", "advances", "declines", "unchanged", "counted", "suspect")
 
 
@@ -94,40 +96,34 @@ def blocks(held: DataFrame) -> DataFrame:
     return held.withColumn("_b", F.explode(nodes)).select(*held.columns, "_b.level", "_b.node")
 
 
-def standing(held: DataFrame, points: DataFrame, best: int | None = None, order: Column | None = None) -> DataFrame:
-    """The runs that stand in each interval where the set of them changes: session_date, connection_id, interval and the runs' other columns, an empty row where there
-    are none. With `best` only so many a `list` in the order given: a block keeps no more, so a long list costs no more than a short one."""
+def standing(held: DataFrame, points: DataFrame, item: Column, lists: dict[str, Column], best: int | None = None) -> DataFrame:
+    """session_date, connection_id, interval and each list, an array of the runs' items in order, for every interval in which the set of runs changes. With `best`
+    only so many a list: a block keeps no more, so a long list costs no more than a short one."""
     part = ["session_date", "connection_id"]
     moves = held.select(*part, F.explode(F.array("start", F.col("stop") + 1)).alias("interval")).distinct().join(points.select(*part, "interval"), [*part, "interval"], "left_semi")
-    kept = blocks(held)
+    cut = lambda c: F.slice(c, 1, best) if best else c
+    kept = blocks(held.select(*part, "start", "stop", F.coalesce(*[F.when(where, n) for n, where in lists.items()]).alias("_list"), item.alias("_item")))
     if best:
-        kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy(*part, "list", "level", "node").orderBy(order, "key"))).where(F.col("_r") <= best).drop("_r")
+        kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy(*part, "_list", "level", "node").orderBy("_item"))).where(F.col("_r") <= best)
+    kept = kept.groupBy(*part, "level", "node").agg(*[F.collect_list(F.when(F.col("_list") == n, F.col("_item"))).alias(n) for n in lists])
     asked = moves.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright("interval", n).alias("node")) for n in range(LEVELS + 1)])).alias("_b")).select(*part, "interval", "_b.level", "_b.node")
-    rest = [c for c in held.columns if c not in (*part, "start", "stop")]
-    found = asked.join(kept, [*part, "level", "node"]).select(*part, "interval", *rest)
-    if best:
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*part, "interval", "list").orderBy(order, "key"))).where(F.col("rank") <= best)
+    found = asked.join(kept, [*part, "level", "node"]).groupBy(*part, "interval").agg(*[cut(F.array_sort(F.flatten(F.collect_list(n)))).alias(n) for n in lists])
     return moves.join(found, [*part, "interval"], "left")
 
 
 def movers(held: DataFrame, points: DataFrame, liquid: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Gainers and losers among liquid equities wherever they change; the sign counts after rounding, extreme moves are left out, ties by key."""
     m = held.where("kind = 'equity' AND cp IS NOT NULL").join(liquid.select("key"), "key", "left_semi").where(F.abs(_pct()) <= rules.live_extreme_pct)
-    m = m.withColumn("change_pct", rnd(_pct(), 3)).where("change_pct <> 0").withColumn("list", F.when(F.col("change_pct") > 0, "gainers").otherwise("losers"))
-    return standing(m.select("session_date", "connection_id", "start", "stop", "list", "key", "ltp", "cp", "change_pct", "ltt"), points, rules.live_rows, -F.abs("change_pct"))
+    m = m.withColumn("change_pct", rnd(_pct(), 3)).where("change_pct <> 0").withColumn("away", -F.abs("change_pct"))
+    both = standing(m, points, F.struct("away", "key", "ltp", "cp", "change_pct", "ltt"), {"gainers": F.col("change_pct") > 0, "losers": F.col("change_pct") < 0}, rules.live_rows)
+    ranked = lambda c: F.transform(c, lambda r, i: F.struct((i + 1).alias("rank"), *[r[f].alias(f) for f in ("key", "ltp", "cp", "change_pct", "ltt")]))
+    return both.withColumns({c: F.coalesce(ranked(c), F.array().cast(MOVERS)) for c in ("gainers", "losers")})
 
 
-def quoted(held: DataFrame, points: DataFrame, where: Column) -> DataFrame:
+def quoted(held: DataFrame, points: DataFrame, name: str) -> DataFrame:
     """Price rows of a configured list of keys (indices, asked symbols) wherever one changes; the list is short by nature, so its rows are the output."""
-    q = held.where(where).select("session_date", "connection_id", "start", "stop", "key", rnd("ltp", 4).alias("ltp"), rnd("cp", 4).alias("cp"), rnd(F.col("ltp") - F.col("cp"), 4).alias("change"),
-                                 rnd(_pct(), 3).alias("change_pct"), "ltt")
-    return standing(q, points)
-
-
-def _listed(rows: DataFrame, name: str, fields: list[str], order: str, where: Column) -> DataFrame:
-    """One ordered array an interval."""
-    item = F.struct(order, *[f for f in fields if f != order])
-    return rows.groupBy("session_date", "connection_id", "interval").agg(F.array_sort(F.collect_list(F.when(where, item))).alias(name))
+    q = held.select("session_date", "connection_id", "start", "stop", "key", rnd("ltp", 4).alias("ltp"), rnd("cp", 4).alias("cp"), rnd(F.col("ltp") - F.col("cp"), 4).alias("change"), rnd(_pct(), 3).alias("change_pct"), "ltt")
+    return standing(q, points, F.struct("key", "ltp", "cp", "change", "change_pct", "ltt"), {name: F.lit(True)}).withColumn(name, F.coalesce(name, F.array().cast(QUOTES)))
 
 
 def snapshots(ticks: DataFrame, accepted: DataFrame, liquid: DataFrame, instruments: DataFrame, asked: DataFrame | None = None, rules: Rules = Rules(), width: int = WIDTH_MS,
@@ -140,18 +136,11 @@ def snapshots(ticks: DataFrame, accepted: DataFrame, liquid: DataFrame, instrume
     points = cut_lineage(intervals(ticks, accepted, rules, width), "intervals")
     held = cut_lineage(runs(accepted, points, width), "runs")
     doc = breadth(held, points, liquid, rules)
-    fields = ["key", "ltp", "cp", "change", "change_pct", "ltt"]
-    moved = movers(held, points, liquid, rules).withColumn("rank", F.col("rank").cast("int"))
-    mover = ["rank", "key", "ltp", "cp", "change_pct", "ltt"]
-    lists = moved.groupBy(*part, "interval").agg(*[F.array_sort(F.collect_list(F.when(F.col("list") == n, F.struct(*mover)))).alias(n) for n in ("gainers", "losers")])
-    index = _listed(quoted(held, points, F.col("kind") == "index"), "indices", fields, "key", F.col("key").isNotNull())
-    doc = doc.join(lists, [*part, "interval"], "left").join(index, [*part, "interval"], "left")
-    row = "array<struct<key:bigint,ltp:double,cp:double,change:double,change_pct:double,ltt:bigint>>"
+    doc = doc.join(movers(held, points, liquid, rules), [*part, "interval"], "left").join(quoted(held.where("kind = 'index'"), points, "indices"), [*part, "interval"], "left")
     if asked is None:
-        doc = doc.withColumn("prices", F.lit(None).cast(row))
+        doc = doc.withColumn("prices", F.lit(None).cast(QUOTES))
     else:
-        wanted = held.join(asked.select("key"), "key", "left_semi")
-        doc = doc.join(_listed(quoted(wanted, points, F.lit(True)), "prices", fields, "key", F.col("key").isNotNull()), [*part, "interval"], "left")
+        doc = doc.join(quoted(held.join(asked.select("key"), "key", "left_semi"), points, "prices"), [*part, "interval"], "left")
     upto = Window.partitionBy(*part).orderBy("interval").rowsBetween(Window.unboundedPreceding, 0)
     empty = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(upto), F.array().cast(doc.schema[c].dataType))
     doc = doc.withColumns({c: empty(c) for c in ("gainers", "losers", "indices", "prices")})
