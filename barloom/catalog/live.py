@@ -10,6 +10,7 @@ from barloom.functions import values as V
 from barloom.functions.values import rnd
 from barloom.rules import Rules
 from barloom.session import cut_lineage
+from barloom.sources.keyed import upsert_stream
 from barloom.sources.market import table, ticks, ticks_from
 from barloom.streaming import snapshots as S
 from barloom.streaming import ticks as L
@@ -118,11 +119,11 @@ def _(spark, d):
     return L.tick_latest(L.run_to_table(stream, "ticks", spark))
 
 
-@query("tick_windows", """SELECT s AS start_ms, key, ltp, cp, ticks FROM (SELECT epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) AS s, user_id AS key, arg_max(100 + value, event_id) AS ltp, arg_max(100 + CAST(user_id % 20 AS DOUBLE), event_id) AS cp, count(*) AS ticks FROM events GROUP BY 1, 2)
-WHERE s + 6 * 3600000 <= (SELECT epoch_ms(max(ts)) FROM events) - 600000""")
+@query("tick_windows", """SELECT s AS start_ms, key, ltp, cp, ticks FROM (SELECT epoch_ms(time_bucket(INTERVAL 6 HOUR, ts)) AS s, user_id AS key, arg_max(100 + value, event_id) AS ltp, arg_max(100 + CAST(user_id % 20 AS DOUBLE), event_id) AS cp, count(*) AS ticks FROM events GROUP BY 1, 2)""")
 def _(spark, d):
     t = events_as_stream(spark, d).select(F.col("ts").cast("timestamp").alias("at"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"), (100 + F.col("value")).alias("ltp"), (100 + (F.col("user_id") % 20).cast("double")).alias("cp"))
-    return L.run_to_table(L.window_latest(t, "6 hours"), "windows", spark)
+    w = L.window_latest(t, "6 hours").withColumn("day", F.to_date(F.timestamp_millis("start_ms")))
+    return upsert_stream(w, "windows", ["day", "start_ms", "key"], "day").drop("day")
 
 
 @query("tick_coverage", live_sql("""SELECT connection_id, s.kind, count(DISTINCT s.key) AS covered, any_value(c.n) AS subscribed, round(count(DISTINCT s.key)::DOUBLE / any_value(c.n), 4) AS coverage FROM steps s JOIN (SELECT kind, count(*) AS n FROM ins GROUP BY 1) c ON c.kind = s.kind WHERE outcome = 'accepted' GROUP BY 1, 2"""))

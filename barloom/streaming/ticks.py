@@ -7,6 +7,7 @@ so a key with a third of all ticks never has its rows gathered, and its sessions
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,8 +22,9 @@ from barloom.session import fresh_dir
 
 TICK = "key bigint, session_date date, seq bigint, recv_ms bigint, ltp double, ltt bigint, cp double, connection_id bigint"
 STEP = "key bigint, session_date date, seq bigint, recv_ms bigint, connection_id bigint, outcome string, ltp double, ltt bigint, cp double, n bigint"
-STATE = "ltp double, ltt bigint, cp double, n bigint, pending double, connection bigint, session_date date"
+STATE = "ltp double, ltt bigint, cp double, n bigint, pending double, connection bigint"
 EMPTY = (None, None, None, 0, None, None)
+EPOCH = dt.date(1970, 1, 1)
 
 
 def tick_validate(ticks: DataFrame, instruments: DataFrame, rules: Rules = Rules()) -> DataFrame:
@@ -90,25 +92,33 @@ def replay(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return placed.mapInPandas(walk, STEP)
 
 
-def fold_stream(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """The same rules on a stream. The state is kept per key and carries its session, so it starts empty on a new trading day and never piles up
-    old sessions. What one call sorts is one key's part of one micro-batch, which the trigger bounds."""
+def fold_stream(valid: DataFrame, rules: Rules = Rules(), keep: str | None = None) -> DataFrame:
+    """The same rules on a stream, with one state for each key and session, so that ticks of an earlier session that come late find their own state and leave the
+    newer one alone. With `keep` (such as "2 days") a session's states end once the newest tick seen is so much later than the session's end, and ticks that
+    come later still are dropped by the watermark; without it they stay in the state store. What one call sorts is one key's part of one micro-batch."""
     jump, confirm = rules.jump_ratio, rules.jump_confirm
 
     def fold(key: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        *state, day = [None if v != v else v for v in held.get] if held.exists else (*EMPTY, None)      # an unset number may come back as NaN
+        if held.hasTimedOut:
+            held.remove()
+            return
+        state = tuple(None if v is None or v != v else v for v in held.get) if held.exists else EMPTY          # an unset number may come back as NaN
         chunks = list(pdfs)
         out = []
         for k, session, seq, recv, ltp, ltt, cp, conn in _rows((chunks[0] if len(chunks) == 1 else pd.concat(chunks)).sort_values("seq")):
-            if session != day:
-                day, state = session, EMPTY
-            state, outcome = step(tuple(state), ltp, ltt, cp, conn, jump, confirm)
+            state, outcome = step(state, ltp, ltt, cp, conn, jump, confirm)
             out.append(_line(k, session, seq, recv, conn, state, outcome))
-        held.update((*state, day))
+        held.update(state)
+        if keep:
+            end = (key[1] - EPOCH).days * 86_400_000 + 86_400_000 - 19_800_000                                     # the session's midnight, Indian time
+            held.setTimeoutTimestamp(max(end, held.getCurrentWatermarkMs() + 1))
         yield _frame(out)
 
     cols = [c.split()[0] for c in TICK.split(", ")]
-    return valid.select(*cols).groupBy("key").applyInPandasWithState(fold, STEP, STATE, "append", GroupStateTimeout.NoTimeout)
+    if keep:
+        valid = valid.withColumn("_at", F.timestamp_millis("recv_ms")).withWatermark("_at", keep)
+        cols = [*cols, "_at"]
+    return valid.select(*cols).groupBy("key", "session_date").applyInPandasWithState(fold, STEP, STATE, "append", GroupStateTimeout.EventTimeTimeout if keep else GroupStateTimeout.NoTimeout)
 
 
 def run_to_table(stream: DataFrame, label: str, spark: SparkSession) -> DataFrame:

@@ -5,7 +5,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from barloom.session import fresh_dir
+from barloom.sources.keyed import read_keyed, upsert, upsert_stream
 from barloom.sources.market import ticks
 from barloom.streaming import snapshots as S
 from barloom.streaming import ticks as L
@@ -64,6 +67,76 @@ def test_stream_over_many_batches_equals_replay(spark, tmp_path):
     assert got.count() == want.count() and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
 
 
+def one_by_one(spark, tmp_path, parts):
+    """A file stream that takes these frames one a micro-batch, in this order."""
+    import glob
+    import os
+    for i, part in enumerate(parts):
+        part.coalesce(1).write.parquet(str(tmp_path / f"f/{i}"))
+        for f in glob.glob(str(tmp_path / f"f/{i}/*.parquet")):
+            os.utime(f, (1_700_000_000 + i * 10, 1_700_000_000 + i * 10))
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "f"))
+
+
+def days_in_disorder(spark):
+    t = ticks(spark, SF).withColumn("kind", F.lit("equity"))
+    one, two = (t.where(F.col("session_date") == d).sort("seq") for d in ("2024-01-02", "2024-01-03"))
+    half = lambda df: df.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    a, b = half(one), half(two)
+    return [one.where(F.col("seq") <= a), two.where(F.col("seq") <= b), one.where(F.col("seq") > a), two.where(F.col("seq") > b)], one.unionByName(two)
+
+
+@pytest.mark.parametrize("keep", [None, "3 days"])
+def test_late_ticks_of_an_earlier_session_find_their_own_state(spark, tmp_path, keep):
+    parts, whole = days_in_disorder(spark)
+    ins = whole.select("key").distinct().withColumn("kind", F.lit("equity"))
+    fine = lambda df: L.tick_validate(df.drop("kind"), ins).where("reason IS NULL")
+    stream = one_by_one(spark, tmp_path, parts)
+    key = ["session_date", "seq", "outcome", "ltp", "ltt", "cp", "n"]
+    got = sorted(map(tuple, L.run_to_table(L.fold_stream(fine(stream), keep=keep), "late", spark).select(*key).collect()), key=str)
+    assert got == sorted(map(tuple, L.replay(fine(whole)).select(*key).collect()), key=str) and len({r[0] for r in got}) == 2
+
+
+def test_states_of_old_sessions_end(spark, tmp_path):
+    t = ticks(spark, SF).where("session_date < '2024-01-12'")
+    days = [t.where(F.col("session_date") == r[0]).sort("seq") for r in t.select("session_date").distinct().sort("session_date").collect()]
+    base = fresh_dir(spark, "ended")
+    ins = t.select("key").distinct().withColumn("kind", F.lit("equity"))
+    stream = L.fold_stream(L.tick_validate(one_by_one(spark, tmp_path, days), ins).where("reason IS NULL"), keep="1 day")
+    q = stream.writeStream.format("parquet").option("path", base + "/data").option("checkpointLocation", base + "/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    keys = t.select("key", "session_date").distinct().count()
+    assert kept[-1] < keys / 2 and spark.read.parquet(base + "/data").count() == L.tick_validate(t, ins).where("reason IS NULL").count()
+
+
+def test_windows_of_a_stream_in_disorder_are_all_there(spark, tmp_path):
+    parts, whole = days_in_disorder(spark)
+    cols = lambda df: df.select(F.timestamp_millis("recv_ms").alias("at"), "seq", "key", "ltp", "cp")
+    w = L.window_latest(cols(one_by_one(spark, tmp_path, parts)), "1 hour", "3 days").withColumn("day", F.to_date(F.timestamp_millis("start_ms")))
+    got = upsert_stream(w, "windows", ["day", "start_ms", "key"], "day").drop("day")
+    want = L.window_latest(cols(whole), "1 hour")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_an_update_that_comes_again_changes_nothing(spark):
+    base, schema = fresh_dir(spark, "keyed"), T.StructType.fromDDL("day string, key bigint, v bigint")
+    table = lambda: sorted(map(tuple, read_keyed(spark, base, schema, "day").collect()), key=str)
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    assert table() == []
+    upsert(make([("a", 1, 1), ("a", 2, 1), ("b", 1, 1), (None, 1, 1)]), base, ["day", "key"], "day", 0)
+    upsert(make([("a", 1, 2), ("c", 1, 2)]), base, ["day", "key"], "day", 1)
+    want = sorted([("a", 1, 2), ("a", 2, 1), ("b", 1, 1), (None, 1, 1), ("c", 1, 2)], key=str)
+    assert table() == want
+    upsert(make([("a", 1, 2), ("c", 1, 2)]), base, ["day", "key"], "day", 1)
+    assert table() == want
+    make([("a", 1, 9)]).withColumn("_p", F.lit("a")).write.partitionBy("_p").parquet(f"{base}/data/{2:012d}")               # data of an update that never ended
+    assert table() == want
+    upsert(make([("a", 1, 3)]), base, ["day", "key"], "day", 2)
+    upsert(make([("a", 1, 1), ("a", 2, 5)]), base, ["day", "key"], "day", 3, order="v")
+    assert ("a", 1, 3) in table() and ("a", 2, 5) in table() and len(table()) == 5
+
+
 QUOTE = "array<struct<key:bigint,ltp:double,cp:double,change:double,change_pct:double,ltt:bigint>>"
 MOVER = "array<struct<rank:int,key:bigint,ltp:double,cp:double,change_pct:double,ltt:bigint>>"
 DOCUMENT = f"""session_date date, interval bigint, until bigint, now_ms bigint, market struct<status:string,session_date:date,last_tick_ms:bigint>,
