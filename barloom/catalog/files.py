@@ -146,19 +146,20 @@ def _(spark, d):
 @query("src_statement_json", sql("SELECT CAST(symbol AS VARCHAR) AS symbol, label, fy, value FROM (SELECT symbol, fy, 'total revenue' AS label, rev AS value FROM yv UNION ALL SELECT symbol, fy, 'profit before tax', mx FROM yv) WHERE NOT (symbol % 29 = 0 AND fy = 1997)", ANNUAL))
 def _(spark, d):
     path = fresh_dir(spark, "statements")
-    annual_docs(spark, d).where("symbol % 23 <> 0").withColumn("symbol", F.col("symbol").cast("string")).write.json(path)
+    annual_docs(spark, d).withColumn("symbol", F.col("symbol").cast("string")).write.json(path)
     lines = T.statement_lines(S.read_statement_json(spark, path)).where("label IN ('total revenue', 'profit before tax')")
     return lines.select("symbol", "label", F.year("period_end").alias("fy"), "value").where("value IS NOT NULL")
 
 
-@query("src_xbrl_facts", sql("""SELECT symbol, CAST(period_end AS VARCHAR) AS period, category AS member, shares, CASE WHEN symbol % 5 <> 0 THEN round(shares / 1000, 2) END AS pct, symbol % 7 = 0 AS conflict FROM (SELECT *, CASE WHEN symbol % 7 = 0 THEN 1.0::DOUBLE ELSE shares END AS s2 FROM (SELECT symbol, period_end, replace(category, '_', '') AS category, shares FROM holdings)) WHERE symbol % 7 <> 0 AND category <> 'fii'""", HOLDINGS))
+@query("src_xbrl_facts", sql("""SELECT symbol, CAST(period_end AS VARCHAR) AS period, category AS member, CASE WHEN symbol % 7 = 0 THEN least(shares, 1.0) ELSE shares END AS shares, CASE WHEN symbol % 5 <> 0 THEN round(shares / 1000, 2) END AS pct, symbol % 7 = 0 AS conflict FROM (SELECT symbol, period_end, replace(category, '_', '') AS category, shares FROM holdings) WHERE category <> 'fii'""", HOLDINGS))
 def _(spark, d):
-    h = holdings(spark, d).where("symbol % 7 <> 0")
+    h = holdings(spark, d)
     s, c = F.col("symbol"), F.concat_ws("_", F.lit("C"), "symbol", F.year("period_end"), "category")
     axis = F.when(F.col("category") == "fii", "in:OtherAxis").otherwise("in:CategoryOfShareholdersAxis")
     member = F.concat(F.lit("in:s"), "symbol", F.lit("x"), F.regexp_replace(F.initcap("category"), "_", ""), F.lit("Member"))
     xml = [F.format_string('<context id="%s"><period><instant>%s</instant></period><scenario><explicitMember dimension="%s">%s</explicitMember></scenario></context>', c, F.col("period_end").cast("string"), axis, member),
            F.format_string('<NumberOfFullyPaidUpEquityShares contextRef="%s">%s</NumberOfFullyPaidUpEquityShares>', c, F.col("shares").cast("decimal(18,2)").cast("string")),
+           F.when(s % 7 == 0, F.format_string('<NumberOfFullyPaidUpEquityShares contextRef="%s">1.00</NumberOfFullyPaidUpEquityShares>', c)),
            F.when(s % 5 != 0, F.format_string('<ShareholdingAsAPercentageOfTotalNumberOfShares contextRef="%s">%s</ShareholdingAsAPercentageOfTotalNumberOfShares>', c, rnd(F.col("shares") / 1000, 2).cast("string")))]
     path = fresh_dir(spark, "xbrl")
     part = F.concat_ws("-", F.year("period_end"), s % 16)
@@ -274,9 +275,9 @@ def _(spark, d):
     return changed.join(after, "symbol").select("symbol", F.lit(True).alias("changed"), "marks").where((s % 10 != 9) | (s % 4 != 1) | (F.col("marks") > 0))
 
 
-@query("sink_gated_publish", "SELECT n_name AS sector, count(*) AS stocks FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+@query("sink_gated_publish", "SELECT n_name AS sector, count(*) AS members FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
 def _(spark, d):
-    t = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("sector")).agg(F.count(F.lit(1)).alias("stocks"))   # fixed list of countries
+    t = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("sector")).agg(F.count(F.lit(1)).alias("members"))   # fixed list of countries
     return K.gated(t, "true").unionByName(K.gated(t, "True")).unionByName(K.gated(t, "true", ["bad ranks"]))
 
 

@@ -61,9 +61,9 @@ def _(spark, d):
 
 
 @query("join_relative_strength", sql("""SELECT symbol, CAST(date AS VARCHAR) AS date, round(close / first_value(close) OVER w / (bc / first_value(bc) OVER w) * 100, 6) AS rs FROM
- (SELECT b.symbol, b.date, b.close, s.close AS bc FROM bars b JOIN benchmark_series s ON b.date = s.date WHERE s.date >= DATE '1996-03-01') WINDOW w AS (PARTITION BY symbol ORDER BY date)""", BARS))
+ (SELECT b.symbol, b.date, b.close, s.close AS bc FROM bars b JOIN benchmark_series s ON b.date = s.date) WINDOW w AS (PARTITION BY symbol ORDER BY date)""", BARS))
 def _(spark, d):
-    return J.relative_strength(bars(spark, d), S.benchmark(spark, d).where("date >= '1996-03-01'")).select("symbol", "date", rnd("rs", 6).alias("rs"))
+    return J.relative_strength(bars(spark, d), S.benchmark(spark, d)).select("symbol", "date", rnd("rs", 6).alias("rs"))
 
 
 def _asof_sql():
@@ -196,10 +196,10 @@ def _(spark, d):
     return J.drift(old, new)
 
 
-@query("compare_stocks", sql("""SELECT metric, max(v) FILTER (slot = 1) AS "1", max(v) FILTER (slot = 2) AS "2", max(v) FILTER (slot = 3) AS "3" FROM (SELECT slot, metric, v FROM (SELECT s.slot, r.roe, r.roce, r.pe FROM
- (SELECT * FROM (SELECT (SELECT min(c_custkey) FROM customer) AS symbol, 1 AS slot UNION ALL SELECT (SELECT max(c_custkey) FROM customer), 2 UNION ALL SELECT -1, 3)) s LEFT JOIN ratios r USING (symbol)),
- LATERAL (VALUES ('roe', roe), ('roce', roce), ('pe', pe)) t(metric, v)) GROUP BY metric""", RATIOS))
+@query("compare_stocks", sql("""SELECT metric, max(v) FILTER (slot = 1) AS "1", max(v) FILTER (slot = 2) AS "2", max(v) FILTER (slot = 3) AS "3", max(v) FILTER (slot = 4) AS "4", max(v) FILTER (slot = 5) AS "5" FROM (SELECT slot, metric, v FROM (SELECT s.slot, r.roe, r.roce, r.pe, (r.symbol IS NOT NULL)::INT::DOUBLE AS known FROM
+ (SELECT * FROM (SELECT (SELECT min(c_custkey) FROM customer) AS symbol, 1 AS slot UNION ALL SELECT (SELECT max(c_custkey) FROM customer), 2 UNION ALL SELECT -1, 3 UNION ALL SELECT (SELECT min(c_custkey) + 1 FROM customer), 4 UNION ALL SELECT (SELECT max(c_custkey) - 1 FROM customer), 5)) s LEFT JOIN ratios r ON r.symbol = s.symbol),
+ LATERAL (VALUES ('roe', roe), ('roce', roce), ('pe', pe), ('known', known)) t(metric, v)) GROUP BY metric""", RATIOS))
 def _(spark, d):
     ends = table(spark, d, "customer").agg(F.min("c_custkey").alias("a"), F.max("c_custkey").alias("b"))
-    chosen = ends.select(F.inline(F.array(*[F.struct(c.cast("bigint").alias("symbol"), F.lit(i).alias("slot")) for i, c in ((1, F.col("a")), (2, F.col("b")), (3, F.lit(-1)))])))
-    return J.compare_stocks(S.ratios(spark, d), F.broadcast(chosen), ["roe", "roce", "pe"])     # three rows
+    chosen = ends.select(F.inline(F.array(*[F.struct(c.cast("bigint").alias("symbol"), F.lit(i).alias("slot")) for i, c in ((1, F.col("a")), (2, F.col("b")), (3, F.lit(-1)), (4, F.col("a") + 1), (5, F.col("b") - 1))])))
+    return J.compare_symbols(S.ratios(spark, d), F.broadcast(chosen), ["roe", "roce", "pe"])     # five rows

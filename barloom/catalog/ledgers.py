@@ -183,7 +183,7 @@ def _(spark, d):
     return L.observe_upsert(old, o.where(i % 5 != 0).select("requested", F.when(i % 4 == 0, "b").otherwise("a").alias("answer"), day().alias("day")))
 
 
-@query("no_loss_annual", sql("""SELECT symbol, fy, basis, unnest(list_filter([CASE WHEN NOT here THEN 'record removed' END, CASE WHEN here AND symbol % 9 = 0 THEN 'provider changed' END, CASE WHEN here AND symbol % 30 = 0 THEN 'earlier revisions were altered or removed' END, CASE WHEN here AND symbol % 5 = 0 AND symbol % 4 <> 0 THEN 'revenue changed without a revision' END,
+@query("no_loss_annual", sql("""SELECT symbol, fy, basis, unnest(list_filter([CASE WHEN NOT here THEN 'record removed' END, CASE WHEN here AND symbol % 9 = 0 THEN 'provider changed' END, CASE WHEN here AND symbol % 30 = 0 THEN 'revision history changed' END, CASE WHEN here AND symbol % 5 = 0 AND symbol % 4 <> 0 THEN 'revenue changed without a revision' END,
  CASE WHEN here AND symbol % 6 <> 0 AND symbol % 4 = 0 THEN 'profit: a value was lost' END], lambda x: x IS NOT NULL)) AS problem FROM (SELECT *, fy < 2000 OR symbol % 2 = 1 OR symbol % 5 = 0 AS here FROM v WHERE has_old)""", VERSIONS))
 def _(spark, d):
     s = F.col("symbol")

@@ -173,7 +173,7 @@ BREADTH_COLS = """count(CASE WHEN {c} > 0 {w} THEN 1 END) AS {p}advancing, count
   count(CASE WHEN {c} IS NOT NULL {w} THEN 1 END) AS {p}counted, round(count(CASE WHEN {c} > 0 {w} THEN 1 END)::DOUBLE / nullif(count(CASE WHEN {c} < 0 {w} THEN 1 END), 0), 2) AS {p}ad_ratio"""
 
 
-@query("breadth", sql("SELECT *, CASE WHEN declining > 0 THEN NULL WHEN advancing > 0 THEN 'no declining stocks, so the ratio is not defined' ELSE 'no stock with a valid change, so the ratio is not defined' END AS ad_ratio_note FROM (SELECT CAST(date AS VARCHAR) AS date, "
+@query("breadth", sql("SELECT *, CASE WHEN declining > 0 THEN NULL WHEN advancing > 0 THEN 'ratio_undefined_no_declines' ELSE 'ratio_undefined_no_changes' END AS ad_ratio_note FROM (SELECT CAST(date AS VARCHAR) AS date, "
                       + BREADTH_COLS.format(c="change", w="", p="") + " FROM moved GROUP BY 1)", CHANGES))
 def _(spark, d):
     return M.breadth(W.change_1d(bars(spark, d)))

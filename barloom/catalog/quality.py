@@ -32,7 +32,7 @@ SMALL_DAY = Rules().but(min_universe=50, max_invalid_share=0.001)
 
 
 @query("dq_market_gate", sql("""SELECT CAST(latest AS VARCHAR) AS latest, """ + faults(
-    ("error: saved data is stale", "DATE '2001-11-12' - latest > 5"), ("error: too few stocks", "n < 50"), ("error: universe changed too much", "p > 0 AND abs((n - p) / p::DOUBLE) > 0.1"), ("error: too many unusable rows", "ic / eq::DOUBLE > 0.001"), ("error: too many conflicts", "cd / eq::DOUBLE > 0.01"), ("error: no EQ rows", "eq = 0"),
+    ("error: saved data is stale", "DATE '2001-11-12' - latest > 5"), ("error: too few symbols", "n < 50"), ("error: universe changed too much", "p > 0 AND abs((n - p) / p::DOUBLE) > 0.1"), ("error: too many unusable rows", "ic / eq::DOUBLE > 0.001"), ("error: too many conflicts", "cd / eq::DOUBLE > 0.01"), ("error: no EQ rows", "eq = 0"),
     ("warning: invalid_volume on the latest day", "iv > 0"), ("warning: invalid_delivery_pct on the latest day", "idp > 0"), ("warning: invalid_price_field on the latest day", "ip > 0"), ("warning: missing_prev_close on the latest day", "mp > 0"), ("warning: conflicting_duplicate_symbols on the latest day", "cd > 0"), ("warning: duplicate_identical on the latest day", "di > 0"))
     + """ FROM (SELECT max(date) AS latest, arg_max(ur, date) AS n, min_by_ur AS p, arg_max(eq, date) AS eq, arg_max(ic, date) AS ic, arg_max(cd, date) AS cd, arg_max(iv, date) AS iv, arg_max(idp, date) AS idp, arg_max(ip, date) AS ip, arg_max(mp, date) AS mp, arg_max(di, date) AS di FROM (SELECT *, first_value(ur) OVER (ORDER BY date) AS min_by_ur FROM
     (SELECT date, CAST(sum(copies) AS BIGINT) AS eq, count(*) FILTER (ok) AS ur, count(*) FILTER (NOT conflict AND bad_close) AS ic, count(*) FILTER (conflict) AS cd, count(*) FILTER (ok AND bad_volume) AS iv, count(*) FILTER (ok AND bad_deliv) AS idp, count(*) FILTER (ok AND (bad_high OR bad_low OR bad_open OR crossed)) AS ip, count(*) FILTER (ok AND bad_prev) AS mp,
@@ -44,7 +44,7 @@ def _(spark, d):
 MOVERS = "movers AS (" + _list_sql(LINE_SQL, [("gainers", "latest", "turnover >= 100 AND change_pct > 0", "change_pct DESC, symbol", 50), ("losers", "latest", "turnover >= 100 AND change_pct < 0", "change_pct, symbol", 50)]) + ")"
 
 
-@query("dq_market_outputs", sql("SELECT list, rank, symbol, " + faults(("rank is not its position", "rank <> pos"), ("not in order", "k < pk"), ("differs from the stock table", "changed")) + """ FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY rank) AS pos, k, lag(k) OVER (PARTITION BY list ORDER BY rank) AS pk FROM
+@query("dq_market_outputs", sql("SELECT list, rank, symbol, " + faults(("rank is not its position", "rank <> pos"), ("not in order", "k < pk"), ("differs from the symbol table", "changed")) + """ FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY rank) AS pos, k, lag(k) OVER (PARTITION BY list ORDER BY rank) AS pk FROM
  (SELECT list, symbol, CASE WHEN symbol % 7 = 0 THEN rank + 100 ELSE rank END AS rank, symbol % 5 = 0 AS changed, CASE WHEN list = 'gainers' THEN -1 ELSE 1 END * (change_pct + CASE WHEN symbol % 5 = 0 THEN 1 ELSE 0 END) AS k FROM movers))""", CHANGES, MOVERS))
 def _(spark, d):
     latest = M.latest_rows(W.change_1d(bars(spark, d)))
@@ -86,7 +86,7 @@ def _(spark, d):
     return Q.fundamentals(r.unionByName(r.where(s % 25 == 0)), METRICS)
 
 
-@query("dq_sector_outputs", sql("SELECT sector_key, " + faults(("parts do not equal counted", "h % 2 = 0 OR h % 3 = 0"), ("counted exceeds stocks", "h % 3 = 0 AND counted + 100 > stock_count"), ("eligible without figures", "eligible AND h % 5 = 0"), ("ineligible with figures", "false"), ("ineligible without a reason", "NOT eligible AND h % 2 = 1"), ("figures implausible", "(median_1d_pct NOT BETWEEN -100 AND 1000 AND h % 5 <> 0) OR mean_1d_pct NOT BETWEEN -100 AND 1000"))
+@query("dq_sector_outputs", sql("SELECT sector_key, " + faults(("parts do not equal counted", "h % 2 = 0 OR h % 3 = 0"), ("counted exceeds members", "h % 3 = 0 AND counted + 100 > member_count"), ("eligible without figures", "eligible AND h % 5 = 0"), ("ineligible with figures", "false"), ("ineligible without a reason", "NOT eligible AND h % 2 = 1"), ("figures implausible", "(median_1d_pct NOT BETWEEN -100 AND 1000 AND h % 5 <> 0) OR mean_1d_pct NOT BETWEEN -100 AND 1000"))
     + " FROM (SELECT *, CAST(split_part(sector_key, '-', 2) AS INTEGER) AS h FROM sectors)", SECTORS))
 def _(spark, d):
     h = F.split("sector_key", "-")[1].cast("int")
@@ -105,13 +105,13 @@ def _(spark, d):
 
 
 @query("dq_shareholding", sql("""SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, """ + faults(("not a quarter end", "symbol % 7 = 0"), ("not a percentage", "symbol % 11 = 0 AND f IS NOT NULL"), ("null category without a flag", "ok AND symbol % 2 = 0 AND (p IS NULL OR f IS NULL)"), ("unavailable with values", "NOT ok AND coalesce(p, f) IS NOT NULL"), ("unavailable without a reason", "NOT ok AND symbol % 2 = 1"), ("bad status", "symbol % 13 = 5"))
-    + """ FROM (SELECT symbol, CASE WHEN symbol % 7 = 0 THEN period_end - 31 ELSE period_end END AS period_end, max(shares) FILTER (category = 'promoters') AS p, max(shares) FILTER (category = 'fii') AS f, symbol % 13 <> 5 AND symbol % 10 <> 3 AS ok FROM holdings GROUP BY ALL) WHERE coalesce(p, f) IS NOT NULL""", HOLDINGS))
+    + """ FROM (SELECT symbol, CASE WHEN symbol % 7 = 0 THEN period_end - 31 ELSE period_end END AS period_end, max(shares) FILTER (category = 'promoters') AS p, max(shares) FILTER (category = 'fii') AS f, symbol % 13 <> 5 AND symbol % 10 <> 3 AS ok FROM holdings GROUP BY ALL)""", HOLDINGS))
 def _(spark, d):
     s = F.col("symbol")
     q = S.holdings(spark, d).groupBy("symbol", "period_end").agg(F.max(F.when(F.col("category") == "promoters", F.lit(10.0))).alias("promoters"), F.max(F.when(F.col("category") == "fii", F.when(s % 11 == 0, 200.0).otherwise(20.0))).alias("fii"))
     q = q.withColumns({"period_end": F.when(s % 7 == 0, F.date_sub("period_end", 31)).otherwise(F.col("period_end")), "flags": F.when(s % 2 == 0, "").otherwise("row_missing:x"), "status": F.when(s % 13 == 5, "odd").when(s % 10 == 3, "unavailable").otherwise("available"),
                        "reason": F.when(s % 2 == 0, "why"), "other_dii": F.coalesce("promoters", "fii"), "mutual_funds": F.coalesce("promoters", "fii"), "retail_other": F.coalesce("promoters", "fii")})
-    return Q.shareholding(q.where(F.coalesce("promoters", "fii").isNotNull()))
+    return Q.shareholding(q)
 
 
 
@@ -171,7 +171,7 @@ def _(spark, d):
     return Q.batch(planned, records, c.select("symbol", F.when(s % 13 == 0, "I2").otherwise("I1").alias("isin")))
 
 
-# ---------------------------------------------------------------- per-stock classes of the remaining coverage modules
+# ---------------------------------------------------------------- classes of each symbol of the remaining coverage modules
 from barloom.operators import coverage as V  # noqa: E402
 
 

@@ -17,14 +17,14 @@ from barloom.sources.market import instruments, table
 
 SECTORS = BUCKETED + """,
 sectors AS (SELECT *, CASE WHEN reason IS NULL THEN round(med, 2) END AS median_1d_pct, CASE WHEN reason IS NULL THEN round(avg_pct, 2) END AS mean_1d_pct, reason IS NULL AS eligible FROM (SELECT *,
- CASE WHEN counted < 2 THEN 'too_few_valid' WHEN counted / stock_count::DOUBLE < 0.8 THEN 'too_many_invalid' END AS reason FROM (SELECT sector_key, min(sector_source_label) AS label, count(*) AS stock_count, count(change) AS counted,
+ CASE WHEN counted < 2 THEN 'too_few_valid' WHEN counted / member_count::DOUBLE < 0.8 THEN 'too_many_invalid' END AS reason FROM (SELECT sector_key, min(sector_source_label) AS label, count(*) AS member_count, count(change) AS counted,
  count(*) FILTER (change > 0) AS advances, count(*) FILTER (change < 0) AS declines, count(*) FILTER (change = 0) AS unchanged, round(count(*) FILTER (change > 0)::DOUBLE / nullif(count(change), 0) * 100, 2) AS breadth_pct,
- median(change_pct) AS med, CAST(sum(CAST(round(change_pct * 100) AS BIGINT)) AS DOUBLE) / nullif(count(change_pct), 0) / 100 AS avg_pct, CAST(sum(volume) AS BIGINT) AS volume, count(volume) AS volume_stock_count
+ median(change_pct) AS med, CAST(sum(CAST(round(change_pct * 100) AS BIGINT)) AS DOUBLE) / nullif(count(change_pct), 0) / 100 AS avg_pct, CAST(sum(volume) AS BIGINT) AS volume, count(volume) AS volume_count
  FROM bucketed WHERE bucket = 'in_sector' GROUP BY 1)))"""
-FEW = Rules().but(min_sector_stocks=2)
+FEW = Rules().but(min_sector_members=2)
 
 
-@query("sector_performance", sql("SELECT sector_key, label, stock_count, counted, advances, declines, unchanged, breadth_pct, median_1d_pct, mean_1d_pct, volume, volume_stock_count, eligible, reason FROM sectors", SECTORS))
+@query("sector_performance", sql("SELECT sector_key, label, member_count, counted, advances, declines, unchanged, breadth_pct, median_1d_pct, mean_1d_pct, volume, volume_count, eligible, reason FROM sectors", SECTORS))
 def _(spark, d):
     return X.sector_performance(sector_rows(spark, d), FEW)
 
@@ -38,16 +38,16 @@ def _(spark, d):
     return X.sector_availability(rows, X.sector_performance(rows, FEW), "2001-11-04", FEW)
 
 
-@query("sector_leaders", sql("""SELECT 'leaders' AS list, sector_key, median_1d_pct, stock_count, rank FROM (SELECT *, row_number() OVER (ORDER BY median_1d_pct DESC, sector_key) AS rank FROM sectors WHERE eligible) WHERE rank <= 5
- UNION ALL SELECT 'laggards', sector_key, median_1d_pct, stock_count, rank FROM (SELECT *, row_number() OVER (ORDER BY median_1d_pct, sector_key) AS rank FROM sectors WHERE eligible) WHERE rank <= 5""", SECTORS))
+@query("sector_leaders", sql("""SELECT 'leaders' AS list, sector_key, median_1d_pct, member_count, rank FROM (SELECT *, row_number() OVER (ORDER BY median_1d_pct DESC, sector_key) AS rank FROM sectors WHERE eligible) WHERE rank <= 5
+ UNION ALL SELECT 'laggards', sector_key, median_1d_pct, member_count, rank FROM (SELECT *, row_number() OVER (ORDER BY median_1d_pct, sector_key) AS rank FROM sectors WHERE eligible) WHERE rank <= 5""", SECTORS))
 def _(spark, d):
     return X.sector_leaders(cut_lineage(X.sector_performance(sector_rows(spark, d), FEW), "sectors"), FEW)
 
 
-@query("sector_stocks", sql("""SELECT 'top' AS list, sector_key, symbol, close, change_pct, volume, rank FROM (SELECT *, row_number() OVER (PARTITION BY sector_key ORDER BY change_pct DESC, symbol) AS rank FROM bucketed WHERE bucket = 'in_sector' AND turnover >= 100 AND change_pct IS NOT NULL) WHERE rank <= 5
+@query("sector_listings", sql("""SELECT 'top' AS list, sector_key, symbol, close, change_pct, volume, rank FROM (SELECT *, row_number() OVER (PARTITION BY sector_key ORDER BY change_pct DESC, symbol) AS rank FROM bucketed WHERE bucket = 'in_sector' AND turnover >= 100 AND change_pct IS NOT NULL) WHERE rank <= 5
  UNION ALL SELECT 'bottom', sector_key, symbol, close, change_pct, volume, rank FROM (SELECT *, row_number() OVER (PARTITION BY sector_key ORDER BY change_pct, symbol) AS rank FROM bucketed WHERE bucket = 'in_sector' AND turnover >= 100 AND change_pct IS NOT NULL) WHERE rank <= 5""", BUCKETED))
 def _(spark, d):
-    return X.sector_stocks(sector_rows(spark, d))
+    return X.sector_listings(sector_rows(spark, d))
 
 
 def lists(spark, d):
@@ -143,7 +143,7 @@ FIELDS = ["segment", "instrument_type", "security_type", "brand", "type", "name"
 
 
 @query("field_profile", sql(f"""SELECT field, value, count(*) FILTER (e) AS eligible, count(*) FILTER (NOT e) AS excluded FROM (SELECT field, coalesce(value, '(none)') AS value, e FROM (SELECT *, left(isin, 3) AS isin_prefix, row_id IN (SELECT row_id FROM classified WHERE status LIKE 'eligible%') AS e FROM instruments) x,
-  LATERAL (VALUES {', '.join(f"('{f}', {f})" for f in FIELDS)}) t(field, value)) GROUP BY 1, 2 QUALIFY count(*) OVER (PARTITION BY field) <= 25""", CLASSIFIED))
+  LATERAL (VALUES {', '.join(f"('{f}', {f})" for f in FIELDS)}) t(field, value)) GROUP BY 1, 2""", CLASSIFIED))
 def _(spark, d):
     rows = instruments(spark, d).withColumn("isin_prefix", F.substring("isin", 1, 3)).join(
         classified(spark, d).select("row_id", F.col("status").like("eligible%").alias("_e")), "row_id", "left")

@@ -42,12 +42,12 @@ def annual_docs(spark, d):
 ANNUAL = """
 yv AS (SELECT o_custkey AS symbol, year(o_orderdate) AS fy, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS rev, max(o_totalprice) AS mx, min(o_totalprice) AS mn, count(*)::DOUBLE AS n,
   year(o_orderdate) * 12 + CASE WHEN o_custkey % 19 = 0 AND year(o_orderdate) >= 1999 THEN 3 ELSE 12 END AS m, CASE WHEN o_custkey % 19 = 0 AND year(o_orderdate) >= 1999 THEN 3 ELSE 12 END AS mo
-  FROM orders WHERE o_custkey % 23 <> 0 GROUP BY 1, 2, 5 + 1 - 1 + fy * 0, m, mo),
+  FROM orders GROUP BY 1, 2, 5 + 1 - 1 + fy * 0, m, mo),
 sw AS (SELECT *, CASE WHEN lag(mo) OVER w <> mo THEN 1 ELSE 0 END AS switch, m - lag(m) OVER w AS gap FROM yv WINDOW w AS (PARTITION BY symbol ORDER BY m)),
 isl AS (SELECT *, sum(switch) OVER (PARTITION BY symbol) AS switches, sum(CASE WHEN switch = 0 AND gap <> 12 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol) AS uneven, sum(switch) OVER (PARTITION BY symbol ORDER BY m) AS after FROM sw),
 jdg AS (SELECT *, CASE WHEN switches > 1 OR (switches = 1 AND (uneven > 0 OR full_after = 0)) THEN 'mixed_month_ends' END AS problem FROM (SELECT *, sum(CASE WHEN after = 1 AND switch = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol) AS full_after FROM isl)),
 annual AS (SELECT symbol, fy, CASE WHEN symbol % 31 <> 0 THEN rev END AS revenue, rev AS total_revenue, mx AS profit_before_tax, mn AS profit_after_tax, n AS eps_basic, NULL::DOUBLE AS eps_diluted, symbol % 3 <> 0 AS revenue_check, true AS pbt_check, true AS pat_check, NULL::VARCHAR AS problem
-  FROM jdg WHERE problem IS NULL AND (switches = 0 OR (after = 1 AND switch = 0)) AND NOT (symbol % 29 = 0 AND fy = 1997))""".replace("GROUP BY 1, 2, 5 + 1 - 1 + fy * 0, m, mo", "GROUP BY ALL")
+  FROM jdg WHERE problem IS NULL AND (switches = 0 OR (after = 1 AND switch = 0)) AND NOT (symbol % 29 = 0 AND fy = 1997) AND symbol % 23 <> 0)""".replace("GROUP BY 1, 2, 5 + 1 - 1 + fy * 0, m, mo", "GROUP BY ALL")
 
 
 def annual(spark, d):
@@ -55,14 +55,14 @@ def annual(spark, d):
 
 
 @query("annual_parse", sql("""SELECT * FROM annual UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_yearly' FROM (SELECT DISTINCT o_custkey AS symbol FROM orders WHERE o_custkey % 23 = 0)
- UNION ALL SELECT DISTINCT symbol, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, coalesce(problem, 'no_data') FROM jdg WHERE symbol NOT IN (SELECT symbol FROM annual)""", ANNUAL))
+ UNION ALL SELECT DISTINCT symbol, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, coalesce(problem, 'no_data') FROM jdg WHERE symbol % 23 <> 0 AND symbol NOT IN (SELECT symbol FROM annual)""", ANNUAL))
 def _(spark, d):
     return annual(spark, d)
 
 
 @query("year_end_change", sql("SELECT symbol, fy * 100 + mo AS period, problem FROM jdg WHERE problem IS NOT NULL OR switches = 0 OR (after = 1 AND switch = 0)", ANNUAL))
 def _(spark, d):
-    docs = annual_docs(spark, d).where("symbol % 23 <> 0")
+    docs = annual_docs(spark, d)
     periods = docs.select("symbol", F.explode(F.element_at("full_statement", 2)["history"]).alias("h")).select("symbol", T.period_parse("h.period").alias("period_end"))
     out = T.year_end_change(periods)
     return out.select("symbol", (F.year("period_end") * 100 + F.month("period_end")).alias("period"), "problem")
@@ -71,7 +71,7 @@ def _(spark, d):
 @query("src_statement_lines", sql("""SELECT symbol, label, fy, value FROM (SELECT symbol, fy, 'revenue' AS label, rev AS value FROM yv WHERE symbol % 31 <> 0 UNION ALL SELECT symbol, fy, 'total revenue', rev FROM yv UNION ALL SELECT symbol, fy, 'profit before tax', mx FROM yv
  UNION ALL SELECT symbol, fy, 'profit after tax', mn FROM yv UNION ALL SELECT symbol, fy, 'eps basic', n FROM yv) WHERE NOT (symbol % 29 = 0 AND fy = 1997) UNION ALL SELECT symbol, l, fy, NULL FROM yv, (VALUES ('revenue'), ('total revenue'), ('profit before tax'), ('profit after tax'), ('eps basic')) t(l) WHERE symbol % 29 = 0 AND fy = 1997 AND NOT (l = 'revenue' AND symbol % 31 = 0)""", ANNUAL))
 def _(spark, d):
-    return T.statement_lines(annual_docs(spark, d).where("symbol % 23 <> 0")).select("symbol", "label", F.year("period_end").alias("fy"), "value")
+    return T.statement_lines(annual_docs(spark, d)).select("symbol", "label", F.year("period_end").alias("fy"), "value")
 
 
 @query("reconcile_flags", sql("SELECT symbol, fy, CASE WHEN revenue_check THEN 'matched' ELSE 'mismatch' END AS reconciliation, CASE WHEN revenue_check THEN '' ELSE 'revenue_check' END AS warnings FROM annual", ANNUAL))
@@ -220,11 +220,12 @@ own3 AS (SELECT *, round(promoters2 + fii2 + other2 + mf2 + re2, 2) AS total_pct
 OWN_SELECT = """SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, {v} AS promoters, CASE WHEN symbol % 13 = 0 AND symbol % 2 = 0 THEN NULL ELSE fii2 END AS fii FROM own3"""
 
 
-@query("shareholding_categories", sql("""SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, promoters2 AS promoters, fii2 AS fii, other2 AS other_dii, mf2 AS mutual_funds, re2 AS retail_other, CASE WHEN symbol % 3 <> 0 THEN 'new' ELSE 'old' END AS format, CASE WHEN symbol % 2 = 0 THEN 'fraction' ELSE 'percent' END AS unit,
- 'none' AS trust_mode, absent AS promoter_absent, total_pct, CASE WHEN off > 1.0 THEN off END AS conflict_pp, array_to_string(list_filter([CASE WHEN p IS NULL THEN 'row_missing:promoters' END, CASE WHEN abs(total_pct - 100) > 0.25 THEN 'sum_off' END, CASE WHEN off > 1.0 THEN 'conflict' END], lambda x: x IS NOT NULL), ',') AS flags,
- NULL::VARCHAR AS problem FROM own3 WHERE symbol % 13 <> 0""", HOLDINGS, _own_sql()))
+@query("shareholding_categories", sql("""SELECT symbol, CAST(period_end AS VARCHAR) AS period_end, CASE WHEN known THEN promoters2 END AS promoters, CASE WHEN known THEN fii2 END AS fii, CASE WHEN known THEN other2 END AS other_dii, CASE WHEN known THEN mf2 END AS mutual_funds, CASE WHEN known THEN re2 END AS retail_other,
+ CASE WHEN symbol % 3 <> 0 THEN 'new' ELSE 'old' END AS format, CASE WHEN NOT known THEN NULL WHEN symbol % 2 = 0 THEN 'fraction' ELSE 'percent' END AS unit,
+ CASE WHEN known THEN 'none' END AS trust_mode, CASE WHEN known THEN absent END AS promoter_absent, CASE WHEN known THEN total_pct END AS total_pct, CASE WHEN known AND off > 1.0 THEN off END AS conflict_pp, CASE WHEN known THEN array_to_string(list_filter([CASE WHEN p IS NULL THEN 'row_missing:promoters' END, CASE WHEN abs(total_pct - 100) > 0.25 THEN 'sum_off' END, CASE WHEN off > 1.0 THEN 'conflict' END], lambda x: x IS NOT NULL), ',') END AS flags,
+ CASE WHEN NOT known THEN 'unit_unknown' END AS problem FROM (SELECT *, symbol % 13 <> 0 AS known FROM own3)""", HOLDINGS, _own_sql()))
 def _(spark, d):
-    return O.shareholding_categories(category_facts(spark, d)).where("problem IS NULL")
+    return O.shareholding_categories(category_facts(spark, d))
 
 
 AXES = ["in-bse:DetailsOfSharesHeldByMutualFundsOrUTIAxis", "in-bse:DetailsOfSharesHeldByInsuranceCompaniesAxis", "in-bse:DetailsOfSharesHeldByForeignDirectInvestmentAxis", "in-bse:DetailsOfShareholdersActingAsPersonsInConcertForPublicAxis", "in-bse:OtherNonInstitutionsAxis"]

@@ -31,7 +31,7 @@ def sector_bucketed(rows: DataFrame, master: DataFrame) -> DataFrame:
 
 
 def relative_strength(bars: DataFrame, bench: DataFrame) -> DataFrame:
-    """100 x (stock rebased) / (benchmark rebased), both from the first date they share; symbols without one do not appear."""
+    """100 x (symbol rebased) / (benchmark rebased), both from the first date they share; symbols without one do not appear."""
     b = bench.select("date", F.col("close").alias("bench_close"))
     j = bars.select("symbol", "date", "close").join(F.broadcast(b), "date")                   # one row per calendar day
     first = by_symbol().rowsBetween(Window.unboundedPreceding, 0)
@@ -76,10 +76,10 @@ def asof_window_perf(series: DataFrame, tolerance: int = 7) -> DataFrame:
                     *[F.when(F.datediff(F.date_sub("as_of", n), F.col(f"on_{k}")) <= tolerance, pct(f"base_{k}")).alias(k) for k, n in PERF_DAYS.items()])
 
 
-def relative_perf(stocks: DataFrame, bench: DataFrame, windows=("d1", "w1", "d30", "d90")) -> DataFrame:
-    """Stock return minus the return of the one benchmark row, in percentage points."""
+def relative_perf(listed: DataFrame, bench: DataFrame, windows=("d1", "w1", "d30", "d90")) -> DataFrame:
+    """A symbol's return minus the return of the one benchmark row, in percentage points."""
     b = bench.select(*[F.col(w).alias(f"bench_{w}") for w in windows])
-    j = stocks.crossJoin(F.broadcast(b))                                                       # one row
+    j = listed.crossJoin(F.broadcast(b))                                                       # one row
     return j.select("symbol", *[(F.col(w) - F.col(f"bench_{w}")).alias(f"rel_{w}") for w in windows])
 
 
@@ -168,8 +168,10 @@ def drift(old: DataFrame, new: DataFrame, max_drop: float = 0.10, max_growth: fl
     return c.withColumns({"drop_ok": F.col("removed") <= F.col("previous") * max_drop, "growth_ok": F.col("added") <= F.col("previous") * max_growth})
 
 
-def compare_stocks(metrics: DataFrame, chosen: DataFrame, names: list[str]) -> DataFrame:
-    """Metric x symbol for the chosen symbols (two to five), unknown ones listed with no value."""
+def compare_symbols(metrics: DataFrame, chosen: DataFrame, names: list[str], slots: int = 5) -> DataFrame:
+    """Metric x slot for the chosen symbols, two to five of them in `slots` slots; the metric `known` is 1 for a symbol that the metrics have and 0 for one they do not."""
+    if not 2 <= slots <= 5:
+        raise ValueError("two to five symbols can be compared")
     picked = chosen.join(metrics.select("symbol", *names, F.lit(True).alias("known")), "symbol", "left")
-    values = F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
-    return picked.select("slot", F.coalesce("known", F.lit(False)).alias("known"), F.inline(values)).groupBy("metric").pivot("slot", [1, 2, 3]).agg(F.first("value"))
+    values = F.array(F.struct(F.lit("known").alias("metric"), F.coalesce("known", F.lit(False)).cast("double").alias("value")), *[F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names])
+    return picked.select("slot", F.inline(values)).groupBy("metric").pivot("slot", list(range(1, slots + 1))).agg(F.first("value"))

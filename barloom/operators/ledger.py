@@ -142,9 +142,9 @@ def seed_from_saved(working: DataFrame, saved: DataFrame, keys: Sequence[str], v
 MASTER_REVISION = "array<struct<on:date,field:string,old:string,new:string>>"
 
 
-def merge_sector_master(old: DataFrame, seen: DataFrame, today: Column) -> DataFrame:
+def merge_sector_master(old: DataFrame, seen: DataFrame, today: Column, keep: int | None = None) -> DataFrame:
     """Slowly changing master by identifier. old: isin, symbol, symbol_history, instrument_class, label, last_confirmed, status, revisions; seen: isin,
-    symbol, instrument_class, label, answered, attempted. Unseen records stay, marked absent; at most the last 50 revisions are kept."""
+    symbol, instrument_class, label, answered, attempted. Unseen records stay, marked absent; all revisions are kept, or the last `keep`."""
     j = _both(old, seen, ["isin"])
     o, n = (lambda c: F.col("o_" + c)), (lambda c: F.col("n_" + c))
     both = F.col("_o") & F.col("_n")
@@ -160,7 +160,7 @@ def merge_sector_master(old: DataFrame, seen: DataFrame, today: Column) -> DataF
     all_rev = F.concat(F.coalesce(o("revisions"), F.array().cast(MASTER_REVISION)), added)
     return j.select("isin", F.coalesce(n("symbol"), o("symbol")).alias("symbol"), history.alias("symbol_history"), F.when(F.col("_n").isNull(), o("instrument_class")).otherwise(klass).alias("instrument_class"),
                     F.when(F.col("_n").isNull(), o("label")).otherwise(label).alias("label"), F.when(F.col("_n") & (n("label").isNotNull() | n("answered")), today).otherwise(o("last_confirmed")).alias("last_confirmed"),
-                    status.alias("status"), F.slice(all_rev, F.greatest(F.lit(1), F.size(all_rev) - 49), 50).alias("revisions"))
+                    status.alias("status"), (all_rev if keep is None else F.slice(all_rev, F.greatest(F.lit(1), F.size(all_rev) - (keep - 1)), keep)).alias("revisions"))
 
 
 def hold_isin_change(records: DataFrame, listed: DataFrame, values: Sequence[str]) -> DataFrame:
@@ -204,7 +204,7 @@ def no_loss_annual(old: DataFrame, new: DataFrame, fields: Sequence[str]) -> Dat
     here = F.col("_n").isNotNull()
     k = F.size("o_revisions")
     prefix = F.when(k == 0, F.lit(True)).otherwise(F.slice("n_revisions", F.lit(1), F.greatest(k, F.lit(1))).cast("string").eqNullSafe(F.col("o_revisions").cast("string")))
-    rules = {"record removed": ~here, "provider changed": here & (F.col("o_provider") != F.col("n_provider")), "earlier revisions were altered or removed": here & ~prefix}
+    rules = {"record removed": ~here, "provider changed": here & (F.col("o_provider") != F.col("n_provider")), "revision history changed": here & ~prefix}
     for f in fields:
         recorded = F.exists(F.slice("n_revisions", k + 1, F.greatest(F.size("n_revisions") - k, F.lit(0))), _records(f))
         rules[f"{f}: a value was lost"] = here & F.col("o_" + f).isNotNull() & F.col("n_" + f).isNull()
@@ -219,7 +219,7 @@ def no_loss_shareholding(old: DataFrame, new: DataFrame, fields: Sequence[str])
     more = F.coalesce(F.col("n_revisions") > F.col("o_revisions"), F.lit(False))
     rules = {"record removed": ~here, "an available quarter became unavailable": here & (F.col("o_status") == "available") & (F.col("n_status") != "available"),
              "source record id was removed": here & F.col("o_record_id").isNotNull() & F.col("n_record_id").isNull(), "record id changed without a revision": here & (F.col("o_record_id") != F.col("n_record_id")) & ~more,
-             "earlier revisions were altered or removed": here & (F.col("n_revisions") < F.col("o_revisions")), "named holders were lost": here & F.col("o_holders").isNotNull() & F.col("n_holders").isNull() & (F.col("o_record_id") == F.col("n_record_id"))}
+             "revision history changed": here & (F.col("n_revisions") < F.col("o_revisions")), "named holders were lost": here & F.col("o_holders").isNotNull() & F.col("n_holders").isNull() & (F.col("o_record_id") == F.col("n_record_id"))}
     for f in fields:
         rules[f"{f}: a value was lost"] = here & F.col("o_" + f).isNotNull() & F.col("n_" + f).isNull()
         rules[f"{f} changed without a revision"] = here & _changed(f) & ~more

@@ -37,8 +37,8 @@ def _breadth_columns(where: Column, prefix: str = "") -> list[Column]:
 def breadth(changed: DataFrame, by: Sequence[str] = ("date",)) -> DataFrame:
     """Advancing, declining and unchanged rows with a valid change; no ratio (and a note) without decliners."""
     out = changed.groupBy(*by).agg(*_breadth_columns(F.lit(True)))
-    note = (F.when(F.col("declining") > 0, None).when(F.col("advancing") > 0, "no declining stocks, so the ratio is not defined")
-            .otherwise("no stock with a valid change, so the ratio is not defined"))
+    note = (F.when(F.col("declining") > 0, None).when(F.col("advancing") > 0, "ratio_undefined_no_declines")
+            .otherwise("ratio_undefined_no_changes"))
     return out.withColumn("ad_ratio_note", note)
 
 

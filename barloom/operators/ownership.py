@@ -35,7 +35,7 @@ SKIPPED_AXES = {"shareholdersactingaspersonsinconcertforpublic": "persons_in_con
 
 def shareholding_categories(facts: DataFrame) -> DataFrame:
     """Category facts (symbol, period_end, member, shares, pct) to the five percentages with format, unit, trust mode, share-derived
-    conflict and flags. Nothing is forced to 100 and no missing row is made up."""
+    conflict and flags. Nothing is forced to 100 and no missing row is made up. Where the unit or the format is unknown the row says so and has no percentages."""
     at = lambda m, c: F.max(F.when(F.col("member") == MEMBERS[m], F.col(c)))
     g = facts.groupBy("symbol", "period_end").agg(*[at(m, "pct").alias("p_" + m) for m in MEMBERS], *[at(m, "shares").alias("s_" + m) for m in MEMBERS],
                                                   *[F.max(F.when(F.col("member") == MEMBERS[m], True)).alias("h_" + m) for m in ("promoter", "domestic", "foreign", "inst_old", "fpi_old")])
@@ -66,7 +66,9 @@ def shareholding_categories(facts: DataFrame) -> DataFrame:
     missing = [F.when(F.col(c).isNull(), F.lit("row_missing:" + n)) for c, n in (("_prom", "promoters"), ("p_mf", "mutual_funds"), ("p_nonins", "retail_other"), ("_fii", "fii"), ("_inst", "institutions"))]
     flags = F.array_compact(F.array(*missing, F.when(F.abs(F.col("total_pct") - 100) > 0.25, "sum_off"), F.when(F.col("conflict_pp").isNotNull(), "conflict")))
     problem = F.when(F.col("unit").isNull(), "unit_unknown").when(F.col("format").isNull(), "format_unknown")
-    return g.select("symbol", "period_end", *CATEGORIES, "format", "unit", "trust_mode", "promoter_absent", "total_pct", "conflict_pp", F.array_join(flags, ",").alias("flags"), problem.alias("problem"))
+    sound = lambda c, name: F.when(problem.isNull(), c).alias(name)
+    return g.select("symbol", "period_end", *[sound(F.col(c), c) for c in CATEGORIES], "format", "unit", sound(F.col("trust_mode"), "trust_mode"), sound(F.col("promoter_absent"), "promoter_absent"), sound(F.col("total_pct"), "total_pct"),
+                    sound(F.col("conflict_pp"), "conflict_pp"), sound(F.array_join(flags, ","), "flags"), problem.alias("problem"))
 
 
 def axis_columns(axis: Column) -> list[Column]:

@@ -30,7 +30,7 @@ def market_gate(counts: DataFrame, expected: str, today: str, rules: Rules = Rul
     c = lambda f: F.col("c." + f)
     stale = F.datediff(F.lit(expected).cast("date"), "latest")
     share = lambda f: F.try_divide(c(f), c("eq_rows"))
-    errors = {"latest date is in the future": F.col("latest") > F.lit(today).cast("date"), "saved data is stale": stale > rules.max_stale_days, "too few stocks": F.col("n") < rules.min_universe,
+    errors = {"latest date is in the future": F.col("latest") > F.lit(today).cast("date"), "saved data is stale": stale > rules.max_stale_days, "too few symbols": F.col("n") < rules.min_universe,
               "universe changed too much": (F.col("days") == 2) & (F.abs(F.try_divide(F.col("n") - F.col("p"), F.col("p"))) > rules.max_universe_change), "too many unusable rows": share("invalid_close") > rules.max_invalid_share,
               "too many conflicts": share("conflicting_duplicate_symbols") > rules.max_conflict_share, "no EQ rows": c("eq_rows") == 0}
     warns = {f"{f} on the latest day": c(f) > 0 for f in ("invalid_volume", "invalid_turnover", "invalid_delivery_pct", "invalid_price_field", "missing_prev_close", "conflicting_duplicate_symbols", "duplicate_identical")}
@@ -39,13 +39,13 @@ def market_gate(counts: DataFrame, expected: str, today: str, rules: Rules = Rul
 
 
 def market_outputs(lists: DataFrame, latest: DataFrame, rank_by: dict[str, Column]) -> DataFrame:
-    """Ranked lists against the per-stock table: ranks 1..n, in order, unique symbols, percentages in range, values equal."""
+    """Ranked lists against the table of symbols: ranks 1..n, in order, unique symbols, percentages in range, values equal."""
     w = Window.partitionBy("list").orderBy("rank")                                            # a list has at most its configured rows
     key = F.coalesce(*[F.when(F.col("list") == n, k) for n, k in rank_by.items()])
     j = lists.join(latest.select("symbol", F.col("change_pct").alias("_pct"), F.col("close").alias("_close")), "symbol", "left")
     j = j.withColumns({"_k": key, "_rn": F.row_number().over(w), "_prev": F.lag(key).over(w), "_dup": F.count(F.lit(1)).over(Window.partitionBy("list", "symbol"))})
     return violations(j, ["list", "rank", "symbol"], {"rank is not its position": F.col("rank") != F.col("_rn"), "not in order": F.col("_k") < F.col("_prev"), "symbol listed twice": F.col("_dup") > 1,
-                                                      "percent out of range": F.col("change_pct") < -100, "differs from the stock table": ~F.col("change_pct").eqNullSafe(F.col("_pct")) | ~F.col("close").eqNullSafe(F.col("_close"))})
+                                                      "percent out of range": F.col("change_pct") < -100, "differs from the symbol table": ~F.col("change_pct").eqNullSafe(F.col("_pct")) | ~F.col("close").eqNullSafe(F.col("_close"))})
 
 
 def candles(rows: DataFrame, today: str, max_age: int = 7) -> DataFrame:
@@ -76,7 +76,7 @@ def fundamentals(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
 
 def sector_outputs(sectors: DataFrame) -> DataFrame:
     return violations(sectors, ["sector_key"], {
-        "parts do not equal counted": F.col("advances") + F.col("declines") + F.col("unchanged") != F.col("counted"), "counted exceeds stocks": F.col("counted") > F.col("stock_count"), "breadth out of range": ~F.col("breadth_pct").between(0, 100),
+        "parts do not equal counted": F.col("advances") + F.col("declines") + F.col("unchanged") != F.col("counted"), "counted exceeds members": F.col("counted") > F.col("member_count"), "breadth out of range": ~F.col("breadth_pct").between(0, 100),
         "eligible without figures": F.col("eligible") & (F.col("median_1d_pct").isNull() | F.col("mean_1d_pct").isNull()), "ineligible with figures": ~F.col("eligible") & F.coalesce("median_1d_pct", "mean_1d_pct").isNotNull(),
         "ineligible without a reason": ~F.col("eligible") & F.col("reason").isNull(), "figures implausible": ~F.col("median_1d_pct").between(-100, 1000) | ~F.col("mean_1d_pct").between(-100, 1000)})
 

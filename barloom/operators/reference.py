@@ -130,12 +130,15 @@ def unmatched_strata(classified: DataFrame, sample: int = 5) -> DataFrame:
     return picked.join(n, keys)
 
 
-def field_profile(rows: DataFrame, fields: Sequence[str], eligible: Column, max_values: int = 25) -> DataFrame:
-    """(field, value) -> eligible and excluded rows, for fields with few distinct values."""
+def field_profile(rows: DataFrame, fields: Sequence[str], eligible: Column, max_values: int | None = None) -> DataFrame:
+    """(field, value) -> eligible and excluded rows of every value; with `max_values` a field that has more is one row, its value `(n values)`."""
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("(none)")).alias("value")) for f in fields])
     c = rows.select(eligible.alias("_e"), F.inline(cells)).groupBy("field", "value").agg(F.count_if("_e").alias("eligible"), F.count_if(~F.col("_e")).alias("excluded"))
-    few = c.groupBy("field").agg(F.count(F.lit(1)).alias("_v")).where(F.col("_v") <= max_values).select("field")
-    return c.join(few, "field", "left_semi")
+    if max_values is None:
+        return c
+    sizes = c.groupBy("field").agg(F.count(F.lit(1)).alias("_v"))
+    many = F.when(F.col("_v") > max_values, F.concat(F.lit("("), "_v", F.lit(" values)"))).otherwise(F.col("value"))
+    return c.join(sizes, "field").groupBy("field", many.alias("value")).agg(F.sum("eligible").alias("eligible"), F.sum("excluded").alias("excluded"))
 
 
 def directory_build(classified: DataFrame) -> DataFrame:

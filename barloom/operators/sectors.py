@@ -16,16 +16,16 @@ def sector_performance(bucketed: DataFrame, rules: Rules = Rules()) -> DataFrame
     """Equal-weight figures per sector. Median and mean only where enough rows have a valid change."""
     m = cut_lineage(bucketed.where("bucket = 'in_sector'").select("sector_key", "sector_source_label", "change", "change_pct", "volume"), "sector-members")     # read twice below
     g = m.groupBy("sector_key").agg(
-        F.min("sector_source_label").alias("label"), F.count(F.lit(1)).alias("stock_count"), F.count("change").alias("counted"),
+        F.min("sector_source_label").alias("label"), F.count(F.lit(1)).alias("member_count"), F.count("change").alias("counted"),
         F.count_if(F.col("change") > 0).alias("advances"), F.count_if(F.col("change") < 0).alias("declines"), F.count_if(F.col("change") == 0).alias("unchanged"),
-        F.sum(F.rint(F.col("change_pct") * 100).cast("bigint")).alias("_cents"), F.count("change_pct").alias("_n"), F.sum("volume").alias("volume"), F.count("volume").alias("volume_stock_count"))
-    reason = (F.when(F.col("counted") < rules.min_sector_stocks, "too_few_valid").when(F.col("counted") / F.col("stock_count") < rules.min_counted_share, "too_many_invalid"))
+        F.sum(F.rint(F.col("change_pct") * 100).cast("bigint")).alias("_cents"), F.count("change_pct").alias("_n"), F.sum("volume").alias("volume"), F.count("volume").alias("volume_count"))
+    reason = (F.when(F.col("counted") < rules.min_sector_members, "too_few_valid").when(F.col("counted") / F.col("member_count") < rules.min_counted_share, "too_many_invalid"))
     med = group_medians(m, "sector_key", "change_pct", "_median")
     j = g.join(med, "sector_key", "left").withColumn("reason", reason)
     ok = F.col("reason").isNull()
-    return j.select("sector_key", "label", "stock_count", "counted", "advances", "declines", "unchanged", rnd(F.try_divide("advances", "counted") * 100, 2).alias("breadth_pct"),
+    return j.select("sector_key", "label", "member_count", "counted", "advances", "declines", "unchanged", rnd(F.try_divide("advances", "counted") * 100, 2).alias("breadth_pct"),
                     F.when(ok, rnd("_median", 2)).alias("median_1d_pct"), F.when(ok, rnd(F.try_divide(F.col("_cents"), F.col("_n")) / 100, 2)).alias("mean_1d_pct"),
-                    "volume", "volume_stock_count", ok.alias("eligible"), "reason")
+                    "volume", "volume_count", ok.alias("eligible"), "reason")
 
 
 def sector_availability(bucketed: DataFrame, sectors: DataFrame, today, rules: Rules = Rules()) -> DataFrame:
@@ -44,13 +44,13 @@ def sector_availability(bucketed: DataFrame, sectors: DataFrame, today, rules: R
 def sector_leaders(sectors: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Leaders and laggards by median (ties by key)."""
     from barloom.operators.market import ranked
-    e = sectors.where("eligible").select("sector_key", "median_1d_pct", "stock_count")
+    e = sectors.where("eligible").select("sector_key", "median_1d_pct", "member_count")
     up = ranked(e, "leaders", [F.desc("median_1d_pct"), F.asc("sector_key")], rules.sector_rows)
     return up.unionByName(ranked(e, "laggards", [F.asc("median_1d_pct"), F.asc("sector_key")], rules.sector_rows))
 
 
-def sector_stocks(bucketed: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Best and worst liquid stocks per sector. The rank limit is applied before the exchange, so a hot sector moves a few rows per task."""
+def sector_listings(bucketed: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Best and worst liquid listings per sector. The rank limit is applied before the exchange, so a hot sector moves a few rows per task."""
     m = bucketed.where((F.col("bucket") == "in_sector") & liquid(rules) & F.col("change_pct").isNotNull()).select("sector_key", "symbol", "close", "change_pct", "volume")
     top = lambda order: Window.partitionBy("sector_key").orderBy(*order)
     best = m.withColumn("rank", F.row_number().over(top([F.desc("change_pct"), F.asc("symbol")]))).where(F.col("rank") <= rules.sector_rows).withColumn("list", F.lit("top"))

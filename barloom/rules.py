@@ -33,7 +33,7 @@ class Rules:
     max_stale_days: int = 5
     extreme_change_pct: float = 50.0
     # sectors
-    min_sector_stocks: int = 5
+    min_sector_members: int = 5
     min_counted_share: float = 0.8
     min_coverage: float = 0.8
     min_fresh_share: float = 0.9
