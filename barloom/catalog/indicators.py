@@ -31,34 +31,34 @@ def fold_sql(select: str) -> str:
     return half_even(FOLD + f"SELECT symbol, CAST(date AS VARCHAR) AS date, {select} FROM steps").replace("Round(", "round(")
 
 
-def _pick(spark, d, *cols):
-    return I.folded(bars(spark, d)).select("symbol", "date", *[rnd(c, 4).alias(c) for c in cols])
+def _pick(spark, d, which):
+    return I.folded(bars(spark, d), which).select("symbol", "date", *[rnd(c, 4).alias(c) for c in I.FOLDS[which]])
 
 
 @query("ema", fold_sql("round(e12, 4) AS ema12, round(e26, 4) AS ema26"))
 def _(spark, d):
-    return _pick(spark, d, "ema12", "ema26")
+    return _pick(spark, d, "ema")
 
 
 @query("macd_12_26_9", fold_sql("CASE WHEN rn >= 26 THEN round(e12 - e26, 4) END AS macd, round(sig, 4) AS signal, round(e12 - e26 - sig, 4) AS hist"))
 def _(spark, d):
-    return _pick(spark, d, "macd", "signal", "hist")
+    return _pick(spark, d, "macd")
 
 
 @query("rsi_14", fold_sql("CASE WHEN up IS NULL THEN NULL WHEN up = 0 AND down = 0 THEN 50 WHEN down = 0 THEN 100 ELSE round(100 - 100 / (1 + up / down), 4) END AS rsi14"))
 def _(spark, d):
-    return _pick(spark, d, "rsi14")
+    return _pick(spark, d, "rsi")
 
 
 @query("atr_14_pct", fold_sql("round(a14 / close * 100, 4) AS atr_pct"))
 def _(spark, d):
-    df = I.folded(bars(spark, d))
+    df = I.folded(bars(spark, d), "atr")
     return df.select("symbol", "date", rnd(df.atr14 / df.close * 100, 4).alias("atr_pct"))
 
 
 @query("supertrend_10_3", fold_sql("round(CASE WHEN a10 IS NULL THEN NULL WHEN rising THEN lb ELSE ub END, 4) AS supertrend, CASE WHEN a10 IS NULL THEN NULL WHEN rising THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS direction"))
 def _(spark, d):
-    return _pick(spark, d, "supertrend", "direction")
+    return _pick(spark, d, "supertrend")
 
 
 @query("sma", sql("""SELECT symbol, CAST(date AS VARCHAR) AS date, CASE WHEN count(*) OVER w = 5 THEN round(CAST(sum(CAST(round(close * 1000000) AS BIGINT)) OVER w AS DOUBLE) / 5000000, 6) END AS sma5 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)""", BARS))

@@ -1,75 +1,121 @@
-"""Recursive indicators (each value needs the one before): one grouped pass per symbol computes them all. A symbol's group is one row
-per calendar day, so it is small whatever the number of symbols or trades."""
+"""Recursive indicators (each value needs the one before) over whole Arrow batches of many symbols.
+
+A smoothing step y = q y + b is an affine map, and maps compose: after k doublings every row holds the composition of its last 2^k steps, so a batch takes as many
+vector operations as its longest symbol has binary digits, and no loop over rows. Only the bands of supertrend, which are no such map, are walked. Rows of the last symbol
+of a batch wait for the next batch; a symbol has one row per calendar day at most, however many trades it has."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.joins import asof_return
 from barloom.operators.windows import back, by_symbol, micro, so_far
 
-FOLDED = ("ema12", "ema26", "macd", "signal", "hist", "rsi14", "atr14", "supertrend", "direction")
-FOLD_SCHEMA = "symbol bigint, date date, close double, " + ", ".join(f"{c} double" for c in FOLDED)
-
-
-def smoothed(values, n, weight, skip=0):
-    """Seed = plain mean of n values after `skip`; then prev + weight x (value - prev). None before the seed."""
-    out, state = [None] * len(values), None
-    for i in range(skip, len(values)):
-        if state is not None:
-            state += weight * (values[i] - state)
-        elif i == skip + n - 1:
-            state = sum(values[skip:i + 1]) / n
-        out[i] = state
-    return out
-
-
-def true_ranges(high, low, close):
-    return [h - l if i == 0 else max(h - l, abs(h - close[i - 1]), abs(l - close[i - 1])) for i, (h, l) in enumerate(zip(high, low))]
-
-
-def rsi(close, n=14):
-    moves = [0.0] + [b - a for a, b in zip(close, close[1:])]
-    ups = smoothed([max(m, 0.0) for m in moves], n, 1 / n, skip=1)
-    downs = smoothed([max(-m, 0.0) for m in moves], n, 1 / n, skip=1)
-    level = lambda u, d: None if u is None else 50.0 if u == 0 == d else 100.0 if d == 0 else 100 - 100 / (1 + u / d)
-    return [level(u, d) for u, d in zip(ups, downs)]
-
-
-def supertrend(high, low, close, n=10, multiple=3.0):
-    """(line, direction) per bar: bands around the mid price that only tighten, flipped by a close beyond the opposite band."""
-    atr = smoothed(true_ranges(high, low, close), n, 1 / n)
-    line, way, upper, lower, up = [None] * len(close), [None] * len(close), None, None, None
-    for i, a in enumerate(atr):
-        if a is None:
-            continue
-        mid = (high[i] + low[i]) / 2
-        wide_up, wide_low = mid + multiple * a, mid - multiple * a
-        held = upper is not None
-        upper = min(wide_up, upper) if held and close[i - 1] <= upper else wide_up
-        lower = max(wide_low, lower) if held and close[i - 1] >= lower else wide_low
-        up = close[i] >= lower if up else close[i] > upper
-        line[i], way[i] = (lower, 1.0) if up else (upper, -1.0)
-    return line, way
-
-
-def fold_symbol(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("date")
-    high, low, close = (pdf[c].tolist() for c in ("high", "low", "close"))
-    fast, slow = smoothed(close, 12, 2 / 13), smoothed(close, 26, 2 / 27)
-    macd = [f - s if s is not None else None for f, s in zip(fast, slow)]
-    signal = smoothed(macd, 9, 0.2, skip=25)
-    line, way = supertrend(high, low, close)
-    cols = {"ema12": fast, "ema26": slow, "macd": macd, "signal": signal, "hist": [m - s if s is not None else None for m, s in zip(macd, signal)], "rsi14": rsi(close),
-            "atr14": smoothed(true_ranges(high, low, close), 14, 1 / 14), "supertrend": line, "direction": way}
-    return pdf[["symbol", "date", "close"]].assign(**{k: pd.Series(v, index=pdf.index, dtype="float64") for k, v in cols.items()})
-
 
-def folded(bars: DataFrame) -> DataFrame:
-    """EMA, MACD, RSI, ATR and Supertrend for every bar."""
-    return bars.select("symbol", "date", "high", "low", "close").groupBy("symbol").applyInPandas(fold_symbol, FOLD_SCHEMA)
+class Series:
+    """Rows of several symbols in order: prices, each row's place in its symbol, and where symbols start."""
+
+    def __init__(self, high, low, close, starts=(0,)):
+        self.high, self.low, self.close = (np.asarray(x, dtype=float) for x in (high, low, close))
+        self.starts = np.asarray(starts, dtype=np.int64)
+        self.lengths = np.diff(np.append(self.starts, len(self.close)))
+        self.place = np.arange(len(self.close)) - np.repeat(self.starts, self.lengths)
+
+    def before(self, values: np.ndarray) -> np.ndarray:
+        """Each row's previous value in its symbol; the first row's own."""
+        return np.where(self.place > 0, np.append(values[:1], values[:-1]), values)
+
+    def smoothed(self, values: np.ndarray, n: int, weight: float, skip: int = 0) -> np.ndarray:
+        """Seed = plain mean of n values after `skip`; then prev + weight x (value - prev). NaN before the seed.
+
+        What is composed is the gap to the value itself, which is nought on a level series, so that a level series stays exactly level."""
+        values, seed = np.asarray(values, dtype=float), skip + n - 1
+        seeds = self.starts[self.lengths > seed] + seed
+        gap = (1 - weight) * (self.before(values) - values)
+        gap[self.place <= seed] = 0.0
+        if len(seeds):
+            gap[seeds] = values[seeds[:, None] + np.arange(1 - n, 1)].mean(axis=1) - values[seeds]
+        factor, step = 1 - weight, 1
+        while len(seeds) and step < self.lengths.max() - seed:
+            gap[step:] += np.where(self.place[step:] >= seed + step, factor * gap[:-step], 0.0)
+            factor, step = factor * factor, 2 * step
+        return np.where(self.place >= seed, values + gap, np.nan)
+
+    def true_ranges(self) -> np.ndarray:
+        prior = self.before(self.close)
+        first = self.place == 0
+        return np.where(first, self.high - self.low, np.maximum(self.high - self.low, np.maximum(np.abs(self.high - prior), np.abs(self.low - prior))))
+
+    def ema(self) -> dict[str, np.ndarray]:
+        return {"ema12": self.smoothed(self.close, 12, 2 / 13), "ema26": self.smoothed(self.close, 26, 2 / 27)}
+
+    def macd(self) -> dict[str, np.ndarray]:
+        e = self.ema()
+        macd = e["ema12"] - e["ema26"]
+        signal = self.smoothed(np.nan_to_num(macd), 9, 0.2, skip=25)
+        return {"macd": macd, "signal": signal, "hist": macd - signal}
+
+    def rsi(self, n: int = 14) -> dict[str, np.ndarray]:
+        moves = self.close - self.before(self.close)
+        up, down = self.smoothed(np.maximum(moves, 0), n, 1 / n, skip=1), self.smoothed(np.maximum(-moves, 0), n, 1 / n, skip=1)
+        up, down = (np.where(np.abs(x) < 1e-300, 0.0, x) for x in (up, down))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            level = np.where(down == 0, np.where(up == 0, 50.0, 100.0), 100 - 100 / (1 + up / down))
+        return {"rsi14": np.where(np.isnan(up), np.nan, level)}
+
+    def atr(self) -> dict[str, np.ndarray]:
+        return {"atr14": self.smoothed(self.true_ranges(), 14, 1 / 14)}
+
+    def supertrend(self, n: int = 10, multiple: float = 3.0) -> dict[str, np.ndarray]:
+        """Line and direction: bands around the mid price that only tighten, flipped by a close beyond the opposite band."""
+        span, mid = multiple * self.smoothed(self.true_ranges(), n, 1 / n), (self.high + self.low) / 2
+        wide_up, wide_low, close = (mid + span).tolist(), (mid - span).tolist(), self.close.tolist()
+        line, way = np.full(len(close), np.nan), np.full(len(close), np.nan)
+        for start, length in zip(self.starts.tolist(), self.lengths.tolist(), strict=True):
+            upper = lower = up = None
+            for i in range(start + n - 1, start + length):
+                upper, lower = (wide_up[i], wide_low[i]) if upper is None else (
+                    min(wide_up[i], upper) if close[i - 1] <= upper else wide_up[i], max(wide_low[i], lower) if close[i - 1] >= lower else wide_low[i])
+                up = close[i] >= lower if up else close[i] > upper
+                line[i], way[i] = (lower, 1.0) if up else (upper, -1.0)
+        return {"supertrend": line, "direction": way}
+
+
+FOLDS = {"ema": ("ema12", "ema26"), "macd": ("macd", "signal", "hist"), "rsi": ("rsi14",), "atr": ("atr14",), "supertrend": ("supertrend", "direction")}
+
+
+def folded(bars: DataFrame, *which: str) -> DataFrame:
+    """symbol, date, close and the columns of the named indicators (all of them by default) for every bar; only these are worked out."""
+    which = which or tuple(FOLDS)
+    names = [c for w in which for c in FOLDS[w]]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            whole = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+            symbols = whole.column("symbol").to_numpy()
+            cut = int(np.searchsorted(symbols, symbols[-1])) if len(symbols) else 0          # the last symbol may go on in the next batch
+            rest = whole.slice(cut).combine_chunks().to_batches()[0] if len(symbols) > cut else None
+            if cut:
+                yield work(whole.slice(0, cut), symbols[:cut])
+        if rest is not None:
+            yield work(pa.Table.from_batches([rest]), rest.column(0).to_numpy())
+
+    def work(rows: pa.Table, symbols: np.ndarray) -> pa.RecordBatch:
+        series = Series(*(rows.column(c).to_numpy() for c in ("high", "low", "close")), np.flatnonzero(np.append(True, symbols[1:] != symbols[:-1])))
+        out = {}
+        for w in which:
+            out |= getattr(series, w)()
+        flat = lambda c: rows.column(c).combine_chunks()
+        return pa.RecordBatch.from_arrays([flat("symbol"), flat("date"), flat("close"), *[pa.array(out[n], mask=np.isnan(out[n])) for n in names]], names=["symbol", "date", "close", *names])
+
+    placed = bars.select("symbol", "date", "high", "low", "close").repartition("symbol").sortWithinPartitions("symbol", "date")
+    return placed.mapInArrow(fold, "symbol bigint, date date, close double, " + ", ".join(f"{c} double" for c in names))
 
 
 def range_52w_strict(bars: DataFrame, days: int = 365) -> DataFrame:
@@ -100,5 +146,5 @@ def indicator_snapshot(bars: DataFrame) -> DataFrame:
         df = df.withColumn(f"to_dma_{n}", F.when(F.col("_n") >= n, (F.col("close") / mean - 1) * 100))
     row = F.struct("close", ((F.col("close") / F.col("_prev") - 1) * 100).alias("change_1d"), "vol_ratio", "to_dma_20", "to_dma_50", "to_dma_200")
     last = df.groupBy("symbol").agg(F.max_by(row, "date").alias("r")).select("symbol", "r.*")
-    atr = folded(bars).groupBy("symbol").agg((F.max_by("atr14", "date") / F.max_by("close", "date") * 100).alias("atr_pct"))
+    atr = folded(bars, "atr").groupBy("symbol").agg((F.max_by("atr14", "date") / F.max_by("close", "date") * 100).alias("atr_pct"))
     return last.join(asof_return(bars).drop("close"), "symbol").join(range_52w_strict(bars), "symbol").join(atr, "symbol")

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,10 +90,58 @@ def test_golden_and_death_cross(spark):
 
 
 # ---------------------------------------------------------------- recursive indicators
+def series(*closes):
+    return I.Series(*[np.concatenate([np.asarray(c, float) for c in closes])] * 3, np.cumsum([0, *map(len, closes)])[:-1])
+
+
 def test_ema_seed_and_step():
-    assert I.smoothed([1, 2, 3, 4, 5], 3, 0.5) == [None, None, 2, 3, 4]
+    assert series([1, 2, 3, 4, 5]).smoothed([1, 2, 3, 4, 5], 3, 0.5).tolist()[2:] == [2, 3, 4]
     ramp = list(range(1, 61))
-    assert I.smoothed(ramp, 12, 2 / 13)[11] == 6.5 and abs(I.smoothed(ramp, 12, 2 / 13)[12] - 7.5) < 1e-9
+    got = series(ramp).smoothed(ramp, 12, 2 / 13)
+    assert np.isnan(got[:11]).all() and got[11] == 6.5 and abs(got[12] - 7.5) < 1e-9
+
+
+def one_by_one(values, n, weight, skip=0):
+    """The recurrence as it is written."""
+    out, state = [float("nan")] * len(values), None
+    for i in range(skip, len(values)):
+        if state is not None:
+            state += weight * (values[i] - state)
+        elif i == skip + n - 1:
+            state = sum(values[skip:i + 1]) / n
+        out[i] = float("nan") if state is None else state
+    return out
+
+
+def test_composed_maps_equal_the_recurrence():
+    rng = np.random.default_rng(2)
+    parts = [rng.uniform(1, 100, n) for n in (1, 9, 10, 11, 40, 1000, 2, 3000, 25, 26)]
+    for n, weight, skip in ((12, 2 / 13, 0), (14, 1 / 14, 1), (9, 0.2, 25), (1, 0.5, 0)):
+        want = np.concatenate([one_by_one(p.tolist(), n, weight, skip) for p in parts])
+        got = series(*parts).smoothed(np.concatenate(parts), n, weight, skip)
+        assert np.allclose(got, want, rtol=1e-13, atol=1e-12, equal_nan=True)
+    level = series([100.0] * 500)
+    assert (level.macd()["macd"][25:] == 0).all() and (level.rsi()["rsi14"][14:] == 50).all()
+
+
+def test_symbols_are_cut_neither_by_batches_nor_by_each_other(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, dt.date(2020, 1, 1) + dt.timedelta(days=i), *sorted(rng.uniform(50, 150, 3).tolist(), reverse=True)) for k, n in ((1, 700), (2, 5), (3, 60), (4, 1), (5, 300)) for i in range(n)]
+    df = spark.createDataFrame([(k, d, h, lo, c) for k, d, h, c, lo in rows], "symbol bigint, date date, high double, low double, close double")
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cols = [c for names in I.FOLDS.values() for c in names]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+        small = {(r.symbol, r.date): r for r in I.folded(df.repartition(3)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert len(small) == len(rows)
+    for k in range(1, 6):
+        mine = [r for r in rows if r[0] == k]
+        alone = I.Series([r[2] for r in mine], [r[4] for r in mine], [r[3] for r in mine])
+        want = alone.ema() | alone.macd() | alone.rsi() | alone.atr() | alone.supertrend()
+        for i, r in enumerate(mine):
+            assert all((small[k, r[1]][c] is None) == bool(np.isnan(want[c][i])) and (small[k, r[1]][c] is None or abs(small[k, r[1]][c] - want[c][i]) < 1e-9) for c in cols)
 
 
 def test_macd_on_a_ramp_is_seven(spark):
@@ -109,23 +158,24 @@ def test_macd_on_a_step(spark):
 
 def test_rsi_limits_and_known_example():
     closes = [44.34, 44.09, 44.15, 43.61, 44.33, 44.83, 45.10, 45.42, 45.84, 46.08, 45.89, 46.03, 45.61, 46.28, 46.28, 46.00, 46.03, 46.41, 46.22, 45.64]
-    r = I.rsi(closes)
-    assert r[:14] == [None] * 14 and abs(r[14] - 70.53) < 0.1 and abs(r[15] - 66.32) < 0.1
+    rsi = lambda c: series(c).rsi()["rsi14"]
+    r = rsi(closes)
+    assert np.isnan(r[:14]).all() and abs(r[14] - 70.53) < 0.1 and abs(r[15] - 66.32) < 0.1
     up = [float(i) for i in range(30)]
-    assert I.rsi(up)[29] == 100 and I.rsi(up[::-1])[29] == 0 and I.rsi([5.0] * 20)[19] == 50
+    assert rsi(up)[29] == 100 and rsi(up[::-1])[29] == 0 and rsi([5.0] * 20)[19] == 50
 
 
 @pytest.mark.parametrize("extra, want", [([(20, 8, 18)], (5.0, 1.0)), ([(20, 8, 18), (20, 16, 19)], (8.7, 1.0)), ([(8, 6, 7)], (13.6, -1.0)), ([(18, 16, 17)], (9.2, 1.0)), ([], (16.0, -1.0))])
 def test_supertrend_hand_cases(extra, want):
     rows = [(11, 9, 10)] * 10 + extra
-    line, way = I.supertrend(*zip(*rows))
-    assert abs(line[-1] - want[0]) < 1e-9 and way[-1] == want[1] and line[:9] == [None] * 9
+    line, way = I.Series(*zip(*rows)).supertrend().values()
+    assert abs(line[-1] - want[0]) < 1e-9 and way[-1] == want[1] and np.isnan(line[:9]).all()
 
 
 @pytest.mark.parametrize("extra, want", [([(26, 10, 20)], 3.0), ([(26, 10, 20), (22, 18, 20)], 43 / 14), ([(8, 6, 7)], 30 / 14), ([(18, 16, 17)], 34 / 14)])
 def test_atr_hand_cases(extra, want):
     rows = [(11, 9, 10)] * 14 + extra
-    assert abs(I.smoothed(I.true_ranges(*zip(*rows)), 14, 1 / 14)[-1] - want) < 1e-9
+    assert abs(I.Series(*zip(*rows)).atr()["atr14"][-1] - want) < 1e-9
 
 
 def test_snapshot_of_a_straight_year(spark):
