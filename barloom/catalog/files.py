@@ -34,7 +34,16 @@ def landed_bhav(spark, d):
     heads = li.select("file", "m").distinct().select("file", head.alias("value"), F.lit(-1).cast("bigint").alias("ord"))
     path = fresh_dir(spark, "bhav")
     body.unionByName(heads).repartition("file").sortWithinPartitions("file", "ord").select("file", "value").write.partitionBy("file").text(path)
-    return S.text_lines(spark, path, F.regexp_extract("_metadata.file_path", "file=([^/]+)/", 1))
+    for name in ("bhav_20300102", "bhav_20300103"):                                            # one file without a byte, one that is no text
+        _raw(spark, f"{path}/file={name}/part-00000.txt", b"" if name.endswith("2") else b"SYMBOL, SERIES\n\xff\xfe\x00\x81\n")
+    return S.landed_lines(spark, path, F.regexp_extract("_metadata.file_path", "file=([^/]+)/", 1)), S.empty_files(spark, path, "file=([^/]+)/")
+
+
+def _raw(spark, path: str, content: bytes) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(content))
+    out.close()
 
 
 MONTHS = """
@@ -44,22 +53,26 @@ verdicts AS (SELECT CASE WHEN m % 17 = 0 THEN 'bhav_x' ELSE 'bhav_' END || strft
    WHEN count(*) FILTER (l_linenumber <> 7 AND NOT (m % 11 = 0 AND l_orderkey % 20 = 0)) < 500 THEN 'partial' ELSE 'ok' END AS status FROM mo GROUP BY day, m)"""
 
 
-@query("src_bhav_file_verdict", sql("""SELECT file, CASE WHEN m % 17 <> 0 THEN CAST(day AS VARCHAR) END AS date, status, rows, eq_rows, CASE WHEN status = 'date_mismatch' AND isodow(day) < 6 AND isodow(day - 2) < 6 THEN CAST(day - 2 AS VARCHAR) END AS stale_copy_of FROM verdicts""", MONTHS))
+@query("src_bhav_file_verdict", sql("""SELECT file, CASE WHEN m % 17 <> 0 THEN CAST(day AS VARCHAR) END AS date, status, rows, eq_rows, CASE WHEN status = 'date_mismatch' AND isodow(day) < 6 AND isodow(day - 2) < 6 THEN CAST(day - 2 AS VARCHAR) END AS stale_copy_of FROM verdicts UNION ALL VALUES ('bhav_20300102', '2030-01-02', 'empty', 0, 0, NULL), ('bhav_20300103', '2030-01-03', 'malformed', 0, 0, NULL)""", MONTHS))
 def _(spark, d):
-    return S.bhav_verdicts(landed_bhav(spark, d), "2001-06-15")
+    lines, empty = landed_bhav(spark, d)
+    return S.bhav_verdicts(lines, "2001-06-15", empty=empty)
 
 
 @query("src_bhav_csv", sql("SELECT file, l_suppkey AS symbol, CASE WHEN l_linenumber = 7 THEN 'BE' ELSE 'EQ' END AS series, CAST(mo.day AS VARCHAR) AS date, l_quantity AS close, count(*) AS n FROM mo JOIN verdicts v ON v.day = mo.day WHERE status = 'ok' AND NOT (mo.m % 11 = 0 AND l_orderkey % 20 = 0) GROUP BY ALL", MONTHS))
 def _(spark, d):
-    lines = landed_bhav(spark, d)
+    lines, _ = landed_bhav(spark, d)
     rows = S.bhav_rows(lines, S.bhav_verdicts(lines, "2001-06-15"))
     typed = rows.select("file", F.col("SYMBOL").cast("bigint").alias("symbol"), F.col("SERIES").alias("series"), V.date_parse("DATE1").alias("date"), V.num_parse("CLOSE_PRICE").alias("close"))
     return typed.groupBy(*typed.columns).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _landed_csv(df, label):
+    """Files of the same list whose columns stand in different orders."""
     path = fresh_dir(df.sparkSession, label)
-    df.write.option("header", True).csv(path)
+    turned = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(2)) == 0
+    df.where(turned).write.option("header", True).csv(path)
+    df.where(~turned).select(*[f"`{c}`" for c in reversed(df.columns)]).write.mode("append").option("header", True).csv(path)
     return path
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barloom.functions.values import date_parse, finite, isin_norm, iso_date, num_parse, stamp_parse, symbol_norm
 from barloom.operators.cleaning import OPTIONAL, REQUIRED
 from barloom.rules import Rules
+from barloom.session import cut_lineage
 
 # Kinds of failed requests and the limits of the observation ledgers.
 FAILURE_KINDS = ("access_denied", "rate_limited", "server_error", "http_error", "invalid_response", "undecodable", "mismatch")
@@ -29,10 +30,26 @@ def text_lines(spark: SparkSession, path: str, file: Column | None = None) -> Da
     return spark.read.text(path).select(name.alias("file"), at.alias("at"), F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
 
 
+def landed_lines(spark: SparkSession, path: str, file: Column | None = None) -> DataFrame:
+    """The lines of landed files as a stored table: the text is read once, and every later look at it sees the same order of lines."""
+    return cut_lineage(text_lines(spark, path, file), "lines")
+
+
+def empty_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[A-Za-z]+)*$") -> DataFrame:
+    """`file` of every landed file without a byte, at any depth. Scans of every format skip these, so they come from the listing; only their names are kept."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed, names = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while listed.hasNext():
+        f = listed.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith((".", "_")):
+            names.append((f.getPath().toString(),))
+    return spark.createDataFrame(names, "path string").select(F.regexp_extract("path", name, 1).alias("file")).distinct()
+
+
 def _fields(line: Column) -> Column:
     """Comma-separated fields; a quoted field may hold commas (only lines with a quote pay for that)."""
     outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
-    quoted = F.transform(F.split(line, outside), lambda c: F.regexp_replace(F.trim(c), '^"|"$', ""))
+    quoted = F.transform(F.split(line, outside), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
     return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",")), lambda c: F.trim(c))
 
 
@@ -51,9 +68,11 @@ def _field(name: str) -> Column:
     return F.get("fields", (F.array_position("header", name) - 1).cast("int"))
 
 
-def bhav_verdicts(lines: DataFrame, today: str, rules: Rules = Rules()) -> DataFrame:
-    """One status per daily file, from one aggregate over its lines."""
+def bhav_verdicts(lines: DataFrame, today: str, rules: Rules = Rules(), empty: DataFrame | None = None) -> DataFrame:
+    """One status per daily file, from one aggregate over its lines. With `empty` (`empty_files`) files without content have their row too. Bytes that are no UTF-8
+    arrive as replacement characters, and their file is malformed."""
     rows = _headed(lines)
+    garbled = lines.groupBy("file").agg(F.max(F.contains("value", F.lit("\ufffd"))).alias("garbled"))
     has = F.col("fields").isNotNull()
     ragged = has & (F.size("fields") != F.size("header"))
     day = name_date(F.col("file"))
@@ -61,8 +80,11 @@ def bhav_verdicts(lines: DataFrame, today: str, rules: Rules = Rules()) -> DataF
     whole = has & ~ragged
     g = rows.groupBy("file").agg(F.first("header").alias("header"), F.count_if(has).alias("rows"), F.count_if(ragged).alias("ragged"), F.count_if(whole & ~dated.eqNullSafe(day)).alias("wrong"),
                                  F.count_if(whole & (_field("SERIES") == "EQ")).alias("eq_rows"), F.min(F.when(whole, dated)).alias("lo"), F.max(F.when(whole, dated)).alias("hi"), F.count_if(whole & dated.isNull()).alias("undated"))
+    g = g.join(garbled, "file")
+    if empty is not None:
+        g = g.unionByName(empty.select("file", *[F.lit(0).alias(c) for c in ("rows", "ragged", "wrong", "eq_rows", "undated")]), allowMissingColumns=True)
     missing = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), "header")
-    status = (F.when(day.isNull(), "bad_file_name").when(F.size(missing) > 0, "missing_columns").when(F.col("rows") == 0, "empty").when(F.col("ragged") / F.col("rows") > 0.01, "malformed").when(F.col("wrong") > 0, "date_mismatch")
+    status = (F.when(day.isNull(), "bad_file_name").when(F.col("header").isNull(), "empty").when(F.col("garbled"), "malformed").when(F.size(missing) > 0, "missing_columns").when(F.col("rows") == 0, "empty").when(F.col("ragged") / F.col("rows") > 0.01, "malformed").when(F.col("wrong") > 0, "date_mismatch")
               .when(F.weekday(day) >= 5, "weekend_file").when(day > F.lit(today).cast("date"), "future_date").when(F.col("eq_rows") < rules.min_eq_rows, "partial").otherwise("ok"))
     one = (F.col("undated") == 0) & (F.col("lo") == F.col("hi")) & (F.weekday(day) < 5) & (F.weekday("lo") < 5) & (F.col("lo") < day) & (F.datediff(day, "lo") <= MAX_GAP_DAYS)
     return g.select("file", day.alias("date"), status.alias("status"), (F.col("rows") - F.col("ragged")).alias("rows"), "eq_rows", F.when((status == "date_mismatch") & one, F.col("lo")).alias("stale_copy_of"))
@@ -75,48 +97,42 @@ def bhav_rows(lines: DataFrame, verdicts: DataFrame) -> DataFrame:
     return rows.select("file", *[_field(c).alias(c) for c in REQUIRED + OPTIONAL])
 
 
-def empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files without a byte. Scans skip them, so they come from the folder listing (names and lengths only)."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    names = [(f.getPath().getName().split(".")[0], "empty") for f in found if f.isFile() and f.getLen() == 0 and not f.getPath().getName().startswith((".", "_"))]
-    return spark.createDataFrame(names, "file string, status string")
+def _listed_csv(spark: SparkSession, path: str, *needed: tuple[str, ...]) -> DataFrame:
+    """Data rows of all CSV files under a path, each with its own file's header reduced to lower-case letters and digits, and `_at`, the order of the lines. Files may have
+    their columns in any order; one that has none of the `needed` names is refused."""
+    rows = _headed(landed_lines(spark, path, F.col("_metadata.file_path")))
+    rows = rows.withColumn("header", F.transform("header", lambda h: F.regexp_replace(F.lower(h), r"[^\p{L}\p{N}]", "")))
+    for names in needed:
+        bad = rows.where(~F.arrays_overlap("header", F.array(*[F.lit(n) for n in names]))).select("file").limit(1).collect()
+        if bad:
+            raise ValueError(f"{bad[0].file} has no column {' or '.join(names)}")
+    return rows.where("fields IS NOT NULL").withColumn("_at", F.struct("file", "at"))
 
 
-def _normalised_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with header names reduced to lower-case letters and digits, plus `_at`, the order of the lines."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
-    names = ["".join(c for c in n.lower() if c.isalnum()) or f"_c{i}" for i, n in enumerate(df.columns)]
-    at = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row"))
-    return df.select(*[F.col(f"`{o}`").alias(n) for o, n in zip(df.columns, names)], at.alias("_at"))
+def _cell(*names: str) -> Column:
+    """The field under the first of these header names that the row's file has."""
+    return F.coalesce(*[_field(n) for n in names])
 
 
 def read_index_csv(spark: SparkSession, path: str) -> DataFrame:
     """Index constituents: EQ only, first line per symbol."""
-    df = _normalised_csv(spark, path)
-    if "symbol" not in df.columns:
-        raise ValueError("the index list has no Symbol column")
-    series = F.upper(F.trim(F.coalesce("series", F.lit("EQ")))) if "series" in df.columns else F.lit("EQ")
-    get = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
-    rows = df.select(symbol_norm("symbol").alias("symbol"), series.alias("s"), isin_norm(get("isincode")).alias("isin"), F.nullif(F.trim(get("companyname")), F.lit("")).alias("name"), "_at").where("symbol IS NOT NULL AND s = 'EQ'")
+    df = _listed_csv(spark, path, ("symbol",))
+    series = F.upper(F.trim(F.coalesce(F.nullif(_cell("series"), F.lit("")), F.lit("EQ"))))
+    rows = df.select(symbol_norm(_cell("symbol")).alias("symbol"), series.alias("s"), isin_norm(_cell("isincode")).alias("isin"), F.nullif(F.trim(_cell("companyname")), F.lit("")).alias("name"), "_at").where("symbol IS NOT NULL AND s = 'EQ'")
     return rows.groupBy("symbol").agg(F.min_by(F.struct("isin", "name"), "_at").alias("r")).select("symbol", "r.*")
 
 
 def read_reference_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Reference list with normalised headers; a malformed identifier becomes ''; a list without an ISIN column is refused."""
-    df = _normalised_csv(spark, path)
-    isin = next((c for c in df.columns if c in ("isin", "isinnumber", "isincode", "isinno")), None)
-    if isin is None:
-        raise ValueError("the reference list has no ISIN column")
-    get = lambda *cs: next((F.upper(F.trim(c)) for c in cs if c in df.columns), F.lit(""))
-    return df.select(F.coalesce(isin_norm(isin), F.lit("")).alias("isin"), F.coalesce(get("symbol"), F.lit("")).alias("symbol"), F.coalesce(get("series"), F.lit("")).alias("series"))
+    """Reference list with normalised headers; a malformed identifier becomes ''; a file without an ISIN column is refused."""
+    isin = ("isin", "isinnumber", "isincode", "isinno")
+    df = _listed_csv(spark, path, isin)
+    text = lambda name: F.coalesce(F.upper(F.trim(_cell(name))), F.lit(""))
+    return df.select(F.coalesce(isin_norm(_cell(*isin)), F.lit("")).alias("isin"), text("symbol").alias("symbol"), text("series").alias("series"))
 
 
 def read_etf_list_csv(spark: SparkSession, path: str, exhaustive: bool) -> DataFrame:
-    df = _normalised_csv(spark, path)
-    if "symbol" not in df.columns:
-        raise ValueError("the ETF list has no Symbol column")
-    return df.select(F.upper(F.trim("symbol")).alias("symbol")).where("symbol <> ''").distinct().withColumn("exhaustive", F.lit(bool(exhaustive)))
+    df = _listed_csv(spark, path, ("symbol",))
+    return df.select(F.upper(F.trim(_cell("symbol"))).alias("symbol")).where("symbol <> ''").distinct().withColumn("exhaustive", F.lit(bool(exhaustive)))
 
 
 INSTRUMENT_SCHEMA = "segment string, instrument_key string, trading_symbol string, isin string, security_type string, instrument_type string, name string"

@@ -51,6 +51,26 @@ def test_bhav_verdicts_and_rows(spark, landing):
     assert len(clean) == 5 and (clean[0].close, clean[0].volume, clean[0].turnover, clean[0].deliv) == (101.5, 1000, 250.5, 45.2)
 
 
+def test_files_without_content_or_text_have_a_verdict(spark, landing):
+    import pathlib
+    pathlib.Path(landing, "bhav_20260925.csv").write_bytes(HEAD.encode() + b"\n\xff\xfe\x81,1\n")
+    lines = S.landed_lines(spark, landing)
+    got = {r.file: r.status for r in S.bhav_verdicts(lines, "2026-10-10", Rules().but(min_eq_rows=3), S.empty_files(spark, landing)).collect()}
+    assert (got["bhav_20260928"], got["bhav_20260925"], got["bhav_20260930"], got["bhav_20261005"], len(got)) == ("empty", "malformed", "empty", "ok", 11)
+
+
+def test_lists_are_read_by_each_files_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('Company Name,Symbol,Series,ISIN Code\n"Alpha, ""A"" Ltd",aaa,EQ,INE000000001\nB,bbb,BE,INE000000002\n')
+    (tmp_path / "b.csv").write_text("ISIN Code, SYMBOL \nINE000000003,ccc\nINE000000009,aaa\n")
+    got = sorted(map(tuple, S.read_index_csv(spark, str(tmp_path)).collect()))
+    assert got == [("AAA", "INE000000001", 'Alpha, "A" Ltd'), ("CCC", "INE000000003", None)]
+    assert sorted(r.isin for r in S.read_reference_csv(spark, str(tmp_path)).collect()) == [f"INE00000000{i}" for i in (1, 2, 3, 9)]
+    (tmp_path / "c.csv").write_text("Symbol,Name\nX,y\n")
+    with pytest.raises(ValueError, match="c.csv"):
+        S.read_reference_csv(spark, str(tmp_path))
+    assert sorted(r.symbol for r in S.read_etf_list_csv(spark, str(tmp_path), True).collect()) == ["AAA", "BBB", "CCC", "X"]
+
+
 def test_clean_rules_by_hand(spark):
     cols = ["SYMBOL", "SERIES", "DATE1", "PREV_CLOSE", "OPEN_PRICE", "HIGH_PRICE", "LOW_PRICE", "CLOSE_PRICE", "TTL_TRD_QNTY", "TURNOVER_LACS", "DELIV_PER"]
     r = lambda s, c="100", p="99", h="101", l="98", v="10", t="5", dp="50", ser="EQ": (s, ser, "05-OCT-2026", p, "100", h, l, c, v, t, dp)
