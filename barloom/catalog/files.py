@@ -9,10 +9,11 @@ from barloom.catalog.registry import query
 from barloom.catalog.statements import ANNUAL, annual_docs
 from barloom.functions import values as V
 from barloom.functions.values import rnd
+from barloom.operators import calendar as D
 from barloom.operators import market as M
 from barloom.operators import statements as T
 from barloom.operators import windows as W
-from barloom.session import fresh_dir
+from barloom.session import cut_lineage, fresh_dir
 from barloom.sources import files as S
 from barloom.sources import sinks as K
 from barloom.sources.market import bars, holdings, instruments, table, ticks, year_values
@@ -302,12 +303,18 @@ def _(spark, d):
                     V.axis_key(F.concat(F.lit("in-bse:DetailsOfSharesHeldByMutualFundsOrUTI"), k, F.lit("Axis"))).alias("axis"), F.concat(F.when(k % 4 == 0, "https://").otherwise("http://"), F.lit("x.com")).rlike("^https://").alias("https_ok"))
 
 
-@query("scalar_date", """SELECT o_orderkey, isodow(d) < 6 AS is_weekday, CAST(CASE WHEN isodow(e) > 5 THEN e - CAST(isodow(e) - 5 AS INTEGER) ELSE e END AS VARCHAR) AS expected_day, CAST(last_day(d + INTERVAL 1 MONTH) AS VARCHAR) AS next_month_end, CAST(CAST(d - INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS month_back, DATE '2001-08-05' - d AS age, CAST(CAST(t + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS ist_date FROM
-(SELECT *, CASE WHEN hour(t) * 60 + minute(t) >= 1230 THEN d ELSE d - 1 END AS e FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderdate + to_minutes(o_orderkey % 1440) AS t FROM orders))""")
+@query("scalar_date", """SELECT o_orderkey, isodow(d) < 6 AS is_weekday, CAST(x AS VARCHAR) AS expected_day, (SELECT count(*) FROM range(x + 1, DATE '2001-08-06', INTERVAL 1 DAY) r(s) WHERE isodow(s) < 6 AND day(s) <> 1) AS sessions_since, greatest(0, ceil((DATE '2001-08-05' - d + 1) / 360.0))::BIGINT AS windows, CAST(last_day(d + INTERVAL 1 MONTH) AS VARCHAR) AS next_month_end, CAST(CAST(d - INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS month_back, DATE '2001-08-05' - d AS age, CAST(CAST(t + INTERVAL 330 MINUTE AS DATE) AS VARCHAR) AS ist_date FROM
+(SELECT *, list_filter([e, e - 1, e - 2, e - 3, e - 4, e - 5], lambda y: isodow(y) < 6 AND day(y) <> 1)[1] AS x FROM (SELECT *, CASE WHEN hour(t) * 60 + minute(t) >= 1230 THEN d ELSE d - 1 END AS e FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + to_minutes(o_orderkey % 1440) AS t FROM orders)))""")
 def _(spark, d):
     day = F.to_date("o_orderdate")
     t = F.timestamp_seconds(F.unix_date(day) * 86400 + F.col("o_orderkey") % 1440 * 60)
-    return table(spark, d, "orders").select("o_orderkey", (F.weekday(day) < 5).alias("is_weekday"), V.expected_day(t).alias("expected_day"), F.last_day(F.add_months(day, 1)).alias("next_month_end"), F.add_months(day, -1).alias("month_back"),
+    o, today = table(spark, d, "orders"), F.lit("2001-08-05").cast("date")
+    span = o.agg(F.min(day).alias("first"), F.greatest(F.max(day), today).alias("last"))
+    firsts = span.select(F.explode(F.sequence(F.trunc("first", "MM"), F.col("last"), F.expr("interval 1 month"))).alias("date"))          # the first of every month is a holiday here
+    calendar = cut_lineage(D.trading_calendar(span, firsts), "calendar")
+    o = D.sessions_between(D.with_expected_day(o.withColumn("_today", today), t, calendar), "expected_day", "_today", calendar, "sessions_since")
+    split = D.date_windows(o.select("o_orderkey", day.alias("a"), "_today"), "a", "_today").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("windows"))
+    return o.join(split, "o_orderkey", "left").select("o_orderkey", (F.weekday(day) < 5).alias("is_weekday"), "expected_day", "sessions_since", F.coalesce("windows", F.lit(0)).alias("windows"), F.last_day(F.add_months(day, 1)).alias("next_month_end"), F.add_months(day, -1).alias("month_back"),
                                             F.datediff(F.lit("2001-08-05").cast("date"), day).alias("age"), F.to_date(t + F.expr("interval 330 minutes")).alias("ist_date"))
 
 

@@ -120,9 +120,3 @@ def session_status(ist: Column, holiday: Column, feed: Column) -> Column:
     return (F.when(holiday | (F.weekday(ist) >= 5), "closed").when(feed == "NORMAL_OPEN", "open")
             .when(feed.isin("PRE_OPEN_START", "PRE_OPEN_END"), "pre_open").when(feed.isin("NORMAL_CLOSE", "CLOSING_START", "CLOSING_END"), "closed")
             .when((minute >= 555) & (minute < 930), "open").when((minute >= 540) & (minute < 555), "pre_open").otherwise("closed"))
-
-
-def expected_day(now_ist: Column) -> Column:
-    """The weekday whose end-of-day file should exist: today from 20:30 on, else the day before, moved off the weekend."""
-    d = F.when(F.hour(now_ist) * 60 + F.minute(now_ist) >= 1230, F.to_date(now_ist)).otherwise(F.date_sub(F.to_date(now_ist), 1))
-    return F.date_sub(d, F.greatest(F.lit(0), F.weekday(d) - 4))

@@ -160,3 +160,17 @@ def test_growth_rules(spark):
 def test_violations_are_rows(spark):
     df = spark.createDataFrame([(1, 5.0), (2, None), (3, -1.0)], "symbol int, x double")
     assert {(r.symbol, r.problem) for r in Q.violations(df, ["symbol"], {"negative": F.col("x") < 0, "missing": F.col("x").isNull()}).collect()} == {(2, "missing"), (3, "negative")}
+
+
+def test_the_expected_day_moves_off_weekends_and_holidays(spark):
+    from barloom.operators import calendar as D
+    span = spark.sql("SELECT DATE '2024-01-20' AS first, DATE '2024-02-10' AS last")
+    calendar = D.trading_calendar(span, spark.createDataFrame([("2024-01-26",), ("2024-01-29",)], "date string").select(F.to_date("date").alias("date")))
+    asked = spark.createDataFrame([(1, "2024-01-25 20:30:00"), (2, "2024-01-26 23:00:00"), (3, "2024-01-30 20:29:00"), (4, "2024-01-30 20:31:00"), (5, "2030-01-01 00:00:00")], "k int, t string").withColumn("t", F.to_timestamp("t"))
+    got = D.with_expected_day(asked, F.col("t"), calendar)
+    assert {r.k: str(r.expected_day) for r in got.collect()} == {1: "2024-01-25", 2: "2024-01-25", 3: "2024-01-25", 4: "2024-01-30", 5: "None"}
+    since = D.sessions_between(got.withColumn("today", F.lit("2024-02-01").cast("date")), "expected_day", "today", calendar, "n")
+    assert {r.k: r.n for r in since.collect()} == {1: 3, 2: 3, 3: 3, 4: 2, 5: None}
+    spans = spark.sql("SELECT * FROM VALUES (DATE '2024-01-01', DATE '2024-12-25'), (DATE '2024-01-01', DATE '2024-12-26'), (DATE '2024-01-01', DATE '2023-01-01') t(a, b)")
+    cut = sorted((str(r.b), str(r.window_start), str(r.window_end)) for r in D.date_windows(spans, "a", "b").collect())
+    assert cut == [("2024-12-25", "2024-01-01", "2024-12-25"), ("2024-12-26", "2024-01-01", "2024-12-25"), ("2024-12-26", "2024-12-26", "2024-12-26")]
