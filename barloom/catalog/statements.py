@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barloom.catalog.joins import shares_pct
 from barloom.catalog.model_sql import HOLDINGS, QUARTERS, RATIOS, YEARS, sql
 from barloom.catalog.registry import query
-from barloom.functions.values import rnd, weekdays_between
+from barloom.functions.values import layout_class, rnd, weekdays_between
 from barloom.operators import joins as J
 from barloom.operators import ownership as O
 from barloom.operators import statements as T
@@ -20,44 +20,84 @@ def _history(period, value, dup):
     return F.flatten(F.collect_list(F.when(dup, F.array(cell, cell)).otherwise(F.array(cell))))
 
 
-def annual_docs(spark, d):
-    """One nested yearly response per customer: a changed year-end, repeated labels, repeated periods and non-yearly responses included."""
+def _period():
+    s = F.col("symbol")
+    return F.concat(F.when((s % 19 == 0) & (F.col("fy") >= 1999), "Mar ").otherwise("Dec "), "fy")
+
+
+def _year_lines(spark, d):
+    """Per customer and year what the responses list, with the function that makes a history of one column."""
     o = table(spark, d, "orders")
     y = o.groupBy(F.col("o_custkey").alias("symbol"), F.year("o_orderdate").alias("fy")).agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("rev"), F.max("o_totalprice").alias("mx"), F.min("o_totalprice").alias("mn"), F.count(F.lit(1)).cast("double").alias("n"))
+    dup = (F.col("symbol") % 29 == 0) & (F.col("fy") == 1997)
+    return y, lambda v: _history(_period(), v, dup)
+
+
+def annual_docs(spark, d):
+    """One nested yearly response per customer: a changed year-end, repeated labels, repeated periods, non-yearly responses, lenders with lines of
+    their own, unknown sectors and summaries that are missing or differ."""
+    y, hist = _year_lines(spark, d)
     s = F.col("symbol")
-    period = F.concat(F.when((s % 19 == 0) & (F.col("fy") >= 1999), "Mar ").otherwise("Dec "), "fy")
-    dup = (s % 29 == 0) & (F.col("fy") == 1997)
-    hist = lambda v: _history(period, v, dup)
+    net = F.when(s % 13 != 6, F.col("mn") + F.when(s % 4 == 0, 0.005).otherwise(0.0) + F.when(s % 11 == 5, 2.0).otherwise(0.0))
     g = y.groupBy("symbol").agg(hist(F.col("rev")).alias("h_rev"), hist(F.col("mx")).alias("h_mx"), hist(F.col("mn")).alias("h_mn"), hist(F.col("n")).alias("h_n"),
-                                hist(F.col("rev") + F.when(s % 3 == 0, 1.0).otherwise(0.0)).alias("s_rev"), hist(F.col("mn") + F.when(s % 4 == 0, 0.005).otherwise(0.0)).alias("s_mn"))
+                                hist(F.col("rev") + F.when(s % 3 == 0, 1.0).otherwise(0.0)).alias("s_rev"), hist(net).alias("s_mn"))
     line = lambda label, h: F.struct(F.lit(label).alias("particular"), F.col(h).alias("history"))
     cat = lambda label, h: F.struct(F.lit(label).alias("category"), F.col(h).alias("history"))
     lines = [line("Revenue", "h_rev"), line("Total  Revenue", "h_rev"), line("Profit Before Tax", "h_mx"), line("Profit after tax.", "h_mn"), line("EPS (Basic)", "h_n")]
+    bank = [line("Interest  Earned", "h_n"), line("Provisions", "h_mn")]
+    full = F.when(s % 31 == 0, F.array(*lines, line("revenue", "h_mx"))).otherwise(F.array(*lines))
+    own = F.when(s % 14 == 0, F.array(*bank, line("PROVISIONS", "h_mx"))).when(s % 7 == 0, F.array(*bank)).otherwise(F.slice(F.array(*bank), 1, 0))
     return g.select("symbol", F.when(s % 23 == 0, "quarterly").when(s % 5 == 1, None).otherwise("Yearly").alias("time_period"),
-                    F.when(s % 31 == 0, F.array(*lines, line("revenue", "h_mx"))).otherwise(F.array(*lines)).alias("full_statement"),
+                    layout_class(F.when(s % 7 == 0, "Private Bank").when(s % 7 == 1, " ").otherwise("Machinery")).alias("layout"), F.concat(full, own).alias("full_statement"),
                     F.array(cat("revenue", "s_rev"), cat("operating_profit", "h_mx"), cat("net_profit", "s_mn")).alias("income_statement"))
 
 
+def cash_docs(spark, d):
+    """One nested cash flow response per customer: repeated categories and periods, quarterly responses, changed year-ends with and without a known month,
+    one, two or no total line of capital expenditure."""
+    y, hist = _year_lines(spark, d)
+    s = F.col("symbol")
+    g = y.groupBy("symbol").agg(hist(F.col("rev")).alias("op"), hist(-F.col("mx")).alias("inv"), hist(F.col("mn")).alias("fin"), hist(F.col("n")).alias("n"), hist(-F.col("n")).alias("capex"))
+    line = lambda label, h: F.struct(F.lit(label).alias("particular"), F.col(h).alias("history"))
+    cat = lambda label, h: F.struct(F.lit(label).alias("category"), F.col(h).alias("history"))
+    cats = [cat("Operating", "op"), cat("investing", "inv"), cat("financing", "fin")]
+    full = (F.when(s % 5 == 0, F.array(line("Capital Expenditure", "capex"), line("Sale of fixed assets", "n"))).when(s % 5 == 1, F.array(line("CapEx", "capex"), line("Purchase of Fixed Assets", "n")))
+            .otherwise(F.array(line("Purchase of Intangible Assets", "capex"))))
+    return g.select("symbol", F.when(s % 23 == 0, "Quarterly").when(s % 5 != 1, "yearly").alias("time_period"), F.when(s % 38 == 0, 3).alias("fy_month"), full.alias("full_statement"),
+                    F.when(s % 31 == 0, F.array(*cats, cat("operating", "n"))).otherwise(F.array(*cats)).alias("cash_flow"))
+
+
 ANNUAL = """
 yv AS (SELECT o_custkey AS symbol, year(o_orderdate) AS fy, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS rev, max(o_totalprice) AS mx, min(o_totalprice) AS mn, count(*)::DOUBLE AS n,
   year(o_orderdate) * 12 + CASE WHEN o_custkey % 19 = 0 AND year(o_orderdate) >= 1999 THEN 3 ELSE 12 END AS m, CASE WHEN o_custkey % 19 = 0 AND year(o_orderdate) >= 1999 THEN 3 ELSE 12 END AS mo
-  FROM orders GROUP BY 1, 2, 5 + 1 - 1 + fy * 0, m, mo),
+  FROM orders GROUP BY ALL),
 sw AS (SELECT *, CASE WHEN lag(mo) OVER w <> mo THEN 1 ELSE 0 END AS switch, m - lag(m) OVER w AS gap FROM yv WINDOW w AS (PARTITION BY symbol ORDER BY m)),
 isl AS (SELECT *, sum(switch) OVER (PARTITION BY symbol) AS switches, sum(CASE WHEN switch = 0 AND gap <> 12 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol) AS uneven, sum(switch) OVER (PARTITION BY symbol ORDER BY m) AS after FROM sw),
 jdg AS (SELECT *, CASE WHEN switches > 1 OR (switches = 1 AND (uneven > 0 OR full_after = 0)) THEN 'mixed_month_ends' END AS problem FROM (SELECT *, sum(CASE WHEN after = 1 AND switch = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol) AS full_after FROM isl)),
-annual AS (SELECT symbol, fy, CASE WHEN symbol % 31 <> 0 THEN rev END AS revenue, rev AS total_revenue, mx AS profit_before_tax, mn AS profit_after_tax, n AS eps_basic, NULL::DOUBLE AS eps_diluted, symbol % 3 <> 0 AS revenue_check, true AS pbt_check, true AS pat_check, NULL::VARCHAR AS problem
-  FROM jdg WHERE problem IS NULL AND (switches = 0 OR (after = 1 AND switch = 0)) AND NOT (symbol % 29 = 0 AND fy = 1997) AND symbol % 23 <> 0)""".replace("GROUP BY 1, 2, 5 + 1 - 1 + fy * 0, m, mo", "GROUP BY ALL")
+annual AS (SELECT symbol, fy, CASE WHEN symbol % 31 <> 0 THEN rev END AS revenue, rev AS total_revenue, mx AS profit_before_tax, mn AS profit_after_tax, n AS eps_basic, NULL::DOUBLE AS eps_diluted,
+  CASE WHEN symbol % 7 > 1 THEN symbol % 3 <> 0 END AS revenue_check, CASE WHEN symbol % 7 > 1 THEN true END AS pbt_check, CASE WHEN symbol % 13 <> 6 THEN symbol % 11 <> 5 END AS pat_check,
+  CASE WHEN symbol % 7 = 0 THEN 'Interest Earned=' || CAST(n * 100 AS BIGINT) || CASE WHEN symbol % 14 <> 0 THEN ';Provisions=' || CAST(round(mn * 100) AS BIGINT) ELSE '' END ELSE '' END AS other_lines, NULL::VARCHAR AS problem
+  FROM jdg WHERE problem IS NULL AND (switches = 0 OR (after = 1 AND switch = 0)) AND NOT (symbol % 29 = 0 AND fy = 1997) AND symbol % 23 <> 0)"""
 
 
 def annual(spark, d):
     return T.annual_parse(annual_docs(spark, d))
 
 
-@query("annual_parse", sql("""SELECT * FROM annual UNION ALL SELECT symbol, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not_yearly' FROM (SELECT DISTINCT o_custkey AS symbol FROM orders WHERE o_custkey % 23 = 0)
- UNION ALL SELECT DISTINCT symbol, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, coalesce(problem, 'no_data') FROM jdg WHERE symbol % 23 <> 0 AND symbol NOT IN (SELECT symbol FROM annual)""", ANNUAL))
+@query("annual_parse", sql("""SELECT * FROM annual UNION ALL BY NAME SELECT DISTINCT o_custkey AS symbol, 'not_yearly' AS problem FROM orders WHERE o_custkey % 23 = 0
+ UNION ALL BY NAME SELECT DISTINCT symbol, coalesce(problem, 'no_data') AS problem FROM jdg WHERE symbol % 23 <> 0 AND symbol NOT IN (SELECT symbol FROM annual)""", ANNUAL))
+def _(spark, d):
+    shown = F.array_join(F.transform("other_lines", lambda x: F.concat(x["label"], F.lit("="), F.rint(x["value"] * 100).cast("bigint"))), ";")
+    return annual(spark, d).withColumn("other_lines", shown)
+
+
+@query("annual_cashflow", sql("""SELECT symbol, fy, op AS operating_cash_flow, -mx AS investing_cash_flow, mn AS financing_cash_flow, capex, round(op - capex, 2) AS free_cash_flow, NULL::VARCHAR AS problem FROM flows
+ UNION ALL BY NAME SELECT symbol, CASE WHEN symbol % 23 = 0 THEN 'quarterly' WHEN symbol % 38 <> 0 AND count(DISTINCT mo) > 1 THEN 'mixed_month_ends' ELSE 'no_data' END AS problem FROM yv WHERE symbol NOT IN (SELECT symbol FROM flows) GROUP BY symbol""", ANNUAL,
+  """flows AS (SELECT *, CASE WHEN symbol % 31 = 0 THEN n ELSE rev END AS op, CASE WHEN symbol % 5 = 0 THEN n END AS capex FROM (SELECT *, min(mo) OVER (PARTITION BY symbol) <> max(mo) OVER (PARTITION BY symbol) AS mixed FROM yv)
+  WHERE symbol % 23 <> 0 AND NOT (symbol % 29 = 0 AND fy = 1997) AND CASE WHEN symbol % 38 = 0 THEN mo = 3 ELSE NOT mixed END)"""))
 def _(spark, d):
-    return annual(spark, d)
+    return T.annual_cashflow(cash_docs(spark, d))
 
 
 @query("year_end_change", sql("SELECT symbol, fy * 100 + mo AS period, problem FROM jdg WHERE problem IS NOT NULL OR switches = 0 OR (after = 1 AND switch = 0)", ANNUAL))
@@ -69,12 +109,15 @@ def _(spark, d):
 
 
 @query("src_statement_lines", sql("""SELECT symbol, label, fy, value FROM (SELECT symbol, fy, 'revenue' AS label, rev AS value FROM yv WHERE symbol % 31 <> 0 UNION ALL SELECT symbol, fy, 'total revenue', rev FROM yv UNION ALL SELECT symbol, fy, 'profit before tax', mx FROM yv
- UNION ALL SELECT symbol, fy, 'profit after tax', mn FROM yv UNION ALL SELECT symbol, fy, 'eps basic', n FROM yv) WHERE NOT (symbol % 29 = 0 AND fy = 1997) UNION ALL SELECT symbol, l, fy, NULL FROM yv, (VALUES ('revenue'), ('total revenue'), ('profit before tax'), ('profit after tax'), ('eps basic')) t(l) WHERE symbol % 29 = 0 AND fy = 1997 AND NOT (l = 'revenue' AND symbol % 31 = 0)""", ANNUAL))
+ UNION ALL SELECT symbol, fy, 'profit after tax', mn FROM yv UNION ALL SELECT symbol, fy, 'eps basic', n FROM yv UNION ALL SELECT symbol, fy, 'interest earned', n FROM yv WHERE symbol % 7 = 0 UNION ALL SELECT symbol, fy, 'provisions', mn FROM yv WHERE symbol % 14 = 7) WHERE NOT (symbol % 29 = 0 AND fy = 1997)
+ UNION ALL SELECT symbol, l, fy, NULL FROM yv, (VALUES ('revenue'), ('total revenue'), ('profit before tax'), ('profit after tax'), ('eps basic'), ('interest earned'), ('provisions')) t(l) WHERE symbol % 29 = 0 AND fy = 1997 AND NOT (l = 'revenue' AND symbol % 31 = 0)
+  AND NOT (l = 'interest earned' AND symbol % 7 <> 0) AND NOT (l = 'provisions' AND symbol % 14 <> 7)""", ANNUAL))
 def _(spark, d):
     return T.statement_lines(annual_docs(spark, d)).select("symbol", "label", F.year("period_end").alias("fy"), "value")
 
 
-@query("reconcile_flags", sql("SELECT symbol, fy, CASE WHEN revenue_check THEN 'matched' ELSE 'mismatch' END AS reconciliation, CASE WHEN revenue_check THEN '' ELSE 'revenue_check' END AS warnings FROM annual", ANNUAL))
+@query("reconcile_flags", sql("""SELECT symbol, fy, CASE WHEN warnings <> '' THEN 'mismatch' WHEN revenue_check OR pbt_check OR pat_check THEN 'matched' ELSE 'not_checked' END AS reconciliation, warnings FROM (SELECT *, concat_ws(',', CASE WHEN NOT pat_check THEN 'pat_check' END,
+  CASE WHEN NOT pbt_check THEN 'pbt_check' END, CASE WHEN NOT revenue_check THEN 'revenue_check' END) AS warnings FROM annual)""", ANNUAL))
 def _(spark, d):
     rec, warn = T.reconcile_flags(["revenue_check", "pbt_check", "pat_check"])
     return annual(spark, d).where("problem IS NULL").select("symbol", "fy", rec.alias("reconciliation"), warn.alias("warnings"))

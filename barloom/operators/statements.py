@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.values import capex_line_class, label_normalise, period_parse, rnd
+from barloom.functions.values import capex_line_class, finite, label_normalise, period_parse, rnd
 
 # Statement labels and their fields.
 INCOME_FIELDS = {"revenue": "revenue", "total revenue": "total_revenue", "profit before tax": "profit_before_tax", "profit after tax": "profit_after_tax",
@@ -50,42 +50,123 @@ def same(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= tolerance)
 
 
-def annual_parse(docs: DataFrame) -> DataFrame:
-    """Every fiscal year of yearly responses with its checks, or one row with the reason the response is refused. A single change of the
-    year-end month keeps the full years after it."""
-    wide = _wide(statement_cells(docs))
-    judged = _year_ends(wide, F.col("has_detail"))
-    some = F.coalesce(*[F.col(f) for f in INCOME_FIELDS.values()]).isNotNull()
-    yearly = F.coalesce(F.lower("time_period"), F.lit("yearly")) == "yearly"
-    keep = yearly & F.col("problem").isNull() & F.col("kept") & some
-    whole = Window.partitionBy("symbol")
-    rows = judged.withColumns({"_keep": keep, "_any": F.max(keep.cast("int")).over(whole), "_rn": F.row_number().over(whole.orderBy("period_end"))})
-    why = F.when(~yearly, "not_yearly").when(F.max("problem").over(whole).isNotNull(), F.max("problem").over(whole)).otherwise("no_data")
-    rows = rows.withColumn("_why", F.when(F.col("_any") == 0, why)).where(F.col("_keep") | ((F.col("_any") == 0) & (F.col("_rn") == 1)))
-    only = lambda c: F.when(F.col("_keep"), c)
-    return rows.select("symbol", only(F.year("period_end")).alias("fy"), *[only(F.col(f)).alias(f) for f in INCOME_FIELDS.values()], only(same(F.col("s_revenue"), F.col("total_revenue"))).alias("revenue_check"),
-                       only(same(F.col("s_operating_profit"), F.col("profit_before_tax"))).alias("pbt_check"), only(same(F.col("s_net_profit"), F.col("profit_after_tax"))).alias("pat_check"), F.col("_why").alias("problem"))
-
-
-def _year_ends(rows: DataFrame, counted: Column) -> DataFrame:
-    """Add `kept` and `problem` by islands over the month index of each symbol's few periods; only `counted` rows take part."""
-    part = [F.col("symbol"), F.col("_c")]
-    w, whole = Window.partitionBy(*part).orderBy("m"), Window.partitionBy(*part)
-    p = rows.withColumns({"_c": counted & F.col("period_end").isNotNull(), "m": F.year("period_end") * 12 + F.month("period_end"), "mo": F.month("period_end")})
-    p = p.withColumns({"prev_m": F.lag("m").over(w), "prev_mo": F.lag("mo").over(w)})
-    p = p.withColumn("switch", F.when(F.col("prev_mo") != F.col("mo"), 1).otherwise(0))
-    p = p.withColumns({"switches": F.sum("switch").over(whole), "uneven": F.sum(F.when((F.col("switch") == 0) & (F.col("m") - F.col("prev_m") != 12), 1).otherwise(0)).over(whole),
-                       "after": F.sum("switch").over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    p = p.withColumn("full_after", F.sum(F.when((F.col("after") == 1) & (F.col("switch") == 0), 1).otherwise(0)).over(whole))
-    problem = F.when(F.col("_c") & ((F.col("switches") > 1) | ((F.col("switches") == 1) & ((F.col("uneven") > 0) | (F.col("full_after") == 0)))), "mixed_month_ends")
-    kept = F.col("_c") & ((F.col("switches") == 0) | ((F.col("after") == 1) & (F.col("switch") == 0)))
-    return p.withColumns({"problem": problem, "kept": kept}).drop("_c", "m", "mo", "prev_m", "prev_mo", "switch", "switches", "uneven", "after", "full_after")
+CELLS = "array<struct<fy:int,month:int,value:double>>"
+
+
+def _cells(history: Column) -> Column:
+    """The entries of one history with a readable period."""
+    dated = F.transform(history, lambda h: F.struct(period_parse(h["period"]).alias("end"), finite(h["value"]).alias("value")))
+    cells = F.transform(F.filter(dated, lambda x: x["end"].isNotNull()),
+                        lambda x: F.struct(F.year(x["end"]).alias("fy"), F.month(x["end"]).alias("month"), x["value"].alias("value")))
+    return F.coalesce(cells, F.array().cast(CELLS))
+
+
+def _at(cells: Column, fy: Column) -> Column:
+    """The value of one year; a year listed twice has none."""
+    hits = F.filter(cells, lambda x: x["fy"] == fy)
+    return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))["value"])
+
+
+def _detail(lines: Column) -> Column:
+    """Named lines as (key, label, cells)."""
+    named = F.filter(lines, lambda x: F.coalesce(x["particular"], F.lit("")) != "")
+    text = lambda x: F.substring(F.trim(F.regexp_replace(x["particular"], r"\s+", " ")), 1, 80)
+    return F.transform(named, lambda x: F.struct(label_normalise(x["particular"]).alias("key"), text(x).alias("label"), _cells(x["history"]).alias("cells")))
+
+
+def _category(categories: Column, name: str) -> Column:
+    """Cells of a category; of one listed again the last counts."""
+    last = F.try_element_at(F.filter(categories, lambda x: F.lower(x["category"]) == name), F.lit(-1))
+    return F.coalesce(_cells(last["history"]), F.array().cast(CELLS))
+
+
+def full_years(ends: Column) -> Column:
+    """The month ends to keep, of an array of month indexes (year * 12 + month): all when they share the month; after one clean change of it (two runs,
+    each twelve months apart) those from the second under the new month on; else NULL. A run is even when its span is twelve months a step."""
+    return F.when(F.size(F.array_distinct(F.transform(ends, lambda m: m % 12))) <= 1, ends).otherwise(_after_change(ends))
+
+
+def _after_change(ends: Column) -> Column:
+    old = F.filter(ends, lambda m: m % 12 == F.array_min(ends) % 12)
+    new = F.filter(ends, lambda m: m % 12 != F.array_min(ends) % 12)
+    even = lambda run: F.array_max(run) - F.array_min(run) == 12 * (F.size(run) - 1)
+    two = F.size(F.array_distinct(F.transform(ends, lambda m: m % 12))) == 2
+    return F.when(two & (F.array_max(old) < F.array_min(new)) & even(old) & even(new) & (F.size(new) >= 2), F.filter(new, lambda m: m > F.array_min(new)))
+
+
+def _years_or_reason(d: DataFrame, problem: Column, *keep: str) -> DataFrame:
+    """One row per element of `years`, or one that has only the reason. The reason is a field of the exploded rows: a filter on it then stays above the
+    explode, where below it would repeat all the work on the arrays."""
+    fields = d.schema["years"].dataType.elementType.fields
+    reason = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields], problem.alias("problem")))
+    years = F.transform("years", lambda y: F.struct(*[y[f.name].alias(f.name) for f in fields], F.lit(None).cast("string").alias("problem")))
+    return d.select(*keep, F.explode_outer(F.when(problem.isNull(), years).otherwise(reason)).alias("y"))
+
+
+def annual_parse(docs: DataFrame, most_other: int = 40) -> DataFrame:
+    """Every fiscal year of yearly responses with its checks, or one row with the reason the response is refused (not_yearly, mixed_month_ends, no_data).
+    A response is judged inside its row, so nothing is exchanged. A label listed twice is ambiguous and counts as absent, a period listed twice has no value.
+    `layout` (absent: standard) decides what the summary can be checked against: revenue and profit before tax only for standard companies. Financial ones
+    keep up to `most_other` further lines with a value, in the order of the response."""
+    layout = F.col("layout") if "layout" in docs.columns else F.lit("standard")
+    d = docs.select("symbol", F.coalesce(F.lower("time_period"), F.lit("yearly")).alias("kind"), layout.alias("layout"), _detail(F.col("full_statement")).alias("lines"), "income_statement")
+    once = F.filter("lines", lambda x: F.size(F.filter("lines", lambda y: y["key"] == x["key"])) == 1)
+    d = d.withColumn("lines", F.coalesce(once, F.filter("lines", lambda x: F.lit(False))))
+    known = F.filter("lines", lambda x: x["key"].isin(*INCOME_FIELDS))
+    line = lambda label: F.get(F.filter("lines", lambda x: x["key"] == label), F.lit(0))["cells"]
+    ends = F.array_sort(F.array_distinct(F.flatten(F.transform(known, lambda x: F.transform(x["cells"], lambda c: c["fy"] * 12 + c["month"])))))
+    d = d.select("symbol", "kind", "layout", F.coalesce(ends, F.array().cast("array<int>")).alias("ends"), *[line(label).alias(f) for label, f in INCOME_FIELDS.items()],
+                 *[_category(F.col("income_statement"), f).alias("s_" + f) for f in SUMMARY_FIELDS],
+                 F.filter("lines", lambda x: (F.col("layout") == "financial") & ~x["key"].isin(*INCOME_FIELDS)).alias("others"))
+    d = d.withColumn("kept", full_years(F.col("ends")))
+
+    def year(m):
+        fy = ((m - 1) / 12).cast("int")
+        other = F.filter(F.transform("others", lambda x: F.struct(x["label"].alias("label"), _at(x["cells"], fy).alias("value"))), lambda x: x["value"].isNotNull())
+        return F.struct(fy.alias("fy"), *[_at(F.col(f), fy).alias(f) for f in INCOME_FIELDS.values()], *[_at(F.col("s_" + f), fy).alias("s_" + f) for f in SUMMARY_FIELDS],
+                        F.slice(other, 1, most_other).alias("other_lines"))
+
+    years = F.filter(F.transform("kept", year), lambda y: F.coalesce(*[y[f] for f in INCOME_FIELDS.values()]).isNotNull())
+    d = d.select("symbol", "kind", "layout", F.col("kept").isNull().alias("mixed"), years.alias("years"))
+    problem = (F.when(F.col("kind") != "yearly", "not_yearly").when(F.col("mixed"), "mixed_month_ends").when(F.size("years") == 0, "no_data"))
+    d = _years_or_reason(d, problem, "symbol", "layout")
+    ordinary = lambda check: F.when(F.col("layout") == "standard", check)
+    return d.select("symbol", "y.fy", *["y." + f for f in INCOME_FIELDS.values()], ordinary(same(F.col("y.s_revenue"), F.col("y.total_revenue"))).alias("revenue_check"),
+                    ordinary(same(F.col("y.s_operating_profit"), F.col("y.profit_before_tax"))).alias("pbt_check"), same(F.col("y.s_net_profit"), F.col("y.profit_after_tax")).alias("pat_check"),
+                    "y.other_lines", "y.problem")
+
+
+# Cash flow categories and their fields.
+CASH_FIELDS = {"operating": "operating_cash_flow", "investing": "investing_cash_flow", "financing": "financing_cash_flow"}
+
+
+def annual_cashflow(docs: DataFrame) -> DataFrame:
+    """Cash flow of every fiscal year, or one row with the reason the response is refused (quarterly, mixed_month_ends, no_data). `fy_month` (absent or NULL:
+    unknown) is the year-end month of the income statement; other periods are then left out. Capital expenditure comes from the only total line, as a
+    magnitude; free cash flow needs it and is never operating minus investing."""
+    month = F.col("fy_month") if "fy_month" in docs.columns else F.lit(None).cast("int")
+    d = docs.select("symbol", F.coalesce(F.lower("time_period"), F.lit("")).alias("kind"), month.alias("month"),
+                    *[_category(F.col("cash_flow"), name).alias(name) for name in CASH_FIELDS], _detail(F.col("full_statement")).alias("lines"))
+    mine = lambda name: F.filter(name, lambda c: F.col("month").isNull() | (c["month"] == F.col("month")))
+    totals = F.filter("lines", lambda x: F.coalesce(capex_line_class(x["label"]) == "total", F.lit(False)))
+    d = d.select("symbol", "kind", "month", *[mine(name).alias(name) for name in CASH_FIELDS], F.when(F.size(totals) == 1, F.get(totals, F.lit(0))["cells"]).alias("capex"))
+    d = d.withColumn("all", F.concat(*CASH_FIELDS)).withColumn("fys", F.array_sort(F.array_distinct(F.transform("all", lambda c: c["fy"]))))
+    newest = F.transform("fys", lambda fy: F.try_element_at(F.filter("all", lambda c: c["fy"] == fy), F.lit(-1))["month"])
+    year = lambda fy: F.struct(fy.alias("fy"), *[_at(F.col(name), fy).alias(f) for name, f in CASH_FIELDS.items()], F.abs(_at(F.col("capex"), fy)).alias("capex"))
+    years = F.filter(F.transform("fys", year), lambda y: F.coalesce(*[y[f] for f in CASH_FIELDS.values()]).isNotNull())
+    d = d.select("symbol", "kind", (F.col("month").isNull() & (F.size(F.array_distinct(newest)) > 1)).alias("mixed"), years.alias("years"))
+    problem = F.when(F.col("kind") == "quarterly", "quarterly").when(F.col("mixed"), "mixed_month_ends").when(F.size("years") == 0, "no_data")
+    d = _years_or_reason(d, problem, "symbol")
+    return d.select("symbol", "y.fy", *["y." + f for f in CASH_FIELDS.values()], "y.capex", rnd(F.col("y.operating_cash_flow") - F.col("y.capex"), 2).alias("free_cash_flow"), "y.problem")
 
 
 def year_end_change(periods: DataFrame) -> DataFrame:
     """(symbol, period_end, problem): all periods of a symbol with one year-end month; with one clean change of it, the full years after the
-    change; else its periods marked mixed_month_ends."""
-    return _year_ends(periods.distinct(), F.lit(True)).where(F.col("kept") | F.col("problem").isNotNull()).select("symbol", "period_end", "problem")
+    change; else its periods marked mixed_month_ends. A symbol's month ends are one sorted array, so one exchange."""
+    ends = periods.where("period_end IS NOT NULL").groupBy("symbol").agg(F.array_sort(F.collect_set(F.year("period_end") * 12 + F.month("period_end"))).alias("ends"))
+    judged = ends.withColumn("kept", full_years(F.col("ends")))
+    rows = judged.select("symbol", F.explode(F.coalesce("kept", "ends")).alias("m"), F.when(F.col("kept").isNull(), "mixed_month_ends").alias("problem"))
+    return rows.select("symbol", F.last_day(F.make_date(F.floor((F.col("m") - 1) / 12).cast("int"), (F.col("m") - 1) % 12 + 1, F.lit(1))).alias("period_end"), "problem")
 
 
 def quarterly_parse(docs: DataFrame) -> DataFrame:

@@ -149,6 +149,47 @@ def test_year_end_change_shapes(spark):
     assert {k: sorted(v) for k, v in got.items()} == {(1, None): [2020, 2021, 2022], (2, None): [2022, 2023], (3, "mixed_month_ends"): [2019, 2020, 2021], (4, "mixed_month_ends"): [2019, 2020, 2020, 2021]}
 
 
+CELL = "array<struct<period:string,value:double>>"
+RESPONSE = f"symbol string, time_period string, layout string, full_statement array<struct<particular:string,history:{CELL}>>, income_statement array<struct<category:string,history:{CELL}>>"
+
+
+def test_annual_responses_by_layout(spark):
+    cells = lambda v, *periods: [(p, v) for p in periods or ("Mar 2023", "Mar 2024")]
+    lines = [("Total Revenue", cells(10.0)), ("Profit Before Tax", cells(5.0)), ("Profit After Tax", cells(3.0)), ("", cells(1.0)), (None, None)]
+    summary = [("revenue", cells(0.0)), ("Revenue", cells(99.0)), ("operating_profit", cells(5.0)), ("net_profit", cells(3.005))]
+    many = [(f"Line  {i}", cells(float(i))) for i in range(45)] + [("Line 3", cells(7.0)), ("Void", [("Mar 2023", None), ("Mar 2024", float("nan"))])]
+    rows = [("A", "Yearly", "standard", lines, summary), ("B", None, "financial", many + lines, summary), ("C", None, "unclassified", lines, summary), ("D", "quarterly", "standard", lines, summary),
+            ("E", None, "standard", None, None), ("F", None, "standard", [("Total Revenue", cells(1.0, "Mar 2023", "Dec 2023", "Mar 2024"))], summary),
+            ("G", None, "standard", [("Total Revenue", cells(1.0, "Mar 2023", "Mar 2024", "Mar 2024") + [None, ("soon", 2.0)])], []),
+            ("H", None, "standard", [("Total Revenue", cells(1.0, "Dec 2020", "Mar 2022", "Mar 2023", "Mar 2024"))], [])]
+    df = spark.createDataFrame(rows, RESPONSE)
+    got = {}
+    for r in T.annual_parse(df).collect():
+        got.setdefault(r.symbol, []).append(r)
+    assert {k: sorted(r.fy or 0 for r in v) for k, v in got.items()} == {"A": [2023, 2024], "B": [2023, 2024], "C": [2023, 2024], "D": [0], "E": [0], "F": [0], "G": [2023], "H": [2023, 2024]}
+    checks = lambda k: (got[k][0].revenue_check, got[k][0].pbt_check, got[k][0].pat_check)
+    assert checks("A") == (False, True, True) and checks("B") == (None, None, True) and checks("C") == (None, None, True)
+    assert [x.label for x in got["B"][0].other_lines] == [f"Line {i}" for i in range(45) if i != 3][:40] and got["A"][0].other_lines == []
+    assert {k: got[k][0].problem for k in "ADEF"} == {"A": None, "D": "not_yearly", "E": "no_data", "F": "mixed_month_ends"}
+    assert T.annual_parse(df.drop("layout")).where("problem IS NULL AND symbol = 'B'").first().revenue_check is False
+    assert len(T.annual_parse(df, most_other=100).where("symbol = 'B'").first().other_lines) == 44 and T.annual_parse(df.limit(0)).count() == 0
+
+
+def test_annual_cash_flow(spark):
+    cells = lambda v, *periods: [(p, v) for p in periods or ("Mar 2023", "Mar 2024")]
+    cats = [("Operating", cells(10.0)), ("investing", cells(-4.0)), ("financing", cells(1.0))]
+    both = [("operating", cells(10.0, "Dec 2022", "Mar 2023", "Mar 2024"))]
+    one, two = [("Capital Expenditure", cells(-3.5)), ("Sale of fixed assets", cells(9.0))], [("CapEx", cells(-1.0)), ("Capital  expenditure", cells(-1.0))]
+    rows = [("A", None, None, cats, one), ("B", "yearly", None, cats + [("operating", cells(2.0))], two), ("C", "Quarterly", None, cats, one), ("D", None, None, both, None), ("E", None, 3, both, None), ("F", None, None, None, one),
+            ("G", None, None, [("operating", cells(1.0, "Mar 2023", "Mar 2023")), ("financing", cells(5.0, "Mar 2024"))], one)]
+    df = spark.createDataFrame(rows, f"symbol string, time_period string, fy_month int, cash_flow array<struct<category:string,history:{CELL}>>, full_statement array<struct<particular:string,history:{CELL}>>")
+    got = {(r.symbol, r.fy): r for r in T.annual_cashflow(df).collect()}
+    assert {k: (r.operating_cash_flow, r.capex, r.free_cash_flow) for k, r in got.items() if r.problem is None} == {
+        ("A", 2023): (10.0, 3.5, 6.5), ("A", 2024): (10.0, 3.5, 6.5), ("B", 2023): (2.0, None, None), ("B", 2024): (2.0, None, None), ("E", 2023): (10.0, None, None), ("E", 2024): (10.0, None, None), ("G", 2024): (None, 3.5, None)}
+    assert {k[0]: r.problem for k, r in got.items() if r.problem} == {"C": "quarterly", "D": "mixed_month_ends", "F": "no_data"}
+    assert T.annual_cashflow(df.limit(0)).count() == 0
+
+
 def test_growth_rules(spark):
     y = spark.createDataFrame([(1, 2023, -5.0), (1, 2024, 10.0), (1, 2025, 0.0), (1, 2027, 4.0)], "symbol int, fy int, value double")
     assert [r.change_pct for r in T.annual_change(y).orderBy("fy").collect()] == [None, 300.0, -100.0, None]
