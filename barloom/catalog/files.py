@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.catalog.market import GUARDED, sma_sql
 from barloom.catalog.model_sql import BARS, CHANGES, HOLDINGS, INSTRUMENTS, TICKS, YEARS, sql
 from barloom.catalog.registry import query
 from barloom.catalog.statements import ANNUAL, annual_docs
@@ -13,6 +14,8 @@ from barloom.operators import calendar as D
 from barloom.operators import market as M
 from barloom.operators import statements as T
 from barloom.operators import windows as W
+from barloom.plans import market_day as P
+from barloom.rules import WIDE
 from barloom.session import cut_lineage, fresh_dir
 from barloom.sources import files as S
 from barloom.sources import sinks as K
@@ -244,14 +247,28 @@ def _(spark, d):
 
 
 # ---------------------------------------------------------------- sinks
-@query("sink_market_docs", sql("SELECT 'breadth' AS doc, count(DISTINCT date) AS rows FROM moved UNION ALL SELECT 'movers', count(*) FILTER (change_pct > 0 AND g <= 50) + count(*) FILTER (change_pct < 0 AND l <= 50) FROM (SELECT *, row_number() OVER (ORDER BY change_pct > 0 DESC, change_pct DESC, symbol) AS g, row_number() OVER (ORDER BY change_pct < 0 DESC, change_pct, symbol) AS l FROM latest WHERE turnover >= 100 AND change_pct IS NOT NULL) UNION ALL SELECT 'activity', least(100, count(*)) * 2 FROM latest UNION ALL SELECT 'changes', count(*) FROM moved", CHANGES))
+SAFE_DAYS = " + ".join(f"(SELECT count(*) FILTER (status = 'safe' AND symbol = (SELECT max(symbol) FROM latest)) FROM (SELECT * FROM sma_{n} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1))" for n in (20, 50, 200))
+
+
+@query("sink_market_docs", sql(f"""SELECT 'published' AS step, 'breadth' AS what, 2 AS rows UNION ALL SELECT 'published', 'dma_breadth', 3 UNION ALL SELECT 'published', 'dma', 3 * count(*) FROM latest UNION ALL SELECT 'published', 'movers', least(50, count(*) FILTER (change_pct > 0 AND turnover >= 100)) + least(50, count(*) FILTER (change_pct < 0 AND turnover >= 100)) FROM latest
+ UNION ALL SELECT 'published', 'activity', least(100, count(*) FILTER (turnover > 0)) + least(100, count(*) FILTER (volume > 0)) FROM latest UNION ALL SELECT 'damaged', 'breadth counted_is_not_the_sum 1', NULL UNION ALL SELECT 'damaged', 'dma symbols_are_not_the_universe 3', NULL
+ UNION ALL SELECT 'damaged', 'dma_breadth differs_from_the_symbols ' || n, NULL FROM (SELECT {SAFE_DAYS} AS n) WHERE n > 0 UNION ALL SELECT 'halved', 'breadth universe_shrunk 1', NULL""", GUARDED, *[sma_sql(n, 20.0) for n in (20, 50, 200)]))
 def _(spark, d):
-    moved = W.change_1d(bars(spark, d))
-    latest = M.latest_rows(moved)
-    docs = {"breadth": M.breadth(moved), "movers": M.top_movers(latest), "activity": M.most_active(latest), "changes": moved.select("symbol", "date", "change_pct")}
-    base = fresh_dir(spark, "market-docs")
-    K.publish_together(docs, base, lambda w: ["no breadth rows"] if w["breadth"].isEmpty() else [])
-    return M.union_all([K.read_published(spark, base, n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("doc"), "rows") for n in docs])
+    """Published once; then a version that breaks its rules and one of half the symbols are refused, and readers still see the first."""
+    latest = cut_lineage(P.newest_measured(bars(spark, d), WIDE), "latest")
+    friday = lambda docs: docs | {"breadth": docs["breadth"].withColumn("as_of", F.date_sub("as_of", F.greatest(F.weekday("as_of") - 4, F.lit(0))))}
+    docs, base = friday(P.documents(latest, WIDE)), fresh_dir(spark, "market-docs")
+    P.publish_documents(docs, base, "2001-11-04")
+    last = latest.agg(F.max("symbol").alias("symbol"))
+    damaged = docs | {"breadth": docs["breadth"].withColumn("counted", F.col("counted") + F.when(F.col("scope") == "liquid", 1).otherwise(0)), "dma": docs["dma"].join(F.broadcast(last), "symbol", "left_anti")}
+    refused = []
+    for step, version in (("damaged", damaged), ("halved", friday(P.documents(latest.where("symbol % 2 = 0"), WIDE)))):
+        try:
+            P.publish_documents(version, base, "2001-11-04")
+        except K.NotPublished as why:
+            refused += [(step, line, None) for line in why.problems]
+    seen = [K.read_published(spark, base, n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit("published").alias("step"), F.lit(n).alias("what"), "rows") for n in docs]
+    return M.union_all([*seen, spark.createDataFrame(refused, "step string, what string, rows bigint")])
 
 
 @query("sink_per_symbol", sql("SELECT 'bars' AS kind, CAST(symbol AS VARCHAR) AS symbol, true AS stored, count(*) AS rows FROM bars GROUP BY 2", BARS))
@@ -289,10 +306,25 @@ def _(spark, d):
     return changed.join(after, "symbol").select("symbol", F.lit(True).alias("changed"), "marks").where((s % 10 != 9) | (s % 4 != 1) | (F.col("marks") > 0))
 
 
-@query("sink_gated_publish", "SELECT n_name AS sector, count(*) AS members FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+@query("sink_gated_publish", "SELECT 'approved' AS site, n_name AS sector, count(*) AS members FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 2 UNION ALL SELECT 'withdrawn', 'nothing published', count(*) FROM supplier")
 def _(spark, d):
-    t = table(spark, d, "supplier").join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("sector")).agg(F.count(F.lit(1)).alias("members"))   # fixed list of countries
-    return K.gated(t, "true").unionByName(K.gated(t, "True")).unionByName(K.gated(t, "true", ["bad ranks"]))
+    """Two sites: on one an approved version stays through a failed check; on the other the approval is gone, and with it what was published."""
+    s = table(spark, d, "supplier")
+    t = s.join(F.broadcast(table(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("sector")).agg(F.count(F.lit(1)).alias("members"))   # fixed list of countries
+    everyone = s.count()
+    whole = lambda new: [] if new["sectors"].agg(F.sum("members")).first()[0] == everyone else ["members_are_not_all"]
+    kept, gone = fresh_dir(spark, "approved"), fresh_dir(spark, "withdrawn")
+    for base in (kept, gone):
+        K.publish_gated({"sectors": t}, base, "true", whole)
+    refused = False
+    try:
+        K.publish_gated({"sectors": t.withColumn("members", F.col("members") + 1)}, kept, "true", whole)
+    except K.NotPublished:
+        refused = True
+    K.publish_gated({"sectors": t}, gone, "True", whole)
+    on = K.read_published(spark, kept, "sectors").where(F.lit(refused)).select(F.lit("approved").alias("site"), "sector", "members")
+    off = s.agg(F.count(F.lit(1)).alias("members")).where(F.lit(K.published_version(spark, gone) is None))
+    return on.unionByName(off.select(F.lit("withdrawn").alias("site"), F.lit("nothing published").alias("sector"), "members"))
 
 
 # ---------------------------------------------------------------- scalar groups

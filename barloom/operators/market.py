@@ -66,6 +66,21 @@ def dma_breadth(latest: DataFrame, periods: Sequence[int] = (20, 50, 200)) -> Da
     return out.withColumns({"pct": rnd(F.try_divide(F.col("numerator"), F.col("denominator")) * 100, 2), "status": status})
 
 
+def breadth_document(latest: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The newest rows' breadth, a row a scope, with the newest date and the number of symbols."""
+    names = ("advancing", "declining", "unchanged", "counted", "ad_ratio")
+    row = latest.agg(F.max("date").alias("as_of"), F.count(F.lit(1)).alias("universe"), *_breadth_columns(F.lit(True), "all_"), *_breadth_columns(liquid(rules), "liquid_"))
+    scope = lambda s: F.struct(F.lit(s).alias("scope"), *[F.col(f"{s}_{n}").alias(n) for n in names])
+    return row.select("as_of", "universe", F.inline(F.array(scope("all"), scope("liquid"))))
+
+
+def dma_document(latest: DataFrame, periods: Sequence[int] = (20, 50, 200)) -> DataFrame:
+    """Every symbol's guarded averages, a row a period."""
+    each = lambda n: F.struct(F.lit(n).alias("period"), F.col(f"sma_{n}").alias("value"), F.least(F.col("rn"), F.lit(n)).cast("int").alias("observations"),
+                              F.col(f"sma_{n}_status").alias("state"), F.col(f"sma_{n}_position").alias("position"))
+    return latest.select("symbol", F.inline(F.array(*[each(n) for n in periods])))
+
+
 def high_low_counts(latest: DataFrame) -> DataFrame:
     s = F.col("extreme_status")
     return latest.agg(F.count_if(F.col("high_state") == "new_high").alias("new_highs"), F.count_if(F.col("low_state") == "new_low").alias("new_lows"),

@@ -48,6 +48,76 @@ def market_outputs(lists: DataFrame, latest: DataFrame, rank_by: dict[str, Colum
                                                       "percent out of range": F.col("change_pct") < -100, "differs from the symbol table": ~F.col("change_pct").eqNullSafe(F.col("_pct")) | ~F.col("close").eqNullSafe(F.col("_close"))})
 
 
+# The states a published metric can have.
+STATES = ("safe", "insufficient_history", "requires_adjustment", "unavailable")
+
+
+def list_rules(lists: DataFrame, best: dict[str, Column]) -> dict[str, Column]:
+    """Rules of ranked lists; `best` is each list's key with the largest first. A list has at most its configured rows."""
+    w = Window.partitionBy("list").orderBy("rank")
+    key = F.coalesce(*[F.when(F.col("list") == n, k.cast("double")) for n, k in best.items()])
+    return {"rank_not_position": F.col("rank") != F.row_number().over(w), "not_in_order": key.isNull() | (key > F.lag(key).over(w)),
+            "listed_twice": F.count(F.lit(1)).over(Window.partitionBy("list", "symbol")) > 1, "no_symbol": F.col("symbol").isNull(),
+            "delivery_out_of_range": ~F.col("deliv").between(0, 100), "negative_volume": F.col("volume") < 0, "negative_turnover": F.col("turnover") < 0,
+            "not_a_gainer": (F.col("list") == "gainers") & ~F.coalesce(F.col("change_pct") > 0, F.lit(False)),
+            "not_a_loser": (F.col("list") == "losers") & ~F.coalesce(F.col("change_pct") < 0, F.lit(False))}
+
+
+def disagreements(counted: DataFrame, stated: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Keys under which two tables of counts differ, as a signed union: one side adds, the other takes away, and what is not zero is a fault. A key that
+    one side lacks is a fault unless its counts are zero."""
+    take = counted.select(*keys, *values).unionByName(stated.select(*keys, *[(-F.col(v)).alias(v) for v in values]))
+    return take.groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values]).where(F.greatest(*[F.abs(F.coalesce(F.col(v), F.lit(0))) for v in values]) != 0)
+
+
+def market_documents(docs: dict[str, DataFrame], today: str, best: dict[str, Column]) -> DataFrame:
+    """(doc, at, problem) of the market documents of one day. breadth: as_of, universe, scope (all, liquid) and its counts; dma_breadth: period and its counts;
+    movers and activity: ranked lists; dma: symbol, period, value, observations, state, position."""
+    b, d = docs["breadth"], docs["dma"]
+    tag = lambda rows, doc, at: rows.select(F.lit(doc).alias("doc"), at.cast("string").alias("at"), "problem")
+    off = lambda a, x: F.abs(a - x) > 0.011
+    n = {c: F.coalesce(F.col(c), F.lit(-1)) for c in ("advancing", "declining", "unchanged")}
+    ratio = F.rint(F.try_divide(n["advancing"], n["declining"]) * 100) / 100
+    out = tag(violations(b, ["scope"], {
+        "counts_invalid": F.least(*n.values()) < 0, "counted_is_not_the_sum": ~F.col("counted").eqNullSafe(n["advancing"] + n["declining"] + n["unchanged"]),
+        "counts_exceed_universe": (F.col("scope") == "all") & (F.col("counted") > F.col("universe")), "ratio_without_decliners": (n["declining"] == 0) & F.col("ad_ratio").isNotNull(),
+        "ratio_is_not_the_quotient": (n["declining"] > 0) & (F.col("ad_ratio").isNull() | off(F.col("ad_ratio"), ratio)), "no_universe": ~F.coalesce(F.col("universe") > 0, F.lit(False)),
+        "no_date": F.col("as_of").isNull(), "dated_in_the_future": F.col("as_of") > F.lit(today).cast("date"), "dated_on_a_weekend": F.weekday("as_of") > 4}), "breadth", F.col("scope"))
+    head = b.agg(F.count_if(F.col("scope") == "all").alias("a"), F.count_if(F.col("scope") == "liquid").alias("l"), F.count_distinct("as_of").alias("days"), F.count_distinct("universe").alias("sizes"))
+    out = out.unionByName(tag(violations(head, [], {"scope_missing": (F.col("a") != 1) | (F.col("l") != 1), "more_than_one_date": F.col("days") > 1, "more_than_one_universe": F.col("sizes") > 1}), "breadth", F.lit(None)))
+    m, of = F.col("denominator"), F.col("numerator")
+    out = out.unionByName(tag(violations(docs["dma_breadth"], ["period"], {
+        "counts_invalid": ~F.coalesce((of >= 0) & (of <= m), F.lit(False)), "unknown_state": ~F.coalesce(F.col("status").isin(*STATES), F.lit(False)), "percentage_without_denominator": (m == 0) & F.col("pct").isNotNull(),
+        "percentage_is_not_the_quotient": (m > 0) & (F.col("pct").isNull() | off(F.col("pct"), F.rint(of / m * 10000) / 100))}), "dma_breadth", F.col("period")))
+    for doc in ("movers", "activity"):
+        rows = docs[doc].withColumns({"_" + name: c for name, c in list_rules(docs[doc], best).items()})
+        names = [c[1:] for c in rows.columns if c.startswith("_")]
+        out = out.unionByName(tag(violations(rows, ["list", "symbol"], {x: F.col("_" + x) for x in names}), doc, F.concat_ws(" ", "list", "symbol")))
+    safe = F.coalesce(F.col("state") == "safe", F.lit(False))
+    out = out.unionByName(tag(violations(d, ["symbol", "period"], {
+        "unknown_state": ~F.coalesce(F.col("state").isin(*STATES), F.lit(False)), "safe_without_value": safe & (F.col("value").isNull() | ~F.col("observations").eqNullSafe(F.col("period"))),
+        "value_but_not_safe": ~safe & F.col("value").isNotNull()}), "dma", F.concat_ws(" ", "symbol", "period")))
+    counted = d.groupBy("period").agg(F.count_if(safe).alias("denominator"), F.count_if(safe & (F.col("position") == "above")).alias("numerator"))
+    differ = disagreements(counted, docs["dma_breadth"], ["period"], ["denominator", "numerator"])
+    out = out.unionByName(tag(differ.withColumn("problem", F.lit("differs_from_the_symbols")), "dma_breadth", F.col("period")))
+    each = d.groupBy("period").agg(F.count_distinct("symbol").alias("symbols"), F.count(F.lit(1)).alias("rows"))
+    size = b.agg(F.max("universe").alias("universe"))                                                    # one row
+    out = out.unionByName(tag(violations(each.join(F.broadcast(size)), ["period"], {"symbols_are_not_the_universe": (F.col("symbols") != F.col("universe")) | (F.col("rows") != F.col("universe"))}), "dma", F.col("period")))
+    return out
+
+
+def market_no_loss(new: DataFrame, old: DataFrame, most_lost: float = 0.1) -> DataFrame:
+    """(doc, at, problem): a published day is never replaced by an older one or by a universe smaller by more than `most_lost`."""
+    day = lambda b, p: b.agg(F.max("as_of").alias(p + "as_of"), F.max("universe").alias(p + "universe"))    # one row each
+    rows = violations(day(new, "").join(F.broadcast(day(old, "_"))), ["as_of"], {"older_than_published": F.col("as_of") < F.col("_as_of"), "universe_shrunk": F.col("universe") < F.col("_universe") * (1 - most_lost)})
+    return rows.select(F.lit("breadth").alias("doc"), F.col("as_of").cast("string").alias("at"), "problem")
+
+
+def reasons(problems: DataFrame) -> list[str]:
+    """One line per document and rule, with how many rows broke it: as many lines as rules at most."""
+    return sorted(f"{r.doc} {r.problem} {r.n}" for r in problems.groupBy("doc", "problem").agg(F.count(F.lit(1)).alias("n")).collect())
+
+
 def candles(rows: DataFrame, today: str, max_age: int = 7) -> DataFrame:
     """Row problems (order, repeats, prices, future dates) and one staleness row per symbol. Input carries `seq`, the order as stored; stored
     rows may repeat, so a symbol's rows are not assumed few."""

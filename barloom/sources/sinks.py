@@ -10,26 +10,72 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def publish_together(frames: dict[str, DataFrame], base: str, check: Callable[[dict[str, DataFrame]], list[str]] | None = None) -> str:
-    """Write all result sets under a new version, check what was written, then mark the version: all or nothing."""
+class NotPublished(ValueError):
+    """Nothing became visible; `problems` says why."""
+
+    def __init__(self, problems: Sequence[str]):
+        super().__init__("not published: " + "; ".join(problems))
+        self.problems = list(problems)
+
+
+Check = Callable[[dict[str, DataFrame]], list[str]]
+NoLoss = Callable[[dict[str, DataFrame], dict[str, DataFrame]], list[str]]
+WITHDRAWN = "withdrawn"
+
+
+def _mark(spark: SparkSession, base: str, version: str) -> str:
+    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{base}/published")
+    return version
+
+
+def _new_version(name: str | None = None) -> str:
+    return f"{time.time_ns():020d}-{name or uuid.uuid4().hex[:8]}"
+
+
+def published_version(spark: SparkSession, base: str) -> str | None:
+    """The newest marked version; None before the first one and after a withdrawal."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/published")
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return None
+    version = spark.read.schema("version string").parquet(f"{base}/published").agg(F.max("version")).first()[0]
+    return None if version is None or version.endswith(WITHDRAWN) else version
+
+
+def publish_together(frames: dict[str, DataFrame], base: str, check: Check | None = None, no_loss: NoLoss | None = None) -> str:
+    """Write all result sets under a new version, judge what was written by itself and against the published version, then mark the version: all or
+    nothing. A refused version is never marked, so readers keep the one before."""
     spark = next(iter(frames.values())).sparkSession
-    version = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version, before = _new_version(), published_version(spark, base)
     for name, df in frames.items():
         df.write.parquet(f"{base}/versions/{version}/{name}")
-    written = {n: spark.read.schema(df.schema).parquet(f"{base}/versions/{version}/{n}") for n, df in frames.items()}
-    problems = check(written) if check else []
+    stored = lambda v: {n: spark.read.schema(df.schema).parquet(f"{base}/versions/{v}/{n}") for n, df in frames.items()}
+    problems = check(stored(version)) if check else []
+    if no_loss and before:
+        problems = problems + no_loss(stored(version), stored(before))
     if problems:
-        raise ValueError("not published: " + "; ".join(problems))
-    spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{base}/published")
-    return version
+        raise NotPublished(problems)
+    return _mark(spark, base, version)
 
 
 def read_published(spark: SparkSession, base: str, name: str) -> DataFrame:
     """The named result set of the newest marked version."""
-    version = spark.read.schema("version string").parquet(f"{base}/published").agg(F.max("version")).first()[0]
+    version = published_version(spark, base)
+    if version is None:
+        raise LookupError(f"nothing is published under {base}")
     return spark.read.parquet(f"{base}/versions/{version}/{name}")
 
 
+def publish_gated(frames: dict[str, DataFrame], base: str, approval: str | None, check: Check | None = None) -> str | None:
+    """Publish only while the approval flag is exactly "true"; without it what was published is withdrawn (None is returned). With it a failed check
+    raises and leaves the published version as it is."""
+    spark = next(iter(frames.values())).sparkSession
+    if approval == "true":
+        return publish_together(frames, base, check)
+    if published_version(spark, base):
+        _mark(spark, base, _new_version(WITHDRAWN))
+    return None
+
+
 def write_per_symbol(df: DataFrame, path: str, kind: str) -> None:
     """One folder per symbol of one kind; rows are placed by symbol first, so a symbol is one small file."""
     df.repartition("symbol").write.mode("overwrite").partitionBy("symbol").json(f"{path}/kind={kind}")
@@ -79,10 +125,5 @@ def install_delta(saved_path: str, now: DataFrame, key: str) -> DataFrame:
     return changed
 
 
-def gated(df: DataFrame, approval: str | None, problems: Sequence[str] = ()) -> DataFrame:
-    """The table when the approval flag is exactly "true" and the validator is silent, otherwise no rows (the filter is a literal, nothing is read)."""
-    return df if approval == "true" and not list(problems) else df.where(F.lit(False))
-
-
 def trim_to(df: DataFrame, date: str, end: Column, days: int = 800) -> DataFrame:
     return df.where(F.col(date) >= F.date_sub(end, days))
