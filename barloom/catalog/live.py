@@ -90,7 +90,7 @@ def _(spark, d):
 
 @query("tick_out_of_order", live_sql("SELECT key, CAST(session_date AS VARCHAR) AS session_date, count(*) AS rejected FROM steps WHERE outcome = 'out_of_order' GROUP BY 1, 2"))
 def _(spark, d):
-    return steps(spark, d).where("outcome = 'out_of_order'").groupBy("key", "session_date").agg(F.count(F.lit(1)).alias("rejected"))
+    return L.outcomes(valid(spark, d)).where("outcome = 'out_of_order'").groupBy("key", "session_date").agg(F.count(F.lit(1)).alias("rejected"))
 
 
 @query("tick_jump_hold", live_sql("SELECT seq, outcome, ltp, n FROM steps"))
@@ -128,7 +128,7 @@ def _(spark, d):
 
 @query("tick_coverage", live_sql("""SELECT connection_id, s.kind, count(DISTINCT s.key) AS covered, any_value(c.n) AS subscribed, round(count(DISTINCT s.key)::DOUBLE / any_value(c.n), 4) AS coverage FROM steps s JOIN (SELECT kind, count(*) AS n FROM ins GROUP BY 1) c ON c.kind = s.kind WHERE outcome = 'accepted' GROUP BY 1, 2"""))
 def _(spark, d):
-    return L.tick_coverage(steps(spark, d).where("outcome = 'accepted'"), instruments(spark, d))
+    return L.tick_coverage(L.outcomes(valid(spark, d)).where("outcome = 'accepted'"), instruments(spark, d))
 
 
 @query("session_reset", live_sql("SELECT CAST(session_date AS VARCHAR) AS session_date, count(*) AS keys, count(*) FILTER (outcome = 'accepted') AS first_accepted FROM steps WHERE rn = 1 GROUP BY 1"))

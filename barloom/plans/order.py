@@ -52,6 +52,38 @@ def ordered_lag(df: DataFrame, part: str, order: str, value: str, into: str, buc
     return out.select(*df.columns, F.when(F.col("_before.p") == F.col(part), F.col("_before.v")).alias(into))
 
 
+def spread(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """`df` stored in the order of `keys` with its part as `_bucket`, for `running_values`. Rows alike in `keys` share a bucket; a run of other rows may cross buckets."""
+    return _ranged(df, [F.col(k) for k in keys], buckets)
+
+
+_RUN = {"max": (F.max, F.greatest), "min": (F.min, F.least), "sum": (F.sum, lambda mine, held: F.coalesce(mine, F.lit(0)) + F.coalesce(held, F.lit(0))),
+        "last": (lambda c: F.last(c, True), F.coalesce)}
+
+
+def running_values(placed: DataFrame, part: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]], own: bool = True) -> DataFrame:
+    """Add running values in `order` within each `part`, of the rows up to this one (`own`) or before it: name -> (max, min, sum or last non-null, column).
+    `placed` comes from `spread` by `part` and the first of `order`. A part that fills many buckets is worked on in all of them; only the totals of a
+    bucket's last part, one row a bucket, are handed on."""
+    key = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(part)])
+    at = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    total = lambda kind, c: F.max_by(c, F.when(c.isNotNull(), at)) if kind == "last" else _RUN[kind][0](c)
+    span = placed.groupBy("_bucket").agg(F.min(key).alias("_head"), F.max(key).alias("_part"))
+    last = placed.join(F.broadcast(span), "_bucket").where(key.eqNullSafe(F.col("_part")))                                        # bounded: one row per bucket
+    sums = last.groupBy("_bucket").agg(F.first("_head").alias("_head"), F.first("_part").alias("_part"), *[total(kind, c).alias(n) for n, (kind, c) in values.items()])
+    ends = sums.select("_bucket", "_head", F.struct("_part", *values).alias("_tail"))
+    none = F.lit(None)
+    edge = F.explode(F.array(F.struct(F.lit(0).alias("_end"), F.struct(F.col("_head").alias("_part"), *[none.cast(sums.schema[n].dataType).alias(n) for n in values]).alias("_of")),
+                             F.struct(F.lit(1).alias("_end"), F.col("_tail").alias("_of")))).alias("_e")
+    edges = ends.select("_bucket", edge).select("_bucket", "_e._end", "_e._of.*")
+    before = Window.partitionBy("_part").orderBy("_bucket", "_end").rowsBetween(Window.unboundedPreceding, -1)           # at most two rows a bucket
+    held = edges.select("_bucket", "_end", F.col("_part").alias("_head"), *[_RUN[kind][0](F.col(n)).over(before).alias(f"_held_{n}") for n, (kind, _) in values.items()]).where("_end = 0").drop("_end")
+    w = Window.partitionBy("_bucket", *part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+    out = placed.join(F.broadcast(held), "_bucket")                                                                      # bounded: one row per bucket
+    mine = key.eqNullSafe(F.col("_head"))
+    return out.select(*placed.columns, *[_RUN[kind][1](_RUN[kind][0](c).over(w), F.when(mine, F.col(f"_held_{n}"))).alias(n) for n, (kind, c) in values.items()])
+
+
 def mid_rank_share(df: DataFrame, value: str, into: str) -> DataFrame:
     """Share rank in (0, 1] with average ranks for ties, over all rows of `df`."""
     counts = cut_lineage(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_ties")), "ties")

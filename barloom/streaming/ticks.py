@@ -1,8 +1,8 @@
 """Live ticks: validation, the sequential rules per key, latest state, windows and coverage.
 
-The sequential rules (late, held jump, stored previous close) are one small step function. Two drivers use it: a stateful stream,
-and a replay of whole tables that sorts by (key, session, order) and walks each task's rows once with the state of one key at a time,
-so a key with a third of all ticks never has its rows gathered, and its sessions spread over tasks.
+The sequential rules (late, held jump, stored previous close) are one small step function. Two drivers use it: a stateful stream, and a replay of whole
+tables that first proves by window functions which ticks are accepted whatever came before them, and walks only the ticks between such proofs. A session
+with a third of all ticks is ordered over many parts, and its stretches without proof are walked by many tasks.
 """
 
 from __future__ import annotations
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from barloom.functions.values import finite, rnd
-from barloom.plans.order import latest_by
+from barloom.plans.order import latest_by, running_values, spread
 from barloom.rules import Rules
-from barloom.session import fresh_dir
+from barloom.session import cut_lineage, fresh_dir
 
 TICK = "key bigint, session_date date, seq bigint, recv_ms bigint, ltp double, ltt bigint, cp double, connection_id bigint"
 STEP = "key bigint, session_date date, seq bigint, recv_ms bigint, connection_id bigint, outcome string, ltp double, ltt bigint, cp double, n bigint"
@@ -72,24 +72,62 @@ def _line(key, session, seq, recv, connection, state, outcome):
     return (key, session, seq, recv, connection, outcome, state[0], state[1], state[2], state[3])
 
 
-def replay(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """Every valid tick of whole tables in receive order with its outcome and the stored state after it."""
+ORDER = ["seq", "recv_ms", "ltp", "ltt", "cp", "connection_id"]                # the rest after `seq` only makes repeated rows fall alike in every pass
+PART = ["key", "session_date"]
+
+
+def proofs(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Every valid tick with `sure`, whether it is certainly accepted, and `segment`, the stretch it lies in (stored, in global order).
+
+    A tick is known to be accepted if it is the first of its session, or not older than any tick before it and within the jump ratio of the lowest and
+    the highest price before it: whichever of them is the state, no rule holds it back. So is one that confirms the tick before it on the same connection,
+    if neither is older than any tick before them: that tick was accepted or is the held jump. After a tick that is surely accepted the state is
+    that tick, so the next one is judged by the pair alone. A pair that fails leaves the ticks up to the next known one open."""
+    placed = spread(valid.select(*[c.split()[0] for c in TICK.split(", ")]), [*PART, "seq"])
+    ltp, ltt = F.col("ltp"), F.col("ltt")
+    seen = running_values(placed, PART, ORDER, {"_newest": ("max", ltt), "_low": ("min", ltp), "_high": ("max", ltp), "before": ("last", F.struct("ltp", "ltt", "connection_id"))}, own=False)
+    calm = lambda price: F.abs(ltp / price - 1) <= rules.jump_ratio
+    in_time = lambda other: F.coalesce(ltt >= other, F.lit(True))
+    held_on = F.coalesce(F.col("before.ltt") == F.col("_newest"), F.lit(True)) & F.col("before.connection_id").eqNullSafe(F.col("connection_id"))
+    confirmed = held_on & (F.abs(ltp / F.col("before.ltp") - 1) <= min(rules.jump_confirm, rules.jump_ratio))
+    known = F.col("before").isNull() | (in_time(F.col("_newest")) & ((calm(F.col("_low")) & calm(F.col("_high"))) | confirmed))
+    pair = in_time(F.col("before.ltt")) & calm(F.col("before.ltp"))
+    judged = seen.withColumn("_known", known).withColumn("_event", F.when(F.col("_known"), True).when(~pair, False)).drop("_newest", "_low", "_high")
+    marked = running_values(judged, PART, ORDER, {"sure": ("last", F.col("_event")), "segment": ("sum", F.col("_known").cast("long"))})
+    return cut_lineage(marked.drop("_known", "_event"), "proofs")
+
+
+def outcomes(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Every valid tick of whole tables with its outcome. Python sees only the ticks that `proofs` leaves open; each stretch of them starts from the surely
+    accepted tick before it, so a session's stretches are walked apart. One stretch is walked by one task."""
     jump, confirm = rules.jump_ratio, rules.jump_confirm
+    marked = proofs(valid, rules)
+    plain = [c for c in marked.columns if c not in ("sure", "segment", "before")]
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, EMPTY
         for pdf in batches:
             out = []
-            for key, session, seq, recv, ltp, ltt, cp, conn in _rows(pdf):
-                if (key, session) != at:                 # a new key or a new trading day starts empty
-                    at, state = (key, session), EMPTY
+            starts = zip(pdf["segment"].tolist(), pdf["_ltp"].tolist(), pdf["_ltt"].tolist(), pdf["_conn"].tolist())
+            for (key, session, _, _, ltp, ltt, cp, conn), (segment, s_ltp, s_ltt, s_conn) in zip(_rows(pdf), starts):
+                if (key, session, segment) != at:        # the first open tick of a stretch: the tick before it is the state
+                    at, state = (key, session, segment), (s_ltp, None if s_ltt is None or s_ltt != s_ltt else int(s_ltt), None, 0, None, s_conn)
                 state, outcome = step(state, ltp, ltt, cp, conn, jump, confirm)
-                out.append(_line(key, session, seq, recv, conn, state, outcome))
-            yield _frame(out)
+                out.append(outcome)
+            yield pdf[plain].assign(outcome=out)
 
-    cols = [c.split()[0] for c in TICK.split(", ")]
-    placed = valid.select(*cols).repartition("key", "session_date").sortWithinPartitions("key", "session_date", "seq")
-    return placed.mapInPandas(walk, STEP)
+    unsure = marked.where("NOT sure").select(*plain, "segment", F.col("before.ltp").alias("_ltp"), F.col("before.ltt").alias("_ltt"), F.col("before.connection_id").alias("_conn"))
+    placed = unsure.repartition(*PART, "segment").sortWithinPartitions(*PART, "segment", *ORDER)
+    walked = placed.mapInPandas(walk, f"{TICK}, _bucket int, outcome string")
+    return marked.where("sure").select(*plain, F.lit("accepted").alias("outcome")).unionByName(walked)
+
+
+def replay(valid: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Every valid tick of whole tables with its outcome and the stored state after it: the last accepted tick, the last previous close and the count so far."""
+    done = cut_lineage(outcomes(valid, rules), "outcomes")
+    ok = F.col("outcome") == "accepted"
+    state = running_values(done, PART, ORDER, {"_last": ("last", F.when(ok, F.struct("ltp", "ltt"))), "_cp": ("last", F.when(ok, F.col("cp"))), "n": ("sum", ok.cast("long"))})
+    return state.select(*PART, "seq", "recv_ms", "connection_id", "outcome", "_last.ltp", "_last.ltt", F.col("_cp").alias("cp"), "n")
 
 
 def fold_stream(valid: DataFrame, rules: Rules = Rules(), keep: str | None = None) -> DataFrame:

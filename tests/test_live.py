@@ -231,3 +231,37 @@ def test_check_and_accept(spark):
     assert {r.problem for r in S.check(bad).collect()} == {"scope", "breadth", "lists_differ"}
     only = S.public(good, spark.createDataFrame([(99,)], "key bigint")).collect()
     assert all(r.prices == [] and r.gainers is None and r.breadth.counted == 0 for r in only) and len(only) == len(docs)
+
+
+def test_replay_walks_only_what_is_not_proven(spark):
+    """A hot session over many parts, sessions of one to six ticks, repeated rows and gaps: the same rows as one walk, and most of a calm session needs no walk."""
+    rnd = random.Random(11)
+    rows, day = [], dt.date(2024, 1, 2)
+    def session(key, day, n, wild):
+        price, clock = 100.0, 1000
+        for _ in range(n):
+            clock += rnd.randint(0, 3)
+            price *= 1 + rnd.uniform(-0.0002, 0.0002)
+            shown = price * rnd.choice([1.4, 0.6, 1.42]) if rnd.random() < wild else price
+            ltt = None if rnd.random() < 0.05 else clock - (500 if rnd.random() < wild else 0)
+            rows.append((key, day, len(rows), clock, shown, ltt, rnd.choice([None, 99.0, 98.5]), len(rows) // 400))
+    session(1, day, 4000, 0.002)
+    session(1, day + dt.timedelta(1), 1500, 0.3)
+    session(2, day, 800, 0.0)
+    for k in range(3, 90):
+        session(k, day, rnd.randint(1, 6), 0.4)
+    rows += [rows[7], rows[4100]]                        # repeated rows
+    df = spark.createDataFrame(rows, L.TICK)
+    want, state, at = [], None, None
+    for k, s, seq, recv, ltp, ltt, cp, conn in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
+        if at != (k, s):
+            at, state = (k, s), L.EMPTY
+        state, what = L.step(state, ltp, ltt, cp, conn, 0.25, 0.05)
+        want.append((k, s, seq, recv, conn, what, *state[:4]))
+    got = [tuple(r) for r in L.replay(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and {r[5] for r in got} == {"accepted", "out_of_order", "jump_pending"}
+    marked = L.proofs(df)
+    assert marked.where("key = 1").select("_bucket").distinct().count() > 1
+    shares = {(r.key, r.session_date): r.walked for r in marked.groupBy("key", "session_date").agg(F.avg((~F.col("sure")).cast("int")).alias("walked")).collect()}
+    assert shares[2, day] == 0 and shares[1, day] < 0.05
+    assert L.replay(df.limit(0)).count() == 0
