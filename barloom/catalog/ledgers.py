@@ -219,12 +219,17 @@ def _(spark, d):
     return L.no_loss_snapshot(snap(li), snap(li.where("l_quantity = 17 AND l_suppkey % 3 = 0")))
 
 
-@query("no_loss_parts", sql("""SELECT symbol, unnest(list_filter([CASE WHEN symbol % 20 = 0 THEN 'missing from the new state' END, CASE WHEN symbol % 20 <> 0 AND symbol % 3 = 0 AND fetched IS NOT NULL THEN 'ratios_on moved backwards' END, CASE WHEN symbol % 20 <> 0 AND symbol % 7 = 0 AND fetched IS NOT NULL THEN 'profile_on moved backwards' END], lambda x: x IS NOT NULL)) AS problem FROM ratios""", RATIOS))
+@query("no_loss_parts", sql("""SELECT symbol, unnest(list_filter([CASE WHEN symbol % 20 = 0 THEN 'missing from the new state' END, CASE WHEN symbol % 20 <> 0 AND symbol % 3 = 0 AND fetched IS NOT NULL THEN 'ratios_on moved backwards' END, CASE WHEN symbol % 20 <> 0 AND symbol % 7 = 0 AND fetched IS NOT NULL THEN 'profile_on moved backwards' END,
+ CASE WHEN symbol % 20 <> 0 AND symbol % 5 <> 0 AND symbol % 4 = 1 AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = symbol) THEN 'quarters lost' END, CASE WHEN symbol % 20 <> 0 AND symbol % 5 = 0 AND (symbol % 2 = 1 OR fetched IS NULL) THEN 'basis changed without a newer check' END], lambda x: x IS NOT NULL)) AS problem FROM ratios""", RATIOS))
 def _(spark, d):
     s = F.col("symbol")
-    old = S.ratios(spark, d).select("symbol", F.col("fetched").alias("ratios_on"), F.col("fetched").alias("profile_on"))
-    new = old.where(s % 20 != 0).withColumns({"ratios_on": F.when(s % 3 == 0, F.date_sub("ratios_on", 1)).otherwise(F.date_add("ratios_on", 1)), "profile_on": F.when(s % 7 != 0, F.col("profile_on"))})
-    return L.no_loss_parts(old, new, "symbol", ["ratios_on", "profile_on"])
+    quarters = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("symbol")).agg(F.array_sort(F.collect_set(F.trunc("o_orderdate", "quarter"))).alias("quarters"))     # a year has four
+    old = S.ratios(spark, d).select("symbol", F.col("fetched").alias("ratios_on"), F.col("fetched").alias("profile_on"), F.col("fetched").alias("checked_on"), F.lit("consolidated").alias("basis")).join(quarters, "symbol", "left")
+    new = old.where(s % 20 != 0).withColumns({
+        "ratios_on": F.when(s % 3 == 0, F.date_sub("ratios_on", 1)).otherwise(F.date_add("ratios_on", 1)), "profile_on": F.when(s % 7 != 0, F.col("profile_on")),
+        "quarters": F.when(s % 4 != 1, F.col("quarters")).when(F.size("quarters") > 1, F.slice("quarters", F.lit(2), F.size("quarters"))), "basis": F.when(s % 5 == 0, "standalone").otherwise(F.col("basis")),
+        "checked_on": F.when(s % 2 == 0, F.date_add("checked_on", 1)).otherwise(F.col("checked_on"))})
+    return L.no_loss_parts(old, new, "symbol", ["ratios_on", "profile_on"], "quarters", "basis", "checked_on")
 
 
 @query("except_lost_keys", "SELECT DISTINCT l_suppkey, l_partkey FROM lineitem a WHERE l_orderkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey % 2 = 1 AND a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey)")

@@ -254,11 +254,20 @@ def no_loss_snapshot(published: DataFrame, candidate: DataFrame, max_drop: float
     return j.select(F.col("o").alias("published_as_of"), "as_of", F.col("oc").alias("published_count"), "universe_count", F.array_join(p, ",").alias("problems"))
 
 
-def no_loss_parts(old: DataFrame, new: DataFrame, key: str, dates: Sequence[str]) -> DataFrame:
+def no_loss_parts(old: DataFrame, new: DataFrame, key: str, dates: Sequence[str], periods: str | None = None, basis: str | None = None, checked: str | None = None) -> DataFrame:
+    """One row per thing a key's new state lost: the key, a part's date that went back or away, a period of the array `periods` held on the same `basis`. A
+    change of basis may replace the periods, but only with a `checked` date later than the saved one (any date, where none was saved)."""
     j = _both(old, new, [key]).where("_o")
     rules = {"missing from the new state": F.col("_n").isNull()}
     for d in dates:
         rules[f"{d} moved backwards"] = F.col("_n") & F.col("o_" + d).isNotNull() & (F.col("n_" + d).isNull() | (F.col("n_" + d) < F.col("o_" + d)))
+    same = F.col("o_" + basis).eqNullSafe(F.col("n_" + basis)) if basis else F.lit(True)
+    if periods:
+        left = F.array_except("o_" + periods, F.coalesce("n_" + periods, F.slice("o_" + periods, 1, 0)))
+        rules[f"{periods} lost"] = F.col("_n") & same & (F.size(left) > 0)
+    if basis and checked:
+        newer = F.coalesce(F.col("n_" + checked) > F.col("o_" + checked), F.col("n_" + checked).isNotNull() & F.col("o_" + checked).isNull())
+        rules[f"{basis} changed without a newer check"] = F.col("_n") & ~same & ~newer
     return _problems(j, [key], rules)
 
 

@@ -206,3 +206,13 @@ def test_relative_strength_rebases_on_first_common_date(spark):
     later = bench.where("close > 1000")
     rows = J.relative_strength(b, later).orderBy("date").collect()
     assert len(rows) == 2 and rows[0].rs == 100 and abs(rows[1].rs - (200 / 150) / (1500 / 1250) * 100) < 1e-9
+
+
+def test_lost_parts_and_basis(spark):
+    from barloom.operators import ledger
+    schema = "symbol int, got date, quarters array<int>, basis string, checked date"
+    d1, d2 = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    old = [(1, d1, [1, 2], "a", d1), (2, d1, [1, 2], "a", d1), (3, d1, [1, 2], "a", d1), (4, d2, [1], "a", None), (5, None, None, None, None), (6, d1, [1], "a", d1), (7, d1, [1], "a", None)]
+    new = [(1, d1, [2, 3], "a", d2), (2, d1, [9], "b", d2), (3, d1, [9], "b", d1), (4, d1, None, "a", d1), (5, d1, [1], None, None), (7, d1, [], "b", d1), (8, d1, [1], "a", d1)]
+    got = ledger.no_loss_parts(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema), "symbol", ["got"], "quarters", "basis", "checked").collect()
+    assert sorted(map(tuple, got)) == [(1, "quarters lost"), (3, "basis changed without a newer check"), (4, "got moved backwards"), (4, "quarters lost"), (6, "missing from the new state")]
