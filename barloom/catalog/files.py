@@ -274,10 +274,9 @@ def _(spark, d):
 @query("sink_per_symbol", sql("SELECT 'bars' AS kind, CAST(symbol AS VARCHAR) AS symbol, true AS stored, count(*) AS rows FROM bars GROUP BY 2", BARS))
 def _(spark, d):
     path = fresh_dir(spark, "per-symbol")
-    K.write_per_symbol(bars(spark, d).select("symbol", "date", "close"), path, "bars")
-    idx = K.symbol_index(spark, path)
-    back = spark.read.schema("date date, close double, symbol string").json(path + "/kind=bars").groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))
-    return idx.join(back, "symbol").select("kind", "symbol", (F.col("bytes") > 0).alias("stored"), "rows")
+    K.write_per_symbol(bars(spark, d).select(F.col("symbol").cast("string").alias("symbol"), "date", "close"), path, "bars")
+    back = spark.read.parquet(path + "/data/kind=bars").groupBy("symbol").agg(F.count(F.lit(1)).alias("found"))
+    return K.symbol_index(spark, path).join(back, "symbol").select("kind", "symbol", ((F.col("bytes") > 0) & (F.col("found") == F.col("rows"))).alias("stored"), "rows")
 
 
 @query("sink_history_append_dedup", "SELECT seq, symbol, price FROM (SELECT min(l_orderkey) AS seq, l_suppkey AS symbol, l_quantity AS price FROM lineitem GROUP BY 2, 3)")

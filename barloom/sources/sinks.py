@@ -76,15 +76,32 @@ def publish_gated(frames: dict[str, DataFrame], base: str, approval: str | None,
     return None
 
 
-def write_per_symbol(df: DataFrame, path: str, kind: str) -> None:
-    """One folder per symbol of one kind; rows are placed by symbol first, so a symbol is one small file."""
-    df.repartition("symbol").write.mode("overwrite").partitionBy("symbol").json(f"{path}/kind={kind}")
+def _bucket(symbol: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(symbol.cast("string")), F.lit(buckets)).cast("int")
+
+
+def write_per_symbol(df: DataFrame, path: str, kind: str, buckets: int = 64, rows_a_file: int = 1_000_000) -> None:
+    """All rows of one kind in as many files as buckets, however many symbols there are; in a file rows lie by symbol, so that a reader of one symbol opens one
+    bucket and skips its other row groups. A symbol of more than `rows_a_file` rows is spread over further files of its bucket. The index of
+    symbols (bucket, rows, bytes of the rows as JSON) is written last. Rows without a symbol are a symbol of their own."""
+    rows = df.select(*df.columns, _bucket(F.coalesce(F.col("symbol").cast("string"), F.lit("")), buckets).alias("bucket"))
+    index = rows.groupBy("bucket", "symbol").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))).alias("bytes"))
+    hot = index.where(F.col("rows") > rows_a_file).select(F.col("symbol").alias("_hot"), F.ceil(F.col("rows") / rows_a_file).alias("_files"))
+    placed = rows.join(hot, F.col("symbol").eqNullSafe(F.col("_hot")), "left").withColumn("_piece", F.coalesce(F.pmod(F.xxhash64(*df.columns), F.col("_files")), F.lit(0)))
+    placed = placed.repartition(buckets, "bucket", "_piece").sortWithinPartitions("bucket", "symbol").drop("_hot", "_files", "_piece")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/data/kind={kind}")
+    index.write.mode("overwrite").parquet(f"{path}/index/kind={kind}")
 
 
 def symbol_index(spark: SparkSession, path: str) -> DataFrame:
-    """kind, symbol, bytes of what is stored, from the file listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path).select("path", "length")
-    return files.groupBy(F.regexp_extract("path", r"/kind=([^/]+)/", 1).alias("kind"), F.regexp_extract("path", r"/symbol=([^/]+)/", 1).alias("symbol")).agg(F.sum("length").alias("bytes"))
+    """kind, symbol, bucket, rows, bytes of everything stored, from the index alone."""
+    return spark.read.parquet(f"{path}/index").select("kind", "symbol", "bucket", "rows", "bytes")
+
+
+def read_symbol(spark: SparkSession, path: str, kind: str, symbol, buckets: int = 64) -> DataFrame:
+    """The rows of one symbol: the partition filter leaves one bucket, the symbol filter reaches the row groups. `buckets` is the number they were written with."""
+    here = _bucket(F.lit("" if symbol is None else str(symbol)), buckets)
+    return spark.read.parquet(f"{path}/data/kind={kind}").where((F.col("bucket") == here) & F.col("symbol").eqNullSafe(F.lit(symbol))).drop("bucket")
 
 
 def append_dedup(history: DataFrame, fresh: DataFrame, seq: str, keep: int | None = None) -> DataFrame:

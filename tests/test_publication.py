@@ -91,3 +91,18 @@ def test_disagreements_of_two_tables(spark):
     make = lambda *rows: spark.createDataFrame(list(rows), "k string, n bigint, m bigint")
     got = Q.disagreements(make(("a", 1, 2), ("b", 3, 4), ("only", 1, 0), ("zero", 0, 0)), make(("a", 1, 2), ("b", 3, 5)), ["k"], ["n", "m"])
     assert {(r.k, r.n, r.m) for r in got.collect()} == {("b", 0, -1), ("only", 1, 0)}
+
+
+def test_per_symbol_files_do_not_grow_with_symbols(spark, tmp_path):
+    from barloom.sources import sinks as K
+    path = str(tmp_path / "per")
+    df = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "HOT").when(F.col("id") == 1, None).otherwise(F.concat(F.lit("S"), F.col("id") % 1500)).alias("symbol"), F.col("id").alias("v"))
+    K.write_per_symbol(df, path, "x", buckets=4, rows_a_file=1000)
+    files = spark.read.parquet(path + "/data/kind=x").select(F.input_file_name()).distinct().count()
+    assert 4 <= files <= 4 + 3
+    index = {r.symbol: (r.rows, r.bytes) for r in K.symbol_index(spark, path).collect()}
+    assert index["HOT"][0] == 3000 and index[None][0] == 1 and sum(r for r, _ in index.values()) == 9000 and min(b for _, b in index.values()) > 0
+    assert K.read_symbol(spark, path, "x", "HOT", 4).agg(F.sum("v")).first()[0] == sum(range(0, 9000, 3))
+    assert [r.v for r in K.read_symbol(spark, path, "x", None, 4).collect()] == [1] and K.read_symbol(spark, path, "x", "none", 4).count() == 0
+    K.write_per_symbol(df.limit(0), path, "empty", buckets=4)
+    assert K.symbol_index(spark, path).where("kind = 'empty'").count() == 0
