@@ -13,21 +13,47 @@ INCOME_FIELDS = {"revenue": "revenue", "total revenue": "total_revenue", "profit
 SUMMARY_FIELDS = ("revenue", "operating_profit", "net_profit")
 
 
-def statement_cells(docs: DataFrame) -> DataFrame:
-    """Nested responses to long (symbol, yearly text, kind, label, period_end, value): detail lines and summary categories in one explode.
-    A label listed twice is ambiguous and loses its cells, a period listed twice keeps no value. The compact documents are placed
-    by symbol once; everything after that stays inside a symbol's few lines and needs no further exchange."""
+def _symbol_lines(docs: DataFrame) -> DataFrame:
+    """One row per symbol with `lines`: (time_period, kind, label, usable, cells) for every line of its responses, detail lines and summary categories, with the
+    cells (period_end, value) in it. A label listed twice is ambiguous, its line not usable; a period listed twice keeps no value. The compact responses are placed
+    by symbol once and judged inside the symbol's row: no task holds more than the rows it is sent, whatever they unfold to."""
     line = lambda kind, name: lambda x: F.struct(F.lit(kind).alias("kind"), x[name].alias("label"), x["history"].alias("history"))
     none = F.array().cast("array<struct<kind:string,label:string,history:array<struct<period:string,value:double>>>>")
     both = F.concat(F.coalesce(F.transform("full_statement", line("detail", "particular")), none), F.coalesce(F.transform("income_statement", line("summary", "category")), none))
-    lines = docs.repartition("symbol").select("symbol", "time_period", F.posexplode_outer(both).alias("pos", "line"))
-    lines = lines.select("symbol", "time_period", "pos", "line.kind", label_normalise("line.label").alias("label"), F.explode_outer("line.history").alias("h"))
-    cells = lines.select("symbol", "time_period", "pos", "kind", "label", period_parse("h.period").alias("period_end"), F.col("h.value").alias("value"))
-    g = cells.groupBy("symbol", "time_period", "kind", "label", "period_end").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("a"), F.max("pos").alias("b"), F.first("value").alias("value"))
-    whole = Window.partitionBy("symbol", "kind", "label")
-    usable = (F.min("a").over(whole) == F.max("b").over(whole)) & F.col("period_end").isNotNull() & F.col("label").isNotNull()
-    return g.select("symbol", "time_period", F.when(usable, F.col("kind")).alias("kind"), F.when(usable, F.col("label")).alias("label"), F.when(usable, F.col("period_end")).alias("period_end"),
-                    F.when(usable & (F.col("n") == 1), F.col("value")).alias("value"))
+    void = lambda kind: F.lit(None).cast(kind)
+    blank = F.array(F.struct(void("date").alias("period_end"), void("double").alias("value")))                        # what has no history still is a line
+    cells = lambda history: F.when(F.size(history) > 0, F.transform(history, lambda h: F.struct(period_parse(h["period"]).alias("period_end"), h["value"].alias("value")))).otherwise(blank)
+    one = lambda pos, kind, label, c: F.struct(F.col("time_period").alias("time_period"), pos.alias("pos"), kind.alias("kind"), label.alias("label"), c.alias("cells"))
+    listed = F.transform("both", lambda x, i: one(i, x["kind"], label_normalise(x["label"]), cells(x["history"])))
+    own = docs.select("symbol", "time_period", both.alias("both")).select("symbol", F.when(F.size("both") > 0, listed).otherwise(F.array(one(void("int"), void("string"), void("string"), blank))).alias("lines"))
+    d = own.repartition("symbol").groupBy("symbol").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    key = lambda x, *names: F.struct(*[x[n].alias(n) for n in names])
+    named = ("time_period", "kind", "label")
+
+    def gathered(k):
+        alike = F.filter("lines", lambda x: key(x, "kind", "label").eqNullSafe(key(k, "kind", "label")))
+        cells = F.flatten(F.transform(F.filter("lines", lambda x: key(x, *named).eqNullSafe(k)), lambda x: x["cells"]))
+        return F.struct(*[k[n].alias(n) for n in named], (k["label"].isNotNull() & (F.size(F.array_distinct(alike["pos"])) == 1)).alias("usable"), cells.alias("cells"))
+
+    def single(g):
+        hits = lambda end: F.filter(g["cells"], lambda c: c["period_end"].eqNullSafe(end))
+        value = lambda end: F.when(F.size(hits(end)) == 1, F.get(hits(end), F.lit(0))["value"])
+        cells = F.when(F.size(g["ends"]) == F.size(g["cells"]), g["cells"]).otherwise(F.transform(g["ends"], lambda end: F.struct(end.alias("period_end"), value(end).alias("value"))))
+        return F.struct(*[g[n].alias(n) for n in (*named, "usable")], cells.alias("cells"))
+
+    with_ends = lambda g: F.struct(*[g[n].alias(n) for n in (*named, "usable", "cells")], F.array_distinct(g["cells"]["period_end"]).alias("ends"))
+    keys = F.array_distinct(F.transform("lines", lambda x: key(x, *named)))
+    return d.select("symbol", F.transform(F.transform(F.transform(keys, gathered), with_ends), single).alias("lines"))
+
+
+def statement_cells(docs: DataFrame) -> DataFrame:
+    """Nested responses to long (symbol, time_period, kind, label, period_end, value): detail lines and summary categories in one explode.
+    A label listed twice is ambiguous and loses its cells, a period listed twice keeps no value; such cells and those without a readable period have an empty row."""
+    lines = _symbol_lines(docs).select("symbol", F.explode_outer("lines").alias("x"))
+    cells = lines.select("symbol", "x", F.explode_outer("x.cells").alias("c"))
+    usable = F.col("x.usable") & F.col("c.period_end").isNotNull()
+    return cells.select("symbol", "x.time_period", F.when(usable, F.col("x.kind")).alias("kind"), F.when(usable, F.col("x.label")).alias("label"), F.when(usable, F.col("c.period_end")).alias("period_end"),
+                        F.when(usable, F.col("c.value")).alias("value"))
 
 
 def statement_lines(docs: DataFrame) -> DataFrame:

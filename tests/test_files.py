@@ -215,3 +215,27 @@ def test_the_expected_day_moves_off_weekends_and_holidays(spark):
     spans = spark.sql("SELECT * FROM VALUES (DATE '2024-01-01', DATE '2024-12-25'), (DATE '2024-01-01', DATE '2024-12-26'), (DATE '2024-01-01', DATE '2023-01-01') t(a, b)")
     cut = sorted((str(r.b), str(r.window_start), str(r.window_end)) for r in D.date_windows(spans, "a", "b").collect())
     assert cut == [("2024-12-25", "2024-01-01", "2024-12-25"), ("2024-12-26", "2024-01-01", "2024-12-25"), ("2024-12-26", "2024-12-26", "2024-12-26")]
+
+
+def cells_of(symbol, kind, detail=(), summary=()):
+    history = lambda cells: [(p, float(v)) for p, v in cells]
+    return symbol, kind, [(label, history(cells)) for label, cells in detail], [(label, history(cells)) for label, cells in summary]
+
+
+CELLS_OF = "symbol string, time_period string, full_statement array<struct<particular:string,history:array<struct<period:string,value:double>>>>, income_statement array<struct<category:string,history:array<struct<period:string,value:double>>>>"
+
+
+def test_cells_are_judged_inside_the_symbol(spark):
+    docs = spark.createDataFrame([
+        cells_of("A", "yearly", [("Revenue", [("Mar 2020", 1), ("Mar 2021", 2), ("Mar 2021", 3), ("junk", 4)]), ("Provisions", []), ("EPS", [("Mar 2020", 5)]), ("eps", [("Mar 2020", 6)])], [("revenue", [("Mar 2020", 7)])]),
+        cells_of("B", "yearly", [("Revenue", [("Mar 2020", 1)])]), cells_of("B", "yearly", [("Revenue", [("Mar 2020", 2), ("Mar 2021", 3)])]), cells_of("B", "quarterly", [("Revenue", [("Mar 2020", 4)])]),
+        cells_of("C", "yearly", [("Revenue", [("Mar 2020", 1)]), ("Profit after tax", [("Mar 2020", 2)])]), cells_of("C", "yearly", [("Profit after tax", [("Mar 2020", 3)])]),
+        cells_of("D", "yearly")], CELLS_OF)
+    got = T.statement_cells(docs)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1 and plan.rindex("Generate") < plan.index("Aggregate")
+    rows = sorted(((r.symbol, r.time_period, r.kind, r.label, r.period_end and str(r.period_end), r.value) for r in got.collect()), key=str)
+    none = (None,) * 4
+    assert rows == sorted([("A", "yearly", "detail", "revenue", "2020-03-31", 1.0), ("A", "yearly", "detail", "revenue", "2021-03-31", None), ("A", "yearly", *none), ("A", "yearly", *none), ("A", "yearly", *none),
+                           ("A", "yearly", "summary", "revenue", "2020-03-31", 7.0), ("B", "yearly", "detail", "revenue", "2020-03-31", None), ("B", "yearly", "detail", "revenue", "2021-03-31", 3.0),
+                           ("B", "quarterly", "detail", "revenue", "2020-03-31", 4.0), ("C", "yearly", "detail", "revenue", "2020-03-31", 1.0), ("C", "yearly", *none), ("D", "yearly", *none)], key=str)
