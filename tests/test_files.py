@@ -239,3 +239,12 @@ def test_cells_are_judged_inside_the_symbol(spark):
     assert rows == sorted([("A", "yearly", "detail", "revenue", "2020-03-31", 1.0), ("A", "yearly", "detail", "revenue", "2021-03-31", None), ("A", "yearly", *none), ("A", "yearly", *none), ("A", "yearly", *none),
                            ("A", "yearly", "summary", "revenue", "2020-03-31", 7.0), ("B", "yearly", "detail", "revenue", "2020-03-31", None), ("B", "yearly", "detail", "revenue", "2021-03-31", 3.0),
                            ("B", "quarterly", "detail", "revenue", "2020-03-31", 4.0), ("C", "yearly", "detail", "revenue", "2020-03-31", 1.0), ("C", "yearly", *none), ("D", "yearly", *none)], key=str)
+
+
+def test_lines_of_statement_files_are_exchanged_once(spark, tmp_path):
+    docs = spark.createDataFrame([cells_of(f"S{i}", "yearly", [("Revenue", [(f"Mar {y}", i + y) for y in range(2000, 2010)])]) for i in range(50)], CELLS_OF)
+    docs.write.json(str(tmp_path / "s"))
+    lines = T.statement_lines(S.read_statement_json(spark, str(tmp_path / "s")))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and plan.rindex("Generate") < plan.index("Exchange hashpartitioning")
+    assert lines.count() == 500 and lines.agg(F.sum("value")).first()[0] == sum(i + y for i in range(50) for y in range(2000, 2010))
