@@ -61,17 +61,6 @@ def statement_lines(docs: DataFrame) -> DataFrame:
     return statement_cells(docs).where("kind = 'detail'").select("symbol", "label", "period_end", "value")
 
 
-def _cell(kind: str, label: str) -> Column:
-    return F.max(F.when((F.col("kind") == kind) & (F.col("label") == label), F.col("value")))
-
-
-def _wide(cells: DataFrame) -> DataFrame:
-    """One row per symbol and period with detail fields and s_ summary fields; symbols without a usable cell keep one empty row."""
-    fields = [_cell("detail", label).alias(f) for label, f in INCOME_FIELDS.items()] + [_cell("summary", f.replace("_", " ")).alias("s_" + f) for f in SUMMARY_FIELDS]
-    has_detail = F.max((F.col("kind") == "detail") & F.col("label").isin(*INCOME_FIELDS))
-    return cells.groupBy("symbol", "time_period", "period_end").agg(F.coalesce(has_detail, F.lit(False)).alias("has_detail"), *fields)
-
-
 def same(a: Column, b: Column, tolerance: float = 0.01) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= tolerance)
 
@@ -196,21 +185,33 @@ def year_end_change(periods: DataFrame) -> DataFrame:
 
 
 def quarterly_parse(docs: DataFrame) -> DataFrame:
-    """Quarter values: a detailed value wins over the summary; annual-looking detail is ignored; periods must share the month modulo 3."""
-    c = statement_cells(docs.where(F.lower("time_period") == "quarterly"))
-    known = F.when(F.col("kind") == "detail", F.col("label").isin(*INCOME_FIELDS)).otherwise(F.col("label").isin(*[f.replace("_", " ") for f in SUMMARY_FIELDS]))
-    c = c.where(known)
-    line, whole = Window.partitionBy("symbol", "kind", "label"), Window.partitionBy("symbol")
-    months = F.month("period_end")
-    c = c.withColumns({"_n": F.count(F.lit(1)).over(line), "_one": F.min(months).over(line) == F.max(months).over(line)})
-    any_of = lambda cond: F.coalesce(F.max(cond).over(whole), F.lit(False))
-    detail, many = F.col("kind") == "detail", F.col("_n") >= 2
-    c = c.withColumns({"_annual": any_of(detail & many & F.col("_one")), "_dq": any_of(detail & many & ~F.col("_one")), "_sq": any_of(~detail & many & ~F.col("_one"))})
-    c = c.where(~detail | (~F.col("_annual") & ~(F.col("_sq") & ~F.col("_dq"))))
-    j = _wide(c)
-    phase = F.month("period_end") % 3
-    j = j.withColumn("_same", F.min(phase).over(whole) == F.max(phase).over(whole)).where("_same")
-    return j.select("symbol", F.col("period_end").alias("quarter_end"), F.coalesce("revenue", "s_revenue").alias("revenue"), "total_revenue", F.col("s_operating_profit").alias("operating_profit"), "profit_before_tax",
+    """Quarter values: a detailed value wins over the summary; annual-looking detail is ignored; periods must share the month modulo 3.
+    A symbol is judged inside its row; its quarters are exploded last."""
+    d = _symbol_lines(docs.where(F.lower("time_period") == "quarterly"))
+    known = lambda x: x["usable"] & F.when(x["kind"] == "detail", x["label"].isin(*INCOME_FIELDS)).otherwise(x["label"].isin(*[f.replace("_", " ") for f in SUMMARY_FIELDS]))
+    dated = lambda x: F.struct(x["time_period"].alias("time_period"), x["kind"].alias("kind"), x["label"].alias("label"), F.filter(x["cells"], lambda c: c["period_end"].isNotNull()).alias("cells"))
+    d = d.select("symbol", F.transform(F.filter("lines", known), dated).alias("lines"))
+    alike = lambda x: F.filter("lines", lambda y: (y["kind"] == x["kind"]) & (y["label"] == x["label"]))
+    months = lambda x: F.transform(F.flatten(F.transform(alike(x), lambda y: y["cells"]["period_end"])), lambda e: F.month(e))
+    run = F.transform("lines", lambda x: F.struct((x["kind"] == "detail").alias("detail"), months(x).alias("months")))
+    d = d.withColumn("runs", F.transform(run, lambda r: F.struct(r["detail"].alias("detail"), (F.size(r["months"]) >= 2).alias("many"), (F.array_min(r["months"]) == F.array_max(r["months"])).alias("one"))))
+    any_of = lambda detail, one: F.exists("runs", lambda r: (r["detail"] == detail) & r["many"] & (r["one"] == one))
+    trusted = ~any_of(True, True) & ~(any_of(False, False) & ~any_of(True, False))
+    d = d.withColumn("trusted", trusted).select("symbol", F.filter("lines", lambda x: (x["kind"] != "detail") | F.col("trusted")).alias("lines"))
+    phases = F.array_distinct(F.transform(F.flatten(F.col("lines")["cells"]), lambda c: F.month(c["period_end"]) % 3))
+    fields = {f: ("detail", label) for label, f in INCOME_FIELDS.items()} | {"s_" + f: ("summary", f.replace("_", " ")) for f in SUMMARY_FIELDS}
+
+    def response(tp):
+        own = lambda x: x["time_period"].eqNullSafe(tp)
+        cells = lambda kind, label: F.get(F.filter("lines", lambda x: own(x) & (x["kind"] == kind) & (x["label"] == label)), F.lit(0))["cells"]
+        ends = F.array_distinct(F.flatten(F.transform(F.filter("lines", own), lambda x: x["cells"]["period_end"])))
+        return F.struct(ends.alias("ends"), *[cells(*of).alias(f) for f, of in fields.items()])
+
+    value = lambda r, f, end: F.get(r[f]["value"], (F.array_position(r[f]["period_end"], end) - 1).cast("int"))
+    quarters = lambda r: F.transform(r["ends"], lambda end: F.struct(end.alias("quarter_end"), *[value(r, f, end).alias(f) for f in fields]))
+    rows = F.flatten(F.transform(F.transform(F.array_distinct(F.col("lines")["time_period"]), response), quarters))
+    j = d.select("symbol", F.explode_outer(F.when(F.size(phases) == 1, rows)).alias("q")).where("q IS NOT NULL").select("symbol", "q.*")
+    return j.select("symbol", "quarter_end", F.coalesce("revenue", "s_revenue").alias("revenue"), "total_revenue", F.col("s_operating_profit").alias("operating_profit"), "profit_before_tax",
                     F.coalesce("profit_after_tax", "s_net_profit").alias("profit_after_tax"), F.when(F.col("revenue").isNotNull(), "full_statement").when(F.col("s_revenue").isNotNull(), "summary").alias("revenue_source"))
 
 

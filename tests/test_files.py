@@ -248,3 +248,18 @@ def test_lines_of_statement_files_are_exchanged_once(spark, tmp_path):
     plan = lines._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Window" not in plan and plan.rindex("Generate") < plan.index("Exchange hashpartitioning")
     assert lines.count() == 500 and lines.agg(F.sum("value")).first()[0] == sum(i + y for i in range(50) for y in range(2000, 2010))
+
+
+def test_quarters_are_judged_inside_the_symbol(spark):
+    two = [("Mar 2020", 1), ("Jun 2020", 2)]
+    docs = spark.createDataFrame([
+        cells_of("A", "quarterly", [("Revenue", [("Mar 2020", 5)])], [("revenue", two)]), cells_of("B", "Quarterly", [("Revenue", two)], [("revenue", [("Mar 2020", 9)]), ("net_profit", two)]),
+        cells_of("C", "quarterly", [("Revenue", [("Mar 2020", 1), ("Mar 2021", 2)])], [("revenue", two)]), cells_of("D", "quarterly", [("Revenue", [("Mar 2020", 1), ("May 2020", 2)])]),
+        cells_of("E", "yearly", [("Revenue", two)]), cells_of("F", "quarterly", [("Revenue", two)]), cells_of("F", "Quarterly", [("Revenue", [("Sep 2020", 3)])])], CELLS_OF)
+    out = T.quarterly_parse(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Aggregate") == 1 and plan.rindex("Generate") < plan.index("Aggregate")
+    got = sorted((r.symbol, str(r.quarter_end), r.revenue, r.profit_after_tax, r.revenue_source) for r in out.collect())
+    assert got == [("A", "2020-03-31", 1.0, None, "summary"), ("A", "2020-06-30", 2.0, None, "summary"), ("B", "2020-03-31", 1.0, 1.0, "full_statement"), ("B", "2020-06-30", 2.0, 2.0, "full_statement"),
+                   ("C", "2020-03-31", 1.0, None, "summary"), ("C", "2020-06-30", 2.0, None, "summary"), ("F", "2020-03-31", 1.0, None, "full_statement"), ("F", "2020-06-30", 2.0, None, "full_statement"),
+                   ("F", "2020-09-30", 3.0, None, "full_statement")]
