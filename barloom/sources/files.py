@@ -27,7 +27,8 @@ def text_lines(spark: SparkSession, path: str, file: Column | None = None) -> Da
     """Non-blank lines with the file they are from and their order inside it."""
     name = file_stem() if file is None else file
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return spark.read.text(path).select(name.alias("file"), at.alias("at"), F.regexp_replace("value", "^﻿", "").alias("value")).where(F.trim("value") != "")
+    plain = F.when(F.startswith("value", F.lit("﻿")), F.substr("value", F.lit(2))).otherwise(F.col("value"))
+    return spark.read.text(path).select(name.alias("file"), at.alias("at"), plain.alias("value")).where(F.trim("value") != "")
 
 
 def landed_lines(spark: SparkSession, path: str, file: Column | None = None) -> DataFrame:
@@ -46,18 +47,27 @@ def empty_files(spark: SparkSession, path: str, name: str = r"([^/]+?)(?:\.[A-Za
     return spark.createDataFrame(names, "path string").select(F.regexp_extract("path", name, 1).alias("file")).distinct()
 
 
-def _fields(line: Column) -> Column:
-    """Comma-separated fields; a quoted field may hold commas (only lines with a quote pay for that)."""
+def _split(line: Column) -> Column:
+    """Comma-separated fields as they stand; a quoted field may hold commas (only lines with a quote pay for that)."""
     outside = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
     quoted = F.transform(F.split(line, outside), lambda c: F.replace(F.regexp_replace(F.trim(c), '^"|"$', ""), F.lit('""'), F.lit('"')))
-    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ",")), lambda c: F.trim(c))
+    return F.when(F.contains(line, F.lit('"')), quoted).otherwise(F.split(line, ","))
+
+
+def _fields(line: Column) -> Column:
+    return F.transform(_split(line), lambda c: F.trim(c))
+
+
+def _heads(lines: DataFrame) -> DataFrame:
+    """The header of every file and the place `_at` of its line, stored (one row per file). Over all lines only numbers are compared, so each task keeps one row a file and block."""
+    first = lines.groupBy("file", F.col("at.block").alias("block")).agg(F.min("at.row").alias("row")).groupBy("file").agg(F.min(F.struct("block", "row")).alias("_at"))
+    return cut_lineage(lines.join(F.broadcast(first), "file").where(F.col("at") == F.col("_at")).select("file", _fields(F.col("value")).alias("header"), "_at"), "heads")
 
 
 def _headed(lines: DataFrame) -> DataFrame:
-    """Data lines split into fields, with their file's header (one row per file)."""
-    heads = lines.groupBy("file").agg(F.min_by("value", "at").alias("_h"), F.min("at").alias("_at")).select("file", _fields(F.col("_h")).alias("header"), "_at")
-    j = lines.join(heads, "file").where(F.col("at") != F.col("_at"))
-    return heads.select("file", "header").join(j.select("file", "at", _fields(F.col("value")).alias("fields")), "file", "left")
+    """Data lines split into fields, with their file's header. The header's own row has neither `at` nor `fields`. The headers go to the lines, which stay where they are."""
+    body = F.col("at") != F.col("_at")
+    return lines.join(F.broadcast(_heads(lines)), "file").select("file", "header", F.when(body, F.col("at")).alias("at"), F.when(body, _fields(F.col("value"))).alias("fields"))
 
 
 def name_date(file: Column) -> Column:
@@ -69,18 +79,23 @@ def _field(name: str) -> Column:
 
 
 def bhav_verdicts(lines: DataFrame, today: str, rules: Rules = Rules(), empty: DataFrame | None = None) -> DataFrame:
-    """One status per daily file, from one aggregate over its lines. With `empty` (`empty_files`) files without content have their row too. Bytes that are no UTF-8
-    arrive as replacement characters, and their file is malformed."""
-    rows = _headed(lines)
-    garbled = lines.groupBy("file").agg(F.max(F.contains("value", F.lit("\ufffd"))).alias("garbled"))
-    has = F.col("fields").isNotNull()
-    ragged = has & (F.size("fields") != F.size("header"))
+    """One status per daily file. Its lines are counted by width, date and series as they stand, each task on its own; dates are read once per such kind of line.
+    With `empty` (`empty_files`) files without content have their row too. Bytes that are no UTF-8 arrive as replacement characters, and their file is malformed."""
+    heads = _heads(lines)
+    at = lambda name: (F.array_position("header", name) - 1).cast("int").alias(f"_{name}")
+    body = F.col("at") != F.col("_at")
+    split = lines.join(F.broadcast(heads.select("file", "_at", at("DATE1"), at("SERIES"))), "file").select(
+        "file", body.alias("has"), F.contains("value", F.lit("\ufffd")).alias("garbled"), "_DATE1", "_SERIES", F.when(body, _split(F.col("value"))).alias("_line"))
+    field = lambda name: F.trim(F.get("_line", F.col(f"_{name}")))
+    kinds = split.select("file", "has", "garbled", F.size("_line").alias("width"), field("DATE1").alias("dated"), field("SERIES").alias("series")).groupBy("file", "has", "garbled", "width", "dated", "series").agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.join(F.broadcast(heads.select("file", "header")), "file").withColumn("dated", date_parse("dated"))
     day = name_date(F.col("file"))
-    dated = date_parse(_field("DATE1"))
-    whole = has & ~ragged
-    g = rows.groupBy("file").agg(F.first("header").alias("header"), F.count_if(has).alias("rows"), F.count_if(ragged).alias("ragged"), F.count_if(whole & ~dated.eqNullSafe(day)).alias("wrong"),
-                                 F.count_if(whole & (_field("SERIES") == "EQ")).alias("eq_rows"), F.min(F.when(whole, dated)).alias("lo"), F.max(F.when(whole, dated)).alias("hi"), F.count_if(whole & dated.isNull()).alias("undated"))
-    g = g.join(garbled, "file")
+    has, ragged = F.col("has"), F.col("has") & (F.col("width") != F.size("header"))
+    whole, dated = has & ~ragged, F.col("dated")
+    number = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    g = kinds.groupBy("file").agg(number(has).alias("rows"), number(ragged).alias("ragged"), number(whole & ~dated.eqNullSafe(day)).alias("wrong"), number(whole & (F.col("series") == "EQ")).alias("eq_rows"),
+                                  F.min(F.when(whole, dated)).alias("lo"), F.max(F.when(whole, dated)).alias("hi"), number(whole & dated.isNull()).alias("undated"), F.max("garbled").alias("garbled"))
+    g = g.join(F.broadcast(heads.select("file", "header")), "file")                                              # one row per file
     if empty is not None:
         g = g.unionByName(empty.select("file", *[F.lit(0).alias(c) for c in ("rows", "ragged", "wrong", "eq_rows", "undated")]), allowMissingColumns=True)
     missing = F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), "header")
@@ -93,7 +108,7 @@ def bhav_verdicts(lines: DataFrame, today: str, rules: Rules = Rules(), empty: D
 def bhav_rows(lines: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Text rows of the accepted files under the fixed column names; ragged rows are dropped."""
     ok = verdicts.where("status = 'ok'").select("file")
-    rows = _headed(lines).where(F.col("fields").isNotNull() & (F.size("fields") == F.size("header"))).join(ok, "file", "left_semi")
+    rows = _headed(lines).where(F.col("at").isNotNull() & (F.size("fields") == F.size("header"))).join(ok, "file", "left_semi")
     return rows.select("file", *[_field(c).alias(c) for c in REQUIRED + OPTIONAL])
 
 
@@ -106,7 +121,7 @@ def _listed_csv(spark: SparkSession, path: str, *needed: tuple[str, ...]) -> Dat
         bad = rows.where(~F.arrays_overlap("header", F.array(*[F.lit(n) for n in names]))).select("file").limit(1).collect()
         if bad:
             raise ValueError(f"{bad[0].file} has no column {' or '.join(names)}")
-    return rows.where("fields IS NOT NULL").withColumn("_at", F.struct("file", "at"))
+    return rows.where("at IS NOT NULL").withColumn("_at", F.struct("file", "at"))
 
 
 def _cell(*names: str) -> Column:

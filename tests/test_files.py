@@ -263,3 +263,13 @@ def test_quarters_are_judged_inside_the_symbol(spark):
     assert got == [("A", "2020-03-31", 1.0, None, "summary"), ("A", "2020-06-30", 2.0, None, "summary"), ("B", "2020-03-31", 1.0, 1.0, "full_statement"), ("B", "2020-06-30", 2.0, 2.0, "full_statement"),
                    ("C", "2020-03-31", 1.0, None, "summary"), ("C", "2020-06-30", 2.0, None, "summary"), ("F", "2020-03-31", 1.0, None, "full_statement"), ("F", "2020-06-30", 2.0, None, "full_statement"),
                    ("F", "2020-09-30", 3.0, None, "full_statement")]
+
+
+def test_lines_of_daily_files_stay_where_they_are(spark, landing):
+    lines, old = S.text_lines(spark, landing), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = S.bhav_verdicts(lines, "2026-10-10")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "SortMergeJoin" not in plan and "SortAggregate" not in plan and plan.count("hashpartitioning") == 2
