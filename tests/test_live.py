@@ -110,6 +110,18 @@ def test_states_of_old_sessions_end(spark, tmp_path):
     assert kept[-1] < keys / 2 and spark.read.parquet(base + "/data").count() == L.tick_validate(t, ins).where("reason IS NULL").count()
 
 
+def test_states_of_a_session_lie_together(spark, tmp_path):
+    rows = [(k, dt.date(2024, 1, 2), 10 * k + i, 1_704_200_000_000 + i, 100.0 + i, None, None, 1, "equity") for k in range(1, 601) for i in range(2)]
+    t = spark.createDataFrame(rows, L.TICK + ", kind string").withColumn("cp", F.lit(99.0))
+    parts = [t.where("seq % 10 = 0"), t.where("seq % 10 = 1")]
+    stream, base = one_by_one(spark, tmp_path, parts), fresh_dir(spark, "together")
+    q = L.fold_stream(stream, buckets=16).writeStream.format("parquet").option("path", base + "/data").option("checkpointLocation", base + "/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) == 16
+    latest = L.tick_latest(spark.read.parquet(base + "/data")).collect()
+    assert len(latest) == 600 and {(r.ltp, r.cp, r.n) for r in latest} == {(101.0, 99.0, 2)} and all(r.seq == 10 * r.key + 1 for r in latest)
+
+
 def test_windows_of_a_stream_in_disorder_are_all_there(spark, tmp_path):
     parts, whole = days_in_disorder(spark)
     cols = lambda df: df.select(F.timestamp_millis("recv_ms").alias("at"), "seq", "key", "ltp", "cp")
