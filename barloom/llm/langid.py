@@ -24,7 +24,7 @@ from barloom.session import cut_lineage, fresh_dir
 ORDER, DISCOUNT = 4, 0.75
 HELD_AT_ONCE = 1 << 20                 # distinct four-grams a counting task holds before it hands them on
 MAX_GRAMS = 8_000_000                  # (language, n-gram) counts that the driver takes; with more, probabilities stay in tables
-CALIBRATION, ACCEPTED, LEAST_CHARS = 4_000, 0.995, 20              # about so many documents of each language, all where there are fewer
+CALIBRATION, ACCEPTED, LEAST_CHARS = 10_000, 0.995, 20             # limits come from all documents learned from; their rank among them is right to one in so many
 ROUNDING = 1e-9                        # sums of the same terms in another order differ by less
 EVIDENCE = 200                         # characters that a score may rest on
 _LETTER: list[np.ndarray] = []
@@ -225,25 +225,30 @@ def learnable():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(True))
 
 
-def fit(docs: DataFrame, order: int = ORDER) -> Model | Tables | None:
-    """Counts over all documents with text and language that may be learned from; None without any."""
+def _learned(docs: DataFrame, order: int = ORDER) -> Model | Tables | None:
+    """Probabilities from all documents with text and language that may be learned from, yet without limits; None without any such document."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    train = docs.filter(learnable() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text", "doc_id")
+    train = docs.filter(learnable() & F.col("text").isNotNull() & F.col("lang").isNotNull())
     path = fresh_dir(spark, "grams")
     train.select("lang", "text").mapInArrow(_count(order), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).write.parquet(path)
     table = spark.read.parquet(path)
     if table.count() > MAX_GRAMS:
-        model = build_tables(table, sorted(r.lang for r in table.select("lang").distinct().collect()), order)
-    else:
-        model = build(table.toPandas(), order)                                     # MAX_GRAMS rows at most
-    if model is None:
-        return None
-    share = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    sample = train.join(F.broadcast(train.groupBy("lang").agg(F.count("*").alias("of"))), "lang").filter(share < F.lit(float(CALIBRATION)) / F.col("of"))     # one row a language
-    own = _scored(sample.select("doc_id", "text", "lang"), model, "lang")
-    limits = own.filter(f"lang = lang_pred and n_letters >= {LEAST_CHARS}").groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", ACCEPTED, 10_000).alias("c")).collect()
-    model.limits = np.array([{r.lang_pred: r.c for r in limits}.get(g, np.inf) for g in model.langs])
+        return build_tables(table, sorted(r.lang for r in table.select("lang").distinct().collect()), order)
+    return build(table.toPandas(), order)                                          # MAX_GRAMS rows at most
+
+
+def _limits(scored: DataFrame, langs: list[str]) -> np.ndarray:
+    """The cross-entropy that nearly all documents learned from, of some length and rightly named, keep to in each language. `scored` holds every one of them."""
+    own = scored.filter(f"lang = lang_pred and n_letters >= {LEAST_CHARS}").groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", ACCEPTED, CALIBRATION).alias("c")).collect()
+    return np.array([{r.lang_pred: r.c for r in own}.get(g, np.inf) for g in langs])
+
+
+def fit(docs: DataFrame, order: int = ORDER) -> Model | Tables | None:
+    """Counts and limits over all documents with text and language that may be learned from; None without any."""
+    model = _learned(docs, order)
+    if model is not None:
+        model.limits = _limits(_scored(docs.filter(learnable() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang"), model, "lang"), model.langs)
     return model
 
 
@@ -321,5 +326,10 @@ def languages(docs: DataFrame) -> DataFrame:
 
     A null text or one without letters is `und` with score 0; so is every text if nothing could be learned. Ties go to the first language by name. Rows that
     repeat an id are judged by their own text. Other columns are ignored; an empty table gives no rows."""
-    model = fit(docs)
-    return _scored(docs, model).select("doc_id", (~learnable()).alias("held_out"), "lang_pred", "score", "cross_entropy", "n_letters", "accepted")
+    model, columns = _learned(docs), ["doc_id", (~learnable()).alias("held_out"), "lang_pred", "score", "cross_entropy", "n_letters"]
+    if model is None:
+        return _scored(docs, None).select(*columns, "accepted")
+    scored = cut_lineage(_scored(docs.withColumn("_learn", learnable()), model, "lang", "_learn"), "languages")                      # each text is scored once, then judged by the limits
+    limits = F.create_map(*[F.lit(x) for pair in zip(model.langs, (_limits(scored.filter("_learn"), model.langs) + ROUNDING).tolist(), strict=True) for x in pair])
+    within = F.col("cross_entropy") <= F.try_element_at(limits, F.col("lang_pred"))
+    return scored.select(*columns, (F.col("accepted") & F.coalesce(within, F.lit(False))).alias("accepted"))
