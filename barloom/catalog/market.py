@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from barloom.catalog.model_sql import BARS, CHANGES, sql
 from barloom.catalog.registry import query
 from barloom.functions.values import rnd
@@ -176,7 +178,8 @@ BREADTH_COLS = """count(CASE WHEN {c} > 0 {w} THEN 1 END) AS {p}advancing, count
 @query("breadth", sql("SELECT *, CASE WHEN declining > 0 THEN NULL WHEN advancing > 0 THEN 'ratio_undefined_no_declines' ELSE 'ratio_undefined_no_changes' END AS ad_ratio_note FROM (SELECT CAST(date AS VARCHAR) AS date, "
                       + BREADTH_COLS.format(c="change", w="", p="") + " FROM moved GROUP BY 1)", CHANGES))
 def _(spark, d):
-    return M.breadth(W.change_1d(bars(spark, d)))
+    note = F.when(F.startswith("ad_ratio_note", F.lit("no declining")), "ratio_undefined_no_declines").when(F.col("ad_ratio_note").isNotNull(), "ratio_undefined_no_changes")
+    return M.breadth(W.change_1d(bars(spark, d))).withColumn("ad_ratio_note", note)                             # the note as a code
 
 
 @query("breadth_scopes", sql("SELECT CAST(date AS VARCHAR) AS date, " + BREADTH_COLS.format(c="change", w="", p="all_") + ", " + BREADTH_COLS.format(c="change", w="AND turnover >= 100", p="liquid_") + " FROM moved GROUP BY 1", CHANGES))
