@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.text import U64, blocks, char_table, code_points, mix
+from barloom.plans.order import running_position
 from barloom.session import cut_lineage, fresh_dir
 
 ORDER, DISCOUNT = 4, 0.75
 HELD_AT_ONCE = 1 << 20                 # distinct four-grams a counting task holds before it hands them on
 MAX_GRAMS = 8_000_000                  # (language, n-gram) counts that the driver takes; with more, probabilities stay in tables
-CALIBRATION, ACCEPTED, LEAST_CHARS = 10_000, 0.995, 20             # limits come from all documents learned from; their rank among them is right to one in so many
+CALIBRATION, ACCEPTED, LEAST_CHARS = None, 0.995, 20               # parts in which all learned documents are ordered for the limits; None: as the session's shuffles
 ROUNDING = 1e-9                        # sums of the same terms in another order differ by less
 EVIDENCE = 200                         # characters that a score may rest on
 _LETTER: list[np.ndarray] = []
@@ -240,7 +241,10 @@ def _learned(docs: DataFrame, order: int = ORDER) -> Model | Tables | None:
 
 def _limits(scored: DataFrame, langs: list[str]) -> np.ndarray:
     """The cross-entropy that nearly all documents learned from, of some length and rightly named, keep to in each language. `scored` holds every one of them."""
-    own = scored.filter(f"lang = lang_pred and n_letters >= {LEAST_CHARS}").groupBy("lang_pred").agg(F.percentile_approx("cross_entropy", ACCEPTED, CALIBRATION).alias("c")).collect()
+    ties = scored.filter(f"lang = lang_pred and n_letters >= {LEAST_CHARS}").groupBy("lang_pred", "cross_entropy").agg(F.count("*").alias("n"))
+    placed = running_position(ties, [F.col("lang_pred"), F.col("cross_entropy")], position=None, totals={"upto": F.col("n")}, buckets=CALIBRATION)
+    span = placed.groupBy("lang_pred").agg(F.min(F.col("upto") - F.col("n")).alias("before"), F.sum("n").alias("of"))                       # one row a language
+    own = placed.join(F.broadcast(span), "lang_pred").filter(F.col("upto") - F.col("before") >= F.ceil(F.lit(ACCEPTED) * F.col("of"))).groupBy("lang_pred").agg(F.min("cross_entropy").alias("c")).collect()
     return np.array([{r.lang_pred: r.c for r in own}.get(g, np.inf) for g in langs])
 
 
