@@ -16,7 +16,7 @@ from barloom.operators import statements as T
 from barloom.operators import windows as W
 from barloom.plans import market_day as P
 from barloom.rules import WIDE
-from barloom.session import cut_lineage, fresh_dir
+from barloom.session import cut_lineage, fresh_dir, parts_for
 from barloom.sources import files as S
 from barloom.sources import sinks as K
 from barloom.sources.market import bars, holdings, instruments, table, ticks, year_values
@@ -164,7 +164,7 @@ def _(spark, d):
 def _(spark, d):
     path = fresh_dir(spark, "statements")
     annual_docs(spark, d).withColumn("symbol", F.col("symbol").cast("string")).write.json(path)
-    lines = T.statement_lines(S.read_statement_json(spark, path)).where("label IN ('total revenue', 'profit before tax')")
+    lines = T.statement_lines(S.read_statement_json(spark, path), parts_for(spark, path, 32)).where("label IN ('total revenue', 'profit before tax')")
     return lines.select("symbol", "label", F.year("period_end").alias("fy"), "value").where("value IS NOT NULL")
 
 

@@ -11,8 +11,9 @@ from barloom.functions.values import layout_class, rnd, weekdays_between
 from barloom.operators import joins as J
 from barloom.operators import ownership as O
 from barloom.operators import statements as T
+from barloom.session import parts_for
 from barloom.sources import market as S
-from barloom.sources.market import bars, table
+from barloom.sources.market import bars, table, table_path
 
 
 def _history(period, value, dup):
@@ -25,10 +26,16 @@ def _period():
     return F.concat(F.when((s % 19 == 0) & (F.col("fy") >= 1999), "Mar ").otherwise("Dec "), "fy")
 
 
+def year_parts(spark, d):
+    """Over how many tasks the customers of `orders` are dealt: a megabyte of the table unfolds to some thirty of responses."""
+    return parts_for(spark, table_path(d, "orders"), 2)
+
+
 def _year_lines(spark, d):
-    """Per customer and year what the responses list, with the function that makes a history of one column."""
-    o = table(spark, d, "orders")
-    y = o.groupBy(F.col("o_custkey").alias("symbol"), F.year("o_orderdate").alias("fy")).agg(
+    """Per customer and year what the responses list, with the function that makes a history of one column. The orders are placed by customer once, before
+    they are added up, so years and responses need no exchange of their own and no task adds up more than its part."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("symbol"), F.year("o_orderdate").alias("fy"), "o_totalprice").repartition(year_parts(spark, d), "symbol")
+    y = o.groupBy("symbol", "fy").agg(
         F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("rev"), F.max("o_totalprice").alias("mx"), F.min("o_totalprice").alias("mn"), F.count(F.lit(1)).cast("double").alias("n"))
     dup = (F.col("symbol") % 29 == 0) & (F.col("fy") == 1997)
     return y, lambda v: _history(_period(), v, dup)
@@ -113,7 +120,7 @@ def _(spark, d):
  UNION ALL SELECT symbol, l, fy, NULL FROM yv, (VALUES ('revenue'), ('total revenue'), ('profit before tax'), ('profit after tax'), ('eps basic'), ('interest earned'), ('provisions')) t(l) WHERE symbol % 29 = 0 AND fy = 1997 AND NOT (l = 'revenue' AND symbol % 31 = 0)
   AND NOT (l = 'interest earned' AND symbol % 7 <> 0) AND NOT (l = 'provisions' AND symbol % 14 <> 7)""", ANNUAL))
 def _(spark, d):
-    return T.statement_lines(annual_docs(spark, d)).select("symbol", "label", F.year("period_end").alias("fy"), "value")
+    return T.statement_lines(annual_docs(spark, d), year_parts(spark, d)).select("symbol", "label", F.year("period_end").alias("fy"), "value")
 
 
 @query("reconcile_flags", sql("""SELECT symbol, fy, CASE WHEN warnings <> '' THEN 'mismatch' WHEN revenue_check OR pbt_check OR pat_check THEN 'matched' ELSE 'not_checked' END AS reconciliation, warnings FROM (SELECT *, concat_ws(',', CASE WHEN NOT pat_check THEN 'pat_check' END,

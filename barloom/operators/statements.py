@@ -13,10 +13,11 @@ INCOME_FIELDS = {"revenue": "revenue", "total revenue": "total_revenue", "profit
 SUMMARY_FIELDS = ("revenue", "operating_profit", "net_profit")
 
 
-def _symbol_lines(docs: DataFrame) -> DataFrame:
+def _symbol_lines(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per symbol with `lines`: (time_period, kind, label, usable, cells) for every line of its responses, detail lines and summary categories, with the
     cells (period_end, value) in it. A label listed twice is ambiguous, its line not usable; a period listed twice keeps no value. The compact responses are placed
-    by symbol once and judged inside the symbol's row: no task holds more than the rows it is sent, whatever they unfold to."""
+    by symbol once and judged inside the symbol's row: no task holds more than the rows it is sent, whatever they unfold to. `parts` says over how many tasks
+    they are dealt; without it the session's shuffle partitions do."""
     line = lambda kind, name: lambda x: F.struct(F.lit(kind).alias("kind"), x[name].alias("label"), x["history"].alias("history"))
     none = F.array().cast("array<struct<kind:string,label:string,history:array<struct<period:string,value:double>>>>")
     both = F.concat(F.coalesce(F.transform("full_statement", line("detail", "particular")), none), F.coalesce(F.transform("income_statement", line("summary", "category")), none))
@@ -26,7 +27,8 @@ def _symbol_lines(docs: DataFrame) -> DataFrame:
     one = lambda pos, kind, label, c: F.struct(F.col("time_period").alias("time_period"), pos.alias("pos"), kind.alias("kind"), label.alias("label"), c.alias("cells"))
     listed = F.transform("both", lambda x, i: one(i, x["kind"], label_normalise(x["label"]), cells(x["history"])))
     own = docs.select("symbol", "time_period", both.alias("both")).select("symbol", F.when(F.size("both") > 0, listed).otherwise(F.array(one(void("int"), void("string"), void("string"), blank))).alias("lines"))
-    d = own.repartition("symbol").groupBy("symbol").agg(F.flatten(F.collect_list("lines")).alias("lines"))
+    placed = own.repartition(parts, "symbol") if parts else own.repartition("symbol")
+    d = placed.groupBy("symbol").agg(F.flatten(F.collect_list("lines")).alias("lines"))
     key = lambda x, *names: F.struct(*[x[n].alias(n) for n in names])
     named = ("time_period", "kind", "label")
 
@@ -46,19 +48,19 @@ def _symbol_lines(docs: DataFrame) -> DataFrame:
     return d.select("symbol", F.transform(F.transform(F.transform(keys, gathered), with_ends), single).alias("lines"))
 
 
-def statement_cells(docs: DataFrame) -> DataFrame:
+def statement_cells(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """Nested responses to long (symbol, time_period, kind, label, period_end, value): detail lines and summary categories in one explode.
     A label listed twice is ambiguous and loses its cells, a period listed twice keeps no value; such cells and those without a readable period have an empty row."""
-    lines = _symbol_lines(docs).select("symbol", F.explode_outer("lines").alias("x"))
+    lines = _symbol_lines(docs, parts).select("symbol", F.explode_outer("lines").alias("x"))
     cells = lines.select("symbol", "x", F.explode_outer("x.cells").alias("c"))
     usable = F.col("x.usable") & F.col("c.period_end").isNotNull()
     return cells.select("symbol", "x.time_period", F.when(usable, F.col("x.kind")).alias("kind"), F.when(usable, F.col("x.label")).alias("label"), F.when(usable, F.col("c.period_end")).alias("period_end"),
                         F.when(usable, F.col("c.value")).alias("value"))
 
 
-def statement_lines(docs: DataFrame) -> DataFrame:
+def statement_lines(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """The usable detail cells."""
-    return statement_cells(docs).where("kind = 'detail'").select("symbol", "label", "period_end", "value")
+    return statement_cells(docs, parts).where("kind = 'detail'").select("symbol", "label", "period_end", "value")
 
 
 def same(a: Column, b: Column, tolerance: float = 0.01) -> Column:

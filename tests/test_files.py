@@ -2,14 +2,17 @@
 
 import gzip
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.catalog import QUERIES, files, statements
 from barloom.operators import cleaning as C
 from barloom.operators import quality as Q
 from barloom.operators import statements as T
 from barloom.rules import Rules
+from barloom.session import parts_for
 from barloom.sources import files as S
 from barloom.sources import sinks as K
 
@@ -250,6 +253,32 @@ def test_lines_of_statement_files_are_exchanged_once(spark, tmp_path):
     assert lines.count() == 500 and lines.agg(F.sum("value")).first()[0] == sum(i + y for i in range(50) for y in range(2000, 2010))
 
 
+def test_parts_follow_the_stored_bytes(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"f{i}").write_bytes(b"x" * (10 << 20))
+    cores = spark.sparkContext.defaultParallelism
+    assert [parts_for(spark, str(tmp_path), mb) for mb in (1, 4, 1000)] == [30, max(8, cores), cores]
+    assert parts_for(spark, str(tmp_path / "f*"), 1) == 30 and parts_for(spark, str(tmp_path / "f0"), 1) == max(10, cores) and parts_for(spark, str(tmp_path / "none*"), 1) == cores
+
+
+def test_a_task_of_statements_does_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    day = F.timestamp_seconds(F.lit(800000000) + F.col("id") % 5 * 31557600)
+    orders = spark.range(200).select((F.col("id") % 40).alias("o_custkey"), day.alias("o_orderdate"), (F.col("id") + 0.25).alias("o_totalprice"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    sized = []
+    for module, n in ((statements, 13), (files, 23)):
+        monkeypatch.setattr(module, "parts_for", lambda spark, path, mb, n=n: sized.append((path.rpartition("/")[2].partition("-")[0], mb)) or n)
+    placed = lambda df: re.findall(r"hashpartitioning\((.*), (\d+)\)", df._jdf.queryExecution().executedPlan().toString())
+    for docs in (statements.annual_docs(spark, str(tmp_path)), statements.cash_docs(spark, str(tmp_path))):
+        assert [(k.partition("#")[0], n) for k, n in placed(docs)] == [("symbol", "13")] and docs.rdd.getNumPartitions() == 13
+    lines = QUERIES["src_statement_json"](spark, str(tmp_path))
+    assert [(k.partition("#")[0], n) for k, n in placed(lines)] == [("symbol", "23")] and ("statements", 32) in sized and ("orders.parquet", 2) in sized
+    assert [n for _, n in placed(QUERIES["src_statement_lines"](spark, str(tmp_path)))] == ["13"]              # already in place: nothing is sent again
+    first = orders.groupBy(F.col("o_custkey").cast("string").alias("symbol"), F.year("o_orderdate").alias("fy")).agg(F.sum("o_totalprice").alias("total revenue"), F.max("o_totalprice").alias("profit before tax"))
+    want = first.unpivot(["symbol", "fy"], ["total revenue", "profit before tax"], "label", "value").where("NOT (symbol % 29 = 0 AND fy = 1997)")
+    assert sorted(map(tuple, lines.select("symbol", "fy", "label", "value").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_quarters_are_judged_inside_the_symbol(spark):
     two = [("Mar 2020", 1), ("Jun 2020", 2)]
     docs = spark.createDataFrame([
